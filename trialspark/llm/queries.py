@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialspark.llm import decontam, line_dedup, packing, quality, simhash
-from trialspark.llm.common import table
+from trialspark.llm import decontam, line_dedup, multiset_hash, packing, quality, quotes, secrets, shards, simhash
+from trialspark.llm.common import scratch, table
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,6 +32,29 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.piece_digests(packing.packed_pieces(table(spark, sf_dir, "documents")))
 
 
+def op4_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table arrives in 16 parts by hash, each its own version of small shards, and is compacted to target files."""
+    docs = table(spark, sf_dir, "documents")
+    store = shards.ShardStore(spark, scratch(spark, "store"))
+    store.append_arrivals(docs.withColumn("arrived", F.pmod(F.xxhash64("doc_id"), F.lit(16))), "arrived")
+    version = store.compact().version
+    out = store.read(version)
+    return out.select("doc_id", F.col("_arrival").alias("arrival"), F.lit(version).alias("version"), "shard", "shard_rows", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"))
+
+
+def op5_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quotes.conversations(table(spark, sf_dir, "conversations"))
+    return out.select(F.col("conv").alias("conv_id"), "turn", "role", "position", "parent", "root", "n_quoted", "n_linked", "from_conv", "from_turn", "body")
+
+
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = secrets.scanned(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    n = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = secrets.span_list(F.col("secrets"), ("assign", "access", "hex"))
+    guessed = n("guess")
+    return out.select("doc_id", n("assign"), n("access"), n("hex"), F.sha2(base.cast("binary"), 256).alias("base_sha256"), secrets.span_list(F.col("secrets")).alias("spans"), guessed)
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_components(table(spark, sf_dir, "documents"), words=3, radius=2)
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
@@ -46,11 +69,16 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op9_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = multiset_hash.edit_study(table(spark, sf_dir, "documents"))
+    return out.withColumnsRenamed({"id": "doc_id", "n": "n_chars"})
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), F.round("score", 6).alias("score"), "begin", "end", "n_seeds")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_line_dedup, op3_packing, op7_simhash, op8_quality, op10_decontamination)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_line_dedup, op3_packing, op4_compaction, op5_quotation_linking, op6_secrets, op7_simhash, op8_quality, op9_multiset_hash, op10_decontamination)}
 
 SQL: dict[str, str] = {"op2_line_dedup": OP2_SQL}
