@@ -7,10 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialspark.llm import decontam, line_dedup, multiset_hash, packing, quality, quotes, secrets, shards, simhash
+from trialspark.llm import decontam, line_dedup, multiset_hash, packing, pitman_yor, quality, quotes, secrets, shards, simhash
 from trialspark.llm.common import scratch, table
 
 
+def op1_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = pitman_yor.scored_documents(docs, F.crc32(F.col("doc_id").cast("string")) % 5 != 1)
+    return out.select(F.col("id").alias("doc_id"), (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.drop_repeated_lines(table(spark, sf_dir, "documents"))
     return out.select("row.doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
@@ -79,6 +85,6 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), F.round("score", 6).alias("score"), "begin", "end", "n_seeds")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_line_dedup, op3_packing, op4_compaction, op5_quotation_linking, op6_secrets, op7_simhash, op8_quality, op9_multiset_hash, op10_decontamination)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pitman_yor, op2_line_dedup, op3_packing, op4_compaction, op5_quotation_linking, op6_secrets, op7_simhash, op8_quality, op9_multiset_hash, op10_decontamination)}
 
 SQL: dict[str, str] = {"op2_line_dedup": OP2_SQL}
