@@ -1,4 +1,6 @@
 """Queries bound to the test tables, and their SQL."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from trialspark.plans import around, decoding, pulse_lines, signal, tuned  # noqa: F401
+from trialspark.plans.base import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]
