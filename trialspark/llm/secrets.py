@@ -50,7 +50,7 @@ def guess_cost(value: str, ranks: dict[str, int], longest: int = 24) -> tuple[fl
 
     Segments: a word costs its rank, times two for other cases than lower and for letters written as digits; a year 120
     guesses, a date 36500; a repeat the cost of its block times the number of blocks; a keyboard walk of three or more
-    keys a start times two directions at each turn; a brute-force character the size of its class. Each segment but a
+    keys (64 at most) a start times four directions for each stretch; a brute-force character the size of its class. Each segment but a
     brute-force character also costs a factor of 2, for being one of several kinds. Time is linear in the length.
     """
     n, low = len(value), value.lower()
@@ -79,7 +79,7 @@ def guess_cost(value: str, ranks: dict[str, int], longest: int = 24) -> tuple[fl
             block = m.group(1)
             offer(i, m.end(), "repeat", kind_cost + sum(map(_brute, block)) + math.log10((m.end() - i) // len(block)))
         j, turns, step = i + 1, 0, None
-        while j < n and _neighbours(low[j - 1], low[j]):
+        while j < min(n, i + 64) and _neighbours(low[j - 1], low[j]):
             (r, k), (q, s) = PLACE[low[j - 1]], PLACE[low[j]]
             turns += step is not None and step != (q - r, s - k)
             step, j = (q - r, s - k), j + 1
@@ -142,7 +142,7 @@ def word_ranks(docs: DataFrame, text_col: str = "text", most: int = 20_000) -> d
             n: Counter = Counter()
             for text in pdf["text"]:
                 n.update(_WORD.findall((text or "").lower()))
-            yield pd.DataFrame({"word": list(n), "n": list(n.values())})
+            yield pd.DataFrame({"word": pd.Series(list(n), dtype=object), "n": pd.Series(list(n.values()), dtype="int64")})
 
     counts = docs.select(F.col(f"`{text_col}`").alias("text")).mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     return {r.word: k for k, r in enumerate(counts.orderBy(F.desc("n"), "word").limit(most).collect(), 1)}
