@@ -66,7 +66,7 @@ def read_trial_csv(spark: SparkSession, path: str) -> DataFrame:
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
     """(path, content, line_no, line): text files whole and by line."""
-    files = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("path"), F.regexp_replace("value", "\r", "").alias("content"))
+    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.regexp_replace("value", "\r", "").alias("content"))
     return files.select("path", "content", F.posexplode(F.split("content", "\n")).alias("line_no", "line"))
 
 
