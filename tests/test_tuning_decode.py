@@ -124,3 +124,19 @@ def test_choices(spark):
     split = selection.train_test(spark.createDataFrame([(k, "a" if k < 70 else "b") for k in range(80)], "id int, y string"), "y", ["id"])
     n = {(r.y, r.part): r["count"] for r in split.groupBy("y", "part").count().collect()}
     assert n == {("a", "train"): 40, ("a", "test"): 20, ("b", "train"): 5, ("b", "test"): 5}
+
+
+def test_axes_match_numpy(spark):
+    rng = np.random.default_rng(3)
+    y = np.arange(90) % 3
+    x = rng.normal(size=(90, 4)) * [3, 1, 1, 0.5] + np.outer(y, [0, 2, 0, 1])
+    rows = spark.createDataFrame([(k, int(y[k]), x[k].tolist()) for k in range(90)], "id int, y int, x array<double>")
+    place = lambda axes: np.array([r.place for r in decode.projected(rows, axes.filter("axis = 0"), []).orderBy("id").collect()])
+    pca = place(decode.principal_axes(rows, []))
+    u, s, v = np.linalg.svd(x - x.mean(axis=0), full_matrices=False)
+    assert np.allclose(np.abs(pca), np.abs(u[:, 0] * s[0])) and decode.principal_axes(rows, []).count() == 2
+    lda = place(decode.lda_axes(rows, [], "y"))
+    ratio = lambda z: np.var([z[y == c].mean() for c in range(3)]) / np.mean([z[y == c].var() for c in range(3)])
+    assert ratio(lda) > max(ratio(x[:, k]) for k in range(4)) and ratio(lda) > ratio(pca)
+    shares = [r.share for r in decode.lda_axes(rows, [], "y").orderBy("axis").collect()]
+    assert len(shares) == 2 and shares[0] > shares[1] and sum(shares) == pytest.approx(1)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from trialspark.operators.intervals import in_all
 from trialspark.operators.signals import hann
+from trialspark.operators.windows import frequency_bins, moving_average, savgol
 
 
 def segment_spectra(segments: DataFrame, keys: list[str], fs: float, low: float, high: float) -> DataFrame:
@@ -51,3 +52,17 @@ def session_means(coh: DataFrame, session: str, pair: list[str]) -> DataFrame:
     full = in_all(coh, pair, session)
     out = full.groupBy(session, "k", "freq").agg(F.count("coh").alias("n"), F.avg("coh").alias("mean"), F.stddev_pop("coh").alias("sd"))
     return out.withColumn("sem", F.col("sd") / F.sqrt("n"))
+
+
+def smoothed(df: DataFrame, keys: list[str], freq: str, value: str, method: str = "none", width: float = 2.0, first: float = 0.0, bins: int = 200) -> DataFrame:
+    """Spectra by frequency with a smooth column: frequency_bin (rows become bins of `width`), moving_average and savgol
+    over `width` rows, or none. A width under 1 leaves the values as they are."""
+    if method == "none" or width < 1:
+        return df.withColumn("smooth", F.col(value))
+    if method == "frequency_bin":
+        return frequency_bins(df, keys, freq, value, first, width, bins).withColumnRenamed("value", "smooth")
+    if method == "moving_average":
+        return moving_average(df, keys, [freq], value, int(width))
+    if method == "savgol":
+        return savgol(df, keys, [freq], value, int(width), min(3, int(width) - 1))
+    raise ValueError(f"no such smoothing: {method}")

@@ -49,13 +49,8 @@ def _schema(df: DataFrame, columns: list[str]) -> str:
     return ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in columns)
 
 
-def lda_fit(rows: DataFrame, keys: list[str], label: str, x: str = "x", shrink: float = 0.0) -> DataFrame:
-    """(keys, label, prior, mean, w, bias): linear discriminant functions w x + bias of each class, by pooled covariance.
-
-    Sums of products are made by tasks over batches and added up by key. A covariance without full rank is inverted as far
-    as it goes; shrink moves it towards a multiple of the identity.
-    """
-    key_schema = _schema(rows, [*keys, label])
+def class_moments(rows: DataFrame, keys: list[str], label: str, x: str = "x") -> DataFrame:
+    """(keys, label, n, s, g): counts, sums and matrices of products of batches of rows, to be added up by key."""
 
     def moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -65,7 +60,17 @@ def lda_fit(rows: DataFrame, keys: list[str], label: str, x: str = "x", shrink:
                 m = np.stack(own[x].to_list()).astype(float)
                 yield pd.DataFrame([[*key, len(m), m.sum(axis=0), (m.T @ m).ravel()]], columns=[*keys, label, "n", "s", "g"])
 
-    partial = rows.select(*keys, label, x).mapInPandas(moments, f"{key_schema}, n long, s array<double>, g array<double>")
+    return rows.select(*keys, label, x).mapInPandas(moments, f"{_schema(rows, [*keys, label])}, n long, s array<double>, g array<double>")
+
+
+def lda_fit(rows: DataFrame, keys: list[str], label: str, x: str = "x", shrink: float = 0.0) -> DataFrame:
+    """(keys, label, prior, mean, w, bias): linear discriminant functions w x + bias of each class, by pooled covariance.
+
+    Sums of products are made by tasks over batches and added up by key. A covariance without full rank is inverted as far
+    as it goes; shrink moves it towards a multiple of the identity.
+    """
+    key_schema = _schema(rows, [*keys, label])
+    partial = class_moments(rows, keys, label, x)
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         by = pdf.groupby(label, sort=True)
@@ -88,6 +93,67 @@ def lda_fit(rows: DataFrame, keys: list[str], label: str, x: str = "x", shrink:
     return partial.groupBy(*keys).applyInPandas(solve, f"{key_schema}, prior double, mean array<double>, w array<double>, bias double")
 
 
+def lda_axes(rows: DataFrame, keys: list[str], label: str, x: str = "x", dims: int = 3) -> DataFrame:
+    """(keys, axis, w, offset, share): the directions that part the classes best, and their shares of the variance between.
+
+    Directions solve the eigenproblem of the spread between classes against that within; the largest weight is positive.
+    """
+    partial = class_moments(rows, keys, label, x)
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        n = pdf.groupby(label)["n"].sum()
+        s = {c: np.sum(own["s"].to_list(), axis=0) for c, own in pdf.groupby(label)}
+        p = len(next(iter(s.values())))
+        centre = sum(s.values()) / n.sum()
+        within, between = np.sum(pdf["g"].to_list(), axis=0).reshape(p, p), np.zeros((p, p))
+        for c in n.index:
+            mean = s[c] / n[c]
+            within = within - n[c] * np.outer(mean, mean)
+            between = between + n[c] * np.outer(mean - centre, mean - centre)
+        values, vectors = np.linalg.eigh(within / n.sum())
+        good = values > 1e-12 * values.max()
+        white = vectors[:, good] / np.sqrt(values[good])
+        spread, turned = np.linalg.eigh(white.T @ between @ white / n.sum())
+        axes = white @ turned[:, ::-1]
+        spread = np.clip(spread[::-1], 0, None)
+        out = []
+        for k in range(min(dims, len(n) - 1, axes.shape[1])):
+            w = axes[:, k] * np.sign(axes[np.abs(axes[:, k]).argmax(), k])
+            out.append([*[pdf[c].iloc[0] for c in keys], k, w, float(-centre @ w), float(spread[k] / spread.sum())])
+        return pd.DataFrame(out, columns=[*keys, "axis", "w", "offset", "share"])
+
+    key_schema = "".join(f"{_schema(rows, [c])}, " for c in keys)
+    return partial.groupBy(*keys).applyInPandas(solve, f"{key_schema}axis int, w array<double>, offset double, share double")
+
+
+def principal_axes(rows: DataFrame, keys: list[str], x: str = "x", dims: int = 2) -> DataFrame:
+    """(keys, axis, w, offset, share): the first principal components of the centred rows; the largest weight is positive."""
+    partial = class_moments(rows.withColumn("_all", F.lit(0)), keys, "_all", x)
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        n, s = pdf["n"].sum(), np.sum(pdf["s"].to_list(), axis=0)
+        p = len(s)
+        cov = np.sum(pdf["g"].to_list(), axis=0).reshape(p, p) / n - np.outer(s, s) / n**2
+        values, vectors = np.linalg.eigh(cov)
+        out = []
+        for k in range(min(dims, p)):
+            w = vectors[:, -1 - k]
+            w = w * np.sign(w[np.abs(w).argmax()])
+            out.append([*[pdf[c].iloc[0] for c in keys], k, w, float(-(s / n) @ w), float(values[-1 - k] / values.sum())])
+        return pd.DataFrame(out, columns=[*keys, "axis", "w", "offset", "share"])
+
+    key_schema = "".join(f"{_schema(rows, [c])}, " for c in keys)
+    return partial.groupBy(*keys).applyInPandas(solve, f"{key_schema}axis int, w array<double>, offset double, share double")
+
+
+def projected(rows: DataFrame, axes: DataFrame, keys: list[str], x: str = "x") -> DataFrame:
+    """rows with their place on each axis of lda_axes() or principal_axes(): (columns of rows, axis, place)."""
+    own = F.broadcast(axes.select(*keys, "axis", "w", "offset"))
+    joined = rows.join(own, keys) if keys else rows.crossJoin(own)
+    dot = F.aggregate(F.zip_with(x, "w", lambda a, b: a.cast("double") * b), F.lit(0.0), lambda t, v: t + v)
+    return joined.select(*rows.columns, "axis", (dot + F.col("offset")).alias("place"))
+
+
 def lda_predict(rows: DataFrame, model: DataFrame, keys: list[str], label: str, x: str = "x", name: str = "predicted") -> DataFrame:
     """rows with predicted, its probability, and scores (class -> probability): a softmax of the discriminants.
 
@@ -270,6 +336,20 @@ def confidence_density(predicted: DataFrame, label: str, bins: int = 20) -> Data
     return n.withColumn("density", F.col("n") * bins / F.sum("n").over(Window.partitionBy("correct")))
 
 
+def pair_family(a: Column, b: Column) -> Column:
+    """What kind of pair two orientations are: orthogonal if 90 apart, adjacent if 45 apart, else near or far."""
+    d = F.pmod(F.abs(a - b), F.lit(180.0))
+    d = F.least(d, 180 - d)
+    return F.when(d == 90, "orthogonal").when(d == 45, "adjacent").when(d < 45, "near").otherwise("far")
+
+
+def family_summary(results: DataFrame, keys: list[str], score: str, a: str = "a", b: str = "b") -> DataFrame:
+    """(keys, family, n, mean, sd, cardinal): scores by kind of pair; cardinal is the mean over 0 and 90 alone."""
+    cardinal = F.col(a).isin(0, 90) & F.col(b).isin(0, 90)
+    out = results.withColumn("family", pair_family(F.col(a), F.col(b))).groupBy(*keys, "family")
+    return out.agg(F.count("*").alias("n"), F.avg(score).alias("mean"), F.stddev_pop(score).alias("sd"), F.avg(F.when(cardinal, F.col(score))).alias("cardinal"))
+
+
 def random_fourier(rows: DataFrame, x: str, dims: int, features: int, gamma: float, seed: int = 0, name: str = "z") -> DataFrame:
     """rows with random Fourier features of an RBF kernel: a linear model of them stands for one with that kernel."""
     rng = np.random.default_rng(seed)

@@ -64,6 +64,12 @@ def interval_index(edges: DataFrame, keys: list[str], edge: str, last_for: int)
     return edges.withColumns({"idx": F.row_number().over(w) - 1, "high": F.coalesce(F.lead(edge).over(w), F.col(edge) + last_for)})
 
 
+def _backwards(keys: list[str]):
+    """From the last row to the first: what comes after a row is then carried along, where a frame that reaches forward to
+    the end would be gone through again for each row."""
+    return Window.partitionBy(*keys).orderBy(F.col("_t").desc(), F.col("_side").desc())
+
+
 def interpolated(grid: DataFrame, knots: DataFrame, keys: list[str], at: str, t: str, value: str, name: str = "value_at") -> DataFrame:
     """grid with the value on the line between the knots on either side; beyond the ends, that of the end knot."""
     k = knots.select(*keys, F.col(t).alias("_t"), F.col(value).cast("double").alias("_v"), F.lit(0).alias("_side"), F.lit(None).cast(grid.schema[at].dataType).alias(at))
@@ -73,7 +79,7 @@ def interpolated(grid: DataFrame, knots: DataFrame, keys: list[str], at: str, t:
     both = k.unionByName(g).withColumns(
         {
             "_a": F.last(knot, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)),
-            "_b": F.first(knot, ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing)),
+            "_b": F.last(knot, ignorenulls=True).over(_backwards(keys).rowsBetween(Window.unboundedPreceding, -1)),
         }
     )
     share = (F.col("_t") - F.col("_a.t")) / (F.col("_b.t") - F.col("_a.t"))
@@ -87,7 +93,7 @@ def nearest(grid: DataFrame, events: DataFrame, keys: list[str], at: str, time:
     e = events.select(*keys, F.col(time).alias("_t"), F.lit(0).alias("_side"), p.alias("_p"), F.lit(None).cast(grid.schema[at].dataType).alias(at))
     g = grid.select(*keys, F.col(at).alias("_t"), F.lit(1).alias("_side"), F.lit(None).cast(e.schema["_p"].dataType).alias("_p"), at)
     order = Window.partitionBy(*keys).orderBy("_t", "_side")
-    both = e.unionByName(g).withColumns({"_a": F.last("_p", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)), "_b": F.first("_p", ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing))})
+    both = e.unionByName(g).withColumns({"_a": F.last("_p", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)), "_b": F.last("_p", ignorenulls=True).over(_backwards(keys).rowsBetween(Window.unboundedPreceding, -1))})
     take_a = F.col("_b").isNull() | (F.col("_t") - F.col("_a._e") <= F.col("_b._e") - F.col("_t"))
     chosen = both.filter("_side = 1").withColumn("_p", F.when(F.col("_a").isNull(), F.col("_b")).when(take_a, F.col("_a")).otherwise(F.col("_b")))
     return chosen.select(*keys, at, F.col("_p._e").alias("nearest"), *[F.col(f"_p.{c}").alias(c) for c in payload])
@@ -118,9 +124,9 @@ def axis_check(a: DataFrame, b: DataFrame, idx: str, value: str, tolerance: floa
     return out.withColumn("same", F.col("n_off") == 0)
 
 
-def combined_units(recordings: list[DataFrame], keys: list[str]) -> DataFrame:
+def combined_units(recordings: list[DataFrame]) -> DataFrame:
     """Spikes of several recordings of the same units, each row with its file_no from 0."""
-    return reduce(DataFrame.unionByName, [r.withColumn("file_no", F.lit(k)) for k, r in enumerate(recordings)]).orderBy(*keys, "file_no")
+    return reduce(DataFrame.unionByName, [r.withColumn("file_no", F.lit(k)) for k, r in enumerate(recordings)])
 
 
 def snippets(events: DataFrame, samples: DataFrame, keys: list[str], at: str, sample: str, value: str, before: int, after: int, bucket: int) -> DataFrame:

@@ -126,3 +126,15 @@ def factor_levels(df: DataFrame, factors: list[str]) -> DataFrame:
 def counts_by(df: DataFrame, a: str, b: str) -> DataFrame:
     """(a, b, n) with all subtotals, null where summed over."""
     return df.cube(a, b).agg(F.count("*").alias("n"))
+
+
+def kept_by_threshold(metrics: DataFrame, value: str, thresholds: list[float]) -> DataFrame:
+    """metrics of each threshold's units, those whose value is under it, with the threshold as a model key."""
+    spread = metrics.withColumn("threshold", F.explode(F.array(*[F.lit(float(t)) for t in thresholds])))
+    return spread.filter(F.col(value) < F.col("threshold"))
+
+
+def tuned_units(metrics: DataFrame, gosi: str, least: float, z_noise: str | None = None, most: float | None = None) -> DataFrame:
+    """Units with gosi over least and, if given, z_noise under most."""
+    wanted = F.col(gosi) > least
+    return metrics.filter(wanted if z_noise is None or most is None else wanted & (F.col(z_noise) < most))

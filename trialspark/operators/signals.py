@@ -272,13 +272,13 @@ def without_artifacts(samples: DataFrame, bad: DataFrame, keys: list[str], sampl
     marked = samples.withColumn("chunk", F.floor(F.col(sample) / size).cast("bigint")).join(F.broadcast(bad.select("chunk", F.lit(True).alias("_bad"))), "chunk", "left")
     marked = marked.withColumn("_g", F.when(F.col("_bad").isNull(), F.struct(F.col(sample).cast("double").alias("x"), F.col(value).cast("double").alias("y"))))
     order = Window.partitionBy(*keys).orderBy(sample)
-    good = order.rowsBetween(Window.unboundedPreceding, 0)
-    ahead = order.rowsBetween(0, Window.unboundedFollowing)
+    back = Window.partitionBy(*keys).orderBy(F.col(sample).desc())
+    good, ahead = order.rowsBetween(Window.unboundedPreceding, 0), back.rowsBetween(Window.unboundedPreceding, 0)
     # a good sample carries the good one before it, so that the last good one on a side knows two
-    marked = marked.withColumn("_p", F.last("_g", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))).withColumn("_q", F.first("_g", ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing)))
+    marked = marked.withColumn("_p", F.last("_g", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))).withColumn("_q", F.last("_g", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -1)))
     pair_before = F.when(F.col("_g").isNotNull(), F.struct(F.col("_p").alias("a"), F.col("_g").alias("b")))
     pair_after = F.when(F.col("_g").isNotNull(), F.struct(F.col("_g").alias("a"), F.col("_q").alias("b")))
-    marked = marked.withColumns({"_l": F.last(pair_before, ignorenulls=True).over(good), "_r": F.first(pair_after, ignorenulls=True).over(ahead)})
+    marked = marked.withColumns({"_l": F.last(pair_before, ignorenulls=True).over(good), "_r": F.last(pair_after, ignorenulls=True).over(ahead)})
     points = ["_l.a", "_l.b", "_r.a", "_r.b"]
     x = F.col(sample).cast("double")
 

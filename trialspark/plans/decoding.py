@@ -149,3 +149,16 @@ def t_one_sample(spark, d):
 @query(f"WITH {EMB}, r AS (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS r FROM emb) SELECT vec_id, label FROM r WHERE r % 4 = 0")
 def every_nth(spark, d):
     return selection.every_nth(_rows(spark, d).select("vec_id", "label"), ["label"], ["vec_id"], 4)
+
+
+@query()
+def lda_projection(spark, d):
+    """Rows on the two axes that part the classes best (see the tests)."""
+    rows = _rows(spark, d)
+    return decode.projected(rows, decode.lda_axes(rows, [], "label", dims=2), []).select("vec_id", "label", "axis", "place")
+
+
+@query()
+def pca_embedding(spark, d):
+    rows = _rows(spark, d)
+    return decode.projected(rows, decode.principal_axes(rows, []), []).select("vec_id", "label", "axis", "place")

@@ -116,7 +116,7 @@ def zscore_window(spark, d):
     return windows.z_score(s, ["channel", "win"], "value").select("channel", "sample", "z")
 
 
-@query(f"WITH {SAMPLES} SELECT channel, CAST((row_number_ - 1) // 7 AS INTEGER) AS block, round(avg(value), 6) AS mean FROM (SELECT *, row_number() OVER (PARTITION BY channel ORDER BY sample) AS row_number_ FROM samples) GROUP BY ALL")
+@query(f"WITH {SAMPLES} SELECT channel, CAST((row_number_ - 1) // 7 AS INTEGER) AS block, round(avg(value), 6) + 0.0 AS mean FROM (SELECT *, row_number() OVER (PARTITION BY channel ORDER BY sample) AS row_number_ FROM samples) GROUP BY ALL")
 def block_average(spark, d):
     return windows.block_average(samples(spark, d), ["channel"], ["sample"], "value", 7)
 
@@ -239,6 +239,18 @@ def coherence_by_session(spark, d):
     return coh.session_means(_coherence(spark, d).withColumnRenamed("ca", "session"), "session", ["cb"])
 
 
+@query(f"""WITH {COH} SELECT ca, cb, k, round(sum(coh) OVER (PARTITION BY ca, cb ORDER BY k ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) / 3.0, 6) AS smooth FROM coh""")
+def coherence_smoothed(spark, d):
+    return coh.smoothed(_coherence(spark, d), ["ca", "cb"], "freq", "coh", "moving_average", width=3).select("ca", "cb", "k", "smooth")
+
+
+@query(f"WITH {SAMPLES} SELECT channel, sample, round(CASE WHEN value > 0.2 THEN 0 ELSE value END, 6) AS value FROM samples")
+def outliers_to_zero(spark, d):
+    from trialspark.operators.selection import clamp
+
+    return clamp(samples(spark, d), "value", 0.2)
+
+
 @query(f"WITH {STEP}, h AS (SELECT CAST(d // 3600000000 AS INTEGER) AS bin FROM s WHERE d IS NOT NULL AND d < 86400000000), g AS (SELECT CAST(r.bin AS INTEGER) AS bin FROM range(24) r(bin)) SELECT g.bin, count(h.bin) AS n FROM g LEFT JOIN h USING (bin) GROUP BY g.bin")
 def interval_histogram(spark, d):
     from pyspark.sql import Window

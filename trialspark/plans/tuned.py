@@ -158,7 +158,7 @@ def left_right(spark, d):
     return sides(li).groupBy(F.col("l_linenumber").alias("trial"), F.col("l_shipdate").isNotNull().alias("known"), "left", "right").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {RESP} SELECT unit, class, count(*) AS n FROM (SELECT unit, theta, dense_rank() OVER (ORDER BY theta) - 1 AS class FROM resp) GROUP BY ALL")
+@query(f"WITH {RESP} SELECT unit, CAST(class AS INTEGER) AS class, count(*) AS n FROM (SELECT unit, theta, dense_rank() OVER (ORDER BY theta) - 1 AS class FROM resp) GROUP BY ALL")
 def encoded_labels(spark, d):
     return selection.encoded(responses(spark, d), "theta").groupBy("unit", "class").agg(F.count("*").alias("n"))
 
@@ -173,3 +173,46 @@ def orientation_lookup(spark, d):
     from trialspark.operators.intervals import lookup
 
     return lookup(responses(spark, d), "theta", {0.0: "horizontal", 90.0: "vertical"}, "name", "string").groupBy("theta", "name").agg(F.count("*").alias("n"))
+
+
+ZN = f"{RESP}, zs AS (SELECT unit, theta, avg(rate) AS mean, stddev_pop(rate) / sqrt(count(*)) AS sem FROM resp GROUP BY ALL), zw AS (SELECT *, nullif(stddev_pop(mean) OVER (PARTITION BY unit), 0) AS sd FROM zs), zn AS (SELECT unit, avg(sem / sd) AS z FROM zw GROUP BY unit)"
+
+
+@query(f"WITH {ZN}, t(threshold) AS (VALUES (0.8), (1.0), (1.2), (1.5)) SELECT CAST(t.threshold AS DOUBLE) AS threshold, count(*) AS n FROM zn, t WHERE zn.z < t.threshold GROUP BY t.threshold")
+def threshold_sweep(spark, d):
+    stats = rates.condition_stats(responses(spark, d), ["unit", "theta"], "rate")
+    noise = tuning.z_tuning(stats, ["unit"]).select("unit", "z_noise").distinct()
+    return selection.kept_by_threshold(noise, "z_noise", [0.8, 1.0, 1.2, 1.5]).groupBy("threshold").agg(F.count_distinct("unit").alias("n"))
+
+
+@query(f"WITH {MEANS}, {VEC}, g AS (SELECT unit, sqrt(x * x + y * y) / t AS gosi FROM v) SELECT r.unit, count(*) AS n FROM resp r JOIN g USING (unit) WHERE g.gosi > 0.04 GROUP BY r.unit")
+def tuned_unit_trials(spark, d):
+    m = tuning.gosi_vector(_means(spark, d), ["unit"], "theta", "mean")
+    keep = selection.tuned_units(m, "gosi", 0.04).select("unit")
+    return responses(spark, d).join(F.broadcast(keep), "unit", "left_semi").groupBy("unit").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {RESP}, m AS (SELECT theta, avg(rate) AS m FROM resp GROUP BY theta), p AS (SELECT a.theta AS a, b.theta AS b, abs(a.m - b.m) AS score, least((b.theta - a.theta) % 180, 180 - (b.theta - a.theta) % 180) AS d FROM m a JOIN m b ON a.theta < b.theta) SELECT CASE WHEN d = 90 THEN 'orthogonal' WHEN d = 45 THEN 'adjacent' WHEN d < 45 THEN 'near' ELSE 'far' END AS family, count(*) AS n, round(avg(score), 6) AS mean, round(stddev_pop(score), 6) AS sd, round(avg(score) FILTER (WHERE a IN (0, 90) AND b IN (0, 90)), 6) AS cardinal FROM p GROUP BY 1")
+def pair_families(spark, d):
+    from trialspark.operators import decode
+
+    m = responses(spark, d).groupBy("theta").agg(F.avg("rate").alias("m"))
+    pairs = m.select(F.col("theta").alias("a"), F.col("m").alias("ma")).join(m.select(F.col("theta").alias("b"), F.col("m").alias("mb")), F.col("a") < F.col("b"))
+    return decode.family_summary(pairs.withColumn("score", F.abs(F.col("ma") - F.col("mb"))), [], "score")
+
+
+@query("SELECT CAST(s_nationkey AS BIGINT) AS shank, CAST(count(DISTINCT s_suppkey) AS INTEGER) AS n, min(s_suppkey) AS first_unit, max(s_suppkey) AS last_unit FROM supplier WHERE s_suppkey % 3 <> 0 GROUP BY s_nationkey")
+def good_units(spark, d):
+    quality = F.element_at(F.array(F.lit("noise"), F.lit("Good"), F.lit("UNSORTED")), (F.col("s_suppkey") % 3 + 1).cast("int"))
+    s = table(spark, d, "supplier").withColumn("quality", quality)
+    out = selection.good_units(s, "s_nationkey", "s_suppkey")
+    return out.select(F.col("s_nationkey").cast("bigint").alias("shank"), F.size("units").alias("n"), F.element_at("units", 1).alias("first_unit"), F.element_at("units", -1).alias("last_unit"))
+
+
+@query("SELECT l_suppkey AS unit, 0 AS file_no, count(*) AS n FROM lineitem WHERE l_linestatus = 'O' GROUP BY 1 UNION ALL SELECT l_suppkey, 1, count(*) FROM lineitem WHERE l_linestatus = 'F' GROUP BY 1")
+def combined_recordings(spark, d):
+    from trialspark.operators.intervals import combined_units
+
+    li = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("unit"), "l_linestatus")
+    both = combined_units([li.filter("l_linestatus = 'O'"), li.filter("l_linestatus = 'F'")])
+    return both.groupBy("unit", "file_no").agg(F.count("*").alias("n"))
