@@ -17,11 +17,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from trialspark.llm.common import join_counted, packed, written
+from trialspark.llm.common import join_counted, least_hashed, written
 from trialspark.llm.graph import components
 
-#: Of a point set, this share is in either half of a node at radius 2; a shard holds about so many points; levels of the shared tree at most (below them, a shard's own tree goes on).
-HALF, SHARD, MOST_LEVELS = 0.6, 2048, 14
+#: Of a point set, this share is in either half of a node at radius 2; a shard holds about so many points; levels of the
+#: shared tree at most (below them, a shard's own tree goes on); points of the tree's sample for each shard.
+HALF, SHARD, MOST_LEVELS, SAMPLE = 0.6, 4096, 16, 8
+#: Points that go down the shared tree at once: many more than it has leaves.
+PLACED = 100_000
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -126,20 +129,29 @@ def local_classes(points: np.ndarray, radius: int) -> np.ndarray:
 def linked(prints: DataFrame, radius: int = 2) -> DataFrame:
     """Distinct longs (fp) -> (node, root) for those that chains of steps of at most `radius` bits join to others.
 
-    The shared tree's vantage points come from a bounded sample, 32 fingerprints for a leaf and 2**19 at most, the least
-    by hash; every fingerprint is indexed. A shard emits a spanning star for each of its classes, never all its pairs.
+    The shared tree's vantage points come from a bounded sample, SAMPLE fingerprints for a leaf and 2**19 at most, the
+    least by hash; every fingerprint is indexed. A shard emits a spanning star for each of its classes, never all its pairs.
     """
     spark = prints.sparkSession
     n = prints.count()
     levels = max(0, min(MOST_LEVELS, math.ceil(math.log(max(n, 1) / SHARD) / math.log(1 / HALF))))
-    sample = prints.orderBy(F.xxhash64("fp"), "fp").limit(32 << levels).toPandas()["fp"] if levels else []
+    sample = least_hashed(prints, SAMPLE << levels, n, "fp").toPandas()["fp"] if levels else []
     tree = spark.sparkContext.broadcast(VantageTree(np.array(sample, dtype=np.int64).view(np.uint64), radius, levels))
 
+    def placed(points: np.ndarray) -> pd.DataFrame:
+        found = [(leaf, own) for leaf, own in tree.value.shards(points) if len(own)]
+        leaves = np.repeat([leaf for leaf, _ in found], [len(own) for _, own in found])
+        return pd.DataFrame({"leaf": leaves, "fp": np.concatenate([own for _, own in found]).view(np.int64)})
+
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[np.ndarray] = []
         for pdf in batches:
-            for leaf, own in tree.value.shards(pdf["fp"].to_numpy(np.int64).view(np.uint64)):
-                if len(own):
-                    yield pd.DataFrame({"leaf": np.full(len(own), leaf), "fp": own.view(np.int64)})
+            held.append(pdf["fp"].to_numpy(np.int64).view(np.uint64))
+            if sum(map(len, held)) >= PLACED:
+                yield placed(np.concatenate(held))
+                held = []
+        if sum(map(len, held)):
+            yield placed(np.concatenate(held))
 
     def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
         points = np.sort(pdf["fp"].to_numpy(np.int64)).view(np.uint64)
@@ -182,10 +194,15 @@ def _picks(words: int, tables: int, picks: int):
                     found = {majority(h)}
                 else:
                     found = set()
-                    for k in odd:
-                        mixed = h * k
+                    for some in [odd] if len(h) <= 100_000 else np.split(odd, len(odd)):
+                        mixed = h * some[:, None]
                         mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-                        found.add(majority(h[np.argpartition(mixed, picks - 1)[:picks]]))
+                        first = h[np.argpartition(mixed, picks - 1, axis=1)[:, :picks]]
+                        if picks == 3:
+                            a, b, c = first.T
+                            found.update((a & b | a & c | b & c).tolist())
+                        else:
+                            found.update(majority(row) for row in first)
                 ids += [i] * len(found)
                 prints += found
             yield pd.DataFrame({"id": np.array(ids, dtype=np.int64), "fp": np.array(prints, dtype=np.uint64).view(np.int64)})
