@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from trialspark.llm.common import least_hashed
+
 WORD = re.compile(r"[^\W_]+|[^\w\s]+|_+")
 #: Hashes of the two features that stand for any word: the same again, and the same after one other.
 TWICE, ECHO = np.uint64(0x2545F4914F6CDD1D), np.uint64(0x9FB21C651E98DF25)
@@ -22,7 +24,7 @@ class _Hashes(dict):
     """Remembers words' hashes; bounded, as it starts anew when it holds many."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 300_000:
+        if len(self) > 100_000:
             self.clear()
         h = self[word] = zlib.crc32(word.encode("utf-8", "surrogatepass"))
         return h
@@ -98,8 +100,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """
     known = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("int").alias("label")).filter("id IS NOT NULL AND label IN (0, 1)")
     known = known.select("id", "label", F.xxhash64("id", F.lit("order")).alias("at"))
-    shards = max(1, -(-min(rows, known.count()) // rows_per_shard))
-    bounded = known.orderBy("at", "id", "label").limit(rows).withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)))
+    total = known.count()
+    shards = max(1, -(-min(rows, total) // rows_per_shard))
+    bounded = least_hashed(known, rows, total, "id").withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)))
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).filter("text IS NOT NULL")
     sample = texts.join(F.broadcast(bounded), "id")
 
