@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from trialspark.llm.common import written
+
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
@@ -134,7 +136,8 @@ _WORD = re.compile(r"[a-z]{3,24}")
 def word_ranks(docs: DataFrame, text_col: str = "text", most: int = 20_000) -> dict[str, int]:
     """The `most` commonest words (3 to 24 letters a-z, in lower case) of all texts, with their ranks from 1.
 
-    Words are counted over all documents, in each batch first; only the bounded list comes to the driver.
+    Words are counted over all documents, in each batch first; only the bounded list comes to the driver. How many words are
+    as common is counted by steps of a twelfth of a doubling first, so that tasks send only words that may be in the list.
     """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -145,7 +148,14 @@ def word_ranks(docs: DataFrame, text_col: str = "text", most: int = 20_000) -> d
             yield pd.DataFrame({"word": pd.Series(list(n), dtype=object), "n": pd.Series(list(n.values()), dtype="int64")})
 
     counts = docs.select(F.col(f"`{text_col}`").alias("text")).mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return {r.word: k for k, r in enumerate(counts.orderBy(F.desc("n"), "word").limit(most).collect(), 1)}
+    counts = written(counts.withColumn("step", F.floor(F.log2("n") * 12).cast("int")), "word-counts")
+    least, above = 0, 0
+    for step, words in sorted(((r.step, r["count"]) for r in counts.groupBy("step").count().collect()), reverse=True):
+        least, above = step, above + words
+        if above >= most:
+            break
+    chosen = counts.filter(F.col("step") >= least).orderBy(F.desc("n"), "word").limit(most)
+    return {r.word: k for k, r in enumerate(chosen.select("word").collect(), 1)}
 
 
 def scanned(docs: DataFrame, text_col: str = "text", least: float = 10.0, most_words: int = 20_000, out_col: str = "secrets") -> DataFrame:
