@@ -164,6 +164,34 @@ def test_near_duplicates(spark, awkward, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
+@pytest.mark.parametrize("slice_of", [simhash.SLICE, 3000])
+def test_near_duplicates_through_an_original_amid_its_copies(spark, monkeypatch, slice_of):
+    monkeypatch.setattr(simhash, "SLICE", slice_of)
+    rng = np.random.default_rng(6)
+    base = [f"w{x}" for x in rng.integers(0, 10_000, 200)]
+    rows = []
+    for i in range(61):
+        copy = list(base)
+        for at in rng.choice(200, 3, replace=False) if i != 30 else []:
+            copy[at] = f"changed{i}"
+        rows.append((i, " ".join(copy)))
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(196)} for i, t in rows}
+    want = brute_components(sorted(sets), lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))
+    got = {r.id: r.component for r in simhash.near_duplicates(frame(spark, rows)).collect()}
+    assert sum(want[i] == 0 for i in want) > 55 and sum(got[i] != want[i] for i in want) <= 1
+
+
+def test_cross_links_join_what_brute_force_joins():
+    rng = np.random.default_rng(8)
+    for _ in range(20):
+        sets = [np.unique(rng.integers(0, 40, 25)) for _ in range(60)]
+        comps = np.arange(60) // 2
+        alike = lambda i, j: comps[i] == comps[j] or len(np.intersect1d(sets[i], sets[j])) >= 0.5 * len(np.union1d(sets[i], sets[j]))
+        links = {frozenset(x) for x in simhash.cross_links(np.arange(60), comps, sets, 0.5)}
+        assert all(alike(*x) for x in links)
+        assert brute_components(range(60), alike) == brute_components(range(60), lambda i, j: comps[i] == comps[j] or frozenset((i, j)) in links)
+
+
 # quality
 
 

@@ -25,6 +25,8 @@ from trialspark.llm.graph import components
 HALF, SHARD, MOST_LEVELS, SAMPLE = 0.6, 4096, 16, 8
 #: Points that go down the shared tree at once: many more than it has leaves.
 PLACED = 100_000
+#: Shingles of a slice of a block whose members are all compared, each member counted as 64 more.
+SLICE = 1_000_000
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -247,8 +249,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     distinct text gives `tables` SimHashes, each of the `picks` of its word shingles that come first in one of as many
     random orders: they agree with chance similarity**picks each. Fingerprints that a vantage-point tree links form a
     block; every text of it is compared with the block's first text and with the one before it, by exact similarity of
-    whole shingle sets. Work is linear in the texts, whatever a block's size. What this may lose: two alike texts that
-    agree in no table (0.3 % at 0.8 with the defaults), or a text whose only like in all its blocks is neither of the two.
+    whole shingle sets. Where that leaves a block in several components, all its texts of different components are
+    compared as well (`_finished`), so that no link inside a block is lost. What this may lose: two alike texts that agree
+    in no table (0.3 % at 0.8 with the defaults).
 
     Ids must be unique and not null here. Null and empty texts are equal to each other.
     """
@@ -271,8 +274,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     weight = pairs.groupBy("a").agg(F.count("*").alias("n"))
     left = weight.join(sets.withColumnsRenamed({"id": "a", "s": "sa"}), "a")
     alike = join_counted(pairs, left, ["a"], "n").join(sets.withColumnsRenamed({"id": "b", "s": "sb"}), "b")
-    alike = alike.filter(_jaccard("sa", "sb") >= similarity).select("a", "b")
-    found = components(alike).withColumnsRenamed({"node": "first", "root": "component"})
+    alike = written(alike.filter(_jaccard("sa", "sb") >= similarity).select("a", "b"), "alike")
+    more = _finished(member, sets, components(alike), similarity)
+    found = components(alike.unionByName(more)).withColumnsRenamed({"node": "first", "root": "component"})
     classes = same.join(found, "first", "left").withColumn("component", F.coalesce("component", "first"))
     return join_counted(keyed, written(classes, "near-classes"), ["h1", "h2"], "n").select("id", "component")
 
@@ -289,3 +293,81 @@ def _spanning_pairs(member: DataFrame) -> DataFrame:
     sliced = star.select("block", "id", "a", slices.alias("slice"))
     chain = sliced.withColumn("before", F.lag("id").over(Window.partitionBy("block", "slice").orderBy("id")))
     return chain.select("a", F.col("id").alias("b")).union(chain.select("before", "id")).filter("a <> b").distinct()
+
+
+def _finished(member: DataFrame, sets: DataFrame, found: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): links of blocks' members in different components of found, enough of them to join all that are alike.
+
+    A block goes to one task with its sets; of blocks with the same members one is taken. A block of over SLICE shingles
+    is cut into slices, none of which mixes a component of over SLICE with others, and each two slices go to a task, but
+    for two of one component. So every two members in different components meet, whatever the block's size.
+    """
+    sized = sets.select("id", (F.size("s") + 64).alias("w"))
+    known = member.join(found.withColumnsRenamed({"node": "id", "root": "comp"}), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    known = written(known.join(sized, "id"), "block-components")
+    alike = F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("mark")
+    blocks = known.groupBy("block").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n"), alike, F.min("id").alias("least"), F.max("id").alias("most"))
+    blocks = written(blocks.filter("low < high").groupBy("n", "mark", "least", "most").agg(F.min("block").alias("block")).select("block", "n"), "open-blocks")
+    own = written(join_counted(known, blocks, ["block"], "n").drop("n"), "open-members")
+    parts = own.groupBy("block", "comp").agg(F.sum("w").alias("cw"), F.count("*").alias("cn"))
+    parts = parts.withColumn("large", F.when(F.col("cw") > SLICE, F.col("comp")))
+    small = parts.filter("large IS NULL").groupBy("block").agg(F.ceil(F.sum("cw") / SLICE).alias("smalls"))
+    parts = written(parts.join(small, "block", "left"), "block-parts")
+    slices = F.when(F.col("large").isNull(), F.pmod(F.xxhash64("comp"), "smalls")).otherwise(F.pmod(F.xxhash64("id"), F.ceil(F.col("cw") / SLICE)))
+    sliced = join_counted(own, parts, ["block", "comp"], "cn").select("block", "id", "comp", "large", slices.alias("k"))
+    sliced = written(sliced, "block-slices")
+    every = sliced.groupBy("block", "large", "k").agg(F.count("*").alias("members"))
+    every = every.select("block", F.struct("large", "k").alias("p"), F.count("*").over(Window.partitionBy("block")).alias("slices"))
+    every = written(every, "slices")
+    one, two = every.select("block", F.col("p").alias("p"), "slices"), every.select("block", F.col("p").alias("q"))
+    met = one.join(two, "block").filter("slices = 1 OR (p < q AND NOT (p.large IS NOT NULL AND p.large <=> q.large))")
+    met = met.select("block", F.xxhash64("block", "p", "q").alias("task"), F.array_distinct(F.array("p", "q")).alias("of"))
+    sent = met.select("block", "task", F.explode("of").alias("p")).select("block", "task", "p.large", "p.k")
+    at = (sliced["block"] == sent["block"]) & sliced["large"].eqNullSafe(sent["large"]) & (sliced["k"] == sent["k"])
+    dealt = sliced.join(sent, at).select(sliced["block"], "task", "id", "comp").join(sets, "id")
+
+    def links(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(cross_links(pdf["id"].to_numpy(np.int64), pdf["comp"].to_numpy(np.int64), list(pdf["s"]), similarity), columns=["a", "b"], dtype="int64")
+
+    return dealt.groupBy("block", "task").applyInPandas(links, "a long, b long")
+
+
+def cross_links(ids: np.ndarray, comps: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Links of sets of at least this similarity that join all classes which such links join; members of one comp are one class.
+
+    A member is compared with all others by the postings of its elements. Those with the commonest elements go first, as
+    they have the most likes; then all outside the then largest class, for each two classes have one that is outside.
+    """
+    order = np.argsort(ids)
+    ids, comps, sets = ids[order], comps[order], [np.asarray(sets[k], dtype=np.int64) for k in order]
+    label = np.unique(comps, return_inverse=True)[1]
+    sizes = np.array([len(s) for s in sets])
+    _, element = np.unique(np.concatenate(sets), return_inverse=True)
+    holder = np.repeat(np.arange(len(sets)), sizes)
+    ends = np.cumsum(sizes)
+    by_element = np.argsort(element, kind="stable")
+    holders, often = holder[by_element], np.bincount(element)
+    begin = np.cumsum(often) - often
+    out: list[tuple[int, int]] = []
+
+    def compare(k: int) -> None:
+        mine = element[ends[k] - sizes[k] : ends[k]]
+        n, starts = often[mine], begin[mine]
+        place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(starts, n)
+        both = np.bincount(holders[place], minlength=len(sets))
+        like = np.flatnonzero((both >= similarity * (sizes + sizes[k] - both)) & (label != label[k]))
+        for j in like:
+            if label[j] != label[k]:
+                out.append((int(ids[k]), int(ids[j])))
+                label[label == label[j]] = label[k]
+
+    central = np.bincount(holder, often[element], minlength=len(sets)) / np.maximum(sizes, 1)
+    first = np.argsort(-central, kind="stable")[:8]
+    for k in first:
+        compare(k)
+    rest = np.flatnonzero(label != np.bincount(label).argmax())
+    for k in np.setdiff1d(rest, first):
+        if (label == label[0]).all():
+            break
+        compare(k)
+    return out
