@@ -303,6 +303,13 @@ def test_secret_spans(spark, awkward, empty):
     assert secrets.scanned(empty).count() == 0
 
 
+def test_secret_values_of_any_letters_are_costed(spark):
+    values = ["Tr0ub4dor&3zebra", "Xk9#mq2$vz7p", "qzxvkjwmplrtbgd", "918273640518273946"]
+    text = " and ".join(f"{name} {v}" for name, v in zip(("pwd:", "login:", "bearer:", "password is"), values, strict=True)) + " or pwd: dragon, pwd: dragons"
+    [row] = secrets.scanned(frame(spark, [(1, text), (2, "dragon dragons " * 9)]), most_words=2).filter("doc_id = 1").collect()
+    assert [text[s.start : s.end] for s in row.secrets] == values
+
+
 def test_secret_bases_are_the_patterns(spark, texts):
     import re
 

@@ -108,10 +108,7 @@ def base_spans(text: str, lower: str) -> list[tuple[str, int, int]]:
 
 
 def guessed_spans(text: str, lower: str, base: list[tuple[str, int, int]], ranks: dict[str, int], least: float) -> list[tuple[str, int, int, float]]:
-    """Values in credential contexts that no base span covers and that take 10**least guesses or more.
-
-    Values of letters of one case only are words of a language we may not know, not passwords, and don't count.
-    """
+    """Values in credential contexts that no base span covers and that take 10**least guesses or more, whatever their letters."""
     out = []
     if not any(x in lower for x in NAMES):
         return out
@@ -119,12 +116,9 @@ def guessed_spans(text: str, lower: str, base: list[tuple[str, int, int]], ranks
         start, end = m.span(1)
         while end > start and text[end - 1] in ".,;:!?)]}*#":
             end -= 1
-        value = text[start:end]
-        classes = sum(any(f(c) for c in value) for f in (str.islower, str.isupper, str.isdigit, lambda c: not c.isalnum()))
-        capital = value[:1].isupper() and value[1:].islower()
-        if end - start < 6 or classes < 2 or capital or any(s < end and start < e for _, s, e in base):
+        if end - start < 6 or any(s < end and start < e for _, s, e in base):
             continue
-        cost, _ = guess_cost(value, ranks)
+        cost, _ = guess_cost(text[start:end], ranks)
         if cost >= least:
             out.append(("guess", start, end, cost))
     return out
