@@ -278,6 +278,20 @@ def test_decontamination(spark, awkward, empty):
     assert decontam.contaminated(awkward, bench.limit(0)).count() == 0
 
 
+def test_decontamination_finds_items_that_share_their_words(spark):
+    rng = np.random.default_rng(5)
+    words = lambda n: [f"w{x}" for x in rng.integers(0, 3000, n)]
+    one, passage, template = words(40), words(30), words(12)
+    questions = [words(10) for _ in range(5)]
+    items = [(k, " ".join(one)) for k in range(5)] + [(10 + k, " ".join(passage + q)) for k, q in enumerate(questions)] + [(20 + k, " ".join(template)) for k in range(2)] + [(22, " ".join(template + words(20))), (23, " ".join(template + words(20)))]
+    items += [(30, " ".join(one)), (30, " ".join(words(40)))]
+    rows = [(1, " ".join(words(50) + one + words(50))), (2, " ".join(words(50) + passage + words(50))), (3, " ".join(words(20) + template + words(20))), (4, " ".join(words(200)))]
+    found = decontam.contaminated(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string"))
+    got = {(r.id, r.item): r.score for r in found.collect()}
+    assert set(got) == {(1, k) for k in (0, 1, 2, 3, 4, 30)} | {(2, 10 + k) for k in range(5)} | {(3, 20), (3, 21)}
+    assert got[1, 0] == got[1, 30] == got[3, 20] == 1.0 and got[2, 10] == pytest.approx(0.75)
+
+
 # secrets
 
 

@@ -1,4 +1,4 @@
-"""Benchmark decontamination: rare n-gram seeds join training passages to test items, Smith-Waterman scores the alignment."""
+"""Benchmark decontamination: n-gram seeds join training passages to test items, Smith-Waterman scores the alignment."""
 
 from __future__ import annotations
 
@@ -63,8 +63,8 @@ def smith_waterman(a: np.ndarray, b: np.ndarray, match: float = 1.0, mismatch: f
     return best
 
 
-def seeds_of(items: DataFrame, n: int, max_items: int) -> DataFrame:
-    """(gram, item, item_at): the n-grams that stand in at most max_items items."""
+def seeds_of(items: DataFrame, n: int) -> DataFrame:
+    """(gram, item, item_at): all n-grams of the items, however many items share one."""
 
     def grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -72,27 +72,27 @@ def seeds_of(items: DataFrame, n: int, max_items: int) -> DataFrame:
                 g = gram_hashes(word_numbers(tokens(text)), n)
                 yield pd.DataFrame({"gram": g.view(np.int64), "item": i, "item_at": np.arange(len(g))})
 
-    found = items.mapInPandas(grams, "gram long, item long, item_at long")
-    rare = found.groupBy("gram").agg(F.count_distinct("item").alias("in_items")).filter(F.col("in_items") <= max_items)
-    return found.join(rare.select("gram"), "gram", "left_semi")
+    return items.mapInPandas(grams, "gram long, item long, item_at long")
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = 3, max_items: int = 3, min_score: float = 0.5, min_words: int = 5) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = 3, min_score: float = 0.5, min_words: int = 5) -> DataFrame:
     """(id, item, score, begin, end, n_seeds): a row for each document and test item whose words it repeats, edited or not.
 
-    Words are runs of letters and digits in lower case. Seeds are n-grams that few items share: rare is judged among the
-    items, since what leaked often is common in the corpus for that very reason. A scan of the documents keeps the places
-    whose n-gram is in a filter of fixed size and joins them to the seeds exactly; a pair of document and item with two
-    seed hits close to one diagonal, or one hit where the item has few seeds, is a candidate. Around its hits, whole
+    Words are runs of letters and digits in lower case. Seeds are all n-grams of the items, since an item, or the
+    passage that leaked of it, may have no words of its own; equal item texts are looked for once and returned under each
+    id. A scan of the documents keeps the places whose n-gram is in a filter of fixed size and joins them to the seeds
+    exactly; a pair of document and item with two seed hits, or one where the item has few seeds, is a candidate. Around its hits, whole
     passages are aligned with the whole item (match 1, mismatch and gap -0.5); score is the best local alignment over the
     item's words. Pairs of at least min_score are returned; begin and end are word places in the document.
 
     Null and empty texts and items match nothing, nor do items of under min_words words. Repeated documents, or ids, are
     scored row by row and returned once. Rows without an id are ignored.
     """
-    items = benchmark.select(F.col(f"`{item_col}`").cast("long").alias("item"), F.col(f"`{item_text_col}`").alias("item_text")).filter("item IS NOT NULL AND item_text IS NOT NULL").distinct()
-    items = written(items, "items")
-    seeds = written(seeds_of(items, n, max_items), "seeds")
+    named = benchmark.select(F.col(f"`{item_col}`").cast("long").alias("named"), F.col(f"`{item_text_col}`").alias("item_text")).filter("named IS NOT NULL AND item_text IS NOT NULL").distinct()
+    named = written(named, "items")
+    items = written(named.select("item_text").distinct().withColumn("item", F.monotonically_increasing_id()), "item-texts")
+    ids = written(named.join(items, "item_text").select("item", "named"), "item-ids")
+    seeds = written(seeds_of(items, n), "seeds")
     bits = seeds.select(F.pmod("gram", F.lit(FILTER_BITS)).cast("int").alias("bit")).distinct().toPandas()["bit"].to_numpy(np.int64)
     mask = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
     np.bitwise_or.at(mask, bits >> 3, (1 << (bits & 7)).astype(np.uint8))
@@ -119,11 +119,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     seen = written(seen, "candidates")
     often = seen.groupBy("item").agg(F.count("*").alias("n")).join(items, "item")
     passages = join_counted(seen, often, ["item"], "n").join(base, "id")
-    scored = passages.withColumn("m", _aligner(min_words)("text", "item_text", "low", "high")).select("id", "item", "n_seeds", "m.*").filter(F.col("score") >= min_score)
+    scored = passages.withColumn("m", _aligner(min_words, min_score)("text", "item_text", "low", "high")).select("id", "item", "n_seeds", "m.*").filter(F.col("score") >= min_score)
+    scored = scored.join(bounded_broadcast(ids), "item").withColumn("item", F.col("named")).drop("named")
     return scored.groupBy("id", "item").agg(F.max_by(F.struct("score", "begin", "end", "n_seeds"), F.struct("score", "begin")).alias("m")).select("id", "item", "m.*")
 
 
-def _aligner(min_words: int):
+def _aligner(min_words: int, min_score: float):
     @pandas_udf("score double, begin long, end long")
     def align(texts: pd.Series, items: pd.Series, low: pd.Series, high: pd.Series) -> pd.DataFrame:
         rows = []
@@ -134,7 +135,11 @@ def _aligner(min_words: int):
                 continue
             spare = 8 + len(wanted) // 2
             first, last = max(0, a - spare), min(len(words), b + len(wanted) + spare)
-            score, begin, end = smith_waterman(wanted, word_numbers(words[first:last]))
+            given = word_numbers(words[first:last])
+            if np.isin(wanted, given).sum() < min_score * len(wanted):  # no alignment has more matches than this
+                rows.append((0.0, 0, 0))
+                continue
+            score, begin, end = smith_waterman(wanted, given)
             rows.append((score / len(wanted), first + begin, first + end))
         return pd.DataFrame(rows, columns=["score", "begin", "end"])
 
