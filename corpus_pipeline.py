@@ -10,15 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trialspark.llm import decontam, line_dedup, packing, quality, simhash
-from trialspark.llm.common import bounded_broadcast, table, written
+from trialspark.llm.common import bounded_broadcast, join_counted, table, written
 
 #: A document stays if its chance of good quality is at least this.
 KEEP_SCORE = 0.7
 
 
-def _without(docs: DataFrame, lost: DataFrame) -> DataFrame:
-    """docs without the ids of lost; rows without an id stay."""
-    return docs.join(bounded_broadcast(lost), "doc_id", "left_anti").select(*docs.columns)
+def _without(docs: DataFrame, lost: DataFrame, key: str = "doc_id") -> DataFrame:
+    """docs without the keys of lost; rows without a key stay."""
+    return docs.join(bounded_broadcast(lost), key, "left_anti").select(*docs.columns)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,12 +36,18 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of copies and near-copies (five words, 0.8 or more)."""
-    found = written(simhash.near_duplicates(docs), "near")
-    lost = found.filter("id <> component").select(F.col("id").alias("doc_id")).distinct()
-    out = _without(docs, lost)
-    repeated = found.groupBy("id").count().filter("count > 1").limit(1).count()
-    return out.dropDuplicates(["doc_id"]) if repeated else out
+    """One document, that of the smallest id, of each group of copies and near-copies (five words, 0.8 or more).
+
+    Rows are told apart by a number of their own: those without an id, or of one id, are compared like any others. A row
+    without an id is kept only where its group has none with one.
+    """
+    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "near-rows")
+    found = simhash.near_duplicates(rows, "_row").withColumnRenamed("id", "_row").join(rows.select("_row", "doc_id"), "_row")
+    found = written(found, "near")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")
+    kept = found.groupBy("component").agg(F.min(order).alias("kept"), F.count("*").alias("n")).filter("n > 1")
+    lost = join_counted(found, written(kept, "near-kept"), ["component"], "n").filter("_row <> kept._row").select("_row")
+    return _without(rows, lost, "_row").select(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -51,6 +51,14 @@ def test_near_stage_keeps_one_of_a_group(spark, planted):
     assert twice.filter("doc_id = 4").count() == 1
 
 
+def test_near_stage_tells_rows_apart_without_ids(spark, planted):
+    words = lambda seed: " ".join(f"word{x}" for x in np.random.default_rng(seed).integers(0, 5000, 60))
+    rows = [(50, words(1)), (50, words(2)), (50, words(1)), (None, words(3)), (None, words(4)), (None, words(4)), (None, words(5)), (60, words(5))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], planted.schema)
+    kept = cp.near_stage(spark, docs, SF).collect()
+    assert sorted((str(r.doc_id), r.text) for r in kept) == sorted((str(i), t) for i, t in [rows[0], rows[1], rows[3], rows[4], rows[7]])
+
+
 def test_decontamination_stage_drops_leaks_alone(spark, planted):
     assert {r.doc_id for r in cp.decontamination_stage(spark, planted, SF).collect()} == {1, 2, 3, 4, 6, 7, None, 4000}
 
