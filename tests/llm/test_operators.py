@@ -419,6 +419,14 @@ def test_quotation_linking(spark):
     assert quotes.conversations(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_quotes_link_past_a_least_holder_of_their_own_conversation(spark):
+    line = "The old bridge is closed until spring."
+    said = [(3, 2, "a", f"> {line}\nWho says so?"), (3, 5, "b", line), (8, 0, "c", line), (9, 1, "d", line), (9, 4, "e", f"> {line}\nYes."), (10, 0, "f", f"> {line}\n\n{line}")]
+    out = quotes.conversations(spark.createDataFrame(said, "conv_id long, turn long, role string, text string")).collect()
+    got = {(r.conv, r.turn): (r.from_conv, r.from_turn) for r in out if r.n_quoted}
+    assert got == {(3, 2): (8, 0), (9, 4): (9, 1), (10, 0): (3, 5)}
+
+
 def test_ranks_span_ranges(spark):
     df = spark.createDataFrame([(k % 2, (k * 7919) % 1000) for k in range(1000)], "g int, v int")
     got = quotes.ranked(df, ["g"], ["v"], "position").collect()

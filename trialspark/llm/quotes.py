@@ -112,8 +112,13 @@ def links(messages: DataFrame, min_chars: int = 10) -> DataFrame:
     here = own.groupBy("conv", *key).agg(F.min("turn").alias("from_turn")).join(quoted.groupBy("conv", *key).agg(F.count("*").alias("n")), ["conv", *key])
     near = join_counted(quoted, written(here, "origins-here"), ["conv", *key], "n").filter("from_turn < turn")
     near = near.select("conv", "turn", "level", "place", *key, F.col("conv").alias("from_conv"), "from_turn")
-    anywhere = own.groupBy(*key).agg(F.min(F.struct("conv", "turn")).alias("o")).join(many, key)
-    far = join_counted(quoted, written(anywhere, "origins"), key, "n").filter("o.conv <> conv")
+    firsts = own.groupBy("conv", *key).agg(F.min("turn").alias("turn"))
+    firsts = written(firsts.join(many.select(*key), key, "left_semi"), "first-holders")
+    anywhere = written(firsts.groupBy(*key).agg(F.min(F.struct("conv", "turn")).alias("o"), F.count("*").alias("holders")), "origins-least")
+    others = join_counted(firsts, anywhere, key, "holders").filter("conv <> o.conv").groupBy(*key).agg(F.min(F.struct("conv", "turn")).alias("other"))
+    origins = anywhere.join(others, key, "left").join(many, key).select(*key, "o", "other", "n")
+    far = join_counted(quoted, written(origins, "origins"), key, "n")
+    far = far.withColumn("o", F.when(F.col("o.conv") == F.col("conv"), F.col("other")).otherwise(F.col("o"))).filter("o IS NOT NULL")
     far = far.select("conv", "turn", "level", "place", *key, F.col("o.conv").alias("from_conv"), F.col("o.turn").alias("from_turn"))
     votes = near.withColumn("kind", F.lit(0)).unionByName(far.withColumn("kind", F.lit(1)))
     run = ["conv", "turn", "level", "place"]
