@@ -1,13 +1,16 @@
 """Homomorphic multiset hash: wide vectors hashed from paragraphs, summed modulo powers of two. DataFrame functions only.
 
-A text is the multiset of its paragraphs (its lines). A paragraph's vector has two parts:
+A text is the multiset of its paragraphs (its lines). A paragraph's vector has three parts, all of longs:
 
-* identity: four 64-bit hashes of the whole paragraph, summed modulo 2**64. Equal multisets have equal sums, in any order
-  of paragraphs; unequal ones differ but for chance, unless someone builds a collision on purpose.
-* likeness: a paragraph's words, each with the word before it in the paragraph, fall by hash into LANES lanes and add +1 or
-  -1 there, modulo 2**32. Sums of signs keep angles: the cosine of two such vectors estimates that of the texts' word pairs.
+* identity: IDENTITY 64-bit hashes of the whole paragraph, summed modulo 2**64. Equal multisets have equal sums, in any
+  order of paragraphs; unequal ones differ but for chance, unless someone builds a collision on purpose.
+* a count of the paragraph's phrases, summed modulo 2**64. A phrase ends where white space follows a word that ends in one
+  of a few letters or signs, two or three words on average, so that an edit changes the phrases beside it alone.
+* likeness: LANES counts modulo 2**32, two to a long: lane k counts the phrases whose hash has bit k set. Twice a count less
+  the number of phrases is a sum of signs, and sums of signs keep angles: the cosine of two texts' sums estimates that of
+  their phrase counts.
 
-A sum of vectors is a vector: inserting or deleting a paragraph adds or subtracts its own (added, removed).
+A sum of vectors is a vector: inserting or deleting paragraphs adds or subtracts their own (added, removed).
 """
 
 from __future__ import annotations
@@ -17,103 +20,115 @@ from pyspark.sql import functions as F
 
 from trialspark.llm.common import written
 
+#: Longs of a vector: identity sums, one count of phrases, and LANES // 2 pairs of lanes.
 IDENTITY, LANES = 4, 128
+WIDTH = IDENTITY + 1 + LANES // 2
 LOW = 0xFFFFFFFF
-BLANKS = "[\\x20\\x09-\\x0D]+"
+#: Two lanes of a long, 32 bits apart.
+PAIR = 1 << 32 | 1
+PHRASE_END = "(?<=[eimsyEIMSY.,;:!?])[\\x20\\x09-\\x0D]+"
 
 
-def _join_halves(high: Column, low: Column) -> Column:
+def _low(x: Column) -> Column:
+    return x.bitwiseAND(F.lit(LOW))
+
+
+def _high(x: Column) -> Column:
+    return F.shiftrightunsigned(x, 32)
+
+
+def _whole(high: Column, low: Column) -> Column:
     """high * 2**32 + low modulo 2**64, for non-negative sums of 32-bit halves, without an overflow check."""
-    carried = (high + F.shiftrightunsigned(low, 32)).bitwiseAND(F.lit(LOW))
-    return F.shiftleft(carried, 32).bitwiseOR(low.bitwiseAND(F.lit(LOW)))
+    return F.shiftleft(_low(high + _high(low)), 32).bitwiseOR(_low(low))
 
 
-def _plus64(a: Column, b: Column) -> Column:
-    half = lambda f: f(a) + f(b)
-    return _join_halves(half(lambda x: F.shiftrightunsigned(x, 32)), half(lambda x: x.bitwiseAND(F.lit(LOW))))
+def _plus(a: Column, b: Column, k: Column) -> Column:
+    """Place k of two vectors added: with a carry between the halves of a long, but for pairs of lanes."""
+    high, low = _high(a) + _high(b), _low(a) + _low(b)
+    return F.when(k <= IDENTITY, _whole(high, low)).otherwise(F.shiftleft(_low(high), 32).bitwiseOR(_low(low)))
 
 
-def _mod32(x: Column) -> Column:
-    """A long modulo 2**32, as a signed int."""
-    return F.shiftright(F.shiftleft(x, 32), 32).cast("int")
+def _by_place(a: Column, b: Column, f) -> Column:
+    return F.transform(F.arrays_zip(a.alias("x"), b.alias("y")), lambda p, k: f(p["x"], p["y"], k))
 
 
-def identity_of(text: Column) -> Column:
-    """array<long>: the identity part of a text's vector; a null text is an empty one, a single empty paragraph."""
-    lines = F.split(F.coalesce(text, F.lit("")), "\n", -1)
+def added(a: Column, b: Column) -> Column:
+    """The vector after b's paragraphs are inserted into a."""
+    return _by_place(a, b, _plus)
 
-    def total(k: int) -> Column:
-        halves = lambda h: (F.shiftrightunsigned(h, 32), h.bitwiseAND(F.lit(LOW)))
-        zero = F.struct(F.lit(0).cast("long").alias("h"), F.lit(0).cast("long").alias("l"))
 
-        def add(a: Column, x: Column) -> Column:
-            high, low = halves(F.xxhash64(F.lit(k), x))
-            return F.struct((a["h"] + high).alias("h"), (a["l"] + low).alias("l"))
+def removed(a: Column, b: Column) -> Column:
+    """The vector after b's paragraphs are deleted from a."""
 
-        return F.aggregate(lines, zero, add, lambda a: _join_halves(a["h"], a["l"]))
+    def minus(x: Column, y: Column, k: Column) -> Column:
+        high, low = _high(F.bitwise_not(y)), _low(F.bitwise_not(y)) + 1
+        negative = F.when(k <= IDENTITY, _whole(high, low)).otherwise(F.shiftleft(_low(high + 1), 32).bitwiseOR(_low(low)))
+        return _plus(x, negative, k)
 
-    return F.array(*[total(k) for k in range(IDENTITY)])
+    return _by_place(a, b, minus)
 
 
-def with_likeness(texts: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """(key, c for each text column c: array<int>): the likeness parts of each row's texts, summed over rows of a key.
+def summed(parts: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """keys and v0, v1, ...: the vectors of all texts of a key added up, each place a column (the identity's two halves apart).
 
-    If texts is already partitioned by key, nothing is shuffled: words are counted where the text is.
+    Texts are exploded to paragraphs and phrases, which are counted where they are: if parts is partitioned by a key,
+    nothing is shuffled. A null text is an empty one, a single empty paragraph.
     """
-    tagged = F.explode(F.array(*[F.struct(F.lit(k).alias("which"), F.coalesce(F.col(c), F.lit("")).alias("t")) for k, c in enumerate(columns)]))
-    lines = texts.select(key, tagged.alias("x")).select(key, "x.which", F.explode(F.split("x.t", "\n", -1)).alias("line"))
-    words = lines.select(key, "which", F.split("line", BLANKS).alias("w"))
-    first = F.concat(F.array(F.lit("")), F.col("w"))
-    pairs = words.select(key, "which", F.explode(F.arrays_zip(F.col("w").alias("b"), first.alias("a"))).alias("p")).filter("p.b IS NOT NULL")
-    hashed = pairs.select(key, "which", F.xxhash64("p.a", "p.b").alias("h"))
-    sign = F.col("h").bitwiseAND(F.lit(1)) * 2 - 1
-    sums = [F.sum(F.when(F.col("which") == k, sign).otherwise(F.lit(0).cast("long"))).alias(c) for k, c in enumerate(columns)]
-    lanes = hashed.groupBy(key, F.shiftrightunsigned("h", 57).cast("int").alias("lane")).agg(*sums)
-    found = lanes.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("lane", *[_mod32(F.col(c)).alias(c) for c in columns]))).alias("v"))
+    lines = parts.select(*keys, F.explode(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)).alias("_line"))
+    hashes = [F.xxhash64(F.lit(k), "_line").alias(f"_i{k}") for k in range(IDENTITY)]
+    phrases = lines.select(*keys, *hashes, F.posexplode(F.split("_line", PHRASE_END, -1)).alias("_at", "_phrase"))
+    phrases = phrases.select(*keys, "_at", *[f"_i{k}" for k in range(IDENTITY)], *[F.xxhash64(F.lit(k), "_phrase").alias(f"_p{k}") for k in range(LANES // 64)])
+    once = lambda x: F.sum(F.when(F.col("_at") == 0, x).otherwise(F.lit(0).cast("long")))
+    sums = [once(_high(F.col(f"_i{k}"))).alias(f"h{k}") for k in range(IDENTITY)] + [once(_low(F.col(f"_i{k}"))).alias(f"v{k}") for k in range(IDENTITY)]
+    sums.append(F.count("*").alias(f"v{IDENTITY}"))
+    for k in range(LANES // 2):
+        bits = F.shiftrightunsigned(F.col(f"_p{k // 32}"), k % 32).bitwiseAND(F.lit(PAIR))
+        sums.append(F.sum(bits).alias(f"v{IDENTITY + 1 + k}"))
+    return phrases.groupBy(*keys).agg(*sums)
 
-    def dense(c: str) -> Column:
-        by_lane = F.map_from_entries(F.transform("v", lambda x: F.struct(x["lane"], x[c])))
-        filled = F.transform(F.sequence(F.lit(0), F.lit(LANES - 1)), lambda k: F.coalesce(F.element_at(by_lane, k), F.lit(0)))
-        return F.when(F.size("v") == LANES, F.transform("v", lambda x: x[c])).otherwise(filled)
 
-    return found.select(key, *[dense(c).alias(c) for c in columns])
+PLACES = [f"h{k}" for k in range(IDENTITY)] + [f"v{k}" for k in range(WIDTH)]
 
 
-def fingerprint_string(identity: Column, likeness: Column) -> Column:
-    """Hexadecimal, 16 digits for each long and 8 for each int."""
-    text = lambda a, n: F.array_join(F.transform(a, lambda x: F.right(F.lpad(F.hex(x.cast("long")), 16, "0"), F.lit(n))), "")
-    return F.lower(F.concat(text(identity, 16), text(likeness, 8)))
+def as_vector(place) -> Column:
+    """array<long>: a vector from the columns that summed() gives, each looked up by its name."""
+    return F.array(*[_whole(place(f"h{k}"), place(f"v{k}")) if k < IDENTITY else place(f"v{k}") for k in range(WIDTH)])
 
 
-def likeness(a: Column, b: Column, same: Column) -> Column:
-    """Cosine of two likeness parts, not under 0; 1 where the fingerprints are the same."""
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q), F.lit(0.0), lambda s, z: s + z)
-    size = F.sqrt(dot(a, a) * dot(b, b))
-    return F.when(same, F.lit(1.0)).when(size == 0, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), dot(a, b) / size)))
+def fingerprint_string(vector: Column) -> Column:
+    """Hexadecimal, 16 digits for each long."""
+    return F.lower(F.array_join(F.transform(vector, lambda x: F.lpad(F.hex(x), 16, "0")), ""))
 
 
-def added(a: Column, b: Column) -> Column:
-    """The identity part after b's paragraphs are inserted into a."""
-    return F.zip_with(a, b, _plus64)
+def signs(vector: Column) -> Column:
+    """array<double>: the sums of signs of the lanes, the upper lane of each long before the lower one."""
+    pairs = F.slice(vector, IDENTITY + 2, LANES // 2)
+    counts = F.flatten(F.transform(pairs, lambda p: F.array(F.shiftright(p, 32), F.shiftright(F.shiftleft(p, 32), 32))))
+    return F.transform(counts, lambda c: 2.0 * c - F.element_at(vector, IDENTITY + 1))
 
 
-def removed(a: Column, b: Column) -> Column:
-    """The identity part after b's paragraphs are deleted from a: adds the two's complement of each lane."""
-    one = F.lit(1).cast("long")
-    return F.zip_with(a, b, lambda x, y: _plus64(x, _plus64(F.bitwise_not(y), one)))
+def dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+
+
+def cosine(ab: Column, aa: Column, bb: Column) -> Column:
+    """The cosine by these dot products, not under 0, and 0 where one vector is."""
+    return F.when((aa == 0) | (bb == 0), F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), ab / F.sqrt(aa * bb))))
+
+
+def likeness(a: Column, b: Column) -> Column:
+    """Cosine of the sums of signs of two vectors, not under 0; 1 where the vectors are the same."""
+    x, y = signs(a), signs(b)
+    return F.when(a == b, F.lit(1.0)).otherwise(cosine(dot(x, y), dot(x, x), dot(y, y)))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, identity, likeness, fingerprint) of each id's text; rows that share an id are added up, rows without one left out.
+    """(id, vector, fingerprint) of each id's text; rows that share an id are added up, rows without one left out.
 
-    Null and empty texts are one empty paragraph. Very long texts are exploded by line and word, never held as vectors.
+    Null and empty texts are one empty paragraph. Very long texts are exploded by paragraph and phrase, never held as vectors.
     """
     base = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("t")).filter("id IS NOT NULL")
-    ident = base.select("id", F.posexplode(identity_of(F.col("t"))).alias("k", "h"))
-    ident = ident.groupBy("id", "k").agg(F.sum(F.shiftrightunsigned("h", 32)).alias("hi"), F.sum(F.col("h").bitwiseAND(F.lit(LOW))).alias("lo"))
-    ident = ident.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("k", _join_halves(F.col("hi"), F.col("lo")).alias("h")))).alias("v"))
-    both = ident.select("id", F.transform("v", lambda x: x["h"]).alias("identity")).join(with_likeness(base, "id", ["t"]), "id")
-    return both.select("id", "identity", F.col("t").alias("likeness"), fingerprint_string(F.col("identity"), F.col("t")).alias("fingerprint"))
+    return summed(base, ["id"], "t").select("id", as_vector(F.col).alias("vector")).withColumn("fingerprint", fingerprint_string(F.col("vector")))
 
 
 #: Ids in one slice of the order of documents.
@@ -151,7 +166,8 @@ def edit_study(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     are empty. Where an id repeats, its greatest text stands for it; rows without an id are left out.
 
     Returns (id, n, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next). Texts are shuffled once, by id,
-    and a third of them once more, to the document that takes it.
+    and a third of them once more, to the document that takes it. The paragraphs before the one that the edit cuts are
+    hashed once: their vector is added to that of what follows them in the text, and in the edited text.
     """
     base = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")).filter("id IS NOT NULL")
     sizes = written(base.select("id", F.length("text").alias("n")), "sizes")
@@ -161,21 +177,28 @@ def edit_study(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     chain = written(chained(sizes), "chain")
     whole = base.join(chain.hint("merge"), "id")
     gifts = whole.select(F.col("giver_to").alias("id"), F.expr("left(text, give)").alias("gift"))
-    edited = whole.join(gifts.hint("merge"), "id")
-    edited = edited.select("id", "n", "next_id", "text", F.concat(F.expr("left(text, n - cast(floor(n / 3) AS int))"), "gift").alias("edited"))
-    facts = edited.select("id", "n", "next_id", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), identity_of(F.col("text")).alias("own"), identity_of(F.col("edited")).alias("other"))
-    vectors = with_likeness(edited, "id", ["text", "edited"])
-    rows = written(facts.join(vectors.hint("merge"), "id"), "vectors")
-    after = rows.select(F.col("id").alias("next_id"), F.col("own").alias("next_own"), F.col("text").alias("next_text"))
-    both = rows.join(after, "next_id")
-    same = (F.col("own") == F.col("other")) & (F.col("text") == F.col("edited"))
-    same_next = (F.col("own") == F.col("next_own")) & (F.col("text") == F.col("next_text"))
-    return both.select(
+    kept = F.expr("left(text, n - cast(floor(n / 3) AS int))")
+    edited = whole.join(gifts.hint("merge"), "id").select("id", "n", "next_id", "text", "gift", kept.alias("kept"))
+    edited = edited.select("*", F.sha2(F.concat("kept", "gift").cast("binary"), 256).alias("edited_sha256"), F.substring_index("kept", "\n", -1).alias("cut"))
+    before = F.length("kept") - F.length("cut")
+    parts = [F.when(before > 0, F.expr("left(kept, length(kept) - length(cut) - 1)")), F.expr("substring(text, length(kept) - length(cut) + 1)"), F.concat("cut", "gift")]
+    part = F.explode(F.array(*[F.struct(F.lit(k).alias("which"), p.alias("part")) for k, p in enumerate(parts)]))
+    keys = ["id", "n", "next_id", "edited_sha256"]
+    sums = summed(edited.select(*keys, part.alias("x")).select(*keys, "x.*").filter("part IS NOT NULL"), [*keys, "which"], "part")
+    of = lambda name, but: F.sum(F.when(F.col("which") != but, F.col(name)).otherwise(F.lit(0).cast("long")))
+    sums = sums.groupBy(*keys).agg(*[of(c, 2).alias(f"own_{c}") for c in PLACES], *[of(c, 1).alias(f"other_{c}") for c in PLACES])
+    vectors = sums.select(*keys, *[as_vector(lambda c, x=x: F.col(f"{x}_{c}")).alias(x) for x in ("own", "other")])
+    rows = written(vectors, "vectors")
+    near = rows.join(rows.select(F.col("id").alias("next_id"), F.col("own").alias("next")), "next_id")
+    near = near.withColumns({"x": signs(F.col("own")), "y": signs(F.col("other")), "z": signs(F.col("next"))})
+    near = near.withColumns({a + b: dot(F.col(a), F.col(b)) for a, b in ("xx", "yy", "zz", "xy", "xz")})
+    alike = lambda b, ab, bb: F.when(F.col("own") == F.col(b), F.lit(1.0)).otherwise(cosine(F.col(ab), F.col("xx"), F.col(bb)))
+    return near.select(
         "id",
         F.col("n").cast("long").alias("n"),
         "edited_sha256",
-        fingerprint_string(F.col("own"), F.col("text")).alias("fingerprint"),
-        fingerprint_string(F.col("other"), F.col("edited")).alias("edited_fingerprint"),
-        likeness(F.col("text"), F.col("edited"), same).alias("near_edited"),
-        likeness(F.col("text"), F.col("next_text"), same_next).alias("near_next"),
+        fingerprint_string(F.col("own")).alias("fingerprint"),
+        fingerprint_string(F.col("other")).alias("edited_fingerprint"),
+        alike("other", "xy", "yy").alias("near_edited"),
+        alike("next", "xz", "zz").alias("near_next"),
     )
