@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import re
 import zlib
 
 import duckdb
@@ -325,8 +326,6 @@ def test_secret_values_of_any_letters_are_costed(spark):
 
 
 def test_secret_bases_are_the_patterns(spark, texts):
-    import re
-
     got = {r.doc_id: r for r in queries.op6_secrets(spark, SF).collect()}
     for i, t in texts.items():
         spans = [("assign", *m.span()) for m in secrets.ASSIGN.finditer(t) if len(m[2]) >= 6] + [("access", *m.span()) for m in secrets.ACCESS.finditer(t) if len(m[0]) >= 20] + [("hex", *m.span()) for m in secrets.HEX.finditer(t) if len(m[0]) >= 24]
@@ -338,21 +337,38 @@ def test_secret_bases_are_the_patterns(spark, texts):
 # multiset hash
 
 
+def brute_vector(text):
+    """(identity sums, sums of signs) by a plain loop."""
+    seed = lambda k: xxhash.xxh64_intdigest(k.to_bytes(4, "little"), 42)
+    identity, signs = [0] * 4, np.zeros(128, dtype=int)
+    for line in text.split("\n"):
+        identity = [(v + xxhash.xxh64_intdigest(line.encode(), seed(k))) % 2**64 for k, v in enumerate(identity)]
+        for phrase in re.split(multiset_hash.PHRASE_END, line):
+            h = [xxhash.xxh64_intdigest(phrase.encode(), seed(k)) for k in (0, 1)]
+            signs += [1 if h[k // 32] >> (k % 32 + top) & 1 else -1 for k in range(64) for top in (32, 0)]
+    return identity, signs
+
+
+def brute_likeness(a, b):
+    (i, x), (j, y) = brute_vector(a), brute_vector(b)
+    same, size = i == j and (x == y).all(), math.sqrt(int(x @ x) * int(y @ y))
+    return 1.0 if same else min(1.0, max(0.0, float(x @ y) / size)) if size else 0.0
+
+
 def test_multiset_hash_is_homomorphic(spark):
     rows = [(1, "first paragraph\nsecond one\nthird"), (2, "third\nfirst paragraph\nsecond one"), (3, "third\nfirst paragraph"), (4, "second one"), (5, "third\nthird\nfirst paragraph")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     f = {r.id: r for r in multiset_hash.fingerprints(df).collect()}
     assert f[1].fingerprint == f[2].fingerprint != f[3].fingerprint and f[3].fingerprint != f[5].fingerprint
-    a, b, c = (F.array(*[F.lit(x) for x in f[k].identity]) for k in (3, 4, 1))
-    out = spark.range(1).select(multiset_hash.added(a, b).alias("plus"), multiset_hash.removed(c, b).alias("minus")).first()
-    assert out.plus == f[1].identity and out.minus == f[3].identity
-    lanes = lambda k: np.array(f[k].likeness)
-    assert (lanes(3) + lanes(4) == lanes(1)).all()
+    a, b, c, d = (F.array(*[F.lit(x) for x in f[k].vector]) for k in (3, 4, 1, 5))
+    steps = [multiset_hash.added(a, b), multiset_hash.removed(c, b), multiset_hash.added(multiset_hash.removed(multiset_hash.added(d, c), d), b)]
+    plus, minus, both = spark.range(1).select(*[multiset_hash.fingerprint_string(x) for x in steps]).first()
+    assert plus == f[1].fingerprint and minus == f[3].fingerprint
+    twice = spark.createDataFrame([(1, rows[0][1] + "\nsecond one")], df.schema)
+    assert both == multiset_hash.fingerprints(twice).first().fingerprint
     halves = spark.createDataFrame([(1, "first paragraph\nsecond one"), (1, "third")], "doc_id long, text string")
     assert multiset_hash.fingerprints(halves).first().fingerprint == f[1].fingerprint
-    seed = lambda k: xxhash.xxh64_intdigest(k.to_bytes(4, "little"), 42)
-    want = [sum(xxhash.xxh64_intdigest(p.encode(), seed(k)) for p in rows[0][1].split("\n")) % 2**64 for k in range(4)]
-    assert [x % 2**64 for x in f[1].identity] == want
+    assert [x % 2**64 for x in f[1].vector[:4]] == brute_vector(rows[0][1])[0]
 
 
 def brute_edit(rows):
@@ -375,9 +391,12 @@ def test_edit_study(spark, awkward, empty, texts, monkeypatch):
         got = {r.id: r for r in multiset_hash.edit_study(df).collect()}
         want = brute_edit(rows)
         assert set(got) == set(want)
-        for i, (n, edited, _) in want.items():
+        for i, (n, edited, nxt) in want.items():
             assert (got[i].n, got[i].edited_sha256) == (n, hashlib.sha256(edited.encode()).hexdigest())
-            assert 0 <= got[i].near_edited <= 1 and (got[i].fingerprint == got[i].edited_fingerprint) == (edited == best_text(rows, i)) or i in (2, 3)
+            assert (got[i].fingerprint == got[i].edited_fingerprint) == (brute_vector(edited)[0] == brute_vector(best_text(rows, i))[0])
+            if n < 5000:
+                assert got[i].near_edited == pytest.approx(brute_likeness(best_text(rows, i), edited), abs=1e-9)
+                assert got[i].near_next == pytest.approx(brute_likeness(best_text(rows, i), nxt), abs=1e-9)
     wide = [got for got in multiset_hash.edit_study(spark.read.parquet(f"{SF}/documents.parquet")).collect() if got.n > 500]
     assert np.mean([r.near_edited for r in wide]) > 0.5 > 0.3 > np.mean([r.near_next for r in wide])
     assert multiset_hash.edit_study(empty).count() == 0
@@ -482,14 +501,135 @@ def test_compaction_query(spark, texts):
 # language model
 
 
-def test_reseat_keeps_bounds():
-    rng = np.random.default_rng(0)
-    count = np.array([1, 2, 5, 60, 500, 100_000])
-    t, w = pitman_yor.reseat(count, np.full(6, 0.01), np.full(6, 3), 0.5, 0.7, rng)
-    assert (t >= 1).all() and (t <= count).all() and np.isfinite(w).all()
-    mean = np.mean([pitman_yor.reseat(np.array([2]), np.array([0.2]), np.array([0]), 0.5, 0.5, rng)[0][0] for _ in range(4000)])
-    new = (0.5 + 0.5) * 0.2
-    assert mean == pytest.approx(1 + new / (new + 1 - 0.5), abs=0.03)
+def brute_tables(c, a, d):
+    """Chances of 1..c tables by summing over all seatings: each new table a, each seat at a table of n customers n - d."""
+    ways = {(1,): a}
+    for _ in range(c - 1):
+        nxt = collections.Counter()
+        for seats, w in ways.items():
+            nxt[(*seats, 1)] += w * a
+            for k, n in enumerate(seats):
+                nxt[(*seats[:k], n + 1, *seats[k + 1 :])] += w * (n - d)
+        ways = nxt
+    total = [sum(w for seats, w in ways.items() if len(seats) == t) for t in range(1, c + 1)]
+    return np.array(total) / sum(total)
+
+
+def test_tables_are_drawn_by_their_chances():
+    rng, d = np.random.default_rng(0), 0.6
+    stirling = pitman_yor.log_stirling(12, d)
+    for c, a in ((2, 0.3), (5, 1.5), (7, 0.05)):
+        want = brute_tables(c, a, d)
+        weight = np.exp(stirling[c, 1 : c + 1]) * a ** np.arange(1, c + 1)
+        assert weight / weight.sum() == pytest.approx(want)
+        t = pitman_yor.draw_tables(np.full(20_000, c), np.full(20_000, a), stirling, rng)
+        assert np.bincount(t, minlength=c + 1)[1:] / len(t) == pytest.approx(want, abs=0.015)
+
+
+def test_large_dishes_are_sampled_like_small_ones(monkeypatch):
+    """Metropolis-Hastings over seatings has the chances of the exact draw."""
+    count, base, d = np.full(3000, 30), np.full(3000, 0.02), 0.6
+    x = lambda t: np.full(len(t), 40.0)
+    exact = pitman_yor.gibbs(count, base, d, x, 1, np.random.default_rng(1))
+    monkeypatch.setattr(pitman_yor, "EXACT", 4)
+    walked = pitman_yor.gibbs(count, base, d, x, 60, np.random.default_rng(2))
+    assert walked.mean() == pytest.approx(exact.mean(), rel=0.04) and walked.std() == pytest.approx(exact.std(), rel=0.1)
+    huge = pitman_yor.gibbs(np.array([200_000, 5]), np.array([0.01, 0.01]), d, x, 2, np.random.default_rng(3))
+    assert 1 <= huge[0] <= 200_000
+
+
+def test_probabilities_sum_to_one():
+    """Over all words and one unknown, in the parent and in a restaurant below it."""
+    parent = pitman_yor.Parent(4, 100, 12.0, 6.0, 0.5, 0.4)
+    above = parent.probability(np.array([5.0, 4, 2, 1, 0]), np.array([2.0, 2, 1, 1, 0]), 10.0)
+    assert above.sum() == pytest.approx(1)
+    count, tables = np.array([6, 2, 0, 0, 0]), np.array([3, 1, 0, 0, 0])
+    assert pitman_yor.predictive(count, tables, 8, 4, above, 0.5, 0.5).sum() == pytest.approx(1)
+    assert pitman_yor.predictive(count * 0, tables * 0, 0, 0, above, 0.5, 0.5).sum() == pytest.approx(1)
+
+
+def plain_sampler(train, held, d, d0, strength, strength0, sweeps, burn, seed):
+    """log10 scores of held texts by seating one customer at a time, averaged over sweeps: the model without any shortcut."""
+    rng = np.random.default_rng(seed)
+    pairs = lambda ws: list(zip(["<s>", *ws], [*ws, "</s>"], strict=True))
+    customers = [p for ws in train for p in pairs(ws)]
+    words = {w for _, w in customers}
+    seats = collections.defaultdict(lambda: collections.defaultdict(list))
+
+    def chance(r, w, above, n, t, own):
+        return (own - (d if r else d0) * t(w) + above * ((strength if r else strength0) + (d if r else d0) * n[1])) / ((strength if r else strength0) + n[0])
+
+    def totals(room):
+        return sum(sum(x) for x in room.values()), sum(len(x) for x in room.values())
+
+    def p(context, w):
+        top = seats[None]
+        above = chance(None, w, 1 / (len(words) + 1), totals(top), lambda v: len(top[v]), sum(top[w]))
+        if context is None:
+            return above
+        room = seats[context]
+        return chance(context, w, above, totals(room), lambda v: len(room[v]), sum(room[w]))
+
+    def sit(context, w):
+        room, disc, th = seats[context], d if context is not None else d0, strength if context is not None else strength0
+        new = (th + disc * totals(room)[1]) * (p(None, w) if context is not None else 1 / (len(words) + 1))
+        weight = np.array([x - disc for x in room[w]] + [new])
+        k = rng.choice(len(weight), p=weight / weight.sum())
+        if k == len(room[w]):
+            room[w].append(1)
+            if context is not None:
+                sit(None, w)
+        else:
+            room[w][k] += 1
+
+    def leave(context, w):
+        room = seats[context][w]
+        k = rng.choice(len(room), p=np.array(room) / sum(room))
+        room[k] -= 1
+        if not room[k]:
+            del room[k]
+            if context is not None:
+                leave(None, w)
+
+    for c in customers:
+        sit(*c)
+    sums = np.zeros((len(held), max(len(x) for x in held) + 1))
+    for sweep in range(sweeps):
+        for c in customers:
+            leave(*c)
+            sit(*c)
+        if sweep >= burn:
+            for k, ws in enumerate(held):
+                for j, c in enumerate(pairs(ws)):
+                    sums[k, j] += p(*c)
+    return [sum(math.log10(sums[k, j] / (sweeps - burn)) for j in range(len(ws) + 1)) for k, ws in enumerate(held)]
+
+
+def test_scores_are_those_of_a_plain_sampler(spark):
+    rng = np.random.default_rng(3)
+    word = lambda n: [f"w{x}" for x in np.minimum(rng.zipf(1.6, n), 40)]
+    train, held = [word(12) for _ in range(40)], [word(10) for _ in range(12)] + [["unseen", "w1", "w2"]]
+    rows = [(k, " ".join(ws)) for k, ws in enumerate(train)] + [(100 + k, " ".join(ws)) for k, ws in enumerate(held)]
+    settings = pitman_yor.Settings(sweeps=3, samples=6)
+    out = pitman_yor.scored_documents(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") < 100, settings=settings)
+    got = [r.score for r in out.filter("id >= 100").orderBy("id").collect()]
+    pair = collections.Counter(p for ws in train for p in zip(["<s>", *ws], [*ws, "</s>"], strict=True))
+    kinds = collections.Counter(w for _, w in pair)
+    ones = lambda c: (sum(n == 1 for n in c.values()), sum(n == 2 for n in c.values()))
+    d, d0 = pitman_yor._discount(*ones(pair)), pitman_yor._discount(*ones(kinds))
+    want = plain_sampler(train, held, d, d0, settings.strength, settings.parent_strength, 24, 6, 1)
+    assert sum(got) == pytest.approx(sum(want), rel=0.01)
+    assert got == pytest.approx(want, rel=0.04)
+
+
+def test_scores_do_not_depend_on_how_rows_are_dealt(spark, docs, monkeypatch):
+    monkeypatch.setattr(pitman_yor, "BATCH_TOKENS", 20_000)
+    settings = pitman_yor.Settings(bucket_tokens=30_000)
+    run = lambda df: {r.id: r.score for r in pitman_yor.scored_documents(df, F.col("doc_id") % 5 != 1, settings=settings).collect()}
+    one, two = run(docs), run(docs.repartition(7, "text"))
+    assert one == pytest.approx(two, rel=1e-6) and len(one) == docs.count()
+    whole = {r.id: r.score for r in pitman_yor.scored_documents(docs, F.col("doc_id") % 5 != 1).collect()}
+    assert sum(whole.values()) == pytest.approx(sum(one.values()), rel=0.01)
 
 
 def test_language_model(spark, texts):
@@ -506,18 +646,6 @@ def test_language_model(spark, texts):
     assert h.score.sum() > h.base_score.sum() and (out.score < 0).all()
 
 
-def test_probabilities_sum_to_one(spark):
-    """Over all words and one unknown, after a seen and an unseen context."""
-    train = [(k, "a b a c a b") for k in range(5)]
-    words = ["a", "b", "c", "zzz"]
-    probe = [(100 + k, f"a {w}") for k, w in enumerate(words)] + [(110, "a")] + [(200 + k, f"unseen {w}") for k, w in enumerate(words)] + [(210, "unseen")]
-    df = spark.createDataFrame(train + probe, "doc_id long, text string")
-    s = {r.id: r.score for r in pitman_yor.scored_documents(df, F.col("doc_id") < 100).collect()}
-    solo = {r.id: r.score for r in pitman_yor.scored_documents(df.union(spark.createDataFrame([(300, "a zzz"), (301, "zzz")], "doc_id long, text string")), F.col("doc_id") < 100).collect()}
-    assert s[100] == pytest.approx(solo[100], abs=0.5)
-    assert s[101] > s[103] and all(x < 0 for x in s.values())
-
-
 def test_language_model_awkward(spark, awkward, empty):
     out = pitman_yor.scored_documents(awkward, F.col("doc_id") != 4).collect()
     assert len(out) == len(AWKWARD) and sum(r.id is None for r in out) == 1

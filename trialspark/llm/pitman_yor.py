@@ -3,34 +3,48 @@
 Every context (the word before) is a Chinese restaurant; the word after it is a customer's dish. Tables of all context
 restaurants are the customers of one parent restaurant, whose own base is uniform over the known words and one unknown.
 
-How it runs. Words are 64-bit hashes. One scan of the texts cuts each batch's tokens, sorted by context, into buckets of
-contexts, and writes them as a bucketed table: whatever is learnt or scored in a context happens in its bucket's task, and
-no token is shuffled again. Words live in shards, which hold the parent restaurant. Buckets tell shards how many customers
-(tables) each word has, shards seat them and tell buckets the parent's counts; these messages are packed number arrays.
-A sample is a seating of all restaurants; predictive probabilities are averaged over the samples.
+Seating. Only the number of tables of each dish matters. With x drawn from Gamma(strength / discount + tables, 1), the
+number of tables t of a dish with c customers has a probability in proportion to S(c, t) (discount x base)**t, where S are
+generalised Stirling numbers, whatever the restaurant's other dishes do. So a Gibbs sweep draws x for each restaurant, then
+all dishes at once: by inverse cumulative sums up to EXACT customers; beyond, by seating customers one after another and
+taking the new seating with its Metropolis-Hastings chance. What lies in other tasks (the parent's probabilities) stands as
+it was when a sample began, as in other distributed Gibbs samplers.
+
+How it runs. Words are 64-bit hashes. One scan of the texts reduces each batch to its distinct pairs with their counts,
+dealt by context to buckets; pairs of common contexts are dealt by pair, so that no context fills a bucket. Buckets tell
+shards of words how many customers (tables) each word has; shards seat them and answer the parent's counts. A bucket scores
+its pairs and answers the batches that asked, so that a pair is sent once from a batch, however often the batch holds it.
+Messages are packed number arrays, one for each two parts that have something to tell: never more of them than pairs.
 """
 
 from __future__ import annotations
 
 import math
 import uuid
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialspark.llm.common import scratch, written
+from trialspark.llm.common import least_hashed, scratch, written
 
 #: Hashes of what no word can be: the end of a text, and what stands before its first word.
 END, START = (np.uint64(xxhash.xxh3_64_intdigest(x)) for x in (b" ", b"  "))
-#: Tokens of a batch at most, unless one text has more; documents of a batch at most, as a place takes 15 bits.
-BATCH_TOKENS, BATCH_DOCS = 1_000_000, 32_000
-TRAIN_BIT = 1 << 15
+#: Tokens of a batch at most, unless one text has more.
+BATCH_TOKENS = 2_000_000
+#: Texts from which common words are taken. They only make messages short and say which contexts are dealt by pair.
+SAMPLE_TEXTS, COMMON = 4000, 60_000
+#: Customers up to which a dish's tables are drawn exactly; up to which customers of other dishes are seated one by one,
+#: and beyond which in groups of a 64th of those seated.
+EXACT, ONE_BY_ONE = 100, 1024
+#: A pair's score is told in so many steps of a unit of log10.
+STEPS = 100_000
 MESSAGE = "bucket long, shard long, kind int, body binary"
 
 
@@ -42,7 +56,7 @@ class Settings:
     parent_strength: float = 10.0
     sweeps: int = 2
     samples: int = 2
-    bucket_tokens: int = 2_500_000
+    bucket_tokens: int = 1_500_000
 
 
 def token_hashes(text: str | None) -> np.ndarray:
@@ -59,36 +73,125 @@ def place_of(h: np.ndarray, parts: int) -> np.ndarray:
     return ((h >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
 
 
-def _entries(buckets: int):
-    """(id, train, text) -> (bucket, batch, kind, body): for each batch its documents (kind 1) and its tokens by bucket (kind 0)."""
+def mixed(context: np.ndarray, token: np.ndarray) -> np.ndarray:
+    h = (context ^ (context >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + token * np.uint64(0x9E3779B97F4A7C15)
+    return (h ^ (h >> np.uint64(32))) * np.uint64(0xC2B2AE3D27D4EB4F)
+
+
+def pack(*arrays: np.ndarray, kinds: str) -> bytes:
+    """Arrays as numbers of these kinds, compressed byte by byte of a number; +kind: as differences, for sorted numbers."""
+    raw = b""
+    for a, k in zip(arrays, kinds.split(), strict=True):
+        a = np.asarray(a).astype(f"<{k.lstrip('+')}")
+        a = np.diff(a, prepend=a.dtype.type(0)) if k[0] == "+" else a
+        raw += len(a).to_bytes(8, "little") + a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unpack(body: bytes, kinds: str) -> list[np.ndarray]:
+    raw, at, out = pa.decompress(body[8:], int.from_bytes(body[:8], "little"), codec="zstd", asbytes=True), 0, []
+    for k in kinds.split():
+        n, of = int.from_bytes(raw[at : at + 8], "little"), np.dtype(f"<{k.lstrip('+')}")
+        a = np.frombuffer(raw, dtype=np.uint8, count=n * of.itemsize, offset=at + 8).reshape(of.itemsize, n).T
+        a = np.ascontiguousarray(a).reshape(-1).view(of)
+        out.append(np.cumsum(a, dtype=of) if k[0] == "+" else a)
+        at += 8 + a.nbytes
+    return out
+
+
+@dataclass(frozen=True)
+class Common:
+    """Hashes of common words, sorted; those of them, sorted, whose contexts are dealt by pair."""
+
+    words: np.ndarray
+    hot: np.ndarray
+
+    def codes(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each hash as its place among the common words, or their number and the hash itself in a second array."""
+        if not len(self.words):
+            return np.zeros(len(h), dtype=np.int64), h
+        at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
+        known = self.words[at] == h
+        return np.where(known, at, len(self.words)), h[~known]
+
+    def hashes(self, codes: np.ndarray, rest: np.ndarray) -> np.ndarray:
+        out = np.append(self.words, np.uint64(0))[codes]
+        out[codes == len(self.words)] = rest
+        return out
+
+    def is_hot(self, context: np.ndarray) -> np.ndarray:
+        return self.hot_at(context) >= 0
+
+    def hot_at(self, context: np.ndarray) -> np.ndarray:
+        """Place of each context in hot, or -1."""
+        if not len(self.hot):
+            return np.full(len(context), -1)
+        at = np.minimum(np.searchsorted(self.hot, context), len(self.hot) - 1)
+        return np.where(self.hot[at] == context, at, -1)
+
+
+def common_words(base: DataFrame, buckets: int) -> Common:
+    """Common words of a bounded sample of texts, the least by hash; hot are those with over a quarter of a bucket's tokens."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            h, n = np.unique(np.concatenate([np.append(START, token_hashes(t)) for t in pdf["text"]] or [np.zeros(0, np.uint64)]), return_counts=True)
+            yield pd.DataFrame({"h": h.view(np.int64), "n": n})
+
+    sample = least_hashed(base.select("id", "text"), SAMPLE_TEXTS, base.count(), "id")
+    counts = written(sample.select("text").mapInPandas(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "sample-words")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    top = counts.orderBy(F.desc("n"), "h").limit(COMMON).toPandas()
+    words = top["h"].to_numpy(np.int64).view(np.uint64)
+    hot = words[(top["n"] * 4 * buckets > total) & (top["n"] > 50)] if buckets > 1 else words[:0]
+    return Common(np.sort(words), np.sort(hot))
+
+
+#: Kinds of arrays of a batch's pairs in a bucket: contexts' codes and hashes, pairs of each, words' codes and hashes, counts in training.
+PAIRS = "u2 +u8 u4 u2 u8 u4"
+
+
+def _entries(buckets: int, shared):
+    """(id, train, text) -> (bucket, batch, kind, body): a batch's distinct pairs by bucket (kind 0), and its documents (kind 1).
+
+    Pairs of a batch are numbered by bucket, context and word. Documents are lists of the numbers of their pairs.
+    """
 
     def flush(batch: int, docs: list) -> Iterator[dict]:
-        ids = np.array([-1 if d[0] is None else d[0] for d in docs], dtype="<i8")
-        info = np.array([[d[0] is None, d[1]] for d in docs], dtype=np.uint8)
-        n = np.array([len(d[2]) for d in docs], dtype="<i8")
-        yield {"bucket": buckets + batch, "batch": batch, "kind": 1, "body": ids.tobytes() + n.tobytes() + info.tobytes()}
+        common = shared.value
+        n = np.array([len(d[2]) for d in docs])
         token = np.concatenate([d[2] for d in docs])
         context = np.concatenate([[START], token[:-1]])
         context[np.cumsum(n)[:-1]] = START
-        doc = np.repeat(np.array([k | TRAIN_BIT * d[1] for k, d in enumerate(docs)], dtype="<u2"), n)
-        order = np.argsort(context, kind="stable")
-        context, token, doc = context[order], token[order], doc[order]
-        cuts = np.searchsorted(place_of(context, buckets), np.arange(buckets + 1))
-        for b in range(buckets):
-            lo, hi = cuts[b], cuts[b + 1]
-            if lo < hi:
-                own, counts = np.unique(context[lo:hi], return_counts=True)
-                head = np.array([len(own), hi - lo], dtype="<i8")
-                yield {"bucket": b, "batch": batch, "kind": 0, "body": b"".join(x.tobytes() for x in (head, own, counts.astype("<u4"), token[lo:hi], doc[lo:hi]))}
+        train = np.repeat([d[1] for d in docs], n)
+        key = context & np.uint64(0xFFFFFFFF00000000) | token >> np.uint64(32)
+        _, first, pair = np.unique(key, return_index=True, return_inverse=True)
+        context, token = context[first], token[first]
+        count = np.bincount(pair[train], minlength=len(first))
+        bucket = place_of(np.where(common.is_hot(context), mixed(context, token), context), buckets)
+        order = np.argsort(bucket.astype(np.uint32), kind="stable")
+        number = np.empty(len(order), dtype=np.int64)
+        number[order] = np.arange(len(order))
+        ends, pair = np.cumsum(n), number[pair]
+        lists = np.concatenate([np.diff(np.sort(pair[e - k : e]), prepend=0) for e, k in zip(ends, n, strict=True)])
+        ids = np.array([-1 if d[0] is None else d[0] for d in docs])
+        info = np.array([2 * (d[0] is None) + d[1] for d in docs])
+        yield {"bucket": -1 - batch, "batch": batch, "kind": 1, "body": pack(ids, info, n, lists, kinds="i8 u1 u4 u4")}
+        context, token, count, bucket = context[order], token[order], count[order], bucket[order]
+        cuts = np.flatnonzero(np.diff(bucket, prepend=-1, append=buckets))
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            own = context[lo:hi]
+            starts = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+            body = pack(*common.codes(own[starts]), np.diff(starts, append=hi - lo), *common.codes(token[lo:hi]), count[lo:hi], kinds=PAIRS)
+            yield {"bucket": bucket[lo], "batch": batch, "kind": 0, "body": body}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part, no, docs, held = TaskContext.get().partitionId(), 0, [], 0
         for pdf in batches:
             for i, train, text in zip(pdf["id"], pdf["train"], pdf["text"], strict=True):
-                h = token_hashes(text)
-                docs.append((None if pd.isna(i) else int(i), bool(train), h))
-                held += len(h)
-                if held >= BATCH_TOKENS or len(docs) >= BATCH_DOCS:
+                docs.append((None if pd.isna(i) else int(i), bool(train), token_hashes(text)))
+                held += len(docs[-1][2])
+                if held >= BATCH_TOKENS:
                     yield pd.DataFrame(flush((part << 24) + no, docs))
                     no, docs, held = no + 1, [], 0
         if docs:
@@ -98,95 +201,130 @@ def _entries(buckets: int):
 
 
 class Bucket:
-    """All tokens of a range of contexts, as pairs of context and word with their counts in training."""
+    """All distinct pairs of context and word that were dealt to a bucket, with their counts in training."""
 
-    def __init__(self, bodies: pd.DataFrame):
+    def __init__(self, bodies: pd.DataFrame, common: Common):
         parts = []
         for batch, body in bodies.sort_values("batch")[["batch", "body"]].itertuples(index=False):
-            k, n = np.frombuffer(body, dtype="<i8", count=2)
-            at = 16
-            own = np.frombuffer(body, dtype="<u8", count=k, offset=at)
-            counts = np.frombuffer(body, dtype="<u4", count=k, offset=(at := at + 8 * k))
-            token = np.frombuffer(body, dtype="<u8", count=n, offset=(at := at + 4 * k))
-            parts.append((batch, np.repeat(own, counts), token, np.frombuffer(body, dtype="<u2", count=n, offset=at + 8 * n)))
+            c1, c2, runs, w1, w2, count = unpack(body, PAIRS)
+            parts.append((batch, np.repeat(common.hashes(c1, c2), runs), common.hashes(w1, w2), count))
         self.batches = [p[0] for p in parts]
         self.sizes = [len(p[1]) for p in parts]
-        context, token = np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts])
-        self.doc = np.concatenate([p[3] for p in parts])
-        train = (self.doc & TRAIN_BIT) > 0
-        mixed = (context ^ (context >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + token * np.uint64(0x9E3779B97F4A7C15)
-        _, first, self.pair = np.unique(mixed, return_index=True, return_inverse=True)
+        context, token, count = (np.concatenate([p[k] for p in parts]) for k in (1, 2, 3))
+        del parts
+        _, first, self.pair = np.unique(mixed(context, token), return_index=True, return_inverse=True)
         self.pair = self.pair.astype(np.int32)
-        del mixed
-        self.count = np.bincount(self.pair[train], minlength=len(first))
+        self.count = np.bincount(self.pair, weights=count, minlength=len(first)).astype(np.int64)
         self.words, self.word = np.unique(token[first], return_inverse=True)
         contexts, self.room = np.unique(context[first], return_inverse=True)
-        self.rooms = len(contexts)
-        self.room_count = np.bincount(self.room, weights=self.count, minlength=self.rooms)
+        self.rooms, self.hot_at = len(contexts), common.hot_at(contexts)
         self.seen = self.count > 0
         self.many = np.flatnonzero(self.count > 1)
+        self.hot = len(common.hot)
 
     def per_word(self, values: np.ndarray) -> np.ndarray:
         return np.bincount(self.word, weights=values, minlength=len(self.words)).astype(np.int64)
 
-    def tables(self, many: np.ndarray | None = None) -> np.ndarray:
+    def per_room(self, values: np.ndarray, hot: np.ndarray | None = None) -> np.ndarray:
+        """Sums of pairs' values by restaurant; those of restaurants that are in several buckets are told by hot."""
+        out = np.bincount(self.room, weights=values, minlength=self.rooms)
+        return out if hot is None or not self.hot else np.where(self.hot_at >= 0, hot[self.hot_at], out)
+
+    def hot_sums(self, values: np.ndarray) -> np.ndarray:
+        """This bucket's part of the sums of hot restaurants."""
+        at = self.hot_at >= 0
+        return np.bincount(self.hot_at[at], weights=self.per_room(values)[at], minlength=self.hot)
+
+    def tables(self, many: np.ndarray) -> np.ndarray:
         """Tables of each pair: one where it is seen, `many` where it is seen more than once."""
         t = self.seen.astype(np.int64)
-        if many is not None:
-            t[self.many] = many
+        t[self.many] = many
         return t
 
 
-def reseat(count: np.ndarray, base: np.ndarray, others: np.ndarray, strength: float, discount: float, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
-    """Seats `count` customers of each dish anew, one after another: (tables, log weight of the way they came to sit).
+def log_stirling(most: int, discount: float) -> np.ndarray:
+    """log S(c, t) of generalised Stirling numbers for 0 <= t, c <= most; S(c + 1, t) = S(c, t - 1) + (c - discount t) S(c, t)."""
+    out = np.full((most + 1, most + 1), -np.inf)
+    out[0, 0] = 0
+    t = np.arange(1, most + 1)
+    for c in range(most):
+        stay = np.where(t <= c, np.log(np.maximum(c - discount * t, 1e-300)) + out[c, 1:], -np.inf)
+        out[c + 1, 1:] = np.logaddexp(out[c, :-1], stay)
+    return out
 
-    base is a dish's probability in the parent, others the tables of other dishes in its restaurant. A customer who finds n
-    seated at t tables opens one with chance (strength + discount (others + t)) base to n - discount t. Beyond 64 customers
-    they come in groups of a sixteenth of those seated, so that a dish takes a number of steps that grows as a logarithm.
-    """
-    order = np.argsort(-count, kind="stable")
-    c, p, o = count[order].astype(float), base[order], others[order].astype(float)
-    t, weight = np.ones(len(c)), np.zeros(len(c))
-    n, live = 1.0, int(np.searchsorted(-c, -1.0))
-    while live:
-        step = 1.0 if n < 64 else math.ceil(n / 16)
-        own = np.minimum(step, c[:live] - n)
-        new = (strength + discount * (o[:live] + t[:live])) * p[:live]
-        total = new + n - discount * t[:live]
-        weight[:live] += own * np.log(total)
-        if step == 1:
-            t[:live] += rng.random(live) * total < new
-        else:
-            t[:live] += rng.binomial(own.astype(np.int64), np.clip(new / total, 0, 1))
-        n += step
-        live = int(np.searchsorted(-c, -n))
-    out, log_weight = np.empty(len(c), dtype=np.int64), np.empty(len(c))
-    out[order], log_weight[order] = t, weight
-    return out, log_weight
 
+def draw_tables(count: np.ndarray, a: np.ndarray, stirling: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """t of each dish with probability in proportion to S(count, t) a**t, for counts that the Stirling numbers cover."""
+    out = np.ones(len(count), dtype=np.int64)
+    order = np.argsort(count, kind="stable")
+    cuts = np.flatnonzero(np.diff(count[order], prepend=-1, append=-2))
+    for lo, hi in zip(cuts, cuts[1:], strict=False):
+        c = count[order[lo]]
+        for at in np.array_split(order[lo:hi], -(-(hi - lo) * c // 1_000_000)) if c > 1 else []:
+            weight = stirling[c, 1 : c + 1] + np.log(a[at])[:, None] * np.arange(1, c + 1)
+            total = np.cumsum(np.exp(weight - weight.max(axis=1, keepdims=True)), axis=1)
+            out[at] = 1 + (total < (rng.random(len(at)) * total[:, -1])[:, None]).sum(axis=1)
+    return out
 
-def gibbs(count: np.ndarray, base: np.ndarray, room: np.ndarray, fixed: np.ndarray, strength: float, discount: float, sweeps: int, rng: np.random.Generator) -> np.ndarray:
-    """Tables of each dish after so many sweeps. fixed: tables in each restaurant of dishes that are not listed.
 
-    In a sweep, all customers of a dish stand up and are seated again given the tables of all other dishes; the new seating
-    replaces the old with the Metropolis-Hastings chance, the ratio of their weights, which makes the sweep a blocked Gibbs
-    step. Dishes of a restaurant move together, as seen from the tables at the start of the sweep.
-    """
-    t, weight = np.ones(len(count), dtype=np.int64), None
-    for _ in range(sweeps + 1):
-        tables = fixed + np.bincount(room, weights=t, minlength=len(fixed))
-        new, new_weight = reseat(count, base, tables[room] - t, strength, discount, rng)
-        if weight is None:
-            t, weight = new, new_weight
-        else:
-            take = np.log(rng.random(len(t))) < new_weight - weight
-            t, weight = np.where(take, new, t), np.where(take, new_weight, weight)
+@dataclass
+class Path:
+    """How dishes, the most customers first, came to their tables: in each step the customers before it, those it seats, and the tables."""
+
+    steps: list[tuple[float, np.ndarray, np.ndarray]]
+    tables: np.ndarray
+
+    def log_weight(self, a: np.ndarray, discount: float) -> np.ndarray:
+        out = np.zeros(len(self.tables))
+        for n, own, t in self.steps:
+            out[: len(t)] += own * np.log(a[: len(t)] + n - discount * t)
+        return out
+
+    def replaced(self, other: Path, take: np.ndarray) -> Path:
+        steps = [(n, own, np.where(take[: len(t)], u, t)) for (n, own, t), (_, _, u) in zip(self.steps, other.steps, strict=True)]
+        return Path(steps, np.where(take, other.tables, self.tables))
+
+
+def seated(count: np.ndarray, a: np.ndarray, discount: float, rng: np.random.Generator) -> Path:
+    """Seats the customers of dishes, in falling order of count, one after another: a new table has chance a to n - discount t."""
+    t, n, steps = np.ones(len(count)), 1.0, []
+    while live := int(np.searchsorted(-count, -n)):
+        step = 1.0 if n < ONE_BY_ONE else math.ceil(n / 64)
+        own, now = np.minimum(step, count[:live] - n), t[:live].copy()
+        chance = a[:live] / (a[:live] + n - discount * now)
+        t[:live] += rng.random(live) < chance if step == 1 else rng.binomial(own.astype(np.int64), chance)
+        steps.append((n, own, now))
+        n += step
+    return Path(steps, t)
+
+
+def gibbs(count: np.ndarray, base: np.ndarray, discount: float, x_of: Callable[[np.ndarray], np.ndarray], sweeps: int, rng: np.random.Generator) -> np.ndarray:
+    """Tables of each dish after so many sweeps. x_of: tables -> x of each dish's restaurant. base: chances in the parent."""
+    t = np.ones(len(count), dtype=np.int64)
+    few, large = np.flatnonzero(count <= EXACT), np.flatnonzero(count > EXACT)
+    large = large[np.argsort(-count[large], kind="stable")]
+    stirling, path = log_stirling(EXACT, discount), None
+    for _ in range(sweeps):
+        a = np.maximum(discount * x_of(t) * base, 1e-300)
+        t[few] = draw_tables(count[few], a[few], stirling, rng)
+        if len(large):
+            new = seated(count[large], a[large], discount, rng)
+            if path is not None:
+                new = path.replaced(new, np.log(rng.random(len(large))) < new.log_weight(a[large], discount) - path.log_weight(a[large], discount))
+            path = new
+            t[large] = path.tables
     return t
 
 
+def predictive(count, tables, room_count, room_tables, above, strength: float, discount: float) -> np.ndarray:
+    """A dish's chance in a restaurant with its customers and tables, where above is its chance in the parent."""
+    spare = (strength + discount * room_tables) / (strength + room_count)
+    return np.where(room_count == 0, above, (count - discount * tables) / (strength + room_count) + spare * above)
+
+
 @dataclass
 class Parent:
-    """Totals of the parent restaurant: known words, training tokens, customers, tables, discounts of both levels."""
+    """The parent restaurant: known words, training tokens, customers, tables, discounts of both levels; totals of hot contexts."""
 
     words: int
     tokens: int
@@ -194,6 +332,8 @@ class Parent:
     tables: float
     discount: float
     parent_discount: float
+    hot_count: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    hot_tables: np.ndarray = field(default_factory=lambda: np.zeros(0))
 
     def probability(self, customers: np.ndarray, tables: np.ndarray, strength: float) -> np.ndarray:
         own = np.maximum(customers - self.parent_discount * tables, 0)
@@ -202,48 +342,42 @@ class Parent:
 
 def _cells(words: np.ndarray, shards: int) -> Iterator[tuple[int, slice]]:
     cuts = np.searchsorted(place_of(words, shards), np.arange(shards + 1))
-    for s in range(shards):
-        if cuts[s] < cuts[s + 1]:
-            yield s, slice(cuts[s], cuts[s + 1])
+    for s in np.flatnonzero(np.diff(cuts)):
+        yield int(s), slice(cuts[s], cuts[s + 1])
 
 
 def _message(rows: list[tuple]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["bucket", "shard", "kind", "body"])
 
 
-def _unpack(body: bytes, kinds: str) -> list[np.ndarray]:
-    """Arrays of equal length, one for each numpy type."""
-    types = [np.dtype(f"<{k}") for k in kinds.split()]
-    n, at, out = len(body) // sum(t.itemsize for t in types), 0, []
-    for t in types:
-        out.append(np.frombuffer(body, dtype=t, count=n, offset=at))
-        at += n * t.itemsize
-    return out
+#: Kinds of messages: a bucket's request to a shard; a shard's answers for a sample; a bucket's tables for a sample.
+REQUEST, ANSWER, STATE = 0, 100, 200
 
 
-def _pack(*arrays: np.ndarray, kinds: str) -> bytes:
-    return b"".join(a.astype(f"<{k}").tobytes() for a, k in zip(arrays, kinds.split(), strict=True))
+def _sums(messages: DataFrame) -> np.ndarray:
+    """Bodies of numbers, added up: in at most 32 tasks, whose sums are added here."""
 
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"body": [pack(np.sum([unpack(b, "f8")[0] for b in pdf["body"]], axis=0), kinds="f8")]})
 
-#: Kinds of messages: a bucket's request to a shard; a shard's answers for a sample; a bucket's tables for a sample.
-REQUEST, ANSWER, STATE = 0, 100, 200
+    parts = messages.groupBy(F.pmod(F.col("bucket") + F.col("shard"), F.lit(32))).applyInPandas(add, "body binary").collect()
+    return np.sum([unpack(p.body, "f8")[0] for p in parts], axis=0) if parts else np.zeros(0)
 
 
-def _requests(shards: int):
+def _requests(shards: int, shared):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        b = Bucket(pdf)
+        b, at = Bucket(pdf, shared.value), int(pdf["bucket"].iloc[0])
         c, types = b.per_word(b.count), b.per_word(b.seen)
-        ones, twos = int((b.count == 1).sum()), int((b.count == 2).sum())
-        at = int(pdf["bucket"].iloc[0])
-        rows = [(at, s, REQUEST, _pack(b.words[x], c[x], types[x], kinds="u8 u4 u4")) for s, x in _cells(b.words, shards)]
-        return _message([*rows, (at, -1, REQUEST, np.array([ones, twos], dtype="<i8").tobytes())])
+        rows = [(at, s, REQUEST, pack(b.words[x], c[x], types[x], kinds="+u8 u4 u4")) for s, x in _cells(b.words, shards)]
+        totals = np.concatenate([[(b.count == 1).sum(), (b.count == 2).sum()], b.hot_sums(b.count), b.hot_sums(b.seen)])
+        return _message([*rows, (at, -1, REQUEST, pack(totals, kinds="f8"))])
 
     return run
 
 
 def _shard_words(pdf: pd.DataFrame) -> tuple[list[tuple[int, np.ndarray]], np.ndarray, np.ndarray]:
     """Of a shard's requests: (bucket, places of its words) in turn, and each word's count and contexts."""
-    told = [(int(b), *_unpack(body, "u8 u4 u4")) for b, body in pdf.sort_values("bucket")[["bucket", "body"]].itertuples(index=False)]
+    told = [(int(b), *unpack(body, "+u8 u4 u4")) for b, body in pdf.sort_values("bucket")[["bucket", "body"]].itertuples(index=False)]
     words, at = np.unique(np.concatenate([x[1] for x in told]), return_inverse=True)
     count = np.bincount(at, weights=np.concatenate([x[2] for x in told]), minlength=len(words))
     types = np.bincount(at, weights=np.concatenate([x[3] for x in told]), minlength=len(words))
@@ -258,6 +392,7 @@ def _shard_totals(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def _answers(parent: Parent, s: Settings, sample: int):
     """Seats the parent's customers, `types` and the further tables that buckets told, and answers each bucket."""
+    x = np.random.default_rng([sample, 1]).gamma(s.parent_strength / parent.parent_discount + parent.tables)
 
     def run(key: tuple, requests: pd.DataFrame, more: pd.DataFrame) -> pd.DataFrame:
         if not len(requests) or key[0] < 0:
@@ -267,81 +402,74 @@ def _answers(parent: Parent, s: Settings, sample: int):
         customers = types.copy()
         for b, at in cells:
             if b in extra:
-                which, n = _unpack(extra[b], "u4 u4")
-                np.add.at(customers, at[which], n)
-        known = np.flatnonzero(customers > 0)
-        rng = np.random.default_rng([sample, int(key[0])])
-        t = np.zeros(len(customers), dtype=np.int64)
-        base = np.full(len(known), 1 / (parent.words + 1))
-        room = np.zeros(len(known), dtype=np.int64)
-        t[known] = gibbs(customers[known], base, room, np.array([max(0.0, parent.tables - len(known))]), s.parent_strength, parent.parent_discount, s.sweeps, rng)
-        rows = [(b, int(key[0]), ANSWER + sample, _pack(count[at], customers[at], t[at], kinds="u4 u4 u4")) for b, at in cells]
-        totals = np.array([customers.sum(), t.sum()], dtype="<f8").tobytes()
-        return _message([*rows, (-1, int(key[0]), ANSWER + sample, totals)])
+                which, n = unpack(extra[b], "u4 u4")
+                customers[at[which]] += n
+        t = (customers > 0).astype(np.int64)
+        many = np.flatnonzero(customers > 1)
+        rng = np.random.default_rng([sample, 2, int(key[0])])
+        base = np.full(len(many), 1 / (parent.words + 1))
+        t[many] = gibbs(customers[many].astype(np.int64), base, parent.parent_discount, lambda t: np.full(len(t), x), s.sweeps, rng)
+        rows = [(b, int(key[0]), ANSWER + sample, pack(count[at], customers[at], t[at], kinds="u4 u4 u4")) for b, at in cells]
+        return _message([*rows, (-1, int(key[0]), ANSWER + sample, pack(np.array([customers.sum(), t.sum()]), kinds="f8"))])
 
     return run
 
 
-def _told(b: Bucket, messages: pd.DataFrame, sample: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _told(messages: pd.DataFrame, sample: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(count, customers, tables) in the parent of each of a bucket's words, by a sample's answers."""
     own = messages[messages["kind"] == ANSWER + sample].sort_values("shard")
-    got = [_unpack(body, "u4 u4 u4") for body in own["body"]]
+    got = [unpack(body, "u4 u4 u4") for body in own["body"]]
     return tuple(np.concatenate([g[k] for g in got]).astype(float) for k in range(3))
 
 
-def _seatings(parent: Parent, s: Settings, sample: int, shards: int):
+def _seatings(parent: Parent, s: Settings, sample: int, shards: int, shared):
     """Samples the tables of a bucket's restaurants, and tells shards which words have how many more than one a pair."""
+    d = parent.discount
+    hot_x = np.random.default_rng([sample, 3]).gamma(s.strength / d + parent.hot_tables)
 
     def run(key: tuple, bodies: pd.DataFrame, messages: pd.DataFrame) -> pd.DataFrame:
         if not len(bodies):
             return _message([])
-        b, at = Bucket(bodies), int(key[0])
-        _, customers, tables = _told(b, messages, sample - 1)
+        b, at = Bucket(bodies, shared.value), int(key[0])
+        _, customers, tables = _told(messages, sample - 1)
         base = parent.probability(customers, tables, s.parent_strength)[b.word[b.many]]
-        single = np.bincount(b.room[b.count == 1], minlength=b.rooms)
-        rng = np.random.default_rng([sample, 7, at])
-        t = gibbs(b.count[b.many], base, b.room[b.many], single.astype(float), s.strength, parent.discount, s.sweeps, rng)
-        rows = [(at, -1, STATE + sample, t.astype("<u4").tobytes())]
-        more = b.per_word(b.tables(t) - b.seen)
+        rng = np.random.default_rng([sample, 4, at])
+
+        def x_of(t: np.ndarray) -> np.ndarray:
+            x = rng.gamma(s.strength / d + b.per_room(b.tables(t)))
+            return (np.where(b.hot_at >= 0, hot_x[b.hot_at], x) if b.hot else x)[b.room[b.many]]
+
+        t = gibbs(b.count[b.many], base, d, x_of, s.sweeps, rng)
+        every = b.tables(t)
+        rows = [(at, -1, STATE + sample, pack(t, kinds="u4")), (at, -2, STATE + sample, pack(b.hot_sums(every), kinds="f8"))]
+        more = b.per_word(every - b.seen)
         for shard, x in _cells(b.words, shards):
             which = np.flatnonzero(more[x])
             if len(which):
-                rows.append((at, shard, STATE + sample, _pack(which, more[x][which], kinds="u4 u4")))
+                rows.append((at, shard, STATE + sample, pack(which, more[x][which], kinds="u4 u4")))
         return _message(rows)
 
     return run
 
 
-def _scores(parents: list[Parent], s: Settings):
-    """Sums, for each batch and document, of log10 probabilities over the tokens in a bucket's contexts."""
+def _scores(parents: list[Parent], s: Settings, shared):
+    """For each batch that asked: log10 of the averaged probability of each of its pairs, and the word's count in training."""
 
     def run(key: tuple, bodies: pd.DataFrame, messages: pd.DataFrame) -> pd.DataFrame:
         if not len(bodies):
-            return pd.DataFrame({"batch": [], "body": []})
-        b = Bucket(bodies)
-        mean = np.zeros(len(b.count))
-        count = None
+            return pd.DataFrame({"bucket": [], "part": [], "body": []})
+        b, mean = Bucket(bodies, shared.value), 0.0
         for k, parent in enumerate(parents, 1):
-            count, customers, tables = _told(b, messages, k)
-            state = messages[(messages["kind"] == STATE + k) & (messages["shard"] < 0)]["body"].iloc[0]
-            t = b.tables(np.frombuffer(state, dtype="<u4"))
-            room_tables = np.bincount(b.room, weights=t, minlength=b.rooms)
-            spare = (s.strength + parent.discount * room_tables) / (s.strength + b.room_count)
+            count, customers, tables = _told(messages, k)
+            state = messages[(messages["kind"] == STATE + k) & (messages["shard"] == -1)]["body"].iloc[0]
+            t = b.tables(unpack(state, "u4")[0])
             above = parent.probability(customers, tables, s.parent_strength)[b.word]
-            empty = b.room_count[b.room] == 0
-            own = (b.count - parent.discount * t) / (s.strength + b.room_count[b.room])
-            mean += np.where(empty, above, own + spare[b.room] * above)
-        score = np.log10(mean / len(parents))
-        known = (count > 0)[b.word]
-        plain = np.log10(count + 0.5)[b.word]
-        rows, lo = [], 0
-        for batch, n in zip(b.batches, b.sizes, strict=True):
-            pair, doc = b.pair[lo : lo + n], b.doc[lo : lo + n] & (TRAIN_BIT - 1)
-            lo += n
-            places = np.unique(doc)
-            add = lambda v: np.bincount(doc, weights=v, minlength=BATCH_DOCS)[places]  # noqa: B023, E731
-            rows.append((batch, _pack(places, add(score[pair]), add(plain[pair]), add(known[pair]), kinds="u2 f4 f8 u4")))
-        return pd.DataFrame(rows, columns=["batch", "body"])
+            rooms = b.per_room(b.count, parent.hot_count)[b.room], b.per_room(t, parent.hot_tables)[b.room]
+            mean = mean + predictive(b.count, t, *rooms, above, s.strength, parent.discount)
+        score, plain = np.rint(-np.log10(mean / len(parents)) * STEPS).astype(np.uint32), count[b.word].astype(np.uint32)
+        cuts = np.cumsum([0, *b.sizes])
+        rows = [(-1 - batch, int(key[0]), pack(score[p := b.pair[lo:hi]], plain[p], kinds="u4 u4")) for batch, lo, hi in zip(b.batches, cuts, cuts[1:], strict=False)]
+        return pd.DataFrame(rows, columns=["bucket", "part", "body"])
 
     return run
 
@@ -351,27 +479,30 @@ RESULT = "id long, train boolean, n_tokens long, n_known long, base_score double
 
 def _by_document(words: int, tokens: int):
     def run(key: tuple, docs: pd.DataFrame, parts: pd.DataFrame) -> pd.DataFrame:
-        body = docs["body"].iloc[0]
-        k = len(body) // 18
-        ids, n = np.frombuffer(body, dtype="<i8", count=k), np.frombuffer(body, dtype="<i8", count=k, offset=8 * k)
-        info = np.frombuffer(body, dtype=np.uint8, offset=16 * k).reshape(-1, 2)
-        score, plain, known = np.zeros(k), np.zeros(k), np.zeros(k)
-        for part in parts["body"]:
-            at, *values = _unpack(part, "u2 f4 f8 u4")
-            for into, v in zip((score, plain, known), values, strict=True):
-                into[at] += v
-        base = plain - n * math.log10(tokens + 0.5 * (words + 1))
-        out = pd.DataFrame({"id": pd.array(ids, dtype="Int64"), "train": info[:, 1] > 0, "n_tokens": n, "n_known": known.astype(np.int64), "base_score": base, "score": score})
-        out.loc[info[:, 0] > 0, "id"] = pd.NA
+        if not len(docs):
+            return pd.DataFrame({c.split()[0]: [] for c in RESULT.split(", ")})
+        ids, info, n, lists = unpack(docs["body"].iloc[0], "i8 u1 u4 u4")
+        told = [unpack(body, "u4 u4") for body in parts.sort_values("part")["body"]]
+        score, count = (np.concatenate([x[k] for x in told]) for k in (0, 1))
+        plain = np.log10(count + 0.5)
+        ends = np.cumsum(n, dtype=np.int64)
+        starts = ends - n
+        steps = np.cumsum(lists, dtype=np.int64)
+        pair = steps - np.repeat(steps[starts] - lists[starts], n)
+        sums = [np.add.reduceat(x[pair].astype(float), starts) for x in (score, plain, count > 0)]
+        base = sums[1] - n * math.log10(tokens + 0.5 * (words + 1))
+        out = pd.DataFrame({"id": pd.array(ids, dtype="Int64"), "train": info % 2 > 0, "n_tokens": n.astype(np.int64), "n_known": sums[2].astype(np.int64), "base_score": base, "score": -sums[0] / STEPS})
+        out.loc[info > 1, "id"] = pd.NA
         return out
 
     return run
 
 
 def _bucketed(df: DataFrame, by: str, parts: int, label: str) -> tuple[DataFrame, str]:
-    """df as a table bucketed by a column, in the shared folder: tasks find a bucket's rows without a shuffle."""
+    """df as a table bucketed by a column, in the shared folder, a file for each bucket: tasks find its rows without a shuffle."""
     spark, name = df.sparkSession, f"{label}_{uuid.uuid4().hex}"
-    df.write.bucketBy(parts, by).option("path", scratch(spark, label)).option("compression", "zstd").format("parquet").saveAsTable(name)
+    dealt = df.repartition(parts, by)
+    dealt.write.bucketBy(parts, by).option("path", scratch(spark, label)).option("compression", "zstd").format("parquet").saveAsTable(name)
     return spark.table(name), name
 
 
@@ -388,39 +519,46 @@ def scored_documents(docs: DataFrame, train, id_col: str = "doc_id", text_col: s
 
     Null and empty texts are an end alone. Rows are scored one by one: repeated rows come back repeated, a row without an id
     keeps its null. A null condition is not training. Nothing to learn from leaves uniform probabilities. The seating is
-    seeded by bucket and shard, so a result depends on their number and not on who runs them.
+    seeded by bucket and shard, whose numbers follow from the length of all texts: a result does not depend on the cluster.
     """
     spark: SparkSession = docs.sparkSession
     s = settings
     base = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(train, F.lit(False)).alias("train"), F.col(f"`{text_col}`").alias("text"))
     size = base.agg(F.sum(F.length("text"))).first()[0] or 0
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / 6 / s.bucket_tokens))
-    tokens, token_name = _bucketed(base.mapInPandas(_entries(buckets), "bucket long, batch long, kind int, body binary"), "bucket", buckets, "tokens")
+    buckets = max(1, math.ceil(size / 6 / s.bucket_tokens))
+    shards = max(1, math.ceil(buckets / 4))
+    shared = spark.sparkContext.broadcast(common_words(base, buckets))
+    hot = len(shared.value.hot)
+    tokens, token_name = _bucketed(base.mapInPandas(_entries(buckets, shared), "bucket long, batch long, kind int, body binary"), "bucket", buckets, "tokens")
     own = tokens.filter("kind = 0")
-    requests, request_name = _bucketed(own.groupBy("bucket").applyInPandas(_requests(buckets), MESSAGE), "shard", buckets, "requests")
+    requests, request_name = _bucketed(own.groupBy("bucket").applyInPandas(_requests(shards, shared), MESSAGE), "shard", shards, "requests")
     asked = requests.filter("shard >= 0")
     totals = asked.groupBy("shard").applyInPandas(_shard_totals, "words long, tokens long, customers long, ones long, twos long").agg(*[F.sum(c) for c in ("words", "tokens", "customers", "ones", "twos")]).first()
     words, train_tokens, customers, ones, twos = (x or 0 for x in totals)
-    pairs = [np.frombuffer(r.body, dtype="<i8") for r in requests.filter("shard < 0").select("body").collect()]
-    discount = _discount(*(sum(int(p[k]) for p in pairs) for k in (0, 1)))
-    parent = Parent(words, train_tokens, customers, words, discount, _discount(ones, twos))
+    told = _sums(requests.filter("shard < 0"))
+    told = told if len(told) else np.zeros(2 + 2 * hot)
+    parent = Parent(words, train_tokens, customers, words, _discount(*told[:2]), _discount(ones, twos), told[2 : 2 + hot], told[2 + hot :])
     parents, messages, more = [], None, None
     for sample in range(s.samples + 1):
+        hot_tables = parent.hot_tables
         if sample:
-            state = written(own.groupBy("bucket").cogroup(messages.filter(F.col("kind") == ANSWER + sample - 1).groupBy("bucket")).applyInPandas(_seatings(parent, s, sample, buckets), MESSAGE), "seatings")
-            messages, more = messages.unionByName(state.filter("shard < 0")), state.filter("shard >= 0")
+            state = own.groupBy("bucket").cogroup(messages.filter(F.col("kind") == ANSWER + sample - 1).groupBy("bucket")).applyInPandas(_seatings(parent, s, sample, shards, shared), MESSAGE)
+            state = written(state, "seatings")
+            messages, more = messages.unionByName(state.filter("shard = -1")), state.filter("shard >= 0")
+            hot_tables = _sums(state.filter("shard = -2")) if hot else hot_tables
         else:
             more = asked.limit(0)
         answers = written(asked.groupBy("shard").cogroup(more.groupBy("shard")).applyInPandas(_answers(parent, s, sample), MESSAGE), "answers")
-        sums = [np.frombuffer(r.body, dtype="<f8") for r in answers.filter("bucket < 0").select("body").collect()]
-        parent = Parent(words, train_tokens, float(sum(x[0] for x in sums)), float(sum(x[1] for x in sums)), discount, parent.parent_discount)
+        sums = _sums(answers.filter("bucket < 0"))
+        sums = sums if len(sums) else np.zeros(2)
+        parent = Parent(words, train_tokens, float(sums[0]), float(sums[1]), parent.discount, parent.parent_discount, parent.hot_count, hot_tables)
         answers = answers.filter("bucket >= 0")
         messages = answers if messages is None else messages.unionByName(answers)
         if sample:
             parents.append(parent)
-    partial = own.groupBy("bucket").cogroup(messages.filter(F.col("kind") != ANSWER).groupBy("bucket")).applyInPandas(_scores(parents, s), "batch long, body binary")
+    partial = own.groupBy("bucket").cogroup(messages.filter(F.col("kind") != ANSWER).groupBy("bucket")).applyInPandas(_scores(parents, s, shared), "bucket long, part long, body binary")
     lists = tokens.filter("kind = 1")
-    out = lists.groupBy("batch").cogroup(partial.groupBy("batch")).applyInPandas(_by_document(words, train_tokens), RESULT)
+    out = lists.groupBy("bucket").cogroup(partial.groupBy("bucket")).applyInPandas(_by_document(words, train_tokens), RESULT)
     out = written(out, "scores").withColumns({"train_tokens": F.lit(train_tokens).cast("long"), "vocabulary": F.lit(words).cast("long")})
     for name in (token_name, request_name):
         spark.sql(f"DROP TABLE {name}")
