@@ -40,6 +40,12 @@ def byte_signs() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(others)}
 
 
+def model_merger(tokenizer):
+    """A function from one pre-token to its ids by the merges of `tokenizers` itself."""
+    table = str.maketrans({chr(b): c for b, c in byte_signs().items()})
+    return lambda word: [t.id for t in tokenizer.model.tokenize(word.encode("utf-8").decode("latin-1").translate(table))]
+
+
 def merger(tokenizer, path: str):
     """A function from one pre-token to its ids by the vocabulary's merges.
 
@@ -55,8 +61,7 @@ def merger(tokenizer, path: str):
         back = {ord(c): b for b, c in signs.items()}
         ranks = {bytes(back[ord(c)] for c in t): k for t, k in vocab.items() if all(ord(c) in back for c in t)}
         return tiktoken.Encoding("merges", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-    table = str.maketrans({chr(b): c for b, c in signs.items()})
-    return lambda word: [t.id for t in tokenizer.model.tokenize(word.encode("utf-8").decode("latin-1").translate(table))]
+    return model_merger(tokenizer)
 
 
 class _Words(dict):
@@ -75,14 +80,18 @@ class ChunkTokenizer:
 
     The tokenizer's pre-tokens never cross a space that stands alone between two characters which aren't white space, and
     such a space begins its pre-token. So a text's ids are those of its chunks, one after another. A chunk of letters, then
-    signs, is two pre-tokens, whose merges are asked for alone; any other chunk is encoded as it is.
+    signs, is two pre-tokens, whose merges are asked for alone; any other chunk is encoded as it is. A text that holds an
+    added token of the file is encoded whole, and so is every text where the file's pre-tokenizer is another one.
     """
 
     def __init__(self, path: str, most: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        told = json.loads(Path(path).read_text(encoding="utf-8"))
+        rules = told["pre_tokenizer"] or {}
+        self.chunked = told["normalizer"] is None and rules.get("type") == "ByteLevel" and rules.get("use_regex") and not rules.get("add_prefix_space")
+        self.added = [t["content"] for t in told["added_tokens"]]
         self.code = "H" if self.tokenizer.get_vocab_size() < 1 << 16 else "I"
         self.words = _Words(merger(self.tokenizer, path), self.code)
         self.known: dict[str, bytes] = {}
@@ -113,7 +122,7 @@ class ChunkTokenizer:
         for memory in (self.known, self.words):
             if len(memory) > self.most:
                 memory.clear()
-        regular = [self.regular(t) for t in texts]
+        regular = [bool(self.chunked) and self.regular(t) and not any(a in t for a in self.added) for t in texts]
         parts = pc.split_pattern(pa.array([t if r else "" for t, r in zip(texts, regular, strict=True)], pa.large_string()), " ")
         flat = parts.flatten().dictionary_encode()
         known = self.known.get
