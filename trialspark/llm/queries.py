@@ -42,10 +42,12 @@ def op4_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The table arrives in 16 parts by hash, each its own version of small shards, and is compacted to target files."""
     docs = table(spark, sf_dir, "documents")
     store = shards.ShardStore(spark, scratch(spark, "store"))
-    store.append_arrivals(docs.withColumn("arrived", F.pmod(F.xxhash64("doc_id"), F.lit(16))), "arrived")
+    store.append_arrivals(docs, F.pmod(F.xxhash64("doc_id"), F.lit(16)))
     version = store.compact().version
+    store.vacuum(keep=1)
     out = store.read(version)
-    return out.select("doc_id", F.col("_arrival").alias("arrival"), F.lit(version).alias("version"), "shard", "shard_rows", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"))
+    sha = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+    return out.select("doc_id", F.col("_arrival").alias("arrival"), F.lit(version).alias("version"), F.col("_shard").alias("shard"), F.col("_shard_rows").alias("shard_rows"), sha.alias("text_sha256"))
 
 
 def op5_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,7 +68,6 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-#: Rows of these remainders are kept from training, so that held-out scores can be judged.
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
