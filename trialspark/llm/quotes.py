@@ -147,14 +147,19 @@ def ranked(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataF
 
 
 def roots(parents: DataFrame) -> DataFrame:
-    """(conv, turn, parent) -> (conv, turn, root): the turn that chains of parents end at, by doubling the steps."""
+    """(conv, turn, parent) -> (conv, turn, root): the turn that chains of parents end at, by doubling the steps.
+
+    All replies of a long thread come to share one step's end, so ends are joined with the number of rows that have them.
+    """
     step = written(parents.select("conv", "turn", F.col("parent").alias("root")), "roots")
     while True:
         above = step.select("conv", F.col("turn").alias("root"), F.col("root").alias("higher"))
-        moved = step.join(above, ["conv", "root"], "left")
-        step = written(moved.select("conv", "turn", F.coalesce("higher", "root").alias("root"), F.col("higher").isNotNull().alias("moved")), "roots")
-        if not step.filter("moved").limit(1).count():
-            return step.drop("moved")
+        ends = step.groupBy("conv", "root").agg(F.count("*").alias("n")).join(above, ["conv", "root"], "left")
+        ends = written(ends, "root-ends")
+        if not ends.filter("higher IS NOT NULL").limit(1).count():
+            return step
+        moved = join_counted(step, ends, ["conv", "root"], "n")
+        step = written(moved.select("conv", "turn", F.coalesce("higher", "root").alias("root")), "roots")
 
 
 def conversations(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", min_chars: int = 10) -> DataFrame:
