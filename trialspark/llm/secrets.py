@@ -31,8 +31,11 @@ HEX_OF = bytes.maketrans(bytes(range(256)), bytes(1 if chr(b) in "0123456789abcd
 ROWS = ("1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
 LEET = str.maketrans("4301$5@7!", "aeoissati")
 PLACE = {c: (r, k) for r, row in enumerate(ROWS) for k, c in enumerate(row)}
-DATE = re.compile(r"(?:19|20)\d\d(?:[-./]?(?:0[1-9]|1[0-2])[-./]?(?:0[1-9]|[12]\d|3[01]))?|(?:0[1-9]|[12]\d|3[01])[-./]?(?:0[1-9]|1[0-2])[-./]?(?:(?:19|20)?\d\d)")
-REPEAT = re.compile(r"(.{1,8}?)\1+", re.DOTALL)
+#: Years, dates by year, and by day with a year of four digits or of two: each is tried at each place.
+DAY, MONTH = r"(?:0[1-9]|[12]\d|3[01])", r"(?:0[1-9]|1[0-2])"
+DATES = [re.compile(x) for x in (r"(?:19|20)\d\d", rf"(?:19|20)\d\d[-./]?{MONTH}[-./]?{DAY}", rf"{DAY}[-./]?{MONTH}[-./]?(?:19|20)\d\d", rf"{DAY}[-./]?{MONTH}[-./]?\d\d")]
+#: Characters of a repeated block, and of a keyboard walk, at most.
+BLOCK, WALK = 8, 64
 
 
 def _neighbours(a: str, b: str) -> bool:
@@ -51,37 +54,54 @@ def guess_cost(value: str, ranks: dict[str, int], longest: int = 24) -> tuple[fl
     """log10 of the guesses that the cheapest segmentation of value takes, and its segments (kind, start, end).
 
     Segments: a word costs its rank, times two for other cases than lower and for letters written as digits; a year 120
-    guesses, a date 36500; a repeat the cost of its block times the number of blocks; a keyboard walk of three or more
-    keys (64 at most) a start times four directions for each stretch; a brute-force character the size of its class. Each segment but a
-    brute-force character also costs a factor of 2, for being one of several kinds. Time is linear in the length.
+    guesses, a date 36500; a repeat of a block (of BLOCK characters at most) what the block's characters cost by brute force,
+    or as a word, times the number of blocks; a keyboard walk of three or more keys (WALK at most) a start times four
+    directions for each stretch; a brute-force character the size of its class. Each segment but a brute-force character also
+    costs a factor of 2, for being one of several kinds. All words, dates, walks and repeats at all places are offered, so
+    the cost is the least. A repeat goes on from its last block, so that time is linear in the length of usual values.
     """
     n, low = len(value), value.lower()
     plain = low.translate(LEET) if len(low) == n else low
     low, plain = (low, plain) if len(low) == n else (value, value)
     best, back = [0.0] + [math.inf] * n, [("", 0)] * (n + 1)
     kind_cost = math.log10(2)
+    brute = [0.0]
+    for c in value:
+        brute.append(brute[-1] + _brute(c))
 
     def offer(i: int, j: int, kind: str, cost: float) -> None:
         if best[i] + cost < best[j]:
             best[j], back[j] = best[i] + cost, (kind, i)
 
-    repeats = {m.start(): m for m in REPEAT.finditer(low)}
+    def word(i: int, j: int) -> float:
+        rank = ranks.get(low[i:j])
+        spelled = rank is None and (rank := ranks.get(plain[i:j])) is not None
+        return math.inf if rank is None else math.log10(rank) + kind_cost * (1 + spelled + (value[i:j] != low[i:j]))
+
+    # For each block length and the start of the last of equal blocks: places where they may begin, and the cost up to the first
+    # block's end. A later start is kept if it is the best now; an earlier one may be again as blocks go on.
+    began: list[dict[int, list[tuple[int, float]]]] = [{} for _ in range(BLOCK + 1)]
     for i in range(n):
-        offer(i, i + 1, "brute", _brute(value[i]))
         for j in range(i + 3, min(n, i + longest) + 1):
-            rank = ranks.get(low[i:j])
-            spelled = rank is None and (rank := ranks.get(plain[i:j])) is not None
-            if rank is not None:
-                offer(i, j, "word", math.log10(rank) + kind_cost + kind_cost * spelled + kind_cost * (value[i:j] != low[i:j]))
-        if value[i].isascii() and value[i].isdigit() and (m := DATE.match(value, i)):
-            offer(i, m.end(), "date", kind_cost + math.log10(120 if m.end() - i == 4 else 36500))
-            if m.end() - i > 4 and value[i : i + 2] in ("19", "20"):
-                offer(i, i + 4, "date", kind_cost + math.log10(120))
-        if (m := repeats.get(i)) and m.end() - i >= 3:
-            block = m.group(1)
-            offer(i, m.end(), "repeat", kind_cost + sum(map(_brute, block)) + math.log10((m.end() - i) // len(block)))
+            if (cost := word(i, j)) < math.inf:
+                offer(i, j, "word", cost)
+        offer(i, i + 1, "brute", brute[i + 1] - brute[i])
+        if value[i].isascii() and value[i].isdigit():
+            for k, date in enumerate(DATES):
+                if m := date.match(value, i):
+                    offer(i, m.end(), "date", kind_cost + math.log10(36500 if k else 120))
+        for size in range(1, min(BLOCK, (n - i) // 2) + 1):
+            if low[i : i + size] == low[i + size : i + 2 * size]:
+                block = min(brute[i + size] - brute[i], word(i, i + size) - kind_cost if size >= 3 else math.inf)
+                end, starts = i + 2 * size, began[size].pop(i, [])
+                if best[i] + block + math.log10(2) < min((c + math.log10((end - k) // size) for k, c in starts), default=math.inf):
+                    starts.append((i, best[i] + block))
+                began[size][i + size] = starts
+                for k, c in starts:
+                    if end - k >= 3 and (cost := c + kind_cost + math.log10((end - k) // size)) < best[end]:
+                        best[end], back[end] = cost, ("repeat", k)
         j, turns, step = i + 1, 0, None
-        while j < min(n, i + 64) and _neighbours(low[j - 1], low[j]):
+        while j < min(n, i + WALK) and _neighbours(low[j - 1], low[j]):
             (r, k), (q, s) = PLACE[low[j - 1]], PLACE[low[j]]
             turns += step is not None and step != (q - r, s - k)
             step, j = (q - r, s - k), j + 1
@@ -156,7 +176,8 @@ def scanned(docs: DataFrame, text_col: str = "text", least: float = 10.0, most_w
     """docs with out_col: array of (kind, start, end, log10_guesses), by start, then by kind as in KINDS.
 
     start and end are code points of the whole text, end exclusive. log10_guesses is the guess cost of a span of kind
-    assign (its value) or guess, else null. Null and empty texts have none. Rows come back as they are, repeated or not.
+    assign (its value) or guess, else null. Null and empty texts have none. Rows come back as they are, repeated or not; a
+    column named out_col is replaced. No rows in, no rows out.
     """
     ranks = docs.sparkSession.sparkContext.broadcast(word_ranks(docs, text_col, most_words))
 
