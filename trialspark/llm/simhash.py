@@ -25,6 +25,8 @@ from trialspark.llm.graph import components
 HALF, SHARD, MOST_LEVELS, SAMPLE = 0.6, 4096, 16, 8
 #: Points that go down the shared tree at once: many more than it has leaves.
 PLACED = 100_000
+#: Points of a leaf of the shared tree that is cut by a tree of its own, and levels of that.
+LARGE_LEAF, MORE_LEVELS = 1 << 20, 12
 #: Shingles of a slice of a block whose members are all compared, each member counted as 64 more.
 SLICE = 1_000_000
 
@@ -132,7 +134,9 @@ def linked(prints: DataFrame, radius: int = 2) -> DataFrame:
     """Distinct longs (fp) -> (node, root) for those that chains of steps of at most `radius` bits join to others.
 
     The shared tree's vantage points come from a bounded sample, SAMPLE fingerprints for a leaf and 2**19 at most, the
-    least by hash; every fingerprint is indexed. A shard emits a spanning star for each of its classes, never all its pairs.
+    least by hash; every fingerprint is indexed. Leaves of over LARGE_LEAF points are cut by trees of their own (_deeper), so
+    that shards stay small however many fingerprints there are. A shard emits a spanning star for each of its classes, never
+    all its pairs.
     """
     spark = prints.sparkSession
     n = prints.count()
@@ -161,8 +165,40 @@ def linked(prints: DataFrame, radius: int = 2) -> DataFrame:
         mine = np.flatnonzero(label != np.arange(len(points)))
         return pd.DataFrame({"a": points[mine].view(np.int64), "b": points[label[mine]].view(np.int64)})
 
-    edges = prints.mapInPandas(place, "leaf long, fp long").groupBy("leaf").applyInPandas(pairs, "a long, b long")
-    return components(edges)
+    leaves = prints.mapInPandas(place, "leaf long, fp long")
+    if n > LARGE_LEAF:
+        leaves = _deeper(written(leaves, "vantage-leaves"), radius)
+    return components(leaves.groupBy("leaf").applyInPandas(pairs, "a long, b long"))
+
+
+def _deeper(leaves: DataFrame, radius: int) -> DataFrame:
+    """(leaf, fp) with each leaf of over LARGE_LEAF points cut by a vantage-point tree of about 4096 of its own points.
+
+    Points of such a leaf are dealt to slices, each of which gets the leaf's sample and so builds the same tree. Rounds go on
+    until no leaf is large, but for those that triangle bounds don't split: they are left as they are, under a negative number.
+    """
+    while True:
+        sizes = leaves.groupBy("leaf").agg(F.count("*").alias("n")).filter((F.col("n") > LARGE_LEAF) & (F.col("leaf") >= 0))
+        sizes = written(sizes.withColumn("slices", F.ceil(F.col("n") / LARGE_LEAF).cast("long")), "large-leaves")
+        if not sizes.limit(1).count():
+            return leaves
+        own = written(join_counted(leaves, sizes, ["leaf"], "n"), "large-leaf-points")
+        sample = own.filter(F.pmod(F.xxhash64("fp", "leaf"), F.col("n")) < 4096)
+        sample = sample.select("leaf", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)).alias("slice"), "fp")
+        dealt = own.select("leaf", F.pmod(F.xxhash64("fp"), F.col("slices")).alias("slice"), "fp")
+
+        def cut(key: tuple, points: pd.DataFrame, some: pd.DataFrame) -> pd.DataFrame:
+            tree = VantageTree(some["fp"].to_numpy(np.int64).view(np.uint64), radius, MORE_LEVELS)
+            fps = points["fp"].to_numpy(np.int64).view(np.uint64)
+            found = [(k, x) for k, x in tree.shards(fps) if len(x)]
+            name = lambda k: key[0] * (1 << MORE_LEVELS) + k if tree.leaves > 1 else -1 - key[0]
+            return pd.DataFrame({"leaf": np.repeat([name(k) for k, _ in found], [len(x) for _, x in found]), "fp": np.concatenate([x for _, x in found] or [fps]).view(np.int64)})
+
+        parts = dealt.groupBy("leaf", "slice").cogroup(sample.groupBy("leaf", "slice")).applyInPandas(cut, "leaf long, fp long")
+        # Leaves that stay small are told apart from parts of large ones by their place below the next level's numbers.
+        small = leaves.join(F.broadcast(sizes.select("leaf")), "leaf", "left_anti")
+        small = small.withColumn("leaf", F.when(F.col("leaf") >= 0, -1 - F.col("leaf")).otherwise(F.col("leaf")))
+        leaves = written(small.unionByName(parts), "vantage-leaves")
 
 
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 2) -> DataFrame:
