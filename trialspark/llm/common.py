@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -17,11 +18,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A new path in the folder that all executors share (spark.checkpoint.dir); it goes when the session's JVM ends."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.sparkContext.getCheckpointDir()
+    """A new path in the folder that all executors share; it goes when the session's JVM ends.
+
+    The folder is spark.checkpoint.dir, or what setCheckpointDir was given. Where neither is set, a temporary folder will do
+    only if the driver's process runs all tasks (as in tests): executors elsewhere would not see it.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(base)
     path = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"

@@ -16,7 +16,8 @@ from pyspark.sql.functions import pandas_udf
 from trialspark.llm.common import least_hashed
 
 WORD = re.compile(r"[^\W_]+|[^\w\s]+|_+")
-#: Hashes of the two features that stand for any word: the same again, and the same after one other.
+#: Hashes of the two features that stand for any word: the same again, and the same after one other. They tell one kind of
+#: poor text, repeated words, whatever the words are.
 TWICE, ECHO = np.uint64(0x2545F4914F6CDD1D), np.uint64(0x9FB21C651E98DF25)
 
 
@@ -117,7 +118,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def scored(docs: DataFrame, model: QualityModel, text_col: str = "text", score_col: str = "score") -> DataFrame:
-    """docs with score_col: the chance, 0 to 1, that a whole text's label is 1. Null and empty texts score by the prior alone."""
+    """docs with score_col: the chance, 0 to 1, that a whole text's label is 1. Null and empty texts score by the prior alone.
+
+    Rows come back as they are, repeated or not; a column named score_col is replaced. No rows in, no rows out.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @pandas_udf("double")
