@@ -48,6 +48,48 @@ def test_bandpass_on_chunks_is_that_of_the_whole(traces, wave):
     assert np.abs(got[200:-200] - np.sin(2 * np.pi * 50 * np.arange(200, 3896) / FS)).max() < 0.25
 
 
+@pytest.mark.parametrize("length", [64, 512])
+def test_slow_filters_reach_over_many_chunks(spark, wave, length):
+    cut = spark.createDataFrame([("c", k, length * k, wave[length * k : length * (k + 1)].tolist()) for k in range(4096 // length)], "channel string, chunk long, start long, samples array<double>")
+    got = line(signals.long_traces(signals.bandpass(cut, ["channel"], 0.5, 4.0, FS), ["channel"]))
+    want = signals.zero_phase(signals.butterworth(0.5, 4.0, FS), wave[None], 27)[0]
+    assert np.abs(got - want)[600:-600].max() < 0.01 * np.abs(want).max()
+    with pytest.raises(ValueError, match="halo"):
+        signals.bandpass(cut, ["channel"], 0.5, 4.0, FS, halo=64)
+
+
+def test_band_powers_of_the_whole(spark, wave):
+    cut = spark.createDataFrame([("c", k, 128 * k, wave[128 * k : 128 * (k + 1)].tolist()) for k in range(32)], "channel string, chunk long, start long, samples array<double>")
+    out = signals.band_powers(cut, ["channel"], FS, 50)
+    assert out.columns == ["channel", "sample", "delta", "sigma", "gamma", "theta_ratio"] and out.count() == 4096
+    for name in ("delta", "sigma", "gamma"):
+        q = signals.zero_phase(signals.butterworth(*signals.BANDS[name], FS), wave[None], 27)[0] ** 2
+        want = np.convolve(q, np.ones(50), "full")[24:][: len(q)] / 50
+        got = line(out, name)
+        assert np.abs(got - want)[700:-700].max() < 0.01 * want.max(), name
+
+
+def test_artifacts_stay_in_their_recording(spark):
+    rng = np.random.default_rng(3)
+    rows = [(rec, 0, k, float(v)) for rec in ("a", "b") for k, v in enumerate(rng.normal(size=400))]
+    rows = [(r, c, k, 500.0 if r == "a" and 200 <= k < 204 else v) for r, c, k, v in rows]
+    df = spark.createDataFrame(rows, "rec string, channel int, sample long, value double")
+    norms = signals.chunk_norms(df, ["rec", "channel"], "sample", "value", 4)
+    bad = signals.artifact_chunks(norms, ["channel"], 4, 6.0, recording=("rec",))
+    assert [(r.rec, r.chunk) for r in bad.collect()] == [("a", 50)]
+    out = signals.without_artifacts(df, bad, ["rec", "channel"], "sample", "value", 4, recording=("rec",))
+    assert out.filter("replaced").select("rec").distinct().collect()[0].rec == "a" and out.filter("replaced").count() == 4
+    assert out.filter("rec = 'b'").select("sample", "value").exceptAll(df.filter("rec = 'b'").select("sample", "value")).count() == 0
+
+
+def test_preprocessing_is_a_list_of_steps(spark, traces):
+    out, fs = signals.preprocessed(traces, ["channel"], FS, [("reference", [], "channel"), ("band", 20.0, 80.0), ("resample", 4)])
+    assert fs == 125.0 and out.count() == 8
+    two = traces.unionByName(traces.withColumn("channel", F.lit("d")).withColumn("samples", F.transform("samples", lambda v: 2 * v)))
+    got, _ = signals.preprocessed(two, ["channel"], FS, [("band", 20.0, 80.0), ("reference", [], "channel")])
+    assert got.count() == 16
+
+
 def test_resampled_keeps_the_slow_wave(traces):
     got = line(signals.long_traces(signals.resampled(traces, ["channel"], 4, 16), ["channel"]))
     assert len(got) == 1024

@@ -8,9 +8,12 @@ model at a time; scoring joins the solved coefficients to the rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,7 +36,7 @@ def standardized(features: DataFrame, keys: list[str], feature: str, value: str,
     v = F.col(value) if fit_on is None else F.when(fit_on, F.col(value))
     stats = features.groupBy(*keys, feature).agg(F.avg(v).alias("_m"), F.stddev_pop(v).alias("_s"))
     sd = F.when(F.col("_s") == 0, 1.0).otherwise(F.col("_s"))
-    return features.join(F.broadcast(stats), [*keys, feature]).withColumn(name, (F.col(value) - F.col("_m")) / sd).drop("_m", "_s")
+    return features.join(stats, [*keys, feature]).withColumn(name, (F.col(value) - F.col("_m")) / sd).drop("_m", "_s")
 
 
 def stratified_folds(rows: DataFrame, keys: list[str], label: str, id_col: str, k: int, seed: int = 0) -> DataFrame:
@@ -41,7 +44,7 @@ def stratified_folds(rows: DataFrame, keys: list[str], label: str, id_col: str,
     own = Window.partitionBy(*keys, label)
     dealt = rows.withColumns({"_r": F.row_number().over(own.orderBy(hashed_order(id_col, seed), id_col)) - 1})
     least = rows.groupBy(*keys, label).count().groupBy(*keys).agg(F.greatest(F.lit(2), F.least(F.lit(k), F.min("count"))).alias("_k"))
-    joined = dealt.join(F.broadcast(least), keys) if keys else dealt.crossJoin(F.broadcast(least))
+    joined = dealt.join(least, keys) if keys else dealt.crossJoin(F.broadcast(least))
     return joined.withColumn("fold", F.pmod("_r", "_k").cast("int")).drop("_r", "_k")
 
 
@@ -73,24 +76,46 @@ def lda_fit(rows: DataFrame, keys: list[str], label: str, x: str = "x", shrink:
     partial = class_moments(rows, keys, label, x)
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        by = pdf.groupby(label, sort=True)
-        n = by["n"].sum()
-        s = {c: np.sum(own["s"].to_list(), axis=0) for c, own in by}
-        p = len(next(iter(s.values())))
-        within = np.sum(pdf["g"].to_list(), axis=0).reshape(p, p)
-        for c in n.index:
-            within = within - np.outer(s[c], s[c]) / n[c]
-        cov = within / max(1, n.sum())
-        cov = (1 - shrink) * cov + shrink * np.trace(cov) / p * np.eye(p)
-        inverse = np.linalg.pinv(cov, hermitian=True)
-        out = []
-        for c in n.index:
-            mean = s[c] / n[c]
-            w = inverse @ mean
-            out.append([*[pdf[k].iloc[0] for k in keys], c, n[c] / n.sum(), mean, w, float(-0.5 * mean @ w + np.log(n[c] / n.sum()))])
-        return pd.DataFrame(out, columns=[*keys, label, "prior", "mean", "w", "bias"])
+        own = [pdf[k].iloc[0] for k in keys]
+        return pd.DataFrame([[*own, *row] for row in discriminants(*added_moments(pdf, label), shrink)], columns=[*keys, label, "prior", "mean", "w", "bias"])
+
+    return partial.groupBy(*keys).applyInPandas(solve, f"{key_schema}, {DISCRIMINANT}")
+
+
+DISCRIMINANT = "prior double, mean array<double>, w array<double>, bias double"
 
-    return partial.groupBy(*keys).applyInPandas(solve, f"{key_schema}, prior double, mean array<double>, w array<double>, bias double")
+
+def added_moments(pdf: pd.DataFrame, label: str) -> tuple[dict, dict, dict]:
+    """Counts, sums and matrices of products of each class, from rows of class_moments()."""
+    by = pdf.groupby(label, sort=True)
+    p = len(pdf["s"].iloc[0])
+    n = {c: int(own["n"].sum()) for c, own in by}
+    return n, {c: np.sum(own["s"].to_list(), axis=0) for c, own in by}, {c: np.sum(own["g"].to_list(), axis=0).reshape(p, p) for c, own in by}
+
+
+def discriminants(n: dict, s: dict, g: dict, shrink: float) -> list[tuple]:
+    """(class, prior, mean, w, bias) of each class with rows."""
+    classes = [c for c in n if n[c] > 0]
+    total = sum(n[c] for c in classes)
+    within = sum(g[c] - np.outer(s[c], s[c]) / n[c] for c in classes)
+    p = len(within)
+    cov = within / max(1, total)
+    cov = (1 - shrink) * cov + shrink * np.trace(cov) / p * np.eye(p)
+    inverse = np.linalg.pinv(cov, hermitian=True)
+    out = []
+    for c in classes:
+        mean = s[c] / n[c]
+        w = inverse @ mean
+        out.append((c, n[c] / total, mean, w, float(-0.5 * mean @ w + np.log(n[c] / total))))
+    return out
+
+
+def _held_out_moments(pdf: pd.DataFrame, label: str):
+    """For each fold: (fold, moments of all rows but its own). Moments of all rows less those of the fold."""
+    n, s, g = added_moments(pdf, label)
+    for fold, own in pdf.groupby("fold", sort=True):
+        m, t, h = added_moments(own, label)
+        yield fold, tuple({c: whole[c] - part.get(c, 0) for c in whole} for whole, part in ((n, m), (s, t), (g, h)))
 
 
 def lda_axes(rows: DataFrame, keys: list[str], label: str, x: str = "x", dims: int = 3) -> DataFrame:
@@ -148,8 +173,8 @@ def principal_axes(rows: DataFrame, keys: list[str], x: str = "x", dims: int = 2
 
 def projected(rows: DataFrame, axes: DataFrame, keys: list[str], x: str = "x") -> DataFrame:
     """rows with their place on each axis of lda_axes() or principal_axes(): (columns of rows, axis, place)."""
-    own = F.broadcast(axes.select(*keys, "axis", "w", "offset"))
-    joined = rows.join(own, keys) if keys else rows.crossJoin(own)
+    own = axes.select(*keys, "axis", "w", "offset")
+    joined = rows.join(own, keys) if keys else rows.crossJoin(F.broadcast(own))
     dot = F.aggregate(F.zip_with(x, "w", lambda a, b: a.cast("double") * b), F.lit(0.0), lambda t, v: t + v)
     return joined.select(*rows.columns, "axis", (dot + F.col("offset")).alias("place"))
 
@@ -160,7 +185,7 @@ def lda_predict(rows: DataFrame, model: DataFrame, keys: list[str], label: str,
     Models are a row for each key, joined by it. Ties go to the first class.
     """
     packed = model.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(label).alias("c"), "w", "bias"))).alias("_m")) if keys else model.agg(F.array_sort(F.collect_list(F.struct(F.col(label).alias("c"), "w", "bias"))).alias("_m"))
-    joined = rows.join(F.broadcast(packed), keys) if keys else rows.crossJoin(F.broadcast(packed))
+    joined = rows.join(packed, keys) if keys else rows.crossJoin(F.broadcast(packed))
     dot = lambda w: F.aggregate(F.zip_with(x, w, lambda a, b: a.cast("double") * b), F.lit(0.0), lambda t, v: t + v)
     scored = joined.withColumn("_d", F.transform("_m", lambda m: F.struct((dot(m["w"]) + m["bias"]).alias("d"), m["c"].alias("c"))))
     top = F.array_max(F.transform("_d", lambda d: d["d"]))
@@ -174,10 +199,57 @@ def lda_predict(rows: DataFrame, model: DataFrame, keys: list[str], label: str,
 def cross_validated(rows: DataFrame, keys: list[str], label: str, id_col: str, x: str = "x", k: int = 5, seed: int = 0, shrink: float = 0.0) -> DataFrame:
     """rows with fold and the prediction of the model that did not see their fold; all folds of all keys are one fit."""
     folded = stratified_folds(rows, keys, label, id_col, k, seed)
-    folds = folded.select(*keys, "fold").distinct().withColumnRenamed("fold", "_held")
-    spread = folded.join(F.broadcast(folds), keys) if keys else folded.crossJoin(F.broadcast(folds))
-    model = lda_fit(spread.filter("fold <> _held"), [*keys, "_held"], label, x, shrink).withColumnRenamed("_held", "fold")
-    return lda_predict(folded, model, [*keys, "fold"], label, x)
+    return lda_predict(folded, held_out_models(folded, keys, label, x, shrink), [*keys, "fold"], label, x)
+
+
+def held_out_models(folded: DataFrame, keys: list[str], label: str, x: str = "x", shrink: float = 0.0) -> DataFrame:
+    """(keys, fold, label, prior, mean, w, bias): for each fold the model of the other folds' rows.
+
+    Each row is added up once, in its own fold: a fold's training sums are those of all rows less its own.
+    """
+    partial = class_moments(folded, [*keys, "fold"], label, x)
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = [pdf[k].iloc[0] for k in keys]
+        rows = [[*own, fold, *row] for fold, moments in _held_out_moments(pdf, label) for row in discriminants(*moments, shrink)]
+        return pd.DataFrame(rows, columns=[*keys, "fold", label, "prior", "mean", "w", "bias"])
+
+    return partial.groupBy(*keys).applyInPandas(solve, f"{_schema(folded, [*keys, 'fold', label])}, {DISCRIMINANT}")
+
+
+def pairwise_cross_validated(rows: DataFrame, keys: list[str], label: str, id_col: str, x: str = "x", k: int = 5, seed: int = 0, shrink: float = 0.0, least: int = 20) -> DataFrame:
+    """(rows, a, b, class, fold, predicted, ...): rows times the pairs of labels they belong to, predicted out of fold.
+
+    Labels with under `least` rows have no pairs. All pairs are solved from the same sums by fold and label.
+    """
+    enough = rows.groupBy(*keys, label).count().filter(F.col("count") >= least).select(*keys, label)
+    folded = stratified_folds(rows.join(enough, [*keys, label], "left_semi"), keys, label, id_col, k, seed)
+    partial = class_moments(folded, [*keys, "fold"], label, x)
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        own, out = [pdf[c].iloc[0] for c in keys], []
+        for fold, moments in _held_out_moments(pdf, label):
+            classes = sorted(moments[0])
+            for i, a in enumerate(classes):
+                for b in classes[i + 1 :]:
+                    for row in discriminants(*[{c: m[c] for c in (a, b)} for m in moments], shrink):
+                        out.append([*own, fold, a, b, int(row[0] == b), *row[1:]])
+        return pd.DataFrame(out, columns=[*keys, "fold", "a", "b", "class", "prior", "mean", "w", "bias"])
+
+    kind = rows.schema[label].dataType.simpleString()
+    models = partial.groupBy(*keys).applyInPandas(solve, f"{_schema(folded, [*keys, 'fold'])}, a {kind}, b {kind}, class int, {DISCRIMINANT}")
+    pairs = models.select(*keys, "a", "b").distinct()
+    sides = pairs.select(*keys, F.col("a").alias(label), "a", "b", F.lit(0).alias("class")).unionByName(pairs.select(*keys, F.col("b").alias(label), "a", "b", F.lit(1).alias("class")))
+    return lda_predict(folded.join(sides, [*keys, label]), models, [*keys, "fold", "a", "b"], "class", x)
+
+
+def train_accuracy(folded: DataFrame, models: DataFrame, keys: list[str], label: str, x: str = "x") -> DataFrame:
+    """(keys, train_accuracy): the mean over folds of each fold's model's accuracy on the rows it was fitted on."""
+    held = models.select(*keys, F.col("fold").alias("_held")).distinct()
+    spread = (folded.join(held, keys) if keys else folded.crossJoin(F.broadcast(held))).filter("fold <> _held").drop("fold").withColumnRenamed("_held", "fold")
+    p = lda_predict(spread, models, [*keys, "fold"], label, x)
+    f = p.groupBy(*keys, "fold").agg(F.avg((F.col(label) == F.col("predicted")).cast("double")).alias("_a"))
+    return f.groupBy(*keys).agg(F.avg("_a").alias("train_accuracy"))
 
 
 def fold_scores(predicted: DataFrame, keys: list[str], label: str, name: str = "predicted") -> DataFrame:
@@ -265,8 +337,8 @@ def pairwise_rows(rows: DataFrame, label: str) -> DataFrame:
     """Rows times the pairs of labels they belong to: a < b, class 0 or 1."""
     d = rows.select(label).filter(F.col(label).isNotNull()).distinct()
     pairs = d.select(F.col(label).alias("a")).join(d.select(F.col(label).alias("b")), F.col("a") < F.col("b"))
-    first = rows.join(F.broadcast(pairs), F.col(label) == F.col("a")).withColumn("class", F.lit(0))
-    return first.unionByName(rows.join(F.broadcast(pairs), F.col(label) == F.col("b")).withColumn("class", F.lit(1)))
+    first = rows.join(pairs, F.col(label) == F.col("a")).withColumn("class", F.lit(0))
+    return first.unionByName(rows.join(pairs, F.col(label) == F.col("b")).withColumn("class", F.lit(1)))
 
 
 def symmetric(results: DataFrame, score: str) -> DataFrame:
@@ -306,7 +378,7 @@ def overlap(shapes: DataFrame, label: str, points: int = 50_000, seed: int = 0)
     """
     packed = shapes.groupBy(label).agg(F.array_sort(F.collect_list(F.struct("dim", "mean", "sd"))).alias("d"))
     a, b = packed.select(F.col(label).alias("a"), F.col("d").alias("da")), packed.select(F.col(label).alias("b"), F.col("d").alias("db"))
-    pairs = a.join(F.broadcast(b), F.col("a") != F.col("b"))
+    pairs = a.join(b, F.col("a") != F.col("b"))
     blocks = pairs.withColumn("_n", F.explode(F.sequence(F.lit(0), F.lit(max(1, points // 1000) - 1)))).withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(min(points, 1000) - 1))))
 
     def inside(own: str, other: str) -> Column:
@@ -362,25 +434,30 @@ def random_fourier(rows: DataFrame, x: str, dims: int, features: int, gamma: flo
     return rows.withColumn(name, transform(x))
 
 
-def classifier_suite(rows: DataFrame, label: str, id_col: str, x: str = "x", dims: int = 64, k: int = 5, names: tuple[str, ...] = ("logistic", "forest", "mlp", "svm_rbf")) -> DataFrame:
-    """(id, label, fold, method, predicted): out-of-fold predictions of Spark ML classifiers; labels are 0 .. n-1."""
+def classifier_suite(rows: DataFrame, label: str, id_col: str, x: str = "x", dims: int = 64, k: int = 5, names: tuple[str, ...] = ("logistic", "forest", "mlp", "svm_rbf"), parallel: int = 4) -> DataFrame:
+    """(id, label, fold, method, predicted): out-of-fold predictions of Spark ML classifiers; labels are 0 .. n-1.
+
+    `parallel` fits run at a time; each is a Spark job over all rows of its training folds.
+    """
     from pyspark.ml.classification import LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier
     from pyspark.ml.functions import array_to_vector
 
     folded = stratified_folds(rows, [], label, id_col, k).withColumn("label", F.col(label).cast("double"))
     n_classes = folded.select(label).distinct().count()
     folded = random_fourier(folded, x, dims, 4 * dims, 1.0 / dims)
-    folded = folded.withColumns({"features": array_to_vector(F.transform(x, lambda v: v.cast("double"))), "kernel": array_to_vector("z")}).cache()
+    folded = folded.withColumns({"features": array_to_vector(F.transform(x, lambda v: v.cast("double"))), "kernel": array_to_vector("z")})
     makers = {
         "logistic": lambda: LogisticRegression(maxIter=100, regParam=0.01),
         "forest": lambda: RandomForestClassifier(numTrees=50, seed=7),
         "mlp": lambda: MultilayerPerceptronClassifier(layers=[dims, 100, 50, n_classes], maxIter=60, seed=7),
-        "svm_rbf": lambda: OneVsRest(classifier=LinearSVC(maxIter=30, regParam=0.001, featuresCol="kernel"), featuresCol="kernel"),
+        "svm_rbf": lambda: OneVsRest(classifier=LinearSVC(maxIter=20, regParam=0.001, featuresCol="kernel"), featuresCol="kernel", parallelism=n_classes),
     }
-    out = None
-    for name in names:
-        for fold in range(k):
-            fitted = makers[name]().fit(folded.filter(F.col("fold") != fold))
-            p = fitted.transform(folded.filter(F.col("fold") == fold)).select(id_col, label, "fold", F.lit(name).alias("method"), F.col("prediction").cast("int").alias("predicted"))
-            out = p if out is None else out.unionByName(p)
-    return out
+    folded = folded.persist()
+    jobs = [(name, fold) for name in names for fold in range(k)]
+    try:
+        with ThreadPool(parallel) as pool:
+            fitted = pool.map(inheritable_thread_target(rows.sparkSession)(lambda job: makers[job[0]]().fit(folded.filter(F.col("fold") != job[1]))), jobs)
+    finally:
+        folded.unpersist()
+    parts = [m.transform(folded.filter(F.col("fold") == fold)).select(id_col, label, "fold", F.lit(name).alias("method"), F.col("prediction").cast("int").alias("predicted")) for (name, fold), m in zip(jobs, fitted, strict=True)]
+    return reduce(DataFrame.unionByName, parts)

@@ -106,11 +106,45 @@ def zero_phase(sos: np.ndarray, x: np.ndarray, pad: int) -> np.ndarray:
 
 
 def with_halo(traces: DataFrame, keys: list[str], halo: int) -> DataFrame:
-    """traces with before and after: up to `halo` samples of the chunks on either side (halo within one chunk)."""
+    """traces with before and after: up to `halo` samples on either side, from as many chunks as that takes.
+
+    Only a recording's ends leave less. The number of chunks follows from the shortest that isn't a recording's last one.
+    """
+    w = Window.partitionBy(*keys).orderBy("chunk")
+    inner = traces.select(F.size("samples").alias("_n"), F.lead("chunk").over(w).alias("_next")).filter("_next IS NOT NULL AND _n > 0")
+    shortest = inner.agg(F.min("_n")).first()[0] or max(1, halo)
+    chunks = max(1, -(-halo // shortest))
+    before = F.flatten(F.collect_list("samples").over(w.rowsBetween(-chunks, -1)))
+    after = F.flatten(F.collect_list("samples").over(w.rowsBetween(1, chunks)))
+    wide = traces.withColumns({"before": before, "after": after})
+    return wide.withColumns({"before": F.slice("before", F.greatest(F.size("before") - halo + 1, F.lit(1)), F.lit(halo)), "after": F.slice("after", F.lit(1), F.lit(halo))})
+
+
+def _blocks(traces: DataFrame, keys: list[str], halo: int) -> DataFrame:
+    """Neighbouring chunks joined to blocks that are about as long as a halo, so that a sample is filtered about three times.
+
+    (keys, chunk: the block's number, start, samples, _parts: the rows it is made of, in order).
+    """
     w = Window.partitionBy(*keys).orderBy("chunk")
-    none = F.array().cast("array<double>")
-    before, after = F.coalesce(F.lag("samples").over(w), none), F.coalesce(F.lead("samples").over(w), none)
-    return traces.withColumns({"before": F.slice(before, F.greatest(F.size(before) - halo + 1, F.lit(1)), F.lit(halo)), "after": F.slice(after, F.lit(1), F.lit(halo))})
+    inner = traces.select(F.size("samples").alias("_n"), F.lead("chunk").over(w).alias("_next")).filter("_next IS NOT NULL AND _n > 0")
+    many = max(1, -(-halo // (inner.agg(F.min("_n")).first()[0] or max(1, halo))))
+    rest = [c for c in traces.columns if c not in (*keys, "chunk", "samples")]
+    joined = traces.groupBy(*keys, F.floor(F.col("chunk") / many).cast("bigint").alias("_g")).agg(F.array_sort(F.collect_list(F.struct("chunk", *rest, "samples"))).alias("_parts"))
+    return joined.select(*keys, F.col("_g").alias("chunk"), F.col("_parts")[0]["start"].alias("start"), F.flatten(F.transform("_parts", lambda p: p["samples"])).alias("samples"), "_parts")
+
+
+def _parted(blocks: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """The rows that blocks were made of, with their shares of the blocks' samples."""
+    before = lambda i: F.aggregate(F.slice("_parts", F.lit(1), i), F.lit(0), lambda n, q: n + F.size(q["samples"]))
+    rows = blocks.select(*keys, "samples", F.explode(F.transform("_parts", lambda p, i: F.struct(p.alias("p"), before(i).alias("at")))).alias("_x"))
+    own = F.slice("samples", F.col("_x.at") + 1, F.size("_x.p.samples"))
+    return rows.select(*[F.col(c) if c in keys else own.alias(c) if c == "samples" else F.col(f"_x.p.{c}") for c in columns])
+
+
+def response_length(sos: np.ndarray, share: float = 1e-3) -> int:
+    """Samples until what a filter of these sections remembers of a sample has fallen to this share."""
+    radius = max(abs(r) for row in sos for r in np.roots([1.0, row[4], row[5]]))
+    return int(np.ceil(np.log(share) / np.log(radius))) if radius > 0 else 1
 
 
 def _on_chunks(traces: DataFrame, keys: list[str], halo: int, kernel, name: str = "samples") -> DataFrame:
@@ -131,10 +165,15 @@ def _on_chunks(traces: DataFrame, keys: list[str], halo: int, kernel, name: str
     return with_halo(traces, keys, halo).withColumn(name, run("before", "samples", "after")).drop("before", "after")
 
 
-def bandpass(traces: DataFrame, keys: list[str], low: float | None, high: float | None, fs: float, order: int = 4, halo: int = 1024) -> DataFrame:
-    """Zero-phase Butterworth filter of chunks. The halo bounds the error: it should outlast the filter's response."""
+def bandpass(traces: DataFrame, keys: list[str], low: float | None, high: float | None, fs: float, order: int = 4, halo: int | None = None) -> DataFrame:
+    """Zero-phase Butterworth filter of chunks, with a halo that outlasts the filter's response; a shorter one is refused."""
     sos = butterworth(low, high, fs, order)
-    return _on_chunks(traces, keys, halo, lambda x, nb, n: zero_phase(sos, x, min(3 * (2 * len(sos) + 1), x.shape[1] - 1))[:, nb : nb + n])
+    least = response_length(sos)
+    if halo is not None and halo < least:
+        raise ValueError(f"a halo of {halo} samples is under the filter's response of {least}")
+    halo = halo or least
+    done = _on_chunks(_blocks(traces, keys, halo), keys, halo, lambda x, nb, n: zero_phase(sos, x, min(3 * (2 * len(sos) + 1), x.shape[1] - 1))[:, nb : nb + n])
+    return _parted(done, keys, traces.columns)
 
 
 def resampled(traces: DataFrame, keys: list[str], ratio: int, taps: int = 16) -> DataFrame:
@@ -199,21 +238,31 @@ def spectrogram(traces: DataFrame, keys: list[str], chunk_length: int, fs: float
     return cut.select(*keys, "seg", ((F.col("seg") * step + nperseg / 2) / fs).alias("t"), density("x").alias("psd"))
 
 
-def band_power(traces: DataFrame, keys: list[str], low: float, high: float, fs: float, smooth: int, halo: int = 1024) -> DataFrame:
-    """(keys, sample, power): band-passed samples squared, by a moving average of `smooth` samples, 0 beyond the ends."""
-    squared = long_traces(bandpass(traces, keys, low, high, fs, halo=halo), keys).withColumn("_q", F.col("value") * F.col("value"))
-    w = Window.partitionBy(*keys).orderBy("sample").rowsBetween(-(smooth // 2), (smooth + 1) // 2 - 1)
-    return squared.select(*keys, "sample", (F.sum("_q").over(w) / F.lit(float(smooth))).alias("power"))
+BANDS = {"delta": (0.5, 4.0), "sigma": (9.0, 25.0), "gamma": (40.0, 100.0), "_narrow": (5.0, 10.0), "_wide": (2.0, 15.0)}
+
+
+def band_powers(traces: DataFrame, keys: list[str], fs: float, smooth: int, bands: dict[str, tuple[float, float]] = BANDS) -> DataFrame:
+    """(keys, sample, delta, sigma, gamma, theta_ratio): 0.5-4, 9-25, 40-100 Hz, and 5-10 by 2-15 Hz.
+
+    A band's power is its band-passed samples squared, by a moving average of `smooth` samples, 0 beyond the ends. All bands
+    are made from one chunk and its halo, which outlasts the slowest filter and the average; samples are parted at the end.
+    """
+    filters = {name: butterworth(low, high, fs) for name, (low, high) in bands.items()}
+    halo = max(map(response_length, filters.values())) + smooth
 
+    def powers(x: np.ndarray, nb: int, n: int) -> np.ndarray:
+        out = []
+        for sos in filters.values():
+            q = zero_phase(sos, x, min(3 * (2 * len(sos) + 1), x.shape[1] - 1)) ** 2
+            sums = np.pad(np.cumsum(q, axis=1), ((0, 0), (1, 0)))
+            at = np.arange(nb, nb + n)
+            out.append((sums[:, np.minimum(at + (smooth + 1) // 2, x.shape[1])] - sums[:, np.maximum(at - smooth // 2, 0)]) / smooth)
+        return np.stack(out, axis=1).reshape(len(x), -1)
 
-def band_powers(traces: DataFrame, keys: list[str], fs: float, smooth: int, halo: int = 1024) -> DataFrame:
-    """(keys, sample, delta, sigma, gamma, theta_ratio): 0.5-4, 9-25, 40-100 Hz, and 5-10 by 2-15 Hz."""
-    bands = {"delta": (0.5, 4.0), "sigma": (9.0, 25.0), "gamma": (40.0, 100.0), "_narrow": (5.0, 10.0), "_wide": (2.0, 15.0)}
-    out = None
-    for name, (low, high) in bands.items():
-        one = band_power(traces, keys, low, high, fs, smooth, halo).withColumnRenamed("power", name)
-        out = one if out is None else out.join(one, [*keys, "sample"])
-    return out.withColumn("theta_ratio", F.col("_narrow") / (F.col("_wide") + 1e-10)).drop("_narrow", "_wide")
+    wide = _on_chunks(_blocks(traces, keys, halo), keys, halo, powers, "_p").select(*keys, "start", F.size("samples").alias("_n"), "_p", F.posexplode("samples").alias("_k", "_x"))
+    named = {name: F.col("_p")[F.col("_k") + i * F.col("_n")] for i, name in enumerate(bands)}
+    out = wide.select(*keys, (F.col("start") + F.col("_k")).alias("sample"), *[c.alias(name) for name, c in named.items()])
+    return out.withColumn("theta_ratio", F.col("_narrow") / (F.col("_wide") + 1e-10)).drop("_narrow", "_wide") if {"_narrow", "_wide"} <= set(bands) else out
 
 
 def first_component(spectra: DataFrame, keys: list[str], at: str, values: str, log: bool = True) -> DataFrame:
@@ -260,16 +309,23 @@ def chunk_norms(samples: DataFrame, channel: list[str], sample: str, value: str,
     return out if partial else out.filter(F.col("n") == size)
 
 
-def artifact_chunks(norms: DataFrame, channel: list[str], size: int, k: float = 6.0) -> DataFrame:
-    """(chunk, start, n_channels): chunks whose norm is over mean + k population deviations in any channel."""
-    w = Window.partitionBy(*channel)
+def artifact_chunks(norms: DataFrame, channel: list[str], size: int, k: float = 6.0, recording: tuple[str, ...] = ()) -> DataFrame:
+    """(recording, chunk, start, n_channels): chunks whose norm is over mean + k population deviations in any channel.
+
+    recording: the columns that tell recordings apart; a chunk is bad in its own recording alone.
+    """
+    w = Window.partitionBy(*recording, *channel)
     bad = norms.filter("norm IS NOT NULL").withColumn("_t", F.avg("norm").over(w) + k * F.stddev_pop("norm").over(w)).filter("norm > _t")
-    return bad.groupBy("chunk").agg((F.col("chunk") * size).alias("start"), F.count("*").alias("n_channels"))
+    return bad.groupBy(*recording, "chunk").agg((F.col("chunk") * size).alias("start"), F.count("*").alias("n_channels"))
 
 
-def without_artifacts(samples: DataFrame, bad: DataFrame, keys: list[str], sample: str, value: str, size: int, name: str = "value") -> DataFrame:
-    """Samples of bad chunks replaced by the cubic through two good samples on either side; at an end, by the nearest good one."""
-    marked = samples.withColumn("chunk", F.floor(F.col(sample) / size).cast("bigint")).join(F.broadcast(bad.select("chunk", F.lit(True).alias("_bad"))), "chunk", "left")
+def without_artifacts(samples: DataFrame, bad: DataFrame, keys: list[str], sample: str, value: str, size: int, name: str = "value", recording: tuple[str, ...] = ()) -> DataFrame:
+    """Samples of bad chunks replaced by the cubic through two good samples on either side; at an end, by the nearest good one.
+
+    keys tell the lines of samples apart, recording (some of them) the recordings that the bad chunks belong to.
+    """
+    on = [*recording, "chunk"]
+    marked = samples.withColumn("chunk", F.floor(F.col(sample) / size).cast("bigint")).join(bad.select(*on, F.lit(True).alias("_bad")).distinct(), on, "left")
     marked = marked.withColumn("_g", F.when(F.col("_bad").isNull(), F.struct(F.col(sample).cast("double").alias("x"), F.col(value).cast("double").alias("y"))))
     order = Window.partitionBy(*keys).orderBy(sample)
     back = Window.partitionBy(*keys).orderBy(F.col(sample).desc())
@@ -304,6 +360,41 @@ def artifact_report(raw: DataFrame, cleaned: DataFrame, keys: list[str], sample:
     return both.withColumn("reduction", F.when(F.col("rms_before") > 0, 100 * (1 - F.col("rms_after") / F.col("rms_before"))).otherwise(0.0))
 
 
+def artifact_counts(bad: DataFrame, recording: list[str], size: int, window: int) -> DataFrame:
+    """(recording, win, n): bad chunks by windows of samples; windows without any have no row."""
+    return bad.groupBy(*recording, F.floor(F.col("chunk") * size / window).cast("bigint").alias("win")).agg(F.count("*").alias("n"))
+
+
+def artifact_summary(report: DataFrame, bad: DataFrame, lengths: DataFrame, recording: list[str], size: int, fs: float) -> DataFrame:
+    """(recording, n_bad, share_of_time, per_minute, reduction_mean, reduction_median, reduction_least, reduction_most).
+
+    lengths: (recording, samples). share_of_time is in per cent. A recording without bad chunks has zeros.
+    """
+    n = bad.groupBy(*recording).agg(F.count_distinct("chunk").alias("_n"))
+    r = report.groupBy(*recording).agg(F.avg("reduction").alias("reduction_mean"), F.median("reduction").alias("reduction_median"), F.min("reduction").alias("reduction_least"), F.max("reduction").alias("reduction_most"))
+    joined = (lengths.join(n, recording, "left").join(r, recording, "left") if recording else lengths.crossJoin(n).crossJoin(r)).withColumn("n_bad", F.coalesce("_n", F.lit(0)))
+    seconds = F.col("samples") / F.lit(fs)
+    share, rate = 100 * F.least(F.lit(1.0), F.col("n_bad") * size / F.col("samples")), F.col("n_bad") / (seconds / 60)
+    return joined.select(*recording, "n_bad", share.alias("share_of_time"), rate.alias("per_minute"), "reduction_mean", "reduction_median", "reduction_least", "reduction_most")
+
+
+def preprocessed(traces: DataFrame, keys: list[str], fs: float, steps: list[tuple]) -> tuple[DataFrame, float]:
+    """traces after the steps in their order, and their rate: ("reference", group, channel), ("band", low, high), ("resample", ratio).
+
+    group: the columns that tell apart what is referenced together; keys those of a single line.
+    """
+    for step, *told in steps:
+        if step == "reference":
+            traces = median_reference_chunks(traces, told[0], told[1])
+        elif step == "band":
+            traces = bandpass(traces, keys, *told, fs)
+        elif step == "resample":
+            traces, fs = resampled(traces, keys, told[0]), fs / told[0]
+        else:
+            raise ValueError(f"no step {step}")
+    return traces, fs
+
+
 def power_by_depth(samples: DataFrame, channels: DataFrame, shank: list[str], channel: str, value: str, depth: str) -> DataFrame:
     """(shank, channel, depth, power, share, is_peak): mean square of each channel, by the largest of its shank."""
     p = samples.groupBy(*shank, channel).agg(F.avg(F.col(value).cast("double") * F.col(value).cast("double")).alias("power"))

@@ -104,10 +104,11 @@ def depth_rank(channels: DataFrame, keys: list[str], depth: str, channel: str, n
     return channels.withColumn(name, F.row_number().over(_over(keys, [depth, channel])) - 1)
 
 
-def depth_offsets(samples: DataFrame, channels: DataFrame, channel: str, value: str, rank: str = "depth_rank", step: float = 15.0) -> DataFrame:
-    """channels with offset = -rank * step * the median of the channels' deviations."""
-    sd = samples.groupBy(channel).agg(F.stddev_pop(value).alias("_sd")).agg(F.median("_sd").alias("_m"))
-    return channels.crossJoin(F.broadcast(sd)).withColumn("offset", -F.col(rank) * step * F.col("_m")).drop("_m")
+def depth_offsets(samples: DataFrame, channels: DataFrame, channel: str, value: str, rank: str = "depth_rank", step: float = 15.0, recording: tuple[str, ...] = ()) -> DataFrame:
+    """channels with offset = -rank * step * the median, over the channels of a recording, of their deviations."""
+    sd = samples.groupBy(*recording, channel).agg(F.stddev_pop(value).alias("_sd")).groupBy(*recording).agg(F.median("_sd").alias("_m"))
+    joined = channels.join(sd, list(recording)) if recording else channels.crossJoin(F.broadcast(sd))
+    return joined.withColumn("offset", -F.col(rank) * step * F.col("_m")).drop("_m")
 
 
 def frequency_bins(df: DataFrame, keys: list[str], freq: str, value: str, first: float, width: float, bins: int) -> DataFrame:
@@ -119,7 +120,14 @@ def frequency_bins(df: DataFrame, keys: list[str], freq: str, value: str, first:
 def display_limits(df: DataFrame, keys: list[str], value: str, k: float = 3.0, extend: float = 0.2) -> DataFrame:
     """(keys, middle, mad, low, high): median +- k median absolute deviations, each side further by a share of the span."""
     m = df.groupBy(*keys).agg(F.median(value).alias("middle"))
-    joined = df.join(F.broadcast(m), keys) if keys else df.crossJoin(F.broadcast(m))
+    joined = df.join(m, keys) if keys else df.crossJoin(F.broadcast(m))
     d = joined.groupBy(*keys, "middle").agg(F.median(F.abs(F.col(value) - F.col("middle"))).alias("mad"))
     reach = F.col("mad") * k * (1 + 2 * extend)
     return d.withColumns({"low": F.col("middle") - reach, "high": F.col("middle") + reach})
+
+
+def percentile_limits(df: DataFrame, keys: list[str], value: str, low: float = 1.0, high: float = 99.0, extend: float = 0.2) -> DataFrame:
+    """(keys, low, high): exact percentiles, each side further by a share of the span."""
+    p = df.groupBy(*keys).agg(F.percentile(value, low / 100).alias("_a"), F.percentile(value, high / 100).alias("_b"))
+    span = (F.col("_b") - F.col("_a")) * extend
+    return p.select(*keys, (F.col("_a") - span).alias("low"), (F.col("_b") + span).alias("high"))

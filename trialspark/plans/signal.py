@@ -98,16 +98,16 @@ def _savgol_sql(width: int, degree: int) -> str:
     return f"CASE WHEN n < {width} THEN value{cases} ELSE {_taps(windows.savgol_weights(width, degree), -half)} END"
 
 
-@query(f"WITH {SAMPLES}, s AS (SELECT *, row_number() OVER (PARTITION BY channel ORDER BY sample) - 1 AS i, count(*) OVER (PARTITION BY channel) AS n FROM samples WHERE channel < 8) SELECT channel, sample, round({_savgol_sql(11, 3)}, 6) AS smooth FROM s WINDOW w AS (PARTITION BY channel ORDER BY sample)")
+@query(f"WITH {SAMPLES}, s AS (SELECT *, row_number() OVER (PARTITION BY channel ORDER BY sample) - 1 AS i, count(*) OVER (PARTITION BY channel) AS n FROM samples) SELECT channel, sample, round({_savgol_sql(11, 3)}, 6) AS smooth FROM s WINDOW w AS (PARTITION BY channel ORDER BY sample)")
 def savgol(spark, d):
-    return windows.savgol(samples(spark, d).filter("channel < 8"), ["channel"], ["sample"], "value", 11, 3).select("channel", "sample", "smooth")
+    return windows.savgol(samples(spark, d), ["channel"], ["sample"], "value", 11, 3).select("channel", "sample", "smooth")
 
 
-@query(f"""WITH {SAMPLES}, s AS (SELECT *, row_number() OVER (PARTITION BY channel ORDER BY sample) - 1 AS i, count(*) OVER (PARTITION BY channel) AS n FROM samples WHERE channel < 8),
+@query(f"""WITH {SAMPLES}, s AS (SELECT *, row_number() OVER (PARTITION BY channel ORDER BY sample) - 1 AS i, count(*) OVER (PARTITION BY channel) AS n FROM samples),
 a AS (SELECT s.channel, s.sample, s.i, CASE WHEN s.i + k < 0 THEN -(s.i + k) - 1 WHEN s.i + k >= s.n THEN 2 * s.n - 1 - s.i - k ELSE s.i + k END AS at FROM s, range(-2, 3) r(k))
 SELECT a.channel, a.sample, round(median(s.value), 6) AS smooth FROM a JOIN s ON s.channel = a.channel AND s.i = a.at GROUP BY a.channel, a.sample""")
 def median_filter(spark, d):
-    return windows.median_filter(samples(spark, d).filter("channel < 8"), ["channel"], ["sample"], "value").select("channel", "sample", "smooth")
+    return windows.median_filter(samples(spark, d), ["channel"], ["sample"], "value").select("channel", "sample", "smooth")
 
 
 @query(f"WITH {SAMPLES} SELECT channel, sample, round((value - avg(value) OVER w) / (stddev_pop(value) OVER w + 1e-10), 6) AS z FROM samples WINDOW w AS (PARTITION BY channel, sample // 100)")
@@ -187,7 +187,7 @@ def spectrogram(spark, d):
 
 @query()
 def bandpass(spark, d):
-    return signals.long_traces(signals.bandpass(_line(spark, d), ["channel"], 20.0, 100.0, 500.0, halo=64), ["channel"])
+    return signals.long_traces(signals.bandpass(_line(spark, d), ["channel"], 20.0, 100.0, 500.0), ["channel"])
 
 
 @query()
@@ -197,7 +197,7 @@ def resampled(spark, d):
 
 @query()
 def band_powers(spark, d):
-    return signals.band_powers(_line(spark, d), ["channel"], 500.0, 50, halo=64)
+    return signals.band_powers(_line(spark, d), ["channel"], 500.0, 50)
 
 
 @query()
