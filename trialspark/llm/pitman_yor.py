@@ -39,12 +39,12 @@ END, START = (np.uint64(xxhash.xxh3_64_intdigest(x)) for x in (b" ", b"  "))
 #: Tokens of a batch at most, unless one text has more.
 BATCH_TOKENS = 2_000_000
 #: Texts from which common words are taken. They only make messages short and say which contexts are dealt by pair.
-SAMPLE_TEXTS, COMMON = 4000, 60_000
+SAMPLE_TEXTS, COMMON = 16_000, 400_000
 #: Customers up to which a dish's tables are drawn exactly; up to which customers of other dishes are seated one by one,
 #: and beyond which in groups of a 64th of those seated.
 EXACT, ONE_BY_ONE = 100, 1024
 #: A pair's score is told in so many steps of a unit of log10.
-STEPS = 100_000
+STEPS = 4000
 MESSAGE = "bucket long, shard long, kind int, body binary"
 
 
@@ -148,7 +148,7 @@ def common_words(base: DataFrame, buckets: int) -> Common:
 
 
 #: Kinds of arrays of a batch's pairs in a bucket: contexts' codes and hashes, pairs of each, words' codes and hashes, counts in training.
-PAIRS = "u2 +u8 u4 u2 u8 u4"
+PAIRS = "u4 +u8 u4 u4 u8 u4"
 
 
 def _entries(buckets: int, shared):
@@ -368,16 +368,19 @@ def _requests(shards: int, shared):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         b, at = Bucket(pdf, shared.value), int(pdf["bucket"].iloc[0])
         c, types = b.per_word(b.count), b.per_word(b.seen)
-        rows = [(at, s, REQUEST, pack(b.words[x], c[x], types[x], kinds="+u8 u4 u4")) for s, x in _cells(b.words, shards)]
+        rows = [(at, s, REQUEST, pack(*shared.value.codes(b.words[x]), c[x], types[x], kinds="+u4 +u8 u4 u4")) for s, x in _cells(b.words, shards)]
         totals = np.concatenate([[(b.count == 1).sum(), (b.count == 2).sum()], b.hot_sums(b.count), b.hot_sums(b.seen)])
         return _message([*rows, (at, -1, REQUEST, pack(totals, kinds="f8"))])
 
     return run
 
 
-def _shard_words(pdf: pd.DataFrame) -> tuple[list[tuple[int, np.ndarray]], np.ndarray, np.ndarray]:
+def _shard_words(pdf: pd.DataFrame, common: Common) -> tuple[list[tuple[int, np.ndarray]], np.ndarray, np.ndarray]:
     """Of a shard's requests: (bucket, places of its words) in turn, and each word's count and contexts."""
-    told = [(int(b), *unpack(body, "+u8 u4 u4")) for b, body in pdf.sort_values("bucket")[["bucket", "body"]].itertuples(index=False)]
+    told = []
+    for b, body in pdf.sort_values("bucket")[["bucket", "body"]].itertuples(index=False):
+        codes, rest, count, types = unpack(body, "+u4 +u8 u4 u4")
+        told.append((int(b), common.hashes(codes, rest), count, types))
     words, at = np.unique(np.concatenate([x[1] for x in told]), return_inverse=True)
     count = np.bincount(at, weights=np.concatenate([x[2] for x in told]), minlength=len(words))
     types = np.bincount(at, weights=np.concatenate([x[3] for x in told]), minlength=len(words))
@@ -385,19 +388,22 @@ def _shard_words(pdf: pd.DataFrame) -> tuple[list[tuple[int, np.ndarray]], np.nd
     return [(x[0], at[cuts[k] : cuts[k + 1]]) for k, x in enumerate(told)], count, types
 
 
-def _shard_totals(pdf: pd.DataFrame) -> pd.DataFrame:
-    _, count, types = _shard_words(pdf)
-    return pd.DataFrame({"words": [int((count > 0).sum())], "tokens": [int(count.sum())], "customers": [int(types.sum())], "ones": [int((types == 1).sum())], "twos": [int((types == 2).sum())]})
+def _shard_totals(shared):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        _, count, types = _shard_words(pdf, shared.value)
+        return pd.DataFrame({"words": [int((count > 0).sum())], "tokens": [int(count.sum())], "customers": [int(types.sum())], "ones": [int((types == 1).sum())], "twos": [int((types == 2).sum())]})
+
+    return run
 
 
-def _answers(parent: Parent, s: Settings, sample: int):
+def _answers(parent: Parent, s: Settings, sample: int, shared):
     """Seats the parent's customers, `types` and the further tables that buckets told, and answers each bucket."""
-    x = np.random.default_rng([sample, 1]).gamma(s.parent_strength / parent.parent_discount + parent.tables)
+    drawn = np.random.default_rng([sample, 1]).gamma(s.parent_strength / parent.parent_discount + parent.tables)
 
     def run(key: tuple, requests: pd.DataFrame, more: pd.DataFrame) -> pd.DataFrame:
         if not len(requests) or key[0] < 0:
             return _message([])
-        cells, count, types = _shard_words(requests)
+        cells, count, types = _shard_words(requests, shared.value)
         extra = {int(b): body for b, body in more[["bucket", "body"]].itertuples(index=False)}
         customers = types.copy()
         for b, at in cells:
@@ -408,18 +414,19 @@ def _answers(parent: Parent, s: Settings, sample: int):
         many = np.flatnonzero(customers > 1)
         rng = np.random.default_rng([sample, 2, int(key[0])])
         base = np.full(len(many), 1 / (parent.words + 1))
-        t[many] = gibbs(customers[many].astype(np.int64), base, parent.parent_discount, lambda t: np.full(len(t), x), s.sweeps, rng)
-        rows = [(b, int(key[0]), ANSWER + sample, pack(count[at], customers[at], t[at], kinds="u4 u4 u4")) for b, at in cells]
+        t[many] = gibbs(customers[many].astype(np.int64), base, parent.parent_discount, lambda t: np.full(len(t), drawn), s.sweeps, rng)
+        told = (customers, t) if sample else (customers, t, count)
+        rows = [(b, int(key[0]), ANSWER + sample, pack(*[x[at] for x in told], kinds="u4 u4 u4"[: 3 * len(told) - 1])) for b, at in cells]
         return _message([*rows, (-1, int(key[0]), ANSWER + sample, pack(np.array([customers.sum(), t.sum()]), kinds="f8"))])
 
     return run
 
 
-def _told(messages: pd.DataFrame, sample: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(count, customers, tables) in the parent of each of a bucket's words, by a sample's answers."""
+def _told(messages: pd.DataFrame, sample: int) -> list[np.ndarray]:
+    """(customers, tables) in the parent of each of a bucket's words, by a sample's answers; of sample 0 their counts, too."""
     own = messages[messages["kind"] == ANSWER + sample].sort_values("shard")
-    got = [unpack(body, "u4 u4 u4") for body in own["body"]]
-    return tuple(np.concatenate([g[k] for g in got]).astype(float) for k in range(3))
+    got = [unpack(body, "u4 u4" if sample else "u4 u4 u4") for body in own["body"]]
+    return [np.concatenate(x).astype(float) for x in zip(*got, strict=True)]
 
 
 def _seatings(parent: Parent, s: Settings, sample: int, shards: int, shared):
@@ -431,7 +438,7 @@ def _seatings(parent: Parent, s: Settings, sample: int, shards: int, shared):
         if not len(bodies):
             return _message([])
         b, at = Bucket(bodies, shared.value), int(key[0])
-        _, customers, tables = _told(messages, sample - 1)
+        customers, tables, *_ = _told(messages, sample - 1)
         base = parent.probability(customers, tables, s.parent_strength)[b.word[b.many]]
         rng = np.random.default_rng([sample, 4, at])
 
@@ -459,8 +466,9 @@ def _scores(parents: list[Parent], s: Settings, shared):
         if not len(bodies):
             return pd.DataFrame({"bucket": [], "part": [], "body": []})
         b, mean = Bucket(bodies, shared.value), 0.0
+        count = _told(messages, 0)[2]
         for k, parent in enumerate(parents, 1):
-            count, customers, tables = _told(messages, k)
+            customers, tables = _told(messages, k)
             state = messages[(messages["kind"] == STATE + k) & (messages["shard"] == -1)]["body"].iloc[0]
             t = b.tables(unpack(state, "u4")[0])
             above = parent.probability(customers, tables, s.parent_strength)[b.word]
@@ -533,7 +541,7 @@ def scored_documents(docs: DataFrame, train, id_col: str = "doc_id", text_col: s
     own = tokens.filter("kind = 0")
     requests, request_name = _bucketed(own.groupBy("bucket").applyInPandas(_requests(shards, shared), MESSAGE), "shard", shards, "requests")
     asked = requests.filter("shard >= 0")
-    totals = asked.groupBy("shard").applyInPandas(_shard_totals, "words long, tokens long, customers long, ones long, twos long").agg(*[F.sum(c) for c in ("words", "tokens", "customers", "ones", "twos")]).first()
+    totals = asked.groupBy("shard").applyInPandas(_shard_totals(shared), "words long, tokens long, customers long, ones long, twos long").agg(*[F.sum(c) for c in ("words", "tokens", "customers", "ones", "twos")]).first()
     words, train_tokens, customers, ones, twos = (x or 0 for x in totals)
     told = _sums(requests.filter("shard < 0"))
     told = told if len(told) else np.zeros(2 + 2 * hot)
@@ -548,7 +556,7 @@ def scored_documents(docs: DataFrame, train, id_col: str = "doc_id", text_col: s
             hot_tables = _sums(state.filter("shard = -2")) if hot else hot_tables
         else:
             more = asked.limit(0)
-        answers = written(asked.groupBy("shard").cogroup(more.groupBy("shard")).applyInPandas(_answers(parent, s, sample), MESSAGE), "answers")
+        answers = written(asked.groupBy("shard").cogroup(more.groupBy("shard")).applyInPandas(_answers(parent, s, sample, shared), MESSAGE), "answers")
         sums = _sums(answers.filter("bucket < 0"))
         sums = sums if len(sums) else np.zeros(2)
         parent = Parent(words, train_tokens, float(sums[0]), float(sums[1]), parent.discount, parent.parent_discount, parent.hot_count, hot_tables)
@@ -556,7 +564,7 @@ def scored_documents(docs: DataFrame, train, id_col: str = "doc_id", text_col: s
         messages = answers if messages is None else messages.unionByName(answers)
         if sample:
             parents.append(parent)
-    partial = own.groupBy("bucket").cogroup(messages.filter(F.col("kind") != ANSWER).groupBy("bucket")).applyInPandas(_scores(parents, s, shared), "bucket long, part long, body binary")
+    partial = own.groupBy("bucket").cogroup(messages.groupBy("bucket")).applyInPandas(_scores(parents, s, shared), "bucket long, part long, body binary")
     lists = tokens.filter("kind = 1")
     out = lists.groupBy("bucket").cogroup(partial.groupBy("bucket")).applyInPandas(_by_document(words, train_tokens), RESULT)
     out = written(out, "scores").withColumns({"train_tokens": F.lit(train_tokens).cast("long"), "vocabulary": F.lit(words).cast("long")})
