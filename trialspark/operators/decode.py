@@ -434,7 +434,7 @@ def random_fourier(rows: DataFrame, x: str, dims: int, features: int, gamma: flo
     return rows.withColumn(name, transform(x))
 
 
-def classifier_suite(rows: DataFrame, label: str, id_col: str, x: str = "x", dims: int = 64, k: int = 5, names: tuple[str, ...] = ("logistic", "forest", "mlp", "svm_rbf"), parallel: int = 4) -> DataFrame:
+def classifier_suite(rows: DataFrame, label: str, id_col: str, x: str = "x", dims: int = 64, k: int = 5, names: tuple[str, ...] = ("logistic", "forest", "mlp", "svm_rbf"), parallel: int = 8) -> DataFrame:
     """(id, label, fold, method, predicted): out-of-fold predictions of Spark ML classifiers; labels are 0 .. n-1.
 
     `parallel` fits run at a time; each is a Spark job over all rows of its training folds.
@@ -450,7 +450,7 @@ def classifier_suite(rows: DataFrame, label: str, id_col: str, x: str = "x", dim
         "logistic": lambda: LogisticRegression(maxIter=100, regParam=0.01),
         "forest": lambda: RandomForestClassifier(numTrees=50, seed=7),
         "mlp": lambda: MultilayerPerceptronClassifier(layers=[dims, 100, 50, n_classes], maxIter=60, seed=7),
-        "svm_rbf": lambda: OneVsRest(classifier=LinearSVC(maxIter=20, regParam=0.001, featuresCol="kernel"), featuresCol="kernel", parallelism=n_classes),
+        "svm_rbf": lambda: OneVsRest(classifier=LinearSVC(maxIter=10, regParam=0.001, featuresCol="kernel"), featuresCol="kernel", parallelism=2),
     }
     folded = folded.persist()
     jobs = [(name, fold) for name in names for fold in range(k)]

@@ -214,6 +214,11 @@ def find_peaks(df: DataFrame, keys: list[str], order: str, value: str, height: f
     return found.join(rows.select(*keys, "_i", "_o"), [*keys, "_i"]).select(*keys, F.col("_o").alias(order), F.col("_v").alias("peak"))
 
 
+def filter_peaks(peaks: DataFrame, value: str, low: float, high: float) -> DataFrame:
+    """Peaks strictly between two values."""
+    return peaks.filter((F.col(value) > low) & (F.col(value) < high))
+
+
 def schmitt(df: DataFrame, keys: list[str], order: list[str], value: str, low: Column, high: Column, name: str = "state") -> DataFrame:
     """df with a 0/1 state: 1 since value was last over high, 0 since it was last under low; 0 before either."""
     w = _by(keys, *order).rowsBetween(Window.unboundedPreceding, 0)

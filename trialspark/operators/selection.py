@@ -138,3 +138,26 @@ def tuned_units(metrics: DataFrame, gosi: str, least: float, z_noise: str | None
     """Units with gosi over least and, if given, z_noise under most."""
     wanted = F.col(gosi) > least
     return metrics.filter(wanted if z_noise is None or most is None else wanted & (F.col(z_noise) < most))
+
+
+def position_statistics(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(keys, n, mean, sd, least, most); sd is the sample's."""
+    return df.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), F.min(value).alias("least"), F.max(value).alias("most"))
+
+
+def dataset_summary(trials: DataFrame, unit: str, factors: list[str]) -> DataFrame:
+    """(n_units, n_trials, n_<factor>, least_repeats, most_repeats): one row; repeats are rows of a unit and condition."""
+    n = trials.groupBy(unit, *factors).agg(F.count("*").alias("_n"))
+    levels = [F.count_distinct(f).alias(f"n_{f}") for f in factors]
+    return n.agg(F.count_distinct(unit).alias("n_units"), F.sum("_n").alias("n_trials"), *levels, F.min("_n").alias("least_repeats"), F.max("_n").alias("most_repeats"))
+
+
+def session_statistics(responses: DataFrame, keys: list[str], unit: str, value: str) -> DataFrame:
+    """(keys, n_units, mean, most): mean over units of their means, and the largest value of any."""
+    u = responses.groupBy(*keys, unit).agg(F.avg(value).alias("_m"), F.max(value).alias("_x"))
+    return u.groupBy(*keys).agg(F.count("*").alias("n_units"), F.avg("_m").alias("mean"), F.max("_x").alias("most"))
+
+
+def parameter_orientation(trials: DataFrame, keys: list[str], params: str, field: str = "orientation", name: str = "orientation") -> DataFrame:
+    """(keys, place, orientation): a field of each of an array of parameter records, by its place from 0."""
+    return trials.select(*keys, F.posexplode(params).alias("place", "_p")).select(*keys, "place", F.col(f"_p.{field}").cast("double").alias(name))
