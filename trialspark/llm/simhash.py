@@ -29,6 +29,9 @@ PLACED = 100_000
 LARGE_LEAF, MORE_LEVELS = 1 << 20, 12
 #: Shingles of a slice of a block whose members are all compared, each member counted as 64 more.
 SLICE = 1_000_000
+#: Bytes of a shingle's hash in the sets that are compared: two different shingles of a pair of texts of 1000 words agree in
+#: 48 bits about once in 300 million pairs, and then move its similarity by a thousandth.
+SET_BYTES = 6
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -223,7 +226,7 @@ def _picks(words: int, tables: int, picks: int):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            ids, prints = [], []
+            ids, prints, sizes = [], [], []
             for i, text in zip(pdf["id"], pdf["text"], strict=True):
                 h = np.unique(shingle_hashes(text, words))
                 if not len(h):
@@ -243,7 +246,8 @@ def _picks(words: int, tables: int, picks: int):
                             found.update(majority(row) for row in first)
                 ids += [i] * len(found)
                 prints += found
-            yield pd.DataFrame({"id": np.array(ids, dtype=np.int64), "fp": np.array(prints, dtype=np.uint64).view(np.int64)})
+                sizes += [len(h)] * len(found)
+            yield pd.DataFrame({"id": np.array(ids, dtype=np.int64), "size": np.array(sizes, dtype=np.int64), "fp": np.array(prints, dtype=np.uint64).view(np.int64)})
 
     return run
 
@@ -259,18 +263,30 @@ def _word_key(text):
 
 
 def _shingle_sets(words: int):
-    @pandas_udf("array<long>")
+    @pandas_udf("binary")
     def sets(texts: pd.Series) -> pd.Series:
-        return pd.Series([np.unique(shingle_hashes(t, words)).view(np.int64) for t in texts])
+        return pd.Series([packed_set(shingle_hashes(t, words)) for t in texts])
 
     return sets
 
 
+def packed_set(hashes: np.ndarray) -> bytes:
+    """The distinct hashes in order, of each the upper SET_BYTES bytes."""
+    upper = np.unique(hashes >> np.uint64(64 - 8 * SET_BYTES))
+    return upper.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :SET_BYTES].tobytes()
+
+
+def unpacked_set(packed: bytes) -> np.ndarray:
+    out = np.zeros((len(packed) // SET_BYTES, 8), dtype=np.uint8)
+    out[:, :SET_BYTES] = np.frombuffer(packed, dtype=np.uint8).reshape(-1, SET_BYTES)
+    return out.reshape(-1).view("<i8")
+
+
 def _jaccard(a: str, b: str):
     @pandas_udf("double")
     def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
         out = []
-        for x, y in zip(a, b, strict=True):
+        for x, y in zip(map(unpacked_set, a), map(unpacked_set, b), strict=True):
             both = len(np.intersect1d(x, y, assume_unique=True))
             out.append(both / max(1, len(x) + len(y) - both))
         return pd.Series(out, dtype="float64")
@@ -284,10 +300,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     A whole text's 64-bit SimHash at 0.8 similarity lies about 8 bits off, too far for triangle bounds to prune. So each
     distinct text gives `tables` SimHashes, each of the `picks` of its word shingles that come first in one of as many
     random orders: they agree with chance similarity**picks each. Fingerprints that a vantage-point tree links form a
-    block; every text of it is compared with the block's first text and with the one before it, by exact similarity of
-    whole shingle sets. Where that leaves a block in several components, all its texts of different components are
-    compared as well (`_finished`), so that no link inside a block is lost. What this may lose: two alike texts that agree
-    in no table (0.3 % at 0.8 with the defaults).
+    block; every text of it is compared with the block's first text and with the one before it, by the similarity of whole
+    shingle sets (SET_BYTES of each hash), unless the sets' sizes alone rule it out. Where that leaves a block in several
+    components, all its texts of different components are compared as well (`_finished`), so that no link inside a block
+    is lost. What this may lose: two alike texts that agree in no table (0.3 % at 0.8 with the defaults).
 
     Ids must be unique and not null here. Null and empty texts are equal to each other.
     """
@@ -295,17 +311,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keyed = written(base.select("id", _word_key(F.col("text")).alias("k")).select("id", "k.*"), "word-keys")
     same = written(keyed.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.count("*").alias("n")), "word-classes")
     firsts = same.select(F.col("first").alias("id"))
-    prints = base.mapInPandas(_picks(words, tables, picks), "id long, fp long").join(firsts, "id", "left_semi")
+    prints = base.mapInPandas(_picks(words, tables, picks), "id long, size long, fp long").join(firsts, "id", "left_semi")
     prints = written(prints, "picked")
     counts = written(prints.groupBy("fp").agg(F.count("*").alias("n")), "picked-classes")
     roots = linked(counts.select("fp"), radius).withColumnRenamed("node", "fp")
     named = counts.join(roots, "fp", "left").withColumn("block", F.coalesce("root", "fp")).drop("root")
     named = written(named, "picked-blocks")
     shared = named.groupBy("block").agg(F.sum("n").alias("all")).filter("all > 1").select("block")
-    member = join_counted(prints, named.join(shared, "block", "left_semi"), ["fp"], "n").select("block", "id").distinct()
-    member = written(member, "block-members")
-    pairs = written(_spanning_pairs(member), "near-pairs")
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    member = join_counted(prints, named.join(shared, "block", "left_semi"), ["fp"], "n").select("block", "id", "size").distinct()
+    member = _with_rivals(written(member, "block-members").withColumn("comp", F.col("id")), similarity).drop("comp")
+    member = written(member, "members-with-rivals")
+    pairs = written(_spanning_pairs(member, similarity), "near-pairs")
+    wanted = member.select("id").distinct()
     sets = written(base.join(wanted, "id", "left_semi").select("id", _shingle_sets(words)("text").alias("s")), "shingle-sets")
     weight = pairs.groupBy("a").agg(F.count("*").alias("n"))
     left = weight.join(sets.withColumnsRenamed({"id": "a", "s": "sa"}), "a")
@@ -317,30 +334,50 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return join_counted(keyed, written(classes, "near-classes"), ["h1", "h2"], "n").select("id", "component")
 
 
-def _spanning_pairs(member: DataFrame) -> DataFrame:
-    """(block, id) -> distinct (a, b): each member with its block's least id, and with the id before it.
+def _spanning_pairs(member: DataFrame, similarity: float) -> DataFrame:
+    """(block, id, size) -> distinct (a, b): each member with its block's least id, and with the id before it.
 
     The id before it is found among the members of the same slice of a block (a slice: ids that share all but the last
-    bits of their hash), so that a large block is many small windows and not one.
+    bits of their hash), so that a large block is many small windows and not one. Pairs of sets of which the smaller has
+    under `similarity` of the larger's size can't be alike and are left out.
     """
-    least = member.groupBy("block").agg(F.min("id").alias("a"), F.count("*").alias("n"))
+    least = member.groupBy("block").agg(F.min(F.struct("id", "size")).alias("least"), F.count("*").alias("n"))
     star = join_counted(member, least, ["block"], "n")
     slices = F.when(F.col("n") > 4096, F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / 1024))).otherwise(F.lit(0))
-    sliced = star.select("block", "id", "a", slices.alias("slice"))
-    chain = sliced.withColumn("before", F.lag("id").over(Window.partitionBy("block", "slice").orderBy("id")))
-    return chain.select("a", F.col("id").alias("b")).union(chain.select("before", "id")).filter("a <> b").distinct()
+    own = F.struct("id", "size")
+    sliced = star.select("block", "id", own.alias("b"), F.col("least").alias("a"), slices.alias("slice"))
+    chain = sliced.withColumn("before", F.lag("b").over(Window.partitionBy("block", "slice").orderBy("id")))
+    pairs = chain.select("a", "b").union(chain.select("before", "b")).filter("a.id <> b.id")
+    fits = F.least("a.size", "b.size") >= similarity * F.greatest("a.size", "b.size") - 1e-9
+    return pairs.filter(fits).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+
+
+def _with_rivals(known: DataFrame, similarity: float) -> DataFrame:
+    """Rows of (block, id, size, comp) whose block has a member of another comp of a size that may be alike.
+
+    Sizes are cut into bands, each 1 / similarity times as far as the one before, so that alike sets lie in one band or in
+    two that touch. A band's least and greatest comp, with those of the bands beside it, tell whether it has rivals.
+    """
+    step = max(-math.log(similarity), 1e-3) * 1.000001
+    known = known.withColumn("band", F.floor(F.log(F.greatest(F.col("size"), F.lit(1))) / step))
+    bands = known.groupBy("block", "band").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n"))
+    bands = written(bands, "size-bands")
+    beside = bands.select("block", F.explode(F.array(*[F.col("band") + k for k in (-1, 0, 1)])).alias("band"), "low", "high")
+    rivals = beside.groupBy("block", "band").agg(F.min("low").alias("low"), F.max("high").alias("high")).filter("low < high")
+    open_bands = bands.select("block", "band", "n").join(rivals.select("block", "band"), ["block", "band"])
+    return join_counted(known, written(open_bands, "open-bands"), ["block", "band"], "n").drop("band", "n")
 
 
 def _finished(member: DataFrame, sets: DataFrame, found: DataFrame, similarity: float) -> DataFrame:
     """(a, b): links of blocks' members in different components of found, enough of them to join all that are alike.
 
-    A block goes to one task with its sets; of blocks with the same members one is taken. A block of over SLICE shingles
-    is cut into slices, none of which mixes a component of over SLICE with others, and each two slices go to a task, but
-    for two of one component. So every two members in different components meet, whatever the block's size.
+    A block goes to one task with the sets of its members that may have likes (_with_rivals); of blocks with the same
+    such members one is taken. A block of over SLICE shingles is cut into slices, none of which mixes a component of over
+    SLICE with others, and each two slices go to a task, but for two of one component. So every two members in different
+    components that may be alike meet, whatever the block's size.
     """
-    sized = sets.select("id", (F.size("s") + 64).alias("w"))
     known = member.join(found.withColumnsRenamed({"node": "id", "root": "comp"}), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    known = written(known.join(sized, "id"), "block-components")
+    known = written(_with_rivals(written(known, "block-components"), similarity).withColumn("w", F.col("size") + 64), "rivals")
     alike = F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("mark")
     blocks = known.groupBy("block").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n"), alike, F.min("id").alias("least"), F.max("id").alias("most"))
     blocks = written(blocks.filter("low < high").groupBy("n", "mark", "least", "most").agg(F.min("block").alias("block")).select("block", "n"), "open-blocks")
@@ -363,7 +400,7 @@ def _finished(member: DataFrame, sets: DataFrame, found: DataFrame, similarity:
     dealt = sliced.join(sent, at).select(sliced["block"], "task", "id", "comp").join(sets, "id")
 
     def links(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(cross_links(pdf["id"].to_numpy(np.int64), pdf["comp"].to_numpy(np.int64), list(pdf["s"]), similarity), columns=["a", "b"], dtype="int64")
+        return pd.DataFrame(cross_links(pdf["id"].to_numpy(np.int64), pdf["comp"].to_numpy(np.int64), [unpacked_set(x) for x in pdf["s"]], similarity), columns=["a", "b"], dtype="int64")
 
     return dealt.groupBy("block", "task").applyInPandas(links, "a long, b long")
 
