@@ -145,6 +145,23 @@ def temporal_features(hits: DataFrame, trials: DataFrame, keys: list[str], rel:
     )
 
 
+def feature_sets(features: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of temporal_features -> (keys, feature_set, feature, value), one row for each feature of each set.
+
+    The sets are binned_rates (the bins), spike_timing (first, last, variance, total), combined (both) and all (the
+    derived features as well). No row is shuffled: a trial's features are exploded where it lies.
+    """
+    named = lambda sets, names: [(F.array(*map(F.lit, sets)), F.lit(n), F.col(n).cast("double")) for n in names]
+    scalars = named(["spike_timing", "combined", "all"], ["first_latency", "last_time", "time_var", "total"])
+    scalars += named(["all"], ["peak_share", "rate_range", "late_minus_early"])
+    row = lambda sets, name, value: F.struct(sets.alias("sets"), name.alias("feature"), value.alias("value"))
+    in_bins = F.array(*map(F.lit, ["binned_rates", "combined", "all"]))
+    bins = F.transform("binned_rates", lambda x, k: row(in_bins, F.concat(F.lit("bin_"), k.cast("string")), x))
+    each = features.select(*keys, F.explode(F.concat(bins, F.array(*[row(*x) for x in scalars]))).alias("_f"))
+    return each.select(*keys, F.explode("_f.sets").alias("feature_set"), "_f.feature", "_f.value")
+
+
+
 def inter_event(hits: DataFrame, keys: list[str], time: str) -> DataFrame:
     """hits with the step from the event before in the same trial; the first ones go."""
     w = Window.partitionBy(*keys).orderBy(time)

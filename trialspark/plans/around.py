@@ -137,20 +137,38 @@ def window_units(spark, d):
     return out.select("win", F.col("event_type").alias("unit"), "n", F.element_at("times", 1).alias("first_us"), F.element_at("times", -1).alias("last_us"))
 
 
-@query(f"""WITH {EV}, p AS (SELECT user_id, trial, rel, rel / 3600000000.0 AS sec, CAST(rel // 4320000000 AS INTEGER) AS b FROM hits WHERE rel >= 0),
+#: One row a trial: its timing features and those derived from its bins.
+TEMPORAL = f"""WITH {EV}, p AS (SELECT user_id, trial, rel, rel / 3600000000.0 AS sec, CAST(rel // 4320000000 AS INTEGER) AS b FROM hits WHERE rel >= 0),
 c AS (SELECT user_id, trial, count(*) AS total, min(sec) AS f, max(sec) AS l, var_pop(sec) AS v FROM p GROUP BY ALL),
 m AS (SELECT user_id, trial, b, count(*) AS n FROM p GROUP BY ALL),
 top AS (SELECT user_id, trial, max(n) AS n, min(b) FILTER (WHERE r = 1) AS pk, count(*) AS k FROM (SELECT *, rank() OVER (PARTITION BY user_id, trial ORDER BY n DESC) AS r FROM m) GROUP BY ALL),
 e AS (SELECT user_id, trial, sum(CASE WHEN b >= 13 THEN n ELSE 0 END) / 7.0 - sum(CASE WHEN b < 6 THEN n ELSE 0 END) / 6.0 AS lme, min(n) AS least FROM m GROUP BY ALL)
 SELECT t.user_id, t.trial, coalesce(c.total, 0) AS total, round(coalesce(c.f, 24.0), 6) AS first_latency, round(coalesce(c.l, 0), 6) AS last_time, round(coalesce(c.v, 0), 4) AS time_var, round(coalesce(c.total, 0) / 24.0, 6) AS mean_rate,
 round(coalesce(top.pk, 0) / 20.0, 6) AS peak_share, round((coalesce(top.n, 0) - CASE WHEN coalesce(top.k, 0) = 20 THEN e.least ELSE 0 END) / 1.2, 6) AS rate_range, round(coalesce(e.lme, 0) / 1.2, 6) AS late_minus_early
-FROM trials t LEFT JOIN c USING (user_id, trial) LEFT JOIN top USING (user_id, trial) LEFT JOIN e USING (user_id, trial)""")
+FROM trials t LEFT JOIN c USING (user_id, trial) LEFT JOIN top USING (user_id, trial) LEFT JOIN e USING (user_id, trial)"""
+
+
+@query(TEMPORAL)
 def temporal_features(spark, d):
     hits = _hits(spark, d).filter("rel >= 0")
     out = rates.temporal_features(hits, onsets(spark, d), ["user_id", "trial"], "rel", DAY, 20, HOUR)
     return out.drop("binned_counts", "binned_rates", "on", "quarter", "weekday").withColumn("time_var", F.round("time_var", 4))
 
 
+@query(f"""WITH f AS ({TEMPORAL}), {EV}, bins AS (SELECT user_id, trial, least(CAST(floor(rel / 4320000000.0) AS INT), 19) AS b, count(*) / 1.2 AS r FROM hits WHERE rel >= 0 AND rel < 86400000000 GROUP BY ALL),
+v AS (SELECT 'rates' AS family, 'bin_' || k AS feature, t.user_id, t.trial, coalesce(r, 0) AS x FROM trials t CROSS JOIN range(20) g(k) LEFT JOIN bins ON bins.user_id = t.user_id AND bins.trial = t.trial AND bins.b = k
+UNION ALL SELECT 'timing', unnest(['first_latency', 'last_time', 'time_var', 'total']), user_id, trial, unnest([first_latency, last_time, time_var, total]) FROM f
+UNION ALL SELECT 'derived', unnest(['peak_share', 'rate_range', 'late_minus_early']), user_id, trial, unnest([peak_share, rate_range, late_minus_early]) FROM f),
+s AS (SELECT unnest(['binned_rates', 'spike_timing', 'combined', 'combined', 'all', 'all', 'all']) AS feature_set, unnest(['rates', 'timing', 'rates', 'timing', 'rates', 'timing', 'derived']) AS family)
+SELECT feature_set, feature, count(*) AS n, round(sum(x), 2) AS total FROM v JOIN s USING (family) GROUP BY ALL""")
+def feature_sets(spark, d):
+    hits = _hits(spark, d).filter("rel >= 0")
+    keys = ["user_id", "trial"]
+    features = rates.temporal_features(hits, onsets(spark, d), keys, "rel", DAY, 20, HOUR).withColumn("time_var", F.round("time_var", 4))
+    long = rates.feature_sets(features, keys)
+    return long.groupBy("feature_set", "feature").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
+
+
 @query(f"""WITH {EV}, i AS (SELECT user_id, trial, rel - lag(rel) OVER (PARTITION BY user_id, trial ORDER BY rel) AS isi FROM hits)
 SELECT user_id, count(*) AS n, min(isi) AS low, max(isi) AS high, round(avg(isi), 3) AS mean FROM i WHERE isi IS NOT NULL GROUP BY user_id""")
 def inter_event_intervals(spark, d):
