@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialspark.llm import decontam, line_dedup, multiset_hash, packing, pitman_yor, quality, quotes, secrets, shards, simhash
+from trialspark.llm import alignment, decontam, line_dedup, multiset_hash, packing, pitman_yor, quality, quotes, secrets, shards, simhash
 from trialspark.llm.common import scratch, table
 
 
@@ -86,6 +86,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), F.round("score", 6).alias("score"), "begin", "end", "n_seeds")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pitman_yor, op2_line_dedup, op3_packing, op4_compaction, op5_quotation_linking, op6_secrets, op7_simhash, op8_quality, op9_multiset_hash, op10_decontamination)}
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.aligned_documents(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pitman_yor, op2_line_dedup, op3_packing, op4_compaction, op5_quotation_linking, op6_secrets, op7_simhash, op8_quality, op9_multiset_hash, op10_decontamination, op13_token_alignment)}
 
 SQL: dict[str, str] = {"op2_line_dedup": OP2_SQL}
