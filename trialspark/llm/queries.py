@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialspark.llm import alignment, decontam, line_dedup, multiset_hash, packing, pitman_yor, quality, quotes, repair, secrets, shards, simhash
+from trialspark.llm import alignment, decontam, line_dedup, multiset_hash, packing, pitman_yor, projections, quality, quotes, repair, secrets, shards, simhash
 from trialspark.llm.common import scratch, table
 
 
@@ -90,10 +90,15 @@ def op11_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repair_digests(repair.damaged(table(spark, sf_dir, "conversations"))).withColumnRenamed("conv", "conv_id")
 
 
+def op12_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = projections.near_vectors(table(spark, sf_dir, "embeddings"))
+    return found.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), "kept")
+
+
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.aligned_documents(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pitman_yor, op2_line_dedup, op3_packing, op4_compaction, op5_quotation_linking, op6_secrets, op7_simhash, op8_quality, op9_multiset_hash, op10_decontamination, op11_structure_repair, op13_token_alignment)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pitman_yor, op2_line_dedup, op3_packing, op4_compaction, op5_quotation_linking, op6_secrets, op7_simhash, op8_quality, op9_multiset_hash, op10_decontamination, op11_structure_repair, op12_embedding_dedup, op13_token_alignment)}
 
 SQL: dict[str, str] = {"op2_line_dedup": OP2_SQL}
