@@ -13,10 +13,13 @@ A batch adds up what it is told, over the links of its documents, which it kept
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import heapq
+import itertools
 import math
 import os
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -27,11 +30,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trialspark.llm.common import written
-from trialspark.llm.packing import ChunkTokenizer, byte_signs, default_tokenizer
+from trialspark.llm.packing import ChunkTokenizer, byte_signs, default_tokenizer, rising_ranks
 from trialspark.llm.pitman_yor import pack, unpack
 
 #: Links of a batch at most, unless one text has more; chunks that a task remembers.
-BATCH_LINKS, REMEMBERED = 1_000_000, 100_000
+BATCH_LINKS, REMEMBERED = 1_000_000, 200_000
 #: Characters of text for each radix, of which there are at most MOST_RADIXES.
 RADIX_CHARS, MOST_RADIXES = 50_000_000, 4096
 RUNS = "batch long, radix int, body binary"
@@ -70,22 +73,60 @@ def aligned(a: list[int], a_sizes: list[int], b: list[int], b_sizes: list[int])
             end_b += b_sizes[j]
 
 
+class _Chunks:
+    """What is known of chunks: those met lately, and those met before; of the latter, what isn't met again is forgotten."""
+
+    def __init__(self, most: int):
+        self.new: dict[str, tuple | None] = {}
+        self.old: dict[str, tuple | None] = {}
+        self.most = most
+
+    def missing(self, chunks: set[str]) -> list[str]:
+        """The unknown ones; all others are made new."""
+        if len(self.new) + len(chunks) > self.most:
+            self.old, self.new = self.new, {}
+        unknown = []
+        for c in chunks:
+            if c not in self.new:
+                if c in self.old:
+                    self.new[c] = self.old.pop(c)
+                else:
+                    unknown.append(c)
+        return unknown
+
+
+#: Letters, digits and signs of Latin scripts, and line breaks within: of these every pre-tokenizer thinks alike.
+TAME = re.compile(r"[!-~\xa1-\xac\xae-\u024f](?:[\n!-~\xa1-\xac\xae-\u024f]*[!-~\xa1-\xac\xae-\u024f])?")
+
+
 class Aligner:
     """Tokens of both tokenizers, by their bytes; what is known of chunks."""
 
     def __init__(self, a_path: str, b_path: str):
+        import public_tokenizers
         import sentencepiece
+        import tiktoken
 
-        self.a = ChunkTokenizer(a_path, REMEMBERED)
+        self.a = ChunkTokenizer(a_path)
         self.a.tokenizer.encode_special_tokens, self.a.added = True, []
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         back = {c: b for b, c in byte_signs().items()}
-        self.a_bytes = {i: bytes(back[c] for c in t) for t, i in self.a.tokenizer.get_vocab(with_added_tokens=False).items() if all(c in back for c in t)}
+        vocabulary = self.a.tokenizer.get_vocab(with_added_tokens=False)
+        self.a_bytes = {i: bytes(back[c] for c in t) for t, i in vocabulary.items() if all(c in back for c in t)}
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         #: Chunks of B can be told apart at a space if a piece has none but at its beginning.
         self.chunked = self.a.chunked and not any("▁" in p[1:] and p.strip("▁") for p in pieces)
-        self.known: dict[str, tuple | None] = {}
+        ranks = rising_ranks(a_path)
+        self.quick = tiktoken.Encoding("chunks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}) if ranks else None
+        self.known = _Chunks(REMEMBERED)
+        self.a_sizes = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
+        self.a_sizes[list(self.a_bytes)] = [len(x) for x in self.a_bytes.values()]
+        self.b_sizes = np.array([len(x) for x in self.b_bytes], dtype=np.int64)
+        #: An id's text by what stands behind it: another of its side, or the end of its part of a group.
+        self.a_text = [f"{i}{end}" for end in ",|" for i in range(len(self.a_sizes))]
+        self.text = np.array([*self.a_text, *(f"{i}{end}" for end in ",;" for i in range(len(self.b_sizes)))], dtype=object)
+        self.text_sizes = np.array([len(x) for x in self.text])
 
     def one(self, a: list[int], text: str) -> tuple[int, int, int, str, bytes] | None:
         """(A tokens, B tokens, groups, their text, links) of space and text; none if the bytes of either side differ from it."""
@@ -97,25 +138,60 @@ class Aligner:
         return len(a), len(b), n, groups, np.array(links, dtype=np.int64).tobytes()
 
     def chunk(self, chunk: str) -> tuple | None:
-        if chunk not in self.known:
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
-            ids = np.frombuffer(self.a._chunk(chunk), dtype=np.uint16 if self.a.code == "H" else np.uint32)
-            self.known[chunk] = self.one(ids.tolist(), chunk)
-        return self.known[chunk]
-
-    def text(self, text: str | None) -> list[tuple]:
-        """The parts of a text, one after another; none if it has no tokens."""
-        if not text:
-            return []
-        if self.chunked and self.a.regular(text):
-            for memory in (self.a.known, self.a.words):
-                if len(memory) > self.a.most:
-                    memory.clear()
-            parts = [self.chunk(c) for c in text.split(" ")]
-        else:
-            parts = [self.one(self.a.tokenizer.encode(" " + text, add_special_tokens=False).ids, text)]
-        return [] if any(p is None for p in parts) else parts
+        ids = np.frombuffer(self.a._chunk(chunk), dtype=np.uint16 if self.a.code == "H" else np.uint32)
+        return self.one(ids.tolist(), chunk)
+
+    def many(self, chunks: list[str]) -> list[tuple | None]:
+        """The same for many tame chunks at once, as the sweep would find it: where a token of either side ends, a link ends.
+
+        The chunks are encoded end to end, each with the space before it, so that both sides' bytes lie in one line.
+        """
+        whole = (" " + " ".join(chunks)).encode()
+        a = self.quick.encode_to_numpy(whole.decode()).astype(np.int64)
+        lists = self.b.encode(chunks)
+        b = np.fromiter(itertools.chain.from_iterable(lists), dtype=np.int64)
+        a_ends, b_ends = np.cumsum(self.a_sizes[a]), np.cumsum(self.b_sizes[b])
+        ends = np.cumsum([len(c.encode()) + 1 for c in chunks])
+        n_b = np.array([len(x) for x in lists])
+        same = b"".join([self.a_bytes[i] for i in a.tolist()]) == whole == b"".join([self.b_bytes[i] for i in b.tolist()])
+        if not same or not np.array_equal(b_ends[np.cumsum(n_b) - 1], ends):
+            return [self.chunk(c) for c in chunks]
+        cuts = np.union1d(a_ends, b_ends)
+        i, j = np.searchsorted(a_ends, cuts), np.searchsorted(b_ends, cuts)
+        both = cuts[(a_ends[i] == cuts) & (b_ends[j] == cuts)]
+        links, upto = (a[i] << 32 | b[j]).tobytes(), np.searchsorted(cuts, ends, "right")
+        group_a, group_b = np.searchsorted(both, a_ends), np.searchsorted(both, b_ends)
+        at = np.concatenate([a + len(self.a_sizes) * (both[group_a] == a_ends), len(self.a_text) + b + len(self.b_sizes) * (both[group_b] == b_ends)])
+        at = at[np.argsort(np.concatenate([2 * group_a, 2 * group_b + 1]), kind="stable")]
+        text = "".join(self.text[at].tolist())
+        n_a = np.diff(np.searchsorted(a_ends, ends, "right"), prepend=0)
+        n_groups = np.diff(np.searchsorted(both, ends, "right"), prepend=0)
+        marks = np.append(0, np.cumsum(self.text_sizes[at])[np.cumsum(n_a + n_b) - 1]).tolist()
+        upto = np.append(0, 8 * upto).tolist()
+        texts = [text[lo : hi - 1] for lo, hi in zip(marks, marks[1:], strict=False)]
+        links = [links[lo:hi] for lo, hi in zip(upto, upto[1:], strict=False)]
+        return list(zip(n_a.tolist(), n_b.tolist(), n_groups.tolist(), texts, links, strict=True))
+
+    def learn(self, chunks: set[str]) -> None:
+        for memory in (self.a.known, self.a.words):
+            if len(memory) > self.a.most:
+                memory.clear()
+        missing = self.known.missing(chunks)
+        tame = [c for c in missing if self.quick and TAME.fullmatch(c)]
+        self.known.new.update((c, self.chunk(c)) for c in set(missing) - set(tame))
+        for lo in range(0, len(tame), 20_000):
+            some = tame[lo : lo + 20_000]
+            self.known.new.update(zip(some, self.many(some), strict=True))
+
+    def texts(self, texts: list[str | None]) -> list[list[tuple]]:
+        """The parts of each text, one after another; none if it has no tokens."""
+        split = [t.split(" ") if t and self.chunked and self.a.regular(t) else None for t in texts]
+        self.learn({c for s in split if s for c in s})
+        known, out = self.known.new, []
+        for t, s in zip(texts, split, strict=True):
+            parts = [known[c] for c in s] if s else [self.one(self.a.tokenizer.encode(" " + t, add_special_tokens=False).ids, t)] if t else []
+            out.append([] if None in parts else parts)
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -131,7 +207,7 @@ def _runs(a_path: str, b_path: str, radixes: int):
     """
 
     def flush(batch: int, docs: list[tuple]) -> pd.DataFrame:
-        links = [np.frombuffer(d[6], dtype=np.int64) for d in docs]
+        links = [np.frombuffer(d[5], dtype=np.int64) for d in docs]
         n = np.array([len(x) for x in links], dtype=np.int64)
         pairs, number = np.unique(np.concatenate(links), return_inverse=True)
         radix = (pairs >> 32) % radixes
@@ -143,7 +219,7 @@ def _runs(a_path: str, b_path: str, radixes: int):
         holding = np.bincount(pair, minlength=len(pairs))
         own = np.bincount(doc, minlength=len(docs))
         info = pack(*(np.array([d[k] or 0 for d in docs]) for k in range(4)), n, np.array([d[0] is None for d in docs]), own, np.diff(pair, prepend=0), times, kinds="i8 u4 u4 u4 u4 u1 u4 i4 u4")
-        shas = b"".join(d[5] for d in docs)
+        shas = b"".join(d[4] for d in docs)
         rows = [(batch, -1, len(info).to_bytes(8, "little") + info + shas)]
         pairs, radix = pairs[order], radix[order]
         cuts = np.searchsorted(radix, np.arange(radixes + 1))
@@ -154,18 +230,21 @@ def _runs(a_path: str, b_path: str, radixes: int):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        gc.freeze()  # what is remembered has no cycles: it isn't gone through again and again
         part, no, docs, held = TaskContext.get().partitionId(), 0, [], 0
         known = aligner(a_path, b_path)
         for pdf in batches:
-            for i, text in zip(pdf["id"], pdf["text"], strict=True):
-                parts = known.text(text)
-                sha = hashlib.sha256(";".join(p[3] for p in parts).encode()).digest() if parts else b""
-                links = b"".join([p[4] for p in parts])
-                docs.append((None if pd.isna(i) else int(i), *(sum(p[k] for p in parts) for k in range(3)), len(parts), sha.ljust(32, b"\0"), links))
-                held += len(links) // 8
-                if held >= BATCH_LINKS or len(docs) >= 100_000:
-                    yield flush((part << 24) + no, docs)
-                    no, docs, held = no + 1, [], 0
+            for lo in range(0, len(pdf), 1000):
+                some = pdf.iloc[lo : lo + 1000]
+                for i, parts in zip(some["id"], known.texts(some["text"].tolist()), strict=True):
+                    x, y, n, groups, links = zip(*parts, strict=True) if parts else ((), (), (), (), ())
+                    sha = hashlib.sha256(";".join(groups).encode()).digest() if parts else b""
+                    links = b"".join(links)
+                    docs.append((None if pd.isna(i) else int(i), sum(x), sum(y), sum(n), sha.ljust(32, b"\0"), links))
+                    held += len(links) // 8
+                    if held >= BATCH_LINKS or len(docs) >= 100_000:
+                        yield flush((part << 24) + no, docs)
+                        no, docs, held = no + 1, [], 0
         if docs:
             yield flush((part << 24) + no, docs)
 

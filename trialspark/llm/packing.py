@@ -46,20 +46,26 @@ def model_merger(tokenizer):
     return lambda word: [t.id for t in tokenizer.model.tokenize(word.encode("utf-8").decode("latin-1").translate(table))]
 
 
+def rising_ranks(path: str) -> dict[bytes, int] | None:
+    """Ranks of the file's tokens by their bytes, where ids rise in the order of the merges and so are the ranks; else none."""
+    model = json.loads(Path(path).read_text(encoding="utf-8"))["model"]
+    vocab, signs = model["vocab"], byte_signs()
+    made = [vocab["".join(m) if isinstance(m, list) else m.replace(" ", "")] for m in model["merges"]]
+    if not all(c in vocab for c in signs.values()) or not all(x < y for x, y in zip(made, made[1:], strict=False)) or max(vocab[c] for c in signs.values()) >= made[0]:
+        return None
+    back = {ord(c): b for b, c in signs.items()}
+    return {bytes(back[ord(c)] for c in t): k for t, k in vocab.items() if all(ord(c) in back for c in t)}
+
+
 def merger(tokenizer, path: str):
     """A function from one pre-token to its ids by the vocabulary's merges.
 
     Where ids rise in the order of the merges, as in byte-level vocabularies of this family, they are also the ranks that
     tiktoken merges by, which is several times as fast; else the model of `tokenizers` merges.
     """
-    model = json.loads(Path(path).read_text(encoding="utf-8"))["model"]
-    vocab, signs = model["vocab"], byte_signs()
-    made = [vocab["".join(m) if isinstance(m, list) else m.replace(" ", "")] for m in model["merges"]]
-    if all(c in vocab for c in signs.values()) and all(x < y for x, y in zip(made, made[1:], strict=False)) and max(vocab[c] for c in signs.values()) < made[0]:
+    if ranks := rising_ranks(path):
         import tiktoken
 
-        back = {ord(c): b for b, c in signs.items()}
-        ranks = {bytes(back[ord(c)] for c in t): k for t, k in vocab.items() if all(ord(c) in back for c in t)}
         return tiktoken.Encoding("merges", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
     return model_merger(tokenizer)
 
