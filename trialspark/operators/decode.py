@@ -8,12 +8,9 @@ model at a time; scoring joins the solved coefficients to the rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
-from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
-from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -245,11 +242,16 @@ def pairwise_cross_validated(rows: DataFrame, keys: list[str], label: str, id_co
 
 def train_accuracy(folded: DataFrame, models: DataFrame, keys: list[str], label: str, x: str = "x") -> DataFrame:
     """(keys, train_accuracy): the mean over folds of each fold's model's accuracy on the rows it was fitted on."""
-    held = models.select(*keys, F.col("fold").alias("_held")).distinct()
-    spread = (folded.join(held, keys) if keys else folded.crossJoin(F.broadcast(held))).filter("fold <> _held").drop("fold").withColumnRenamed("_held", "fold")
-    p = lda_predict(spread, models, [*keys, "fold"], label, x)
-    f = p.groupBy(*keys, "fold").agg(F.avg((F.col(label) == F.col("predicted")).cast("double")).alias("_a"))
-    return f.groupBy(*keys).agg(F.avg("_a").alias("train_accuracy"))
+    held = models.groupBy(*keys).agg(F.collect_set("fold").alias("_held"))
+    spread = folded.join(held, keys) if keys else folded.crossJoin(F.broadcast(held))  # a row of all folds' numbers
+    spread = spread.withColumn("_h", F.explode("_held")).filter("fold <> _h").drop("fold", "_held").withColumnRenamed("_h", "fold")
+    return mean_over_folds(lda_predict(spread, models, [*keys, "fold"], label, x), keys, label, "train_accuracy")
+
+
+def mean_over_folds(predicted: DataFrame, keys: list[str], label: str, name: str) -> DataFrame:
+    """(keys, name): the mean over folds of the share of right predictions."""
+    f = predicted.groupBy(*keys, "fold").agg(F.avg((F.col(label) == F.col("predicted")).cast("double")).alias("_a"))
+    return f.groupBy(*keys).agg(F.avg("_a").alias(name))
 
 
 def fold_scores(predicted: DataFrame, keys: list[str], label: str, name: str = "predicted") -> DataFrame:
@@ -420,44 +422,3 @@ def family_summary(results: DataFrame, keys: list[str], score: str, a: str = "a"
     cardinal = F.col(a).isin(0, 90) & F.col(b).isin(0, 90)
     out = results.withColumn("family", pair_family(F.col(a), F.col(b))).groupBy(*keys, "family")
     return out.agg(F.count("*").alias("n"), F.avg(score).alias("mean"), F.stddev_pop(score).alias("sd"), F.avg(F.when(cardinal, F.col(score))).alias("cardinal"))
-
-
-def random_fourier(rows: DataFrame, x: str, dims: int, features: int, gamma: float, seed: int = 0, name: str = "z") -> DataFrame:
-    """rows with random Fourier features of an RBF kernel: a linear model of them stands for one with that kernel."""
-    rng = np.random.default_rng(seed)
-    w, b = rng.normal(0, np.sqrt(2 * gamma), (dims, features)), rng.uniform(0, 2 * np.pi, features)
-
-    @F.pandas_udf("array<double>")
-    def transform(x: pd.Series) -> pd.Series:
-        return pd.Series(list(np.sqrt(2 / features) * np.cos(np.stack(x.to_list()) @ w + b))) if len(x) else pd.Series([], dtype=object)
-
-    return rows.withColumn(name, transform(x))
-
-
-def classifier_suite(rows: DataFrame, label: str, id_col: str, x: str = "x", dims: int = 64, k: int = 5, names: tuple[str, ...] = ("logistic", "forest", "mlp", "svm_rbf"), parallel: int = 8) -> DataFrame:
-    """(id, label, fold, method, predicted): out-of-fold predictions of Spark ML classifiers; labels are 0 .. n-1.
-
-    `parallel` fits run at a time; each is a Spark job over all rows of its training folds.
-    """
-    from pyspark.ml.classification import LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier
-    from pyspark.ml.functions import array_to_vector
-
-    folded = stratified_folds(rows, [], label, id_col, k).withColumn("label", F.col(label).cast("double"))
-    n_classes = folded.select(label).distinct().count()
-    folded = random_fourier(folded, x, dims, 4 * dims, 1.0 / dims)
-    folded = folded.withColumns({"features": array_to_vector(F.transform(x, lambda v: v.cast("double"))), "kernel": array_to_vector("z")})
-    makers = {
-        "logistic": lambda: LogisticRegression(maxIter=100, regParam=0.01),
-        "forest": lambda: RandomForestClassifier(numTrees=50, seed=7),
-        "mlp": lambda: MultilayerPerceptronClassifier(layers=[dims, 100, 50, n_classes], maxIter=60, seed=7),
-        "svm_rbf": lambda: OneVsRest(classifier=LinearSVC(maxIter=10, regParam=0.001, featuresCol="kernel"), featuresCol="kernel", parallelism=2),
-    }
-    folded = folded.persist()
-    jobs = [(name, fold) for name in names for fold in range(k)]
-    try:
-        with ThreadPool(parallel) as pool:
-            fitted = pool.map(inheritable_thread_target(rows.sparkSession)(lambda job: makers[job[0]]().fit(folded.filter(F.col("fold") != job[1]))), jobs)
-    finally:
-        folded.unpersist()
-    parts = [m.transform(folded.filter(F.col("fold") == fold)).select(id_col, label, "fold", F.lit(name).alias("method"), F.col("prediction").cast("int").alias("predicted")) for (name, fold), m in zip(jobs, fitted, strict=True)]
-    return reduce(DataFrame.unionByName, parts)

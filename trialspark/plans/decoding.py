@@ -86,12 +86,6 @@ def learning_curve(spark, d):
     return decode.split_accuracy(split, ["n_train", "seed"], "label", shrink=0.2)
 
 
-@query()
-def classifier_suite(spark, d):
-    """Out-of-fold predictions of four Spark ML classifiers over five folds."""
-    return decode.classifier_suite(_rows(spark, d), "label", "vec_id")
-
-
 RANK = "s AS (SELECT vec_id, CAST(label < 5 AS INTEGER) AS y, round(CAST(embedding[1] AS DOUBLE), 2) AS score FROM embeddings)"
 
 
