@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trialspark.operators.scans import ranked, running, totals
 from trialspark.operators.selection import hashed_order
 
 
@@ -288,8 +289,8 @@ def macro_f1(scores: DataFrame, keys: list[str]) -> DataFrame:
 
 def shuffled_labels(rows: DataFrame, keys: list[str], label: str, id_col: str, seed: int) -> DataFrame:
     """rows with their labels permuted within the keys: the k-th row by id gets the label of the k-th in a hashed order."""
-    a = rows.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(id_col))).drop(label)
-    b = rows.select(*keys, label, F.row_number().over(Window.partitionBy(*keys).orderBy(hashed_order(id_col, seed), id_col)).alias("_k"))
+    a = ranked(rows.drop(label), keys, [id_col], "_k")
+    b = ranked(rows.select(*keys, id_col, label, hashed_order(id_col, seed).alias("_h")), keys, ["_h", id_col], "_k").select(*keys, label, "_k")
     return a.join(b, [*keys, "_k"]).drop("_k")
 
 
@@ -313,24 +314,25 @@ def t_paired(df: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
     return t_one_sample(df.withColumn("_d", F.col(a) - F.col(b)), keys, "_d", 0.0)
 
 
+def _by_score(scored: DataFrame, keys: list[str], score: str, positive: str) -> DataFrame:
+    """Each distinct score: its positive and negative rows (_p, _n), those of all lower scores, and those of all."""
+    at = scored.groupBy(*keys, score).agg(F.sum(F.col(positive)).cast("double").alias("_p"), F.sum(1 - F.col(positive)).cast("double").alias("_n"))
+    below = running(at, keys, [score], {"_p_below": F.col("_p"), "_n_below": F.col("_n")})
+    return totals(below, keys, _p_all=F.sum("_p"), _n_all=F.sum("_n"))
+
+
 def roc_points(scored: DataFrame, keys: list[str], score: str, positive: str) -> DataFrame:
     """(keys, threshold, fpr, tpr): rates of rows at or over each distinct score; positive is 0 or 1."""
-    at = scored.groupBy(*keys, F.col(score).alias("threshold")).agg(F.sum(F.col(positive)).alias("_p"), F.count("*").alias("_n"))
-    w = Window.partitionBy(*keys)
-    up = w.orderBy(F.col("threshold").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    tp, n = F.sum("_p").over(up), F.sum("_n").over(up)
-    all_p, all_n = F.sum("_p").over(w), F.sum("_n").over(w)
-    return at.select(*keys, "threshold", ((n - tp) / F.nullif(all_n - all_p, F.lit(0))).alias("fpr"), (tp / F.nullif(all_p, F.lit(0))).alias("tpr"))
+    over = lambda c: (F.col(f"_{c}_all") - F.col(f"_{c}_below")) / F.nullif(F.col(f"_{c}_all"), F.lit(0.0))
+    return _by_score(scored, keys, score, positive).select(*keys, F.col(score).alias("threshold"), over("n").alias("fpr"), over("p").alias("tpr"))
 
 
 def auc(scored: DataFrame, keys: list[str], score: str, positive: str) -> DataFrame:
     """(keys, n_pos, n_neg, auc): the chance that a positive row outscores a negative one, ties counting half.
 
-    Rows are added up by distinct score first, so that the running sum is over scores and not rows.
+    Rows are added up by distinct score first, and running sums go over buckets of scores (scans.running).
     """
-    at = scored.groupBy(*keys, score).agg(F.sum(F.col(positive)).cast("double").alias("_p"), F.sum(1 - F.col(positive)).cast("double").alias("_n"))
-    below = F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    won = at.withColumn("_w", F.col("_p") * (below + F.col("_n") / 2))
+    won = _by_score(scored, keys, score, positive).withColumn("_w", F.col("_p") * (F.col("_n_below") + F.col("_n") / 2))
     out = won.groupBy(*keys).agg(F.sum("_p").cast("long").alias("n_pos"), F.sum("_n").cast("long").alias("n_neg"), F.sum("_w").alias("_w"))
     return out.select(*keys, "n_pos", "n_neg", (F.col("_w") / F.nullif(F.col("n_pos") * F.col("n_neg"), F.lit(0))).alias("auc"))
 

@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trialspark.operators import scans
+from trialspark.operators.scans import refractory  # noqa: F401
+
 
 def _by(keys: list[str], *order: str):
     return Window.partitionBy(*keys).orderBy(*order)
@@ -143,19 +146,6 @@ def compare_edges(a: DataFrame, b: DataFrame, keys: list[str], time: str, tolera
     return pairs.groupBy(*keys).agg(F.count("*").alias("n"), F.median("diff").alias("median"), F.stddev_pop("diff").alias("std"), F.min("diff").alias("low"), F.max("diff").alias("high"), F.count_if(F.abs("diff") > tolerance).alias("n_off"))
 
 
-def refractory(df: DataFrame, keys: list[str], time: str, interval: int) -> DataFrame:
-    """(keys, time): the first event, and then each that is `interval` or more after the last one kept.
-
-    The rule looks back at what was kept, so a key's times are folded in order in the JVM, within an array.
-    """
-    folded = F.aggregate(
-        F.array_sort(F.collect_list(time)),
-        F.array().cast("array<bigint>"),
-        lambda kept, t: F.when((F.size(kept) == 0) | (t - F.element_at(kept, -1) >= interval), F.concat(kept, F.array(t))).otherwise(kept),
-    )
-    return df.groupBy(*keys).agg(folded.alias("_kept")).select(*keys, F.explode("_kept").alias(time))
-
-
 def drop_bad_trials(pulses: DataFrame, least: int) -> DataFrame:
     """pulses with good: at least `least` long."""
     return pulses.withColumn("good", F.col("fall") - F.col("rise") >= least)
@@ -182,8 +172,7 @@ def pulse_frequency(df: DataFrame, keys: list[str], time: str, per_second: float
 def find_peaks(df: DataFrame, keys: list[str], order: str, value: str, height: float | None = None, distance: int = 1) -> DataFrame:
     """Local maxima (of a flat top its middle), at least height, and no two within `distance` rows: the higher stays.
 
-    Maxima are found with lag and lead; only they go to Python, where each recording's candidates are thinned from the
-    highest down.
+    Maxima are found with lag and lead; only those that stand too near to others go to Python (scans.peaks_apart).
     """
     w = _by(keys, order)
     rows = df.select(*keys, F.col(order).alias("_o"), F.col(value).cast("double").alias("_v"), (F.row_number().over(w) - 1).alias("_i"))
@@ -197,23 +186,20 @@ def find_peaks(df: DataFrame, keys: list[str], order: str, value: str, height: f
         tops = tops.filter(F.col("_v") >= height)
     found = tops.select(*keys, F.floor((F.col("_a") + F.col("_b")) / 2).alias("_i"), F.col("_v"))
     if distance > 1:
-        schema = found.schema
-
-        def thin(pdf):
-            at, v = pdf["_i"].to_numpy(), pdf["_v"].to_numpy()
-            order = at.argsort()
-            at, v = at[order], v[order]
-            keep = v == v
-            for k in sorted(range(len(at)), key=lambda k: (-v[k], -at[k])):
-                if keep[k]:
-                    near = (abs(at - at[k]) < distance) & (at != at[k])
-                    keep &= ~near
-            return pdf.iloc[order[keep]]
-
-        found = found.groupBy(*keys).applyInPandas(thin, schema)
+        found = scans.peaks_apart(found, keys, "_i", "_v", distance)
     return found.join(rows.select(*keys, "_i", "_o"), [*keys, "_i"]).select(*keys, F.col("_o").alias(order), F.col("_v").alias("peak"))
 
 
+def find_peaks_prominent(df: DataFrame, keys: list[str], order: str, value: str, least: float, height: float | None = None, distance: int = 1) -> DataFrame:
+    """find_peaks() with prominence, of which at least `least` is asked for (scans.prominences)."""
+    peaks = find_peaks(df, keys, order, value, height, distance)
+    w = _by(keys, order)
+    rows = df.select(*keys, order, F.col(value).cast("double").alias("peak"), (F.row_number().over(w) - 1).alias("place"))
+    placed = peaks.drop("peak").join(rows, [*keys, order])
+    out = scans.prominences(rows, placed, keys, "place", "peak")
+    return out.filter(F.col("prominence") >= least).select(*keys, order, "peak", "prominence")
+
+
 def filter_peaks(peaks: DataFrame, value: str, low: float, high: float) -> DataFrame:
     """Peaks strictly between two values."""
     return peaks.filter((F.col(value) > low) & (F.col(value) < high))

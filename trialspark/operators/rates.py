@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trialspark.operators.intervals import interval_join
+from trialspark.operators.scans import ranked, totals
 
 
 def bin_number(x: Column, first: float, width: float, bins: int) -> Column:
@@ -100,9 +101,8 @@ def mua_rate(spikes: DataFrame, keys: list[str], time: str, start: int, end: int
 
 def up_states(rates: DataFrame, keys: list[str], bin_col: str = "bin", rate: str = "rate", k: float = 0.5) -> DataFrame:
     """(keys, first, last, bins, peak): runs of bins whose rate is over mean + k population deviations."""
-    every = Window.partitionBy(*keys)
-    marked = rates.withColumn("_up", F.col(rate) > F.avg(rate).over(every) + k * F.stddev_pop(rate).over(every))
-    ups = marked.filter("_up").withColumn("_run", F.col(bin_col) - F.row_number().over(Window.partitionBy(*keys).orderBy(bin_col)))
+    marked = totals(rates, keys, _m=F.avg(rate), _s=F.stddev_pop(rate)).filter(F.col(rate) > F.col("_m") + k * F.col("_s"))
+    ups = ranked(marked, keys, [bin_col], "_r").withColumn("_run", F.col(bin_col) - F.col("_r"))
     return ups.groupBy(*keys, "_run").agg(F.min(bin_col).alias("first"), F.max(bin_col).alias("last"), F.count("*").alias("bins"), F.max(rate).alias("peak")).drop("_run")
 
 
