@@ -43,8 +43,8 @@ SAMPLE_TEXTS, COMMON = 16_000, 400_000
 #: Customers up to which a dish's tables are drawn exactly; up to which customers of other dishes are seated one by one,
 #: and beyond which in groups of a 64th of those seated.
 EXACT, ONE_BY_ONE = 100, 1024
-#: A pair's score is told in so many steps of a unit of log10.
-STEPS = 4000
+#: A pair's score is told in so many steps of a unit of log10: rounding moves it by 5e-7 at most, as 32-bit floats would.
+STEPS = 1 << 20
 MESSAGE = "bucket long, shard long, kind int, body binary"
 
 
@@ -161,12 +161,13 @@ def _entries(buckets: int, shared):
         common = shared.value
         n = np.array([len(d[2]) for d in docs])
         token = np.concatenate([d[2] for d in docs])
-        context = np.concatenate([[START], token[:-1]])
-        context[np.cumsum(n)[:-1]] = START
+        words, code = np.unique(token, return_inverse=True)
+        before = np.concatenate([[len(words)], code[:-1]])
+        before[np.cumsum(n)[:-1]] = len(words)
         train = np.repeat([d[1] for d in docs], n)
-        key = context & np.uint64(0xFFFFFFFF00000000) | token >> np.uint64(32)
-        _, first, pair = np.unique(key, return_index=True, return_inverse=True)
-        context, token = context[first], token[first]
+        _, first, pair = np.unique(before * (len(words) + 1) + code, return_index=True, return_inverse=True)
+        context, token = np.append(words, START)[before[first]], token[first]
+        del code, before
         count = np.bincount(pair[train], minlength=len(first))
         bucket = place_of(np.where(common.is_hot(context), mixed(context, token), context), buckets)
         order = np.argsort(bucket.astype(np.uint32), kind="stable")
@@ -523,7 +524,8 @@ def scored_documents(docs: DataFrame, train, id_col: str = "doc_id", text_col: s
 
     Returns (id, train, n_tokens, n_known, base_score, score, train_tokens, vocabulary): n_known tokens stand in training;
     base_score is the add-0.5 unigram log10 probability over the known words and one unknown, score the model's. Perplexity
-    of a set of rows is 10 ** (-sum(score) / sum(n_tokens)).
+    of a set of rows is 10 ** (-sum(score) / sum(n_tokens)). n_known and base_score are exact (words are told apart by hashes of
+    64 bits); score is within 5e-7 a token of the model's.
 
     Null and empty texts are an end alone. Rows are scored one by one: repeated rows come back repeated, a row without an id
     keeps its null. A null condition is not training. Nothing to learn from leaves uniform probabilities. The seating is
