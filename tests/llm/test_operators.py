@@ -828,3 +828,34 @@ def test_language_model_awkward(spark, awkward, empty):
     assert all(r.score <= 0 and np.isfinite(r.score) for r in out) and {r.n_tokens for r in out if r.id in (1, 2, 3)} == {1}
     assert pitman_yor.scored_documents(awkward, F.lit(False)).filter("train_tokens = 0").count() == len(AWKWARD)
     assert pitman_yor.scored_documents(empty, F.lit(True)).count() == 0
+
+
+def test_words_that_share_half_their_hash(spark, monkeypatch):
+    """n_known and base_score are exact even where two words' hashes agree in their upper 32 bits, after the same word."""
+    known, other = "w57212", "w67677"
+    upper = {xxhash.xxh3_64_intdigest(w.encode()) >> 32 for w in (known, other)}
+    assert len(upper) == 1
+    rows = frame(spark, [(1, f"x {known}"), (2, f"x {other}")])
+    got = {r.id: r for r in pitman_yor.scored_documents(rows, F.col("doc_id") == 1).collect()}
+    assert (got[1].n_known, got[2].n_known) == (3, 2)
+    share = lambda c: math.log10((c + 0.5) / (3 + 0.5 * 4))
+    assert got[2].base_score == pytest.approx(2 * share(1) + share(0), abs=1e-12)
+
+
+@pytest.mark.parametrize("date", ["12/31/1999", "31/12/1999", "1999-12-31", "1/2/1999", "12-3-99", "12311999", "1999.1.2", "311299"])
+def test_dates_of_all_orders_cost_the_same(date):
+    cost, segments = secrets.guess_cost(date, {})
+    assert segments == [("date", 0, len(date))]
+    assert cost == pytest.approx(math.log10(2 * 36500))
+
+
+def test_secrets_query_tells_costs(spark):
+    rows = queries.op6_secrets(spark, "/root/testdata/sf0.01").filter("least_log10_guesses IS NOT NULL").collect()
+    docs = dict((r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect())
+    assert len(rows) > 10
+    for r in rows:
+        assert 0 < r.least_log10_guesses <= r.most_log10_guesses
+        for told in r.segments.split(";"):
+            start, parts = told.split("=")
+            value = secrets.ASSIGN.match(docs[r.doc_id], int(start))[2]
+            assert sum(int(p.split(":")[1]) for p in parts.split(",")) == len(value)

@@ -74,3 +74,20 @@ def test_stages_on_an_empty_table(spark, planted):
     none = planted.filter("doc_id < 0")
     for _, stage in cp.STAGES:
         assert stage(spark, none, SF).count() == 0
+
+
+def test_stages_keep_columns_of_any_name(spark, planted):
+    """Names with dots, and those that stages use themselves; very long texts; repeated rows."""
+    long = planted.filter("doc_id = 4").withColumns({"doc_id": F.lit(70).cast("long"), "text": F.repeat(F.lit("one long text of some words "), 20_000)})
+    docs = planted.unionByName(planted).unionByName(long)
+    docs = docs.select("*", *[F.concat(F.lit(f"{n}-"), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))).alias(n) for n in ("_row", "_ROW_", "a.b", "component", "id", "score", "row", "kept", "item", "n")])
+    for name, stage in cp.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns, name
+        rows = out.collect()
+        assert rows or name == "quality classifier"
+        for r in rows:
+            own = "none" if r["doc_id"] is None else str(r["doc_id"])
+            assert (r["_row"], r["_ROW_"], r["a.b"], r["id"], r["n"]) == (f"_row-{own}", f"_ROW_-{own}", f"a.b-{own}", f"id-{own}", f"n-{own}"), name
+    pieces = cp.packing_stage(spark, docs, SF)
+    assert pieces.agg(F.sum("length")).first()[0] == pieces.select("doc_id", "doc_tokens", "start").filter("start = 0").agg(F.sum("doc_tokens")).first()[0]

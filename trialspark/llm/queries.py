@@ -59,8 +59,11 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = secrets.scanned(table(spark, sf_dir, "documents").select("doc_id", "text"))
     n = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = secrets.span_list(F.col("secrets"), ("assign", "access", "hex"))
-    guessed = n("guess")
-    return out.select("doc_id", n("assign"), n("access"), n("hex"), F.sha2(base.cast("binary"), 256).alias("base_sha256"), secrets.span_list(F.col("secrets")).alias("spans"), guessed)
+    costed = F.filter("secrets", lambda s: s["log10_guesses"].isNotNull())
+    costs = F.transform(costed, lambda s: F.round(s["log10_guesses"], 6))
+    segments = F.array_join(F.transform(costed, lambda s: F.concat_ws("=", s["start"].cast("string"), s["segments"])), ";")
+    more = [n("guess"), F.array_min(costs).alias("least_log10_guesses"), F.array_max(costs).alias("most_log10_guesses"), segments.alias("segments")]
+    return out.select("doc_id", n("assign"), n("access"), n("hex"), F.sha2(base.cast("binary"), 256).alias("base_sha256"), secrets.span_list(F.col("secrets")).alias("spans"), *more)
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

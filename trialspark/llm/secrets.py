@@ -31,9 +31,20 @@ HEX_OF = bytes.maketrans(bytes(range(256)), bytes(1 if chr(b) in "0123456789abcd
 ROWS = ("1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
 LEET = str.maketrans("4301$5@7!", "aeoissati")
 PLACE = {c: (r, k) for r, row in enumerate(ROWS) for k, c in enumerate(row)}
-#: Years, dates by year, and by day with a year of four digits or of two: each is tried at each place.
-DAY, MONTH = r"(?:0[1-9]|[12]\d|3[01])", r"(?:0[1-9]|1[0-2])"
-DATES = [re.compile(x) for x in (r"(?:19|20)\d\d", rf"(?:19|20)\d\d[-./]?{MONTH}[-./]?{DAY}", rf"{DAY}[-./]?{MONTH}[-./]?(?:19|20)\d\d", rf"{DAY}[-./]?{MONTH}[-./]?\d\d")]
+#: Years; dates by year, by day and by month, with a year of four digits or of two; numbers of one digit where signs part them.
+#: Each is tried at each place, and each length that a date may have there.
+DAY, MONTH, YEAR, PART = r"(?:0[1-9]|[12]\d|3[01])", r"(?:0[1-9]|1[0-2])", r"(?:19|20)\d\d", r"[-./]"
+SHORT_DAY, SHORT_MONTH = r"(?:[12]\d|3[01]|0?[1-9])", r"(?:1[0-2]|0?[1-9])"
+DATES = [
+    re.compile(x)
+    for x in (
+        YEAR,
+        rf"{YEAR}{PART}?{MONTH}{PART}?{DAY}",
+        *(rf"{a}{PART}?{b}{PART}?{y}" for a, b in ((DAY, MONTH), (MONTH, DAY)) for y in (YEAR, r"\d\d")),
+        *(rf"{a}{PART}{b}{PART}{y}" for a, b in ((SHORT_DAY, SHORT_MONTH), (SHORT_MONTH, SHORT_DAY)) for y in (YEAR, r"\d\d")),
+        *(rf"{YEAR}{PART}{SHORT_MONTH}{PART}{d}" for d in (SHORT_DAY, r"[1-9]")),
+    )
+]
 #: Characters of a repeated block, and of a keyboard walk, at most.
 BLOCK, WALK = 8, 64
 
@@ -173,24 +184,28 @@ def word_ranks(docs: DataFrame, text_col: str = "text", most: int = 20_000) -> d
 
 
 def scanned(docs: DataFrame, text_col: str = "text", least: float = 10.0, most_words: int = 20_000, out_col: str = "secrets") -> DataFrame:
-    """docs with out_col: array of (kind, start, end, log10_guesses), by start, then by kind as in KINDS.
+    """docs with out_col: array of (kind, start, end, log10_guesses, segments), by start, then by kind as in KINDS.
 
     start and end are code points of the whole text, end exclusive. log10_guesses is the guess cost of a span of kind
-    assign (its value) or guess, else null. Null and empty texts have none. Rows come back as they are, repeated or not; a
+    assign (its value) or guess, segments the kinds and lengths of its cheapest segmentation; both are null for others. Null and empty texts have none. Rows come back as they are, repeated or not; a
     column named out_col is replaced. No rows in, no rows out.
     """
     ranks = docs.sparkSession.sparkContext.broadcast(word_ranks(docs, text_col, most_words))
 
-    @pandas_udf("array<struct<kind: string, start: long, end: long, log10_guesses: double>>")
+    @pandas_udf("array<struct<kind: string, start: long, end: long, log10_guesses: double, segments: string>>")
     def spans(texts: pd.Series) -> pd.Series:
+        def told(value: str) -> tuple[float, str]:
+            cost, segments = guess_cost(value, ranks.value)
+            return cost, ",".join(f"{kind}:{end - start}" for kind, start, end in segments)
+
         rows = []
         for text in texts:
             text = text or ""
             lower = text.lower()
             base = base_spans(text, lower)
-            found = [(k, s, e, guess_cost(ASSIGN.match(text, s)[2], ranks.value)[0] if k == "assign" else None) for k, s, e in base]
-            found += guessed_spans(text, lower, base, ranks.value, least)
-            rows.append([dict(zip(("kind", "start", "end", "log10_guesses"), x, strict=True)) for x in sorted(found, key=lambda x: (x[1], KINDS.index(x[0])))])
+            found = [(k, s, e, *(told(ASSIGN.match(text, s)[2]) if k == "assign" else (None, None))) for k, s, e in base]
+            found += [(k, s, e, *told(text[s:e])) for k, s, e, _ in guessed_spans(text, lower, base, ranks.value, least)]
+            rows.append([dict(zip(("kind", "start", "end", "log10_guesses", "segments"), x, strict=True)) for x in sorted(found, key=lambda x: (x[1], KINDS.index(x[0])))])
         return pd.Series(rows)
 
     return docs.withColumn(out_col, spans(F.col(f"`{text_col}`")))
