@@ -6,7 +6,7 @@ of docs. run() writes each stage's rows to the shared folder and reads them agai
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trialspark.llm import decontam, line_dedup, packing, quality, simhash
@@ -16,20 +16,33 @@ from trialspark.llm.common import bounded_broadcast, join_counted, table, writte
 KEEP_SCORE = 0.7
 
 
+def _named(columns: list[str]) -> list[Column]:
+    """Columns of any names, dots included."""
+    return [F.col(f"`{c}`") for c in columns]
+
+
 def _without(docs: DataFrame, lost: DataFrame, key: str = "doc_id") -> DataFrame:
     """docs without the keys of lost; rows without a key stay."""
-    return docs.join(bounded_broadcast(lost), key, "left_anti").select(*docs.columns)
+    return docs.join(bounded_broadcast(lost), key, "left_anti").select(*_named(docs.columns))
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, fitted on this input's labelled rows, doesn't reject."""
+    """Documents that the classifier, fitted on this input's labelled rows, doesn't reject.
+
+    Null and empty texts are scored like others (and so mostly go), repeated rows one by one; other columns, whatever their
+    names, come back as they are.
+    """
     model = quality.train(docs, table(spark, sf_dir, "labels"))
-    base = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").alias("text"))
+    base = docs.select(F.struct(*_named(docs.columns)).alias("row"), F.col("text").alias("text"))
     return quality.scored(base, model).filter(F.col("score") >= KEEP_SCORE).select("row.*")
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document without the lines that stand in three or more documents; n_chars follows the text."""
+    """Each document without the lines that stand in three or more documents; n_chars follows the text.
+
+    A null text comes back empty. Repeated rows of one id are one document to the count, and stay rows. Rows without an id
+    keep their lines but where others hold them too. Columns of any names come back.
+    """
     out = line_dedup.drop_repeated_lines(docs)
     fresh = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
     return out.select(*[fresh[c].alias(c) if c in fresh else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
@@ -41,23 +54,29 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows are told apart by a number of their own: those without an id, or of one id, are compared like any others. A row
     without an id is kept only where its group has none with one.
     """
-    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "near-rows")
-    found = simhash.near_duplicates(rows, "_row").withColumnRenamed("id", "_row").join(rows.select("_row", "doc_id"), "_row")
+    number = "_row"
+    while number.lower() in {c.lower() for c in docs.columns}:
+        number += "_"
+    rows = written(docs.withColumn(number, F.monotonically_increasing_id()), "near-rows")
+    found = simhash.near_duplicates(rows, number).withColumnRenamed("id", number).join(rows.select(number, "doc_id"), number)
     found = written(found, "near")
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", number)
     kept = found.groupBy("component").agg(F.min(order).alias("kept"), F.count("*").alias("n")).filter("n > 1")
-    lost = join_counted(found, written(kept, "near-kept"), ["component"], "n").filter("_row <> kept._row").select("_row")
-    return _without(rows, lost, "_row").select(*docs.columns)
+    lost = join_counted(found, written(kept, "near-kept"), ["component"], "n").filter(F.col(number) != F.col("kept")[number]).select(number)
+    return _without(rows, lost, number).select(*_named(docs.columns))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no benchmark item is found."""
+    """Documents in which no benchmark item is found.
+
+    Null and empty texts hold none. An id goes with all its rows; rows without an id stay. Columns of any names come back.
+    """
     found = decontam.contaminated(docs, table(spark, sf_dir, "benchmark"))
     return _without(docs, written(found.select(F.col("id").alias("doc_id")).distinct(), "leaks"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of 2048 ids, one row for each piece of a document in them."""
+    """Sequences of 2048 ids, one row for each piece of a document in them; null and empty texts are their end alone."""
     return packing.piece_digests(packing.packed_pieces(docs))
 
 
@@ -71,6 +90,7 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the table of documents; a table without rows gives none at each stage."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
