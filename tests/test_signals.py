@@ -41,7 +41,8 @@ def test_butterworth_gains():
         assert gain(50) == pytest.approx(2**-0.5, abs=1e-6)
 
 
-def test_bandpass_on_chunks_is_that_of_the_whole(traces, wave):
+def test_bandpass_on_chunks_is_that_of_the_whole(traces, wave, monkeypatch):
+    monkeypatch.setattr(signals, "BLOCK", 300)
     got = line(signals.long_traces(signals.bandpass(traces, ["channel"], 20.0, 80.0, FS, halo=512), ["channel"]))
     want = signals.zero_phase(signals.butterworth(20.0, 80.0, FS), wave[None], 27)[0]
     assert np.abs(got - want)[100:-100].max() < 1e-6
@@ -49,7 +50,8 @@ def test_bandpass_on_chunks_is_that_of_the_whole(traces, wave):
 
 
 @pytest.mark.parametrize("length", [64, 512])
-def test_slow_filters_reach_over_many_chunks(spark, wave, length):
+def test_slow_filters_reach_over_many_chunks(spark, wave, length, monkeypatch):
+    monkeypatch.setattr(signals, "BLOCK", 64)
     cut = spark.createDataFrame([("c", k, length * k, wave[length * k : length * (k + 1)].tolist()) for k in range(4096 // length)], "channel string, chunk long, start long, samples array<double>")
     got = line(signals.long_traces(signals.bandpass(cut, ["channel"], 0.5, 4.0, FS), ["channel"]))
     want = signals.zero_phase(signals.butterworth(0.5, 4.0, FS), wave[None], 27)[0]
@@ -58,7 +60,8 @@ def test_slow_filters_reach_over_many_chunks(spark, wave, length):
         signals.bandpass(cut, ["channel"], 0.5, 4.0, FS, halo=64)
 
 
-def test_band_powers_of_the_whole(spark, wave):
+def test_band_powers_of_the_whole(spark, wave, monkeypatch):
+    monkeypatch.setattr(signals, "BLOCK", 200)
     cut = spark.createDataFrame([("c", k, 128 * k, wave[128 * k : 128 * (k + 1)].tolist()) for k in range(32)], "channel string, chunk long, start long, samples array<double>")
     out = signals.band_powers(cut, ["channel"], FS, 50)
     assert out.columns == ["channel", "sample", "delta", "sigma", "gamma", "theta_ratio"] and out.count() == 4096
@@ -84,13 +87,14 @@ def test_artifacts_stay_in_their_recording(spark):
 
 def test_preprocessing_is_a_list_of_steps(spark, traces):
     out, fs = signals.preprocessed(traces, ["channel"], FS, [("reference", [], "channel"), ("band", 20.0, 80.0), ("resample", 4)])
-    assert fs == 125.0 and out.count() == 8
+    assert fs == 125.0 and signals.long_traces(out, ["channel"]).count() == 1024
     two = traces.unionByName(traces.withColumn("channel", F.lit("d")).withColumn("samples", F.transform("samples", lambda v: 2 * v)))
     got, _ = signals.preprocessed(two, ["channel"], FS, [("band", 20.0, 80.0), ("reference", [], "channel")])
-    assert got.count() == 16
+    assert signals.long_traces(got, ["channel"]).count() == 2 * 4096
 
 
-def test_resampled_keeps_the_slow_wave(traces):
+def test_resampled_keeps_the_slow_wave(traces, monkeypatch):
+    monkeypatch.setattr(signals, "BLOCK", 250)
     got = line(signals.long_traces(signals.resampled(traces, ["channel"], 4, 16), ["channel"]))
     assert len(got) == 1024
     t = np.arange(1024) * 4 / FS
@@ -98,8 +102,9 @@ def test_resampled_keeps_the_slow_wave(traces):
     assert np.abs(got - want)[50:-50].max() < 0.35
 
 
-def test_spectrogram_across_chunks(traces, wave):
-    out = signals.spectrogram(traces, ["channel"], 512, FS, nperseg=256, overlap=128, nfft=512).orderBy("seg").collect()
+def test_spectrogram_across_chunks(traces, wave, monkeypatch):
+    monkeypatch.setattr(signals, "BLOCK", 300)
+    out = signals.spectrogram(traces, ["channel"], FS, nperseg=256, overlap=128, nfft=512).orderBy("seg").collect()
     starts = np.arange(0, 4096 - 256 + 1, 128)
     want = signals.psd(np.stack([wave[a : a + 256] for a in starts]), FS, signals.tukey(256), 512)
     assert [r.seg for r in out] == list(range(len(starts)))
@@ -159,3 +164,47 @@ def test_velocity_outliers(spark):
     assert raw.filter("v = 0").count() == 2 and raw.filter("raw > 4000").count() == 2
     d = motion.velocity_by_derivative(df, ["s"], "t", "x", "y", most=530.0)
     assert d.count() == 40 and d.agg(F.max("v")).first()[0] <= 530
+
+
+def ragged(spark, wave):
+    """Chunks of all lengths, one of a single sample, in no order."""
+    cuts = [0, 700, 701, 1500, 1502, 2600, 4000, 4096]
+    rows = [("c", k, a, wave[a:b].tolist()) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
+    return spark.createDataFrame(rows[::-1], "channel string, chunk long, start long, samples array<double>")
+
+
+def test_a_short_chunk_changes_no_block(spark, traces, wave):
+    for df in (traces, ragged(spark, wave)):
+        blocks = signals.even_blocks(df, ["channel"], 256, 30, 50).orderBy("chunk").collect()
+        assert [(b.chunk, b.start, b.n, b.before) for b in blocks] == [(k, 256 * k, 256, 0 if k == 0 else 30) for k in range(16)]
+        for b in blocks:
+            assert b.samples == wave[b.start - b.before : b.start + b.n + 50].tolist()
+
+
+def test_blocks_from_any_start(spark):
+    df = spark.createDataFrame([("c", 0, -7, [float(k) for k in range(20)]), ("c", 1, 40, [1.0, 2.0]), ("c", 2, 50, [])], "channel string, chunk long, start long, samples array<double>")
+    got = signals.even_blocks(df, ["channel"], 10, 2, 2).orderBy("chunk").collect()
+    assert [(b.chunk, b.start, b.n, b.before) for b in got] == [(-1, -7, 7, 0), (0, 0, 10, 2), (1, 10, 3, 2), (4, 40, 2, 0)]
+    assert got[1].samples == [float(k) for k in range(5, 19)]
+
+
+def test_no_job_runs_while_a_filter_is_planned(spark, traces):
+    spark.sparkContext.setJobGroup("planned", "")
+    signals.bandpass(traces, ["channel"], 20.0, 80.0, FS)
+    signals.band_powers(traces, ["channel"], FS, 50)
+    signals.spectrogram(traces, ["channel"], FS, 256, 128, 512)
+    signals.resampled(traces, ["channel"], 4)
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("planned")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+@pytest.mark.parametrize("name", ["bandpass", "resampled", "spectrogram"])
+def test_ragged_chunks_give_what_even_ones_give(spark, traces, wave, name, monkeypatch):
+    monkeypatch.setattr(signals, "BLOCK", 256)
+    run = {
+        "bandpass": lambda df: signals.long_traces(signals.bandpass(df, ["channel"], 20.0, 80.0, FS), ["channel"]).select("sample", "value"),
+        "resampled": lambda df: signals.long_traces(signals.resampled(df, ["channel"], 3, 8), ["channel"]).select("sample", "value"),
+        "spectrogram": lambda df: signals.spectrogram(df, ["channel"], FS, 256, 128, 512).select("seg", "psd"),
+    }[name]
+    a, b = ([tuple(r) for r in run(df).orderBy(run(df).columns[0]).collect()] for df in (traces, ragged(spark, wave)))
+    assert a == b and len(a) > 10

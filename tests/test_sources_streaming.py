@@ -131,3 +131,33 @@ def test_live_segments(spark, tmp_path):
 def test_live_refractory(spark, tmp_path):
     out = streamed(spark, tmp_path, [(1, at(s)) for s in (0, 1, 4, 5, 8)] + [(2, at(3))], lambda s: live.live_refractory(s, "k", "ts", 4.0, "1 minute"), "live_refractory")
     assert sorted((r.k, r.ts) for r in out if r.k < 9) == [(1, at(0)), (1, at(4)), (1, at(8)), (2, at(3))]
+
+
+def test_live_refractory_drops_late_rows_and_idle_keys(spark, tmp_path):
+    """Over a restart from the checkpoint: rows behind the watermark are dropped, and keys idle for long have no state."""
+    source, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "cp"))
+
+    def feed(rows):
+        spark.createDataFrame(rows, "k int, ts timestamp").coalesce(1).write.mode("append").parquet(source)
+
+    def run():
+        stream = spark.readStream.schema("k int, ts timestamp").parquet(source)
+        q = live.live_refractory(stream, "k", "ts", 4.0, "10 seconds", idle=30.0).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        assert q.exception() is None
+
+    def held():
+        return {r.key["k"]: r.value["groupState"]["last"] for r in spark.read.format("statestore").load(checkpoint).collect()}
+
+    feed([(1, at(s)) for s in (0, 1, 5)] + [(2, at(100))])
+    run()
+    assert set(held()) == {2}
+    feed([(2, at(103)), (2, at(104)), (3, at(20)), (3, at(95))])
+    run()
+    feed([(2, at(200)), (1, at(199)), (1, at(93))])
+    run()
+    feed([(2, at(300))])
+    run()
+    got = sorted((r.k, r.ts) for r in spark.read.parquet(out).collect())
+    assert got == [(1, at(0)), (1, at(5)), (1, at(199)), (2, at(100)), (2, at(104)), (2, at(200)), (2, at(300)), (3, at(95))]
+    assert set(held()) == {2}

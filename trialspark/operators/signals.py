@@ -1,7 +1,8 @@
 """Multichannel signals: chunks, re-referencing, filters, spectra, artifacts.
 
-Traces are rows of chunks: (rec_id, channel, chunk, samples). A chunk's neighbours come by lag and lead, so a kernel works
-on a chunk and a halo on either side: a task never needs a whole recording, and single samples are not shuffled for it.
+Traces are rows of chunks: (rec_id, channel, chunk, start, samples). A kernel that looks around a sample works on even blocks,
+which are cut by the samples' places and come with a halo: however the chunks were cut, a task never needs a whole recording,
+and single samples are not shuffled for it.
 """
 
 from __future__ import annotations
@@ -105,40 +106,31 @@ def zero_phase(sos: np.ndarray, x: np.ndarray, pad: int) -> np.ndarray:
     return y[:, pad : y.shape[1] - pad] if pad > 0 else y
 
 
-def with_halo(traces: DataFrame, keys: list[str], halo: int) -> DataFrame:
-    """traces with before and after: up to `halo` samples on either side, from as many chunks as that takes.
-
-    Only a recording's ends leave less. The number of chunks follows from the shortest that isn't a recording's last one.
-    """
-    w = Window.partitionBy(*keys).orderBy("chunk")
-    inner = traces.select(F.size("samples").alias("_n"), F.lead("chunk").over(w).alias("_next")).filter("_next IS NOT NULL AND _n > 0")
-    shortest = inner.agg(F.min("_n")).first()[0] or max(1, halo)
-    chunks = max(1, -(-halo // shortest))
-    before = F.flatten(F.collect_list("samples").over(w.rowsBetween(-chunks, -1)))
-    after = F.flatten(F.collect_list("samples").over(w.rowsBetween(1, chunks)))
-    wide = traces.withColumns({"before": before, "after": after})
-    return wide.withColumns({"before": F.slice("before", F.greatest(F.size("before") - halo + 1, F.lit(1)), F.lit(halo)), "after": F.slice("after", F.lit(1), F.lit(halo))})
+#: Samples of a block at least.
+BLOCK = 4096
 
 
-def _blocks(traces: DataFrame, keys: list[str], halo: int) -> DataFrame:
-    """Neighbouring chunks joined to blocks that are about as long as a halo, so that a sample is filtered about three times.
+def even_blocks(traces: DataFrame, keys: list[str], size: int, before: int = 0, after: int = 0) -> DataFrame:
+    """(keys, chunk, start, samples, before, n): blocks of `size` samples by their place, whatever the chunks they came in.
 
-    (keys, chunk: the block's number, start, samples, _parts: the rows it is made of, in order).
+    Each chunk is cut where it lies, and sends a block its own samples and a neighbour only the halo that it asks for: up to
+    `before` samples on the left and `after` on the right, which samples holds as well. before says how many there are on the
+    left, n how many are the block's own, start the place of the first of them. A block holds size + before + after samples at
+    most, and nothing is asked of the data while the plan is made. Samples are taken as neighbours even where places are missing
+    between; blocks without samples of their own don't exist.
     """
-    w = Window.partitionBy(*keys).orderBy("chunk")
-    inner = traces.select(F.size("samples").alias("_n"), F.lead("chunk").over(w).alias("_next")).filter("_next IS NOT NULL AND _n > 0")
-    many = max(1, -(-halo // (inner.agg(F.min("_n")).first()[0] or max(1, halo))))
-    rest = [c for c in traces.columns if c not in (*keys, "chunk", "samples")]
-    joined = traces.groupBy(*keys, F.floor(F.col("chunk") / many).cast("bigint").alias("_g")).agg(F.array_sort(F.collect_list(F.struct("chunk", *rest, "samples"))).alias("_parts"))
-    return joined.select(*keys, F.col("_g").alias("chunk"), F.col("_parts")[0]["start"].alias("start"), F.flatten(F.transform("_parts", lambda p: p["samples"])).alias("samples"), "_parts")
-
-
-def _parted(blocks: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """The rows that blocks were made of, with their shares of the blocks' samples."""
-    before = lambda i: F.aggregate(F.slice("_parts", F.lit(1), i), F.lit(0), lambda n, q: n + F.size(q["samples"]))
-    rows = blocks.select(*keys, "samples", F.explode(F.transform("_parts", lambda p, i: F.struct(p.alias("p"), before(i).alias("at")))).alias("_x"))
-    own = F.slice("samples", F.col("_x.at") + 1, F.size("_x.p.samples"))
-    return rows.select(*[F.col(c) if c in keys else own.alias(c) if c == "samples" else F.col(f"_x.p.{c}") for c in columns])
+    low, high = F.col("start"), F.col("start") + F.size("samples")
+    rows = traces.filter(F.size("samples") > 0).select(*keys, low.alias("_low"), high.alias("_high"), F.col("samples").cast("array<double>").alias("samples"))
+    reach = F.sequence(F.floor((F.col("_low") - after) / size), F.floor((F.col("_high") - 1 + before) / size))
+    rows = rows.withColumn("chunk", F.explode(reach)).withColumns({"_a": F.greatest("_low", F.col("chunk") * size - before), "_b": F.least("_high", (F.col("chunk") + 1) * size + after)})
+    piece = F.struct(F.col("_a").alias("a"), F.col("_b").alias("b"), F.slice("samples", (F.col("_a") - F.col("_low") + 1).cast("int"), (F.col("_b") - F.col("_a")).cast("int")).alias("x"))
+    got = rows.groupBy(*keys, "chunk").agg(F.array_sort(F.collect_list(piece)).alias("_parts"))
+    edge, end = F.col("chunk") * size, (F.col("chunk") + 1) * size
+    count = lambda of: F.aggregate("_parts", F.lit(0).cast("long"), lambda t, p: t + F.greatest(F.lit(0).cast("long"), of(p)))
+    own = count(lambda p: F.least(p["b"], end) - F.greatest(p["a"], edge))
+    left = count(lambda p: F.least(p["b"], edge) - p["a"])
+    first = F.array_min(F.transform(F.filter("_parts", lambda p: p["b"] > edge), lambda p: F.greatest(p["a"], edge)))
+    return got.select(*keys, "chunk", first.alias("start"), F.flatten(F.col("_parts.x")).alias("samples"), left.cast("int").alias("before"), own.cast("int").alias("n")).filter("n > 0")
 
 
 def response_length(sos: np.ndarray, share: float = 1e-3) -> int:
@@ -147,39 +139,38 @@ def response_length(sos: np.ndarray, share: float = 1e-3) -> int:
     return int(np.ceil(np.log(share) / np.log(radius))) if radius > 0 else 1
 
 
-def _on_chunks(traces: DataFrame, keys: list[str], halo: int, kernel, name: str = "samples") -> DataFrame:
-    """Each chunk by kernel(signals, before): arrays of the same layout are stacked and run as one matrix."""
+def _on_blocks(traces: DataFrame, keys: list[str], size: int, halo: int, kernel, name: str = "samples") -> DataFrame:
+    """(keys, chunk, start, n, name): each block by kernel(signals, before, own): arrays of one layout are run as one matrix."""
 
     @F.pandas_udf("array<double>")
-    def run(before: pd.Series, own: pd.Series, after: pd.Series) -> pd.Series:
+    def run(samples: pd.Series, before: pd.Series, own: pd.Series) -> pd.Series:
         out = pd.Series([None] * len(own), dtype=object)
         shapes: dict[tuple, list[int]] = {}
-        for k, (b, x, a) in enumerate(zip(before, own, after, strict=True)):
-            shapes.setdefault((len(b), len(x), len(a)), []).append(k)
-        for (nb, n, _), rows in shapes.items():
-            x = np.stack([np.concatenate([before[k], own[k], after[k]]) for k in rows])
-            for k, y in zip(rows, kernel(x, nb, n), strict=True):
+        for k, (x, b, n) in enumerate(zip(samples, before, own, strict=True)):
+            shapes.setdefault((len(x), b, n), []).append(k)
+        for (_, b, n), rows in shapes.items():
+            for k, y in zip(rows, kernel(np.stack([samples[k] for k in rows]), b, n), strict=True):
                 out[k] = y
         return out
 
-    return with_halo(traces, keys, halo).withColumn(name, run("before", "samples", "after")).drop("before", "after")
+    blocks = even_blocks(traces, keys, size, halo, halo)
+    return blocks.select(*keys, "chunk", "start", "n", run("samples", "before", "n").alias(name))
 
 
 def bandpass(traces: DataFrame, keys: list[str], low: float | None, high: float | None, fs: float, order: int = 4, halo: int | None = None) -> DataFrame:
-    """Zero-phase Butterworth filter of chunks, with a halo that outlasts the filter's response; a shorter one is refused."""
+    """(keys, chunk, start, samples): zero-phase Butterworth filter by even blocks, with a halo that outlasts its response; a shorter one is refused."""
     sos = butterworth(low, high, fs, order)
     least = response_length(sos)
     if halo is not None and halo < least:
         raise ValueError(f"a halo of {halo} samples is under the filter's response of {least}")
     halo = halo or least
-    done = _on_chunks(_blocks(traces, keys, halo), keys, halo, lambda x, nb, n: zero_phase(sos, x, min(3 * (2 * len(sos) + 1), x.shape[1] - 1))[:, nb : nb + n])
-    return _parted(done, keys, traces.columns)
+    return _on_blocks(traces, keys, max(BLOCK, halo), halo, lambda x, nb, n: zero_phase(sos, x, min(3 * (2 * len(sos) + 1), x.shape[1] - 1))[:, nb : nb + n]).drop("n")
 
 
 def resampled(traces: DataFrame, keys: list[str], ratio: int, taps: int = 16) -> DataFrame:
-    """Every ratio-th sample after a windowed-sinc low-pass at the new half rate; start counts new samples.
+    """(keys, chunk, start, samples): every ratio-th sample after a windowed-sinc low-pass at the new half rate; start counts new samples.
 
-    The chunk length must be a multiple of ratio. The filter has taps * ratio samples to each side.
+    The filter has taps * ratio samples to each side. Kept are the samples whose places are multiples of ratio, by even blocks.
     """
     half = taps * ratio
     k = np.arange(-half, half + 1)
@@ -190,9 +181,12 @@ def resampled(traces: DataFrame, keys: list[str], ratio: int, taps: int = 16) ->
         left, right = half - nb, half - (x.shape[1] - nb - n)
         x = np.pad(x, ((0, 0), (max(0, left), max(0, right))), mode="edge")
         at = nb + max(0, left)
-        return np.stack([np.convolve(row, h, mode="same")[at : at + n : ratio] for row in x])
+        return np.stack([np.convolve(row, h, mode="same")[at : at + n] for row in x])
 
-    return _on_chunks(traces, keys, half, kernel).withColumn("start", F.floor(F.col("start") / ratio).cast("bigint"))
+    smooth = _on_blocks(traces, keys, ratio * -(-max(BLOCK, half) // ratio), half, kernel)
+    smooth = smooth.withColumn("_skip", F.pmod(-F.col("start"), F.lit(ratio)).cast("int"))
+    kept = smooth.withColumn("samples", F.filter("samples", lambda x, i: (i >= F.col("_skip")) & ((i - F.col("_skip")) % ratio == 0)))
+    return kept.filter(F.size("samples") > 0).withColumn("start", ((F.col("start") + F.col("_skip")) / ratio).cast("bigint")).select(*keys, "chunk", "start", "samples")
 
 
 def tukey(n: int, share: float = 0.25) -> np.ndarray:
@@ -214,27 +208,28 @@ def psd(x: np.ndarray, fs: float, window: np.ndarray, nfft: int) -> np.ndarray:
     return p
 
 
-def segments(traces: DataFrame, keys: list[str], chunk_length: int, nperseg: int, step: int) -> DataFrame:
-    """(keys, seg, x): runs of nperseg samples every `step`, from the chunk they begin in and the next one.
+def segments(traces: DataFrame, keys: list[str], nperseg: int, step: int) -> DataFrame:
+    """(keys, seg, x): runs of nperseg samples that begin at each multiple of `step`, cut from even blocks and what follows them.
 
-    chunk_length must be a multiple of step and nperseg at most chunk_length + step. Runs past the end are left out.
+    Runs past the end, or over a gap in the places, are left out.
     """
-    w = Window.partitionBy(*keys).orderBy("chunk")
-    wide = traces.withColumn("_x", F.concat("samples", F.coalesce(F.lead("samples").over(w), F.array().cast("array<double>"))))
-    starts = F.sequence(F.lit(0), F.lit(chunk_length - step), F.lit(step))
-    cut = wide.select(*keys, (F.col("chunk") * (chunk_length // step)).alias("_b"), "_x", F.explode(starts).alias("_s"))
-    return cut.filter(F.col("_s") + nperseg <= F.size("_x")).select(*keys, (F.col("_b") + (F.col("_s") / step).cast("bigint")).alias("seg"), F.slice("_x", F.col("_s") + 1, F.lit(nperseg)).alias("x"))
+    size = step * -(-max(BLOCK, nperseg) // step)
+    wide = even_blocks(traces, keys, size, 0, nperseg - 1)
+    skip = F.pmod(-F.col("start"), F.lit(step)).cast("int")
+    last = F.least(F.col("n") - 1, F.size("samples") - nperseg)
+    cut = wide.filter(skip <= last).select(*keys, "start", "samples", F.explode(F.sequence(skip, last, F.lit(step))).alias("_s"))
+    return cut.select(*keys, ((F.col("start") + F.col("_s")) / step).cast("bigint").alias("seg"), F.slice("samples", F.col("_s") + 1, F.lit(nperseg)).alias("x"))
 
 
-def spectrogram(traces: DataFrame, keys: list[str], chunk_length: int, fs: float, nperseg: int = 1024, overlap: int = 768, nfft: int = 2048) -> DataFrame:
+def spectrogram(traces: DataFrame, keys: list[str], fs: float, nperseg: int = 1024, overlap: int = 768, nfft: int = 2048, kind: str = "float") -> DataFrame:
     """(keys, seg, t, psd): Tukey window (0.25), mean removed, one-sided density; t is a segment's middle in seconds."""
     step, window = nperseg - overlap, tukey(nperseg)
 
-    @F.pandas_udf("array<float>")
+    @F.pandas_udf(f"array<{kind}>")
     def density(x: pd.Series) -> pd.Series:
-        return pd.Series(list(psd(np.stack(x.to_list()), fs, window, nfft).astype(np.float32))) if len(x) else pd.Series([], dtype=object)
+        return pd.Series(list(psd(np.stack(x.to_list()), fs, window, nfft).astype(np.float32 if kind == "float" else np.float64))) if len(x) else pd.Series([], dtype=object)
 
-    cut = segments(traces, keys, chunk_length, nperseg, step)
+    cut = segments(traces, keys, nperseg, step)
     return cut.select(*keys, "seg", ((F.col("seg") * step + nperseg / 2) / fs).alias("t"), density("x").alias("psd"))
 
 
@@ -245,7 +240,7 @@ def band_powers(traces: DataFrame, keys: list[str], fs: float, smooth: int, band
     """(keys, sample, delta, sigma, gamma, theta_ratio): 0.5-4, 9-25, 40-100 Hz, and 5-10 by 2-15 Hz.
 
     A band's power is its band-passed samples squared, by a moving average of `smooth` samples, 0 beyond the ends. All bands
-    are made from one chunk and its halo, which outlasts the slowest filter and the average; samples are parted at the end.
+    are made from one block and its halo, which outlasts the slowest filter and the average; samples are parted at the end.
     """
     filters = {name: butterworth(low, high, fs) for name, (low, high) in bands.items()}
     halo = max(map(response_length, filters.values())) + smooth
@@ -259,7 +254,7 @@ def band_powers(traces: DataFrame, keys: list[str], fs: float, smooth: int, band
             out.append((sums[:, np.minimum(at + (smooth + 1) // 2, x.shape[1])] - sums[:, np.maximum(at - smooth // 2, 0)]) / smooth)
         return np.stack(out, axis=1).reshape(len(x), -1)
 
-    wide = _on_chunks(_blocks(traces, keys, halo), keys, halo, powers, "_p").select(*keys, "start", F.size("samples").alias("_n"), "_p", F.posexplode("samples").alias("_k", "_x"))
+    wide = _on_blocks(traces, keys, max(BLOCK, halo), halo, powers, "_p").select(*keys, "start", F.col("n").alias("_n"), "_p", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("_k"))
     named = {name: F.col("_p")[F.col("_k") + i * F.col("_n")] for i, name in enumerate(bands)}
     out = wide.select(*keys, (F.col("start") + F.col("_k")).alias("sample"), *[c.alias(name) for name, c in named.items()])
     return out.withColumn("theta_ratio", F.col("_narrow") / (F.col("_wide") + 1e-10)).drop("_narrow", "_wide") if {"_narrow", "_wide"} <= set(bands) else out

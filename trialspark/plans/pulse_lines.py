@@ -212,6 +212,18 @@ def find_peaks_apart(spark, d):
     return pulses.find_peaks(events(spark, d), ["user_id"], "us", "value", height=30.0, distance=3)
 
 
+PEAKS = f"""{LEVELS}, n AS (SELECT user_id, us, value, row_number() OVER (PARTITION BY user_id ORDER BY us) AS i, lag(value) OVER (PARTITION BY user_id ORDER BY us) AS b FROM ev),
+r AS (SELECT *, sum(CASE WHEN value <> b THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY us) AS run FROM n), g AS (SELECT user_id, run, any_value(value) AS v, min(i) AS a, max(i) AS z FROM r GROUP BY ALL),
+t AS (SELECT *, lag(v) OVER (PARTITION BY user_id ORDER BY run) AS l, lead(v) OVER (PARTITION BY user_id ORDER BY run) AS q FROM g), p AS (SELECT n.user_id, n.us, n.i, n.value AS v FROM t JOIN n ON n.user_id = t.user_id AND n.i = (t.a + t.z) // 2 WHERE t.v > t.l AND t.v > t.q)"""
+
+
+@query(f"""WITH {PEAKS}, e AS (SELECT p.user_id, p.i, coalesce(max(n.i) FILTER (WHERE n.i < p.i), 0) AS lo, coalesce(min(n.i) FILTER (WHERE n.i > p.i), 1000000000) AS hi FROM p LEFT JOIN n ON n.user_id = p.user_id AND n.value > p.v GROUP BY ALL),
+m AS (SELECT p.user_id, p.us, p.v, min(n.value) FILTER (WHERE n.i <= p.i) AS l, min(n.value) FILTER (WHERE n.i >= p.i) AS r FROM p JOIN e USING (user_id, i) JOIN n ON n.user_id = p.user_id AND n.i > e.lo AND n.i < e.hi GROUP BY p.user_id, p.us, p.i, p.v)
+SELECT user_id, us, round(v, 6) AS peak, round(v - greatest(l, r), 6) AS prominence FROM m WHERE v - greatest(l, r) >= 10""")
+def find_peaks_prominent(spark, d):
+    return pulses.find_peaks_prominent(events(spark, d), ["user_id"], "us", "value", least=10.0)
+
+
 @query(f"WITH {LEVELS} SELECT user_id, count(*) AS n FROM ev WHERE us BETWEEN 1704067200000000 + {5 * DAY} AND 1704067200000000 + {9 * DAY} GROUP BY user_id")
 def in_window(spark, d):
     return events(spark, d).filter(F.col("us").between(1_704_067_200_000_000 + 5 * DAY, 1_704_067_200_000_000 + 9 * DAY)).groupBy("user_id").agg(F.count("*").alias("n"))

@@ -179,10 +179,17 @@ def _line(spark, d):
     return rows.select(F.col("label").alias("channel"), F.col("chunk").cast("long").alias("chunk"), (F.col("chunk") * 64).cast("long").alias("start"), F.transform("embedding", lambda x: x.cast("double")).alias("samples"))
 
 
-@query()
+FRAMES = """e AS (SELECT label AS channel, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS chunk, embedding FROM embeddings), line AS (SELECT channel, chunk * 64 + j AS place, CAST(embedding[j + 1] AS DOUBLE) AS v FROM e, range(64) t(j)),
+f AS (SELECT channel, CAST(g AS BIGINT) AS seg, place - g * 16 AS k, v FROM (SELECT *, unnest(range(greatest(0, (place - 48) // 16), place // 16 + 1)) AS g FROM line) WHERE place - g * 16 BETWEEN 0 AND 63),
+whole AS (SELECT channel, seg, avg(v) AS m FROM f GROUP BY ALL HAVING count(*) = 64), w AS (SELECT k, CASE WHEN k < 8 THEN 0.5 * (1 - cos(2 * pi() * k / 16)) WHEN k > 56 THEN 0.5 * (1 - cos(2 * pi() * (64 - k) / 16)) ELSE 1.0 END AS w FROM range(64) t(k)),
+x AS (SELECT f.channel, f.seg, f.k, (f.v - whole.m) * w.w AS x FROM f JOIN whole USING (channel, seg) JOIN w ON w.k = f.k)"""
+
+
+@query(f"WITH {FRAMES}, d AS (SELECT channel, seg, CAST(q AS INTEGER) AS freq, sum(x * cos(2 * pi() * q * k / 128)) AS re, sum(x * sin(2 * pi() * q * k / 128)) AS im FROM x, range(65) t(q) GROUP BY ALL) SELECT channel, seg, round((seg * 16 + 32) / 500, 6) AS t, freq, round((re * re + im * im) / (500 * (SELECT sum(w * w) FROM w)) * CASE WHEN freq IN (0, 64) THEN 1 ELSE 2 END, 6) AS psd FROM d")
 def spectrogram(spark, d):
-    """Power densities of overlapping frames that may cross chunks; the tests hold them against one NumPy array."""
-    return signals.spectrogram(_line(spark, d), ["channel"], 64, 500.0, nperseg=64, overlap=48, nfft=128).select("channel", "seg", "t", F.transform("psd", lambda x: F.round(x.cast("double"), 9)).alias("psd"))
+    """Power densities of overlapping frames that may cross chunks and blocks."""
+    out = signals.spectrogram(_line(spark, d), ["channel"], 500.0, nperseg=64, overlap=48, nfft=128, kind="double")
+    return out.select("channel", "seg", "t", F.posexplode("psd").alias("freq", "psd"))
 
 
 @query()
@@ -202,7 +209,7 @@ def band_powers(spark, d):
 
 @query()
 def first_component(spark, d):
-    s = signals.spectrogram(_line(spark, d), ["channel"], 64, 500.0, nperseg=64, overlap=0, nfft=64)
+    s = signals.spectrogram(_line(spark, d), ["channel"], 500.0, nperseg=64, overlap=0, nfft=64)
     return signals.first_component(s, ["channel"], "seg", "psd")
 
 
