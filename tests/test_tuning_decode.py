@@ -110,14 +110,6 @@ def test_auc_counts_ties_half(spark):
     assert decode.auc(df, [], "s", "y").first().auc == pytest.approx(3.5 / 4)
 
 
-def test_random_fourier_features_stand_for_the_kernel(spark):
-    x = np.random.default_rng(0).normal(size=(6, 4))
-    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "id int, x array<double>")
-    z = np.stack([r.z for r in decode.random_fourier(df, "x", 4, 4000, 0.1).orderBy("id").collect()])
-    want = np.exp(-0.1 * ((x[:, None] - x[None]) ** 2).sum(axis=2))
-    assert np.abs(z @ z.T - want).max() < 0.1
-
-
 def test_choices(spark):
     df = spark.createDataFrame([("good", 1), ("noise", 2), (None, 3)], "quality string, unit int")
     assert [r.unit for r in selection.without_noise(selection.default_quality(df)).orderBy("unit").collect()] == [1, 3]

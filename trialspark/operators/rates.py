@@ -162,6 +162,15 @@ def feature_sets(features: DataFrame, keys: list[str]) -> DataFrame:
 
 
 
+def dense_curve(responses: DataFrame, keys: list[str], at: str, places: list[float], value: str) -> DataFrame:
+    """(keys, at, n, mean): each key's mean at each of these places, 0 where it has none there."""
+    found = responses.filter(F.col(at).isin(*places)).groupBy(*keys, at).agg(F.count(value).alias("n"), F.avg(value).alias("mean"))
+    packed = found.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(F.col(at).cast("double").alias("k"), F.struct("n", "mean")))).alias("_m"))
+    rows = packed.withColumn(at, F.explode(F.array(*[F.lit(float(p)) for p in places])))
+    cell = F.try_element_at("_m", F.col(at))
+    return rows.select(*keys, at, F.coalesce(cell["n"], F.lit(0)).alias("n"), F.coalesce(cell["mean"], F.lit(0.0)).alias("mean"))
+
+
 def inter_event(hits: DataFrame, keys: list[str], time: str) -> DataFrame:
     """hits with the step from the event before in the same trial; the first ones go."""
     w = Window.partitionBy(*keys).orderBy(time)

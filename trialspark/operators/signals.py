@@ -317,21 +317,28 @@ def artifact_chunks(norms: DataFrame, channel: list[str], size: int, k: float =
 def without_artifacts(samples: DataFrame, bad: DataFrame, keys: list[str], sample: str, value: str, size: int, name: str = "value", recording: tuple[str, ...] = ()) -> DataFrame:
     """Samples of bad chunks replaced by the cubic through two good samples on either side; at an end, by the nearest good one.
 
-    keys tell the lines of samples apart, recording (some of them) the recordings that the bad chunks belong to.
+    keys tell the lines of samples apart, recording (some of them) the recordings that the bad chunks belong to. Samples are
+    gathered by chunk; good chunks tell their first two and last two samples, which are carried over chunks, a row each, to the
+    bad ones, and those are filled where they lie.
     """
     on = [*recording, "chunk"]
-    marked = samples.withColumn("chunk", F.floor(F.col(sample) / size).cast("bigint")).join(bad.select(*on, F.lit(True).alias("_bad")).distinct(), on, "left")
-    marked = marked.withColumn("_g", F.when(F.col("_bad").isNull(), F.struct(F.col(sample).cast("double").alias("x"), F.col(value).cast("double").alias("y"))))
-    order = Window.partitionBy(*keys).orderBy(sample)
-    back = Window.partitionBy(*keys).orderBy(F.col(sample).desc())
-    good, ahead = order.rowsBetween(Window.unboundedPreceding, 0), back.rowsBetween(Window.unboundedPreceding, 0)
-    # a good sample carries the good one before it, so that the last good one on a side knows two
-    marked = marked.withColumn("_p", F.last("_g", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))).withColumn("_q", F.last("_g", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -1)))
-    pair_before = F.when(F.col("_g").isNotNull(), F.struct(F.col("_p").alias("a"), F.col("_g").alias("b")))
-    pair_after = F.when(F.col("_g").isNotNull(), F.struct(F.col("_g").alias("a"), F.col("_q").alias("b")))
-    marked = marked.withColumns({"_l": F.last(pair_before, ignorenulls=True).over(good), "_r": F.last(pair_after, ignorenulls=True).over(ahead)})
-    points = ["_l.a", "_l.b", "_r.a", "_r.b"]
-    x = F.col(sample).cast("double")
+    point = F.struct(F.col(sample).cast("double").alias("x"), F.col(value).cast("double").alias("y"), F.col(sample).alias("s"))
+    chunks = samples.groupBy(*keys, F.floor(F.col(sample) / size).cast("bigint").alias("chunk")).agg(F.array_sort(F.collect_list(point)).alias("_x"))
+    chunks = chunks.join(bad.select(*on, F.lit(True).alias("_bad")).distinct(), on, "left").withColumn("_bad", F.coalesce("_bad", F.lit(False)))
+    order = Window.partitionBy(*keys).orderBy("chunk")
+    back = Window.partitionBy(*keys).orderBy(F.col("chunk").desc())
+    earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    good = lambda c: F.when(~F.col("_bad"), c)
+    # a chunk of one sample takes the second of its two from the good chunk beyond
+    chunks = chunks.withColumns({"_f": good(F.element_at("_x", 1)), "_e": good(F.element_at("_x", -1))})
+    chunks = chunks.withColumns({"_pe": F.last("_e", ignorenulls=True).over(earlier(order)), "_nf": F.last("_f", ignorenulls=True).over(earlier(back))})
+    many = F.size("_x") > 1
+    two_before = good(F.struct(F.when(many, F.get("_x", F.size("_x") - 2)).otherwise(F.col("_pe")).alias("a"), F.element_at("_x", -1).alias("b")))
+    two_after = good(F.struct(F.element_at("_x", 1).alias("a"), F.when(many, F.get("_x", F.lit(1))).otherwise(F.col("_nf")).alias("b")))
+    chunks = chunks.withColumns({"_l": two_before, "_r": two_after})
+    chunks = chunks.withColumns({"_l": F.last("_l", ignorenulls=True).over(earlier(order)), "_r": F.last("_r", ignorenulls=True).over(earlier(back))})
+    rows = chunks.select(*keys, "_bad", "_l", "_r", F.explode("_x").alias("_v"))
+    points, x = ["_l.a", "_l.b", "_r.a", "_r.b"], F.col("_v.x")
 
     def lagrange(names: list[str]) -> Column:
         total = F.lit(0.0)
@@ -343,9 +350,9 @@ def without_artifacts(samples: DataFrame, bad: DataFrame, keys: list[str], sampl
             total = total + term
         return total
 
-    filled = F.when(F.col("_g").isNotNull(), F.col(value).cast("double")).when(F.col("_l.a").isNotNull() & F.col("_r.b").isNotNull(), lagrange(points))
+    filled = F.when(~F.col("_bad"), F.col("_v.y")).when(F.col("_l.a").isNotNull() & F.col("_r.b").isNotNull(), lagrange(points))
     filled = filled.when(F.col("_l.b").isNotNull() & F.col("_r.a").isNotNull(), lagrange(points[1:3])).otherwise(F.coalesce(F.col("_l.b.y"), F.col("_r.a.y")))
-    return marked.select(*keys, sample, filled.alias(name), F.coalesce("_bad", F.lit(False)).alias("replaced"))
+    return rows.select(*keys, F.col("_v.s").alias(sample), filled.alias(name), F.col("_bad").alias("replaced"))
 
 
 def artifact_report(raw: DataFrame, cleaned: DataFrame, keys: list[str], sample: str, value: str, window: int) -> DataFrame:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -129,41 +133,70 @@ def z_tuning(stats: DataFrame, unit: list[str], mean: str = "mean", sem: str = "
     return out.withColumn("z_noise", F.avg(F.col(sem) / F.col("_sd")).over(every)).drop("_sd")
 
 
-def tuning_fit(means: DataFrame, unit: list[str], theta: str, mean: str, least: int = 4, pref_step: float = 5.0, widths: int = 24, refine: int = 8) -> DataFrame:
+def _profile(t: np.ndarray, y: np.ndarray, used: np.ndarray, p: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Amplitude, baseline and squared error of each unit (row) at each of its points (preferred p, width w), in closed form.
+
+    t, y, used: (units, means), used being 0 where a unit has fewer means; p, w: (units or 1, points).
+    """
+    d = np.abs(np.mod(t[:, None, :] - p[:, :, None] + 90, 180) - 90)
+    g = np.exp(-(d**2) / (2 * w[:, :, None] ** 2)) * used[:, None, :]
+    n, sy, syy = (x.sum(axis=1)[:, None] for x in (used, y, y * y))
+    sg, sgg, sgy, top = g.sum(axis=2), (g * g).sum(axis=2), (g * y[:, None, :]).sum(axis=2), np.maximum(np.where(used > 0, y, -np.inf).max(axis=1), 0)[:, None]
+    det = n * sgg - sg * sg
+    a = np.clip(np.where(det > 1e-12, (n * sgy - sg * sy) / np.where(det > 1e-12, det, 1), 0), 0, top)
+    b = (sy - a * sg) / n
+    a = np.where(b < 0, np.clip(sgy / np.maximum(sgg, 1e-300), 0, top), a)
+    b = np.maximum(b, 0)
+    return a, b, np.maximum(syy - 2 * a * sgy - 2 * b * sy + a * a * sgg + 2 * a * b * sg + n * b * b, 0)
+
+
+def fit_curves(t: np.ndarray, y: np.ndarray, used: np.ndarray, pref_step: float, widths: int, refine: int, rounds: int) -> np.ndarray:
+    """(units, 5): preferred, width, amplitude, baseline, squared error; the best of a grid, then of finer ones about the best."""
+    ratio, row = 90.0 ** (1 / (widths - 1)), np.arange(len(y))
+    p, w = (x.reshape(1, -1) for x in np.meshgrid(np.arange(0, 180, pref_step), ratio ** np.arange(widths), indexing="ij"))
+    k = np.arange(-refine, refine + 1)
+    for level in range(rounds + 1):
+        a, b, sse = _profile(t, y, used, p, w)
+        at = np.round(sse, 9).argmin(axis=1)
+        p, w = (np.broadcast_to(x, sse.shape)[row, at] for x in (p, w))
+        best = np.stack([p, w, a[row, at], b[row, at], sse[row, at]], axis=1)
+        scale = refine ** (level + 1.0)
+        grid = np.meshgrid(k, k, indexing="ij")
+        p = np.mod(p[:, None] + grid[0].ravel() * pref_step / scale, 180)
+        w = np.clip(w[:, None] * ratio ** (grid[1].ravel() / scale), 1, 90)
+    return best
+
+
+def tuning_fit(means: DataFrame, unit: list[str], theta: str, mean: str, least: int = 4, pref_step: float = 5.0, widths: int = 24, refine: int = 8, rounds: int = 3) -> DataFrame:
     """(unit, n, preferred, width, amplitude, baseline, sse, r2): the circular Gaussian that fits each unit's means best.
 
     response = baseline + amplitude exp(-d**2 / (2 width**2)), d the orientation distance to the preferred one; amplitude
-    (at most the highest mean) and baseline are not negative. The grid of preferred orientations and widths (1 to 90) is exploded beside each mean;
-    for each point, amplitude and baseline have a closed form from sums, and the least squared error wins. A second, finer
-    grid lies around the winner. Units with under `least` orientations have no row.
+    (at most the highest mean) and baseline are not negative, and have a closed form at each preferred orientation and width
+    (1 to 90). A unit's means are one row; a task searches the grid of both for a batch of units at once, then finer grids
+    about each unit's best. Units with under `least` orientations have no row; null means are left out.
     """
-    base = means.select(*unit, F.col(theta).alias("_t"), F.col(mean).cast("double").alias("_y")).filter("_y IS NOT NULL")
-    base = base.join(base.groupBy(*unit).agg(F.count_distinct("_t").alias("_k")).filter(F.col("_k") >= least).select(*unit), unit, "left_semi")
-
-    def best(points: DataFrame) -> DataFrame:
-        d = orientation_distance(F.col("_t"), F.col("_p"))
-        g = points.withColumn("_g", F.exp(-d * d / (2 * F.col("_w") * F.col("_w"))))
-        s = g.groupBy(*unit, "_p", "_w").agg(F.count("*").alias("n"), F.sum("_g").alias("sg"), F.sum(F.col("_g") * F.col("_g")).alias("sgg"), F.sum("_y").alias("sy"), F.sum(F.col("_y") * F.col("_y")).alias("syy"), F.sum(F.col("_g") * F.col("_y")).alias("sgy"), F.max("_y").alias("top"))
-        det = F.col("n") * F.col("sgg") - F.col("sg") * F.col("sg")
-        amp = F.when(det > 1e-12, (F.col("n") * F.col("sgy") - F.col("sg") * F.col("sy")) / det).otherwise(0.0)
-        s = s.withColumn("_a", F.least(F.greatest(amp, F.lit(0.0)), F.greatest("top", F.lit(0.0)))).withColumn("_b", (F.col("sy") - F.col("_a") * F.col("sg")) / F.col("n"))
-        s = s.withColumn("_a", F.when(F.col("_b") < 0, F.least(F.greatest(F.col("sgy") / F.col("sgg"), F.lit(0.0)), F.greatest("top", F.lit(0.0)))).otherwise(F.col("_a"))).withColumn("_b", F.greatest("_b", F.lit(0.0)))
-        sse = F.col("syy") - 2 * F.col("_a") * F.col("sgy") - 2 * F.col("_b") * F.col("sy") + F.col("_a") * F.col("_a") * F.col("sgg") + 2 * F.col("_a") * F.col("_b") * F.col("sg") + F.col("n") * F.col("_b") * F.col("_b")
-        s = s.withColumn("sse", F.round(F.greatest(sse, F.lit(0.0)), 9))
-        w = Window.partitionBy(*unit).orderBy("sse", "_p", "_w")
-        return s.withColumn("_r", F.row_number().over(w)).filter("_r = 1")
-
-    prefs = F.explode(F.transform(F.sequence(F.lit(0), F.lit(int(180 / pref_step) - 1)), lambda k: k * F.lit(pref_step))).alias("_p")
-    ratio = 90.0 ** (1 / (widths - 1))
-    wide = F.explode(F.transform(F.sequence(F.lit(0), F.lit(widths - 1)), lambda k: F.pow(F.lit(ratio), k))).alias("_w")
-    first = best(base.select("*", prefs).select("*", wide)).select(*unit, F.col("_p").alias("_p0"), F.col("_w").alias("_w0"))
-    steps = F.sequence(F.lit(-refine), F.lit(refine))
-    near = base.join(first, unit)
-    near = near.select(*unit, "_t", "_y", "_w0", F.explode(F.transform(steps, lambda k: F.pmod(F.col("_p0") + k * F.lit(pref_step / refine), F.lit(180.0)))).alias("_p"))
-    near = near.select(*unit, "_t", "_y", "_p", F.explode(F.transform(steps, lambda k: F.least(F.lit(90.0), F.greatest(F.lit(1.0), F.col("_w0") * F.pow(F.lit(ratio), k / F.lit(float(refine))))))).alias("_w"))
-    out = best(near.distinct())
-    total = F.col("syy") - F.col("sy") * F.col("sy") / F.col("n")
-    return out.select(*unit, "n", F.col("_p").alias("preferred"), F.col("_w").alias("width"), F.col("_a").alias("amplitude"), F.col("_b").alias("baseline"), "sse", F.when(total > 0, 1 - F.col("sse") / total).alias("r2"))
+    own = means.select(*unit, F.col(theta).cast("double").alias("_t"), F.col(mean).cast("double").alias("_y")).filter("_y IS NOT NULL")
+    rows = own.groupBy(*unit).agg(F.array_sort(F.collect_list(F.struct("_t", "_y"))).alias("_m"), F.count_distinct("_t").alias("_k")).filter(F.col("_k") >= least)
+    rows = rows.select(*unit, F.col("_m._t").alias("_t"), F.col("_m._y").alias("_y"))
+    names = [*unit, "n", "preferred", "width", "amplitude", "baseline", "sse", "r2"]
+
+    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for lo in range(0, len(pdf), 200):
+                some = pdf.iloc[lo : lo + 200]
+                size = some["_t"].map(len).to_numpy()
+                t, y, used = (np.zeros((len(some), size.max())) for _ in range(3))
+                for k, (at, values) in enumerate(zip(some["_t"], some["_y"], strict=True)):
+                    t[k, : size[k]], y[k, : size[k]], used[k, : size[k]] = at, values, 1
+                best = fit_curves(t, y, used, pref_step, widths, refine, rounds)
+                total = (y * y).sum(axis=1) - y.sum(axis=1) ** 2 / size
+                r2 = np.where(total > 0, 1 - best[:, 4] / np.where(total > 0, total, 1), np.nan)
+                out = dict(zip(names[len(unit) + 1 :], [*best.T, r2], strict=True))
+                yield some[unit].assign(n=size.astype(np.int64), **out)[names]
+
+    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in unit)
+    found = rows.mapInPandas(fit, f"{kinds}, n long, preferred double, width double, amplitude double, baseline double, sse double, r2 double")
+    return found.withColumn("r2", F.nanvl("r2", F.lit(None).cast("double")))
 
 
 def tuning_curve(fits: DataFrame, points: int = 181) -> DataFrame:

@@ -301,10 +301,11 @@ def unit_catalogue(spark, d):
     return logs.unit_catalogue([(1, first("1-URGENT")), (2, first("2-HIGH"))], ["session", "unit"])
 
 
-@query("""SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)""")
+@query(f"WITH s AS (SELECT DISTINCT user_id, epoch_us(ts) // {DAY} AS day, event_type FROM events) SELECT DISTINCT user_id, day FROM s ANTI JOIN (SELECT user_id, day FROM s WHERE event_type = 'error') e USING (user_id, day)")
 def unprocessed_sessions(spark, d):
-    done = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"))
-    return logs.unprocessed(table(spark, d, "customer").select("c_custkey"), done, ["c_custkey"])
+    """Days of each user on which nothing went wrong, as sessions that no result is known of."""
+    days = events(spark, d).select("user_id", F.floor(F.col("us") / DAY).alias("day"), "event_type")
+    return logs.unprocessed(days.select("user_id", "day").distinct(), days.filter("event_type = 'error'").select("user_id", "day"), ["user_id", "day"])
 
 
 @query("""WITH d AS (SELECT DISTINCT user_id, event_type FROM events), f AS (SELECT user_id FROM d GROUP BY user_id HAVING count(*) = (SELECT count(DISTINCT event_type) FROM events)) SELECT user_id, count(*) AS n FROM events WHERE user_id IN (SELECT user_id FROM f) GROUP BY user_id""")

@@ -144,10 +144,11 @@ def best_worst(spark, d):
     return out.select("theta", F.col("best.sf").alias("best_sf"), F.col("best.tf").alias("best_tf"), "best_score", F.col("worst.sf").alias("worst_sf"), F.col("worst.tf").alias("worst_tf"), "worst_score")
 
 
-@query(f"""WITH {RESP}, f AS (SELECT unit, theta, avg(rate) AS v FROM resp WHERE sf <= 2 AND theta < 90 AND unit % 3 <> 0 GROUP BY ALL), t AS (SELECT unit FROM f GROUP BY unit HAVING count(*) = 4) SELECT unit, theta, round(v, 6) AS v FROM f WHERE unit IN (SELECT unit FROM t)""")
+@query(f"WITH {RESP}, f AS (SELECT unit, sf, tf, theta, avg(rate) AS v FROM resp GROUP BY ALL), t AS (SELECT unit, sf, tf FROM f GROUP BY ALL HAVING count(*) = 8) SELECT unit, sf, tf, theta, round(v, 6) AS v FROM f SEMI JOIN t USING (unit, sf, tf)")
 def valid_trials(spark, d):
-    f = responses(spark, d).filter("sf <= 2 AND theta < 90 AND unit % 3 <> 0").groupBy("unit", "theta").agg(F.avg("rate").alias("v"))
-    return selection.valid_trials(f, ["unit"], "v", 4)
+    """Of each unit's conditions, those with a mean at all eight orientations."""
+    f = responses(spark, d).groupBy("unit", "sf", "tf", "theta").agg(F.avg("rate").alias("v"))
+    return selection.valid_trials(f, ["unit", "sf", "tf"], "v", 8)
 
 
 @query("""SELECT CAST(l_linenumber AS INTEGER) AS trial, l_shipdate IS NOT NULL AS known, CASE WHEN l_returnflag = 'R' THEN 'x' ELSE 'y' END AS "left", CASE WHEN l_returnflag = 'R' THEN 'y' ELSE 'x' END AS "right", count(*) AS n FROM lineitem GROUP BY ALL""")
