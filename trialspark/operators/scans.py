@@ -91,42 +91,44 @@ def spaced(times: np.ndarray, threshold, interval) -> np.ndarray:
     return np.array(kept, dtype=times.dtype)
 
 
-def refractory(df: DataFrame, keys: list[str], time: str, interval: int, intervals_a_range: int = 4096) -> DataFrame:
+def refractory(df: DataFrame, keys: list[str], time: str, interval: int, intervals_a_range: int = 1024) -> DataFrame:
     """(keys, time): the first event, and then each that is `interval` or more after the last one kept.
 
-    A key's times are cut into ranges. Each range gives the map from what was kept before it to what is kept at its end;
-    maps, a few numbers each, are followed from range to range; with what was kept before it, each range is then gone through.
-    So a busy key is spread over its ranges, and the work is in proportion to the events. Null times are left out.
+    A key's times are cut into ranges, a row each. Each range gives the map from what was kept before it to what is kept at its
+    end; maps, a few numbers each, are followed from range to range; with what was kept before it, each range is then gone
+    through. So a busy key is spread over its ranges, and the work is in proportion to the events. Null times are left out.
     """
     width = interval * intervals_a_range if interval > 0 else 1
-    rows = df.select(*keys, F.col(time).cast("long").alias("_t")).filter("_t IS NOT NULL").withColumn("_range", F.floor(F.col("_t") / width).cast("long"))
-    kinds = "".join(f"`{k}` {df.schema[k].dataType.simpleString()}, " for k in keys)
-
-    def maps(pdf: pd.DataFrame) -> pd.DataFrame:
-        thresholds, exits = spaced_map(np.sort(pdf["_t"].to_numpy()), interval)
-        return pdf.iloc[:1][[*keys, "_range"]].assign(_thresholds=[thresholds], _exits=[exits])
-
-    def follow(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, before, last = pdf.sort_values("_range"), [], None
-        for thresholds, exits in zip(pdf["_thresholds"], pdf["_exits"], strict=True):
-            least = thresholds[0] if last is None else last + interval
-            before.append(None if last is None else least)
-            k = int(np.searchsorted(thresholds, least, "left"))
-            last = exits[k] if k < len(exits) else last
-        return pdf[[*keys, "_range"]].assign(_least=pd.array(before, dtype="Int64"))
-
-    def keep(own: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
-        if not len(own) or not len(told):
-            return pd.DataFrame(columns=[*keys, "_t"])
-        least = told["_least"].iloc[0]
-        kept = spaced(np.sort(own["_t"].to_numpy()), None if pd.isna(least) else int(least), interval)
-        return pd.DataFrame({**{k: own[k].iloc[0] for k in keys}, "_t": kept})
-
-    ranges = rows.groupBy(*keys, "_range")
-    told = ranges.applyInPandas(maps, f"{kinds}_range long, _thresholds array<long>, _exits array<long>")
-    told = told.groupBy(*keys).applyInPandas(follow, f"{kinds}_range long, _least long")
-    out = ranges.cogroup(told.groupBy(*keys, "_range")).applyInPandas(keep, f"{kinds}_t long")
-    return out.select(*keys, F.col("_t").cast(df.schema[time].dataType).alias(time))
+    rows = df.select(*keys, F.col(time).cast("long").alias("_t")).filter("_t IS NOT NULL")
+    ranges = rows.groupBy(*keys, F.floor(F.col("_t") / width).cast("long").alias("_range")).agg(F.array_sort(F.collect_list("_t")).alias("_ts"))
+
+    @F.pandas_udf("thresholds array<long>, exits array<long>")
+    def maps(times: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([spaced_map(t, interval) for t in times], columns=["thresholds", "exits"])
+
+    @F.pandas_udf("array<long>")
+    def follow(thresholds: pd.Series, exits: pd.Series) -> pd.Series:
+        """For each range of a key what the first time kept must be at or after."""
+        out = []
+        for own, ends in zip(thresholds, exits, strict=True):
+            before, last = [], None
+            for t, e in zip(own, ends, strict=True):
+                before.append(int(t[0] if last is None else last + interval))
+                k = int(np.searchsorted(t, before[-1], "left"))
+                last = e[k] if k < len(e) else last
+            out.append(before)
+        return pd.Series(out)
+
+    @F.pandas_udf("array<long>")
+    def keep(times: pd.Series, least: pd.Series) -> pd.Series:
+        return pd.Series([spaced(t, None if first else k, interval) for t, (k, first) in zip(times, least[["least", "first"]].itertuples(index=False), strict=True)])
+
+    told = ranges.withColumn("_map", maps("_ts")).select(*keys, "_range", "_map")
+    told = told.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_range", "_map.thresholds", "_map.exits"))).alias("_m"))
+    told = told.select(*keys, F.posexplode(F.arrays_zip(F.col("_m._range").alias("range"), follow("_m.thresholds", "_m.exits").alias("least"))).alias("_k", "_z"))
+    told = told.select(*keys, F.col("_z.range").alias("_range"), F.struct(F.col("_z.least").alias("least"), (F.col("_k") == 0).alias("first")).alias("_least"))
+    kept = ranges.join(told, [*keys, "_range"]).select(*keys, F.explode(keep("_ts", "_least")).alias("_t"))
+    return kept.select(*keys, F.col("_t").cast(df.schema[time].dataType).alias(time))
 
 
 # Peaks: thinning and prominence.
@@ -158,22 +160,24 @@ def thinned(places: np.ndarray, heights: np.ndarray, distance: int) -> np.ndarra
 
 
 def peaks_apart(peaks: DataFrame, keys: list[str], place: str, height: str, distance: int) -> DataFrame:
-    """Peaks thinned so that no two are nearer than `distance`, the higher staying.
+    """(keys, place, height): peaks thinned so that no two are nearer than `distance`, the higher staying.
 
-    Peaks with a gap of `distance` or more between them don't touch one another: each stretch without such a gap is thinned
-    alone, in one pass over its peaks by height.
+    Peaks with a gap of `distance` or more between them don't touch one another: each stretch without such a gap is a row,
+    thinned alone in one pass over its peaks by height.
     """
     w = Window.partitionBy(*keys).orderBy(place)
     gap = F.coalesce((F.col(place) - F.lag(place).over(w) >= distance).cast("long"), F.lit(0))
-    stretches = peaks.withColumn("_g", gap).withColumn("_stretch", F.sum("_g").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_g")
+    peaks = peaks.withColumn("_g", gap).withColumn("_stretch", F.sum("_g").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    stretches = peaks.groupBy(*keys, "_stretch").agg(F.array_sort(F.collect_list(F.struct(place, height))).alias("_p"))
 
-    def thin(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(place)
-        return pdf[thinned(pdf[place].to_numpy(), pdf[height].to_numpy(), distance)]
+    @F.pandas_udf("array<boolean>")
+    def thin(places: pd.Series, heights: pd.Series) -> pd.Series:
+        return pd.Series([thinned(p, h, distance) for p, h in zip(places, heights, strict=True)])
 
-    alone = stretches.withColumn("_n", F.count("*").over(Window.partitionBy(*keys, "_stretch")))
-    crowded = alone.filter("_n > 1").drop("_n")
-    return alone.filter("_n = 1").drop("_n", "_stretch").unionByName(crowded.groupBy(*keys, "_stretch").applyInPandas(thin, crowded.schema).drop("_stretch"))
+    alone = stretches.filter(F.size("_p") == 1).select(*keys, F.col("_p")[0].alias("_x"))
+    crowded = stretches.filter(F.size("_p") > 1).withColumn("_stays", thin(F.col(f"_p.{place}"), F.col(f"_p.{height}")))
+    crowded = crowded.select(*keys, F.explode(F.filter("_p", lambda p, k: F.get("_stays", k))).alias("_x"))
+    return alone.unionByName(crowded).select(*keys, f"_x.{place}", f"_x.{height}")
 
 
 def lowest_till_higher(v: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -202,56 +206,61 @@ def prominences(rows: DataFrame, peaks: DataFrame, keys: list[str], place: str,
     and least values, and closed in the one chunk that holds a higher value: only few peaks leave a chunk, those that are the
     highest up to its edge.
     """
-    columns = peaks.columns
-    kinds = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
-    chunked = rows.select(*keys, F.col(place).cast("long").alias("_i"), F.col(value).cast("double").alias("_v"), F.floor(F.col(place) / chunk).cast("long").alias("_c"))
-    tops = peaks.select(*[F.col(k).alias(k) for k in keys], F.col(place).cast("long").alias("_i"), F.col(value).cast("double").alias("_h"), F.floor(F.col(place) / chunk).cast("long").alias("_c"))
-
-    def inside(own: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        out = [*keys, "_c", "_i", "_h", "_side", "_base", "_open", "_max", "_min"]
-        if not len(own):
-            return pd.DataFrame(columns=out)
-        own, found = own.sort_values("_i"), found.sort_values("_i")
-        v, first = own["_v"].to_numpy(), int(own["_i"].iloc[0])
-        at = found["_i"].to_numpy() - first
-        left, closed_left = lowest_till_higher(v, at)
-        right, closed_right = lowest_till_higher(v[::-1], (len(v) - 1 - at)[::-1])
-        key = {k: own[k].iloc[0] for k in keys}
-        sides = [pd.DataFrame({"_i": found["_i"].to_numpy(), "_h": found["_h"].to_numpy(), "_side": s, "_base": b, "_open": ~c}) for s, b, c in ((-1, left, closed_left), (1, right[::-1], closed_right[::-1]))]
-        whole = pd.DataFrame({"_i": [-1], "_h": [0.0], "_side": [0], "_base": [0.0], "_open": [True]})
-        return pd.concat([*sides, whole]).assign(**key, _c=int(own["_c"].iloc[0]), _max=v.max(), _min=v.min())[out]
-
-    first = chunked.groupBy(*keys, "_c").cogroup(tops.groupBy(*keys, "_c")).applyInPandas(inside, f"{kinds}, _c long, _i long, _h double, _side int, _base double, _open boolean, _max double, _min double")
-
-    def across(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Open sides -> the chunk that closes them (or none), and the least on the way."""
-        chunks = pdf[pdf["_side"] == 0].sort_values("_c")
-        number, top, low = (chunks[c].to_numpy() for c in ("_c", "_max", "_min"))
-        opened, rows = pdf[pdf["_side"] != 0], []
-        for i, h, side, base, c in opened[["_i", "_h", "_side", "_base", "_c"]].itertuples(index=False):
-            k = int(np.searchsorted(number, c)) + side
-            while 0 <= k < len(number) and top[k] <= h:
-                base, k = min(base, low[k]), k + side
-            rows.append((i, h, side, base, int(number[k]) if 0 <= k < len(number) else None))
-        out = pd.DataFrame(rows, columns=["_i", "_h", "_side", "_base", "_to"]).assign(**{k: pdf[k].iloc[0] for k in keys})
-        return out.astype({"_to": "Int64"})[[*keys, "_i", "_h", "_side", "_base", "_to"]]
-
-    opened = first.filter("_open").groupBy(*keys).applyInPandas(across, f"{kinds}, _i long, _h double, _side int, _base double, _to long")
-
-    def closing(own: pd.DataFrame, sides: pd.DataFrame) -> pd.DataFrame:
+    at = F.floor(F.col(place) / chunk).cast("long").alias("_c")
+    values = rows.groupBy(*keys, at).agg(F.array_sort(F.collect_list(F.struct(F.col(place).cast("long").alias("i"), F.col(value).cast("double").alias("v")))).alias("_x"))
+    values = values.select(*keys, "_c", F.col("_x")[0]["i"].alias("_first"), F.col("_x.v").alias("_v"))
+    tops = peaks.groupBy(*[F.col(k).alias(k) for k in keys], at).agg(F.array_sort(F.collect_list(F.struct(F.col(place).cast("long").alias("i"), F.col(value).cast("double").alias("h")))).alias("_tops"))
+
+    @F.pandas_udf("left array<double>, left_closed array<boolean>, right array<double>, right_closed array<boolean>")
+    def inside(values: pd.Series, places: pd.Series, first: pd.Series) -> pd.DataFrame:
+        out = []
+        for v, i, a in zip(values, places, first, strict=True):
+            left = lowest_till_higher(v, i - a)
+            right = lowest_till_higher(v[::-1], (len(v) - 1 - (i - a))[::-1])
+            out.append((*left, right[0][::-1], right[1][::-1]))
+        return pd.DataFrame(out, columns=["left", "left_closed", "right", "right_closed"])
+
+    found = values.join(tops, [*keys, "_c"]).withColumn("_s", inside("_v", "_tops.i", "_first"))
+    each = F.arrays_zip(F.col("_tops.i").alias("i"), F.col("_tops.h").alias("h"), F.col("_s.left").alias("l"), F.col("_s.left_closed").alias("lc"), F.col("_s.right").alias("r"), F.col("_s.right_closed").alias("rc"))
+    sides = found.select(*keys, "_c", F.explode(each).alias("_z"))
+    side = lambda sign, base, closed: F.struct(F.lit(sign).alias("side"), F.col(f"_z.{base}").alias("base"), F.col(f"_z.{closed}").alias("closed"))
+    sides = sides.select(*keys, "_c", F.col("_z.i").alias("_i"), F.col("_z.h").alias("_h"), F.explode(F.array(side(-1, "l", "lc"), side(1, "r", "rc"))).alias("_y")).select(*keys, "_c", "_i", "_h", "_y.*")
+
+    @F.pandas_udf("array<struct<i: long, h: double, side: int, base: double, to: long>>")
+    def across(opened: pd.Series, chunks: pd.Series) -> pd.Series:
+        """Each open side of a key: the chunk that closes it (-1: none), and the least on the way."""
+        out = []
+        for sides_, told in zip(opened, chunks, strict=True):
+            number, top, low = (np.array([t[n] for t in told]) for n in ("_c", "most", "least"))
+            rows_ = []
+            for s in sides_:
+                base, k = s["base"], int(np.searchsorted(number, s["_c"])) + s["side"]
+                while 0 <= k < len(number) and top[k] <= s["_h"]:
+                    base, k = min(base, low[k]), k + s["side"]
+                rows_.append({"i": s["_i"], "h": s["_h"], "side": s["side"], "base": base, "to": int(number[k]) if 0 <= k < len(number) else -1})
+            out.append(rows_)
+        return pd.Series(out)
+
+    extremes = values.select(*keys, F.struct("_c", F.array_max("_v").alias("most"), F.array_min("_v").alias("least")).alias("_e")).groupBy(*keys).agg(F.array_sort(F.collect_list("_e")).alias("_chunks"))
+    opened = sides.filter("NOT closed").groupBy(*keys).agg(F.collect_list(F.struct("_i", "_h", "side", "base", "_c")).alias("_open")).join(extremes, keys)
+    lone = opened.filter(F.size("_chunks") == 1).select(*keys, F.explode("_open").alias("_o")).select(*keys, F.col("_o._i").alias("_i"), "_o.base")
+    moved = opened.filter(F.size("_chunks") > 1).select(*keys, F.explode(across("_open", "_chunks")).alias("_o")).select(*keys, F.col("_o.i").alias("_i"), F.col("_o.h").alias("_h"), "_o.side", "_o.base", F.col("_o.to").alias("_c"))
+
+    @F.pandas_udf("array<double>")
+    def closing(values: pd.Series, asked: pd.Series) -> pd.Series:
         """Of values between a chunk's edge and its first higher value, the least."""
-        if not len(own) or not len(sides):
-            return pd.DataFrame(columns=[*keys, "_i", "_side", "_base"])
-        v, out = own.sort_values("_i")["_v"].to_numpy(), []
-        for h, side, base in sides[["_h", "_side", "_base"]].itertuples(index=False):
-            turned = v if side > 0 else v[::-1]
-            upto = int((turned > h).argmax())
-            out.append(min(base, turned[:upto].min()) if upto else base)
-        return sides.assign(_base=out)[[*keys, "_i", "_side", "_base"]]
-
-    targets = opened.filter("_to IS NOT NULL").withColumnRenamed("_to", "_c")
-    closed = chunked.groupBy(*keys, "_c").cogroup(targets.groupBy(*keys, "_c")).applyInPandas(closing, f"{kinds}, _i long, _side int, _base double")
-    ends = opened.filter("_to IS NULL").select(*keys, "_i", "_side", "_base")
-    bases = reduce(DataFrame.unionByName, [first.filter("NOT _open").select(*keys, "_i", "_side", "_base"), closed, ends])
-    higher = bases.groupBy(*keys, "_i").agg(F.max("_base").alias("_base"))
-    return peaks.withColumn("_i", F.col(place).cast("long")).join(higher, [*keys, "_i"]).select(*columns, (F.col(value) - F.col("_base")).alias(name))
+        out = []
+        for v, own in zip(values, asked, strict=True):
+            bases = []
+            for s in own:
+                turned = v if s["side"] > 0 else v[::-1]
+                upto = int((turned > s["_h"]).argmax())
+                bases.append(min(s["base"], turned[:upto].min()) if upto else s["base"])
+            out.append(bases)
+        return pd.Series(out)
+
+    asked = moved.filter("_c >= 0").groupBy(*keys, "_c").agg(F.collect_list(F.struct("_i", "_h", "side", "base")).alias("_asked"))
+    closed = values.join(asked, [*keys, "_c"]).select(*keys, F.explode(F.arrays_zip(F.col("_asked._i").alias("i"), closing("_v", "_asked").alias("b"))).alias("_o")).select(*keys, F.col("_o.i").alias("_i"), F.col("_o.b").alias("base"))
+    bases = reduce(DataFrame.unionByName, [sides.filter("closed").select(*keys, "_i", "base"), lone, moved.filter("_c < 0").select(*keys, "_i", "base"), closed])
+    higher = bases.groupBy(*keys, "_i").agg(F.max("base").alias("_base"))
+    return peaks.withColumn("_i", F.col(place).cast("long")).join(higher, [*keys, "_i"]).select(*peaks.columns, (F.col(value) - F.col("_base")).alias(name))
