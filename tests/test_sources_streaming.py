@@ -27,6 +27,32 @@ def test_read_din(spark, tmp_path):
     assert (t.tolist(), state.tolist()) == ([7], [1])
 
 
+def test_malformed_and_streamed_din(spark, tmp_path):
+    head = b"<Start settings>\nFields: <time uint32><state uint8>\n<End settings>\n"
+
+    def put(folder, body):
+        (tmp_path / "in" / "rec1" / folder).mkdir(parents=True)
+        (tmp_path / "in" / "rec1" / folder / "x.dio_Din1.dat").write_bytes(body)
+
+    put("a.DIO", head + struct.pack("<IB", 3, 1))
+    put("b.DIO", b"no header at all")
+    path = str(tmp_path / "in")
+    with pytest.raises(Exception, match="no settings header"):
+        logs.read_din(spark, path, 1).collect()
+    assert [(r.part, r.t, r.state) for r in logs.read_din(spark, path, 1, malformed="drop").collect()] == [(1, 3, 1)]
+    [bad] = logs.din_errors(spark, path, 1).collect()
+    assert "b.DIO" in bad.path and bad.error == "no settings header"
+
+    def run():
+        q = logs.stream_din(spark, path, 1).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        return sorted((r.folder, r.t) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+
+    assert run() == [("a.DIO", 3)]
+    put("c.DIO", head + struct.pack("<IB", 9, 0))
+    assert run() == [("a.DIO", 3), ("c.DIO", 9)]
+
+
 def test_read_grid_log(spark, tmp_path):
     row = "\t".join(["3", "7", "2024-01-02 03:04:05", "0.5", "1.0", "-10.5", "20", "1", "2"])
     (tmp_path / "g.txt").write_text(f"# Grid Range: -30.5..40\n# Animal: m1\nTrial\tStim\n{row}\n1\t2\tshort\nOriginal Trial Sequence\n3,1,2\n")

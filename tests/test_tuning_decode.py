@@ -132,3 +132,15 @@ def test_axes_match_numpy(spark):
     assert ratio(lda) > max(ratio(x[:, k]) for k in range(4)) and ratio(lda) > ratio(pca)
     shares = [r.share for r in decode.lda_axes(rows, [], "y").orderBy("axis").collect()]
     assert len(shares) == 2 and shares[0] > shares[1] and sum(shares) == pytest.approx(1)
+
+
+def test_halton_is_even():
+    u = decode.halton(4096, 3)
+    assert ((u > 0) & (u < 1)).all()
+    assert abs((((u - 0.5) ** 2).sum(axis=1) <= 0.25).mean() - np.pi / 6) < 0.005
+
+
+def test_splits_leave_out_sizes_that_a_class_lacks(spark):
+    df = spark.createDataFrame([(k, k % 2 if k < 40 else 1) for k in range(60)], "id int, y int")
+    got = decode.repeated_splits(df, [], "y", "id", [5, 15, 16], 5, [0, 1])
+    assert {(r.n_train, r.part, r["count"]) for r in got.groupBy("n_train", "part").count().collect()} == {(5, "train", 20), (5, "test", 20), (15, "train", 60), (15, "test", 20)}

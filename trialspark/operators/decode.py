@@ -353,9 +353,14 @@ def symmetric(results: DataFrame, score: str) -> DataFrame:
 
 
 def repeated_splits(rows: DataFrame, keys: list[str], label: str, id_col: str, n_train: list[int], n_test: int, seeds: list[int]) -> DataFrame:
-    """rows of each (n_train, seed) split with part: for each class the first n_train, then n_test in a hashed order."""
+    """rows of each (n_train, seed) split with part: for each class the first n_train, then n_test in a hashed order.
+
+    Sizes for which a class (of a key) has too few rows are left out.
+    """
+    least = rows.groupBy(*keys, label).count().groupBy(*keys).agg(F.min("count").alias("_least"))
+    rows = (rows.join(least, keys) if keys else rows.crossJoin(F.broadcast(least))).select(*rows.columns, "_least")
     configs = F.explode(F.array(*[F.struct(F.lit(n).alias("n_train"), F.lit(s).alias("seed")) for n in n_train for s in seeds]))
-    spread = rows.withColumn("_c", configs).select(*rows.columns, "_c.n_train", "_c.seed")
+    spread = rows.withColumn("_c", configs).filter(F.col("_c.n_train") + n_test <= F.col("_least")).select(*rows.drop("_least").columns, "_c.n_train", "_c.seed")
     w = Window.partitionBy(*keys, "n_train", "seed", label).orderBy(F.xxhash64(F.col(id_col), F.col("seed")), id_col)
     ranked = spread.withColumn("_r", F.row_number().over(w))
     part = F.when(F.col("_r") <= F.col("n_train"), "train").when(F.col("_r") <= F.col("n_train") + n_test, "test")
@@ -375,29 +380,43 @@ def ellipsoids(rows: DataFrame, keys: list[str], label: str, x: str = "x", dims:
     return long.groupBy(*keys, label, "dim").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("sd"))
 
 
-def overlap(shapes: DataFrame, label: str, points: int = 50_000, seed: int = 0) -> DataFrame:
-    """(a, b, overlap): share of a's ellipsoid (one deviation) that lies in b's, by points spread over both bounding boxes.
+def halton(points: int, dims: int) -> np.ndarray:
+    """(points, dims) in the unit cube, spread evenly: in each dimension the numbers 1, 2, ... mirrored at the point, in a prime base."""
+    primes = [p for p in range(2, 20 * dims + 10) if all(p % q for q in range(2, int(p**0.5) + 1))][:dims]
+    out = np.zeros((points, dims))
+    for d, base in enumerate(primes):
+        n, scale = np.arange(1, points + 1), 1.0 / base
+        while n.any():
+            out[:, d] += scale * (n % base)
+            n, scale = n // base, scale / base
+    return out
+
+
+def overlap(shapes: DataFrame, label: str, points: int = 50_000) -> DataFrame:
+    """(a, b, overlap): share of a's ellipsoid (one deviation) that lies in b's, by points spread over both bounding boxes; 1 for a with a.
 
-    Points are hashed from their number, the pair and the dimension, so they are the same on any cluster; 1 for a with a.
+    The points are a low-discrepancy sequence, made in the task and the same for every pair: a pair is one row. Pairs grow with
+    the square of the number of labels, which is one of conditions and not of rows.
     """
     packed = shapes.groupBy(label).agg(F.array_sort(F.collect_list(F.struct("dim", "mean", "sd"))).alias("d"))
     a, b = packed.select(F.col(label).alias("a"), F.col("d").alias("da")), packed.select(F.col(label).alias("b"), F.col("d").alias("db"))
-    pairs = a.join(b, F.col("a") != F.col("b"))
-    blocks = pairs.withColumn("_n", F.explode(F.sequence(F.lit(0), F.lit(max(1, points // 1000) - 1)))).withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(min(points, 1000) - 1))))
 
-    def inside(own: str, other: str) -> Column:
-        def term(p, q):
-            low, high = F.least(p["mean"] - p["sd"], q["mean"] - q["sd"]), F.greatest(p["mean"] + p["sd"], q["mean"] + q["sd"])
-            u = F.pmod(F.xxhash64("a", "b", "_n", "_i", p["dim"], F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-            z = (low + u * (high - low) - p["mean"]) / F.nullif(p["sd"], F.lit(0.0))
-            return z * z
+    @F.pandas_udf("double")
+    def share(ma: pd.Series, sa: pd.Series, mb: pd.Series, sb: pd.Series) -> pd.Series:
+        out, spread = [], {}
+        for m, s, n, t in zip(ma, sa, mb, sb, strict=True):
+            u = spread.setdefault(len(m), halton(points, len(m)) if len(m) not in spread else None)
+            low, high = np.minimum(m - s, n - t), np.maximum(m + s, n + t)
+            x = low + u * (high - low)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                own, other = (((x - c) / r) ** 2 for c, r in ((m, s), (n, t)))
+            inside, both = own.sum(axis=1) <= 1, (own.sum(axis=1) <= 1) & (other.sum(axis=1) <= 1)
+            out.append(both.sum() / inside.sum() if inside.any() else None)
+        return pd.Series(out, dtype="float64")
 
-        return F.aggregate(F.zip_with(own, other, term), F.lit(0.0), lambda t, v: t + v) <= 1
-
-    ia, ib = inside("da", "db"), inside("db", "da")
-    out = blocks.groupBy("a", "b").agg((F.count_if(ia & ib) / F.nullif(F.count_if(ia), F.lit(0))).alias("overlap"))
-    own = packed.select(F.col(label).alias("a"), F.col(label).alias("b"), F.lit(1.0).alias("overlap"))
-    return out.unionByName(own)
+    pairs = a.join(b, F.col("a") != F.col("b"))
+    found = pairs.select("a", "b", F.nanvl(share("da.mean", "da.sd", "db.mean", "db.sd"), F.lit(None).cast("double")).alias("overlap"))
+    return found.unionByName(packed.select(F.col(label).alias("a"), F.col(label).alias("b"), F.lit(1.0).alias("overlap")))
 
 
 def importance(model: DataFrame, keys: list[str], w: str = "w") -> DataFrame:

@@ -168,12 +168,3 @@ def described(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     v = F.col(value).cast("double")
     q = lambda share: F.percentile(v, F.lit(share))
     return df.groupBy(*keys).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("sd"), F.min(v).alias("least"), q(0.25).alias("q1"), q(0.5).alias("median"), q(0.75).alias("q3"), F.max(v).alias("most"))
-
-
-def top_by(df: DataFrame, keys: list[str], score: str, ties: list[str], n: int) -> DataFrame:
-    """The n rows of the highest score of each key (of all rows if there are no keys), with rank from 1; ties by these columns."""
-    if not keys:
-        best = df.orderBy(F.col(score).desc(), *ties).limit(n)  # n rows of each task at most meet
-        return best.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.col(score).desc(), *ties)))
-    w = Window.partitionBy(*keys).orderBy(F.col(score).desc(), *ties)
-    return df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)

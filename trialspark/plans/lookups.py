@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trialspark.functions import scalars
-from trialspark.operators import rates, selection, signals
-from trialspark.plans.base import DAY, EV, HOUR, RESP, SAMPLES, events, query, responses, samples, table
+from trialspark.operators import rates, selection, signals, tuning
+from trialspark.plans.base import EV, HOUR, MEANS, RESP, SAMPLES, events, query, responses, samples, table
 
 UNITS = "u AS (SELECT p_partkey, p_brand, CASE p_size % 4 WHEN 1 THEN 'noise' WHEN 2 THEN 'Good' WHEN 3 THEN 'mua' END AS quality FROM part)"
 
@@ -114,11 +114,20 @@ def described(spark, d):
     return selection.described(events(spark, d), ["event_type"], "value")
 
 
-@query(f"WITH {SAMPLES}, i AS (SELECT channel AS feature, round(avg(abs(value)), 9) AS importance FROM samples GROUP BY channel) SELECT feature, round(importance, 6) AS importance, row_number() OVER (ORDER BY importance DESC, feature) AS rank FROM i ORDER BY importance DESC, feature LIMIT 15")
+@query(f"WITH {SAMPLES}, i AS (SELECT channel AS feature, round(avg(abs(value)), 9) AS importance FROM samples GROUP BY channel) SELECT feature, round(importance, 6) AS importance FROM i ORDER BY i.importance DESC, feature LIMIT 15")
 def top_features(spark, d):
     """The fifteen features of the greatest mean absolute value."""
     i = samples(spark, d).groupBy(F.col("channel").alias("feature")).agg(F.round(F.avg(F.abs("value")), 9).alias("importance"))
-    return selection.top_by(i, [], "importance", ["feature"], 15)
+    return selection.top(i, "importance", 15, ["feature"]).select("feature", "importance")
+
+
+@query(f"""WITH {MEANS}, v AS (SELECT unit, sum(mean * cos(2 * radians(theta))) AS x, sum(mean * sin(2 * radians(theta))) AS y FROM means GROUP BY unit), h AS (SELECT degrees(atan2(y, x)) / 2 AS h FROM v)
+SELECT CAST(floor(CASE WHEN h < 0 THEN h + 180 ELSE h END / 22.5) AS INTEGER) AS bin, count(*) AS n FROM h GROUP BY 1""")
+def angle_histogram(spark, d):
+    """Units by preferred orientation, in eight bins."""
+    means = responses(spark, d).groupBy("unit", "theta").agg(F.avg("rate").alias("mean"))
+    preferred = tuning.gosi_vector(means, ["unit"], "theta", "mean")
+    return rates.histogram(preferred, [], "preferred_vector", 0.0, 22.5, 8).filter("n > 0")
 
 
 CLEANED = f"""{SAMPLES}, s AS (SELECT channel // 16 AS shank, channel, sample, value, CASE WHEN sample % 3 = 0 THEN value / 2 ELSE value END AS cleaned FROM samples), norms AS (SELECT shank, channel, sample // 20 AS chunk, sqrt(sum(value * value)) AS norm FROM s GROUP BY ALL),

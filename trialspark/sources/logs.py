@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trialspark.functions.scalars import date_range, normal_key, number_list, percent, signed_decimals
@@ -41,20 +41,63 @@ def parse_din(content: bytes) -> tuple[np.ndarray, np.ndarray]:
     return rows["time"].astype(np.int64), rows["state"].astype(np.int32)
 
 
-def read_din(spark: SparkSession, path: str, channel: int) -> DataFrame:
-    """Transition logs of a channel (files *Din<channel>.dat) under path, in parts by their folders' names."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", f"*Din{channel}.dat").option("recursiveFileLookup", "true").load(path)
-    folder = F.regexp_extract("path", r"([^/]+)/[^/]+$", 1)
-    rec = F.regexp_extract("path", r"([^/]+)/[^/]+/[^/]+$", 1)
-    listed = files.select(rec.alias("rec_id"), folder.alias("folder"), "path").withColumn("part", F.dense_rank().over(Window.partitionBy("rec_id").orderBy("folder")))
+def _din_files(reader, path: str, channel: int) -> DataFrame:
+    return reader.format("binaryFile").option("pathGlobFilter", f"*Din{channel}.dat").option("recursiveFileLookup", "true").load(path)
+
+
+def _folders(path: Column) -> tuple[Column, Column]:
+    """The recording that a log belongs to, and the folder that it lies in, by its path."""
+    return F.regexp_extract(path, r"([^/]+)/[^/]+/[^/]+$", 1), F.regexp_extract(path, r"([^/]+)/[^/]+$", 1)
+
+
+def _parsed(keep: list[str], channel: int, malformed: str):
+    """Rows with content -> the columns to keep, and a row for each record of the log; or, for `malformed` errors, for each log that doesn't parse."""
 
     def explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for r in pdf.itertuples(index=False):
-                t, state = parse_din(r.content)
-                yield pd.DataFrame({"rec_id": r.rec_id, "part": r.part, "channel": channel, "seq": np.arange(len(t)), "t": t, "state": state})
+            for r in pdf.to_dict("records"):
+                own = {k: r[k] for k in keep}
+                try:
+                    t, state = parse_din(r["content"])
+                except (ValueError, TypeError) as e:
+                    if malformed == "fail":
+                        raise
+                    if malformed == "errors":
+                        yield pd.DataFrame({**own, "error": [str(e)]})
+                    continue
+                if malformed != "errors":
+                    yield pd.DataFrame({**own, "channel": channel, "seq": np.arange(len(t)), "t": t, "state": state})
+
+    return explode
+
+
+def read_din(spark: SparkSession, path: str, channel: int, malformed: str = "fail") -> DataFrame:
+    """Transition logs of a channel (files *Din<channel>.dat) under path, in parts by their folders' names.
+
+    Files are read by Spark, wherever they lie, and parsed a file at a time in the tasks. malformed says what becomes of a log
+    without a header or fields: "fail", or "drop" (din_errors() lists those).
+    """
+    files = _din_files(spark.read, path, channel)
+    rec, folder = _folders(F.col("path"))
+    listed = files.select(rec.alias("rec_id"), folder.alias("folder"), "path").withColumn("part", F.dense_rank().over(Window.partitionBy("rec_id").orderBy("folder")))
+    parts = files.select("path", "content").join(listed.select("path", "rec_id", "part"), "path").select("rec_id", "part", "content")
+    return parts.mapInPandas(_parsed(["rec_id", "part"], channel, malformed), DIN_SCHEMA)
+
+
+def din_errors(spark: SparkSession, path: str, channel: int) -> DataFrame:
+    """(path, error) of the logs that read_din() can't parse."""
+    return _din_files(spark.read, path, channel).select("path", "content").mapInPandas(_parsed(["path"], channel, "errors"), "path string, error string")
 
-    return files.select("path", "content").join(listed.select("path", "rec_id", "part"), "path").select("rec_id", "part", "content").mapInPandas(explode, DIN_SCHEMA)
+
+def stream_din(spark: SparkSession, path: str, channel: int) -> DataFrame:
+    """(rec_id, folder, channel, seq, t, state) of logs as they arrive under path; those that don't parse are left out.
+
+    A folder's part in its recording isn't known while folders may still come, so the folder's name stands for it.
+    """
+    schema = "path string, modificationTime timestamp, length long, content binary"
+    rec, folder = _folders(F.col("path"))
+    files = _din_files(spark.readStream.schema(schema), path, channel).select(rec.alias("rec_id"), folder.alias("folder"), "content")
+    return files.mapInPandas(_parsed(["rec_id", "folder"], channel, "drop"), "rec_id string, folder string, channel int, seq long, t long, state int")
 
 
 def read_trial_csv(spark: SparkSession, path: str) -> DataFrame:
