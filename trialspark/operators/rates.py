@@ -62,7 +62,7 @@ def psth(hits: DataFrame, trials: DataFrame, condition: list[str], rel: str, fir
     unit = unit or []
     n_trials = trials.groupBy(*condition).agg(F.count("*").alias("n_trials"))
     n = histogram(hits, [*unit, *condition], rel, first, width, bins)
-    out = n.join(F.broadcast(n_trials), condition) if condition else n.crossJoin(F.broadcast(n_trials))
+    out = n.join(n_trials, condition) if condition else n.crossJoin(F.broadcast(n_trials))
     return out.withColumn("rate", F.col("n") / (F.col("n_trials") * F.lit(width / per_second)))
 
 
@@ -73,7 +73,7 @@ def psth_modes(hits: DataFrame, trials: DataFrame, factors: list[str], rel: str,
     n = n.withColumn("grouping", F.shiftright("_g", 1)).drop("_g")
     t = trials.cube(*factors).agg(F.count("*").alias("n_trials"), F.grouping_id().alias("grouping"))
     t = t.withColumnsRenamed({c: f"_{c}" for c in factors})
-    out = n.join(F.broadcast(t.withColumnRenamed("grouping", "_grouping")), (F.col("grouping") == F.col("_grouping")) & _all_same(factors))
+    out = n.join(t.withColumnRenamed("grouping", "_grouping"), (F.col("grouping") == F.col("_grouping")) & _all_same(factors))
     return out.select(*factors, "grouping", "bin", "n", "n_trials", (F.col("n") / (F.col("n_trials") * F.lit(width / per_second))).alias("rate"))
 
 

@@ -52,7 +52,7 @@ def pair_subset(df: DataFrame, label: str, a, b) -> DataFrame:
 def encoded(df: DataFrame, label: str, name: str = "class") -> DataFrame:
     """df with the rank of its label, from 0, among the distinct labels, which are few."""
     ranks = df.select(label).filter(F.col(label).isNotNull()).distinct().withColumn(name, F.row_number().over(Window.orderBy(label)) - 1)
-    return df.join(F.broadcast(ranks), label, "left")
+    return df.join(ranks, label, "left")
 
 
 def clamp(df: DataFrame, value: str, most: float, to_null: bool = False) -> DataFrame:
@@ -93,7 +93,7 @@ def sample_per_class(df: DataFrame, label: str, order: list, n: int | None = Non
     if n is not None:
         return ranked.filter(F.col("_r") <= n).drop("_r")
     least = df.groupBy(*keys, label).count().groupBy(*keys).agg(F.min("count").alias("_m")) if keys else df.groupBy(label).count().agg(F.min("count").alias("_m"))
-    joined = ranked.join(F.broadcast(least), keys) if keys else ranked.crossJoin(F.broadcast(least))
+    joined = ranked.join(least, keys) if keys else ranked.crossJoin(F.broadcast(least))
     return joined.filter("_r <= _m").drop("_r", "_m")
 
 

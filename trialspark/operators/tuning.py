@@ -211,7 +211,7 @@ def spike_triggered_average(hits: DataFrame, frames: DataFrame, unit: list[str],
 
     hits carry the frame they fall on, frames name its pixel. Every pixel has a row. black is the mean of the inverse.
     """
-    seen = hits.join(F.broadcast(frames.select(frame, pixel)), frame)
+    seen = hits.join(frames.select(frame, pixel), frame)
     n = seen.groupBy(*unit).agg(F.count("*").alias("n_spikes"))
     per = seen.groupBy(*unit, pixel).agg(F.count("*").alias("_n"))
     grid = n.select(*unit, "n_spikes", F.explode(F.sequence(F.lit(0), F.lit(pixels - 1))).alias(pixel)).withColumn(pixel, F.col(pixel).cast(frames.schema[pixel].dataType))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -26,17 +26,20 @@ def gaussian_weights(sigma: float, truncate: float = 4.0) -> np.ndarray:
 def kernel_smooth(df: DataFrame, keys: list[str], at: str, value: str, weights: np.ndarray, name: str = "smooth") -> DataFrame:
     """df with the weighted mean of its neighbours, mirrored at the ends (a b | b a); `at` numbers a group's rows from 0.
 
-    Each row is given to the places whose kernel reaches it, a number of rows fixed by the kernel, and summed there.
+    A row's neighbours come as an array from one sorted window, whose size is the kernel's; mirrored ones are among them. A null
+    value counts as 0.
     """
     half, n = len(weights) // 2, F.col("_n")
-    sized = df.withColumn("_n", F.count("*").over(Window.partitionBy(*keys)))
+    near = F.collect_list(F.struct(F.col(value).cast("double").alias("v"))).over(Window.partitionBy(*keys).orderBy(at).rowsBetween(-half, half))
+    sized = df.withColumns({"_n": F.count("*").over(Window.partitionBy(*keys)), "_near": near, "_low": F.greatest(F.col(at) - half, F.lit(0))})
     taps = F.array(*[F.struct(F.lit(k - half).alias("k"), F.lit(float(w)).alias("w")) for k, w in enumerate(weights)])
-    spread = sized.select(*keys, F.col(at).alias("_to"), "_n", F.explode(taps).alias("_x"))
-    place = F.pmod(F.col("_to") + F.col("_x.k"), 2 * n)
-    asked = spread.withColumn("_at", F.when(place < n, place).otherwise(2 * n - 1 - place))
-    got = asked.join(df.select(*keys, F.col(at).alias("_at"), F.col(value).alias("_v")), [*keys, "_at"])
-    out = got.groupBy(*keys, F.col("_to").alias(at)).agg(F.sum(F.col("_x.w") * F.col("_v")).alias(name))
-    return df.join(out, [*keys, at])
+
+    def term(tap: Column) -> Column:
+        turned = F.pmod(F.col(at) + tap["k"], 2 * n)
+        place = F.when(turned < n, turned).otherwise(2 * n - 1 - turned) - F.col("_low")
+        return tap["w"] * F.coalesce(F.get("_near", place.cast("int"))["v"], F.lit(0.0))
+
+    return sized.withColumn(name, F.aggregate(F.transform(taps, term), F.lit(0.0), lambda t, x: t + x)).drop("_n", "_near", "_low")
 
 
 def gaussian_smooth(df: DataFrame, keys: list[str], at: str, value: str, sigma: float, name: str = "smooth") -> DataFrame:

@@ -190,7 +190,7 @@ def threshold_sweep(spark, d):
 def tuned_unit_trials(spark, d):
     m = tuning.gosi_vector(_means(spark, d), ["unit"], "theta", "mean")
     keep = selection.tuned_units(m, "gosi", 0.04).select("unit")
-    return responses(spark, d).join(F.broadcast(keep), "unit", "left_semi").groupBy("unit").agg(F.count("*").alias("n"))
+    return responses(spark, d).join(keep, "unit", "left_semi").groupBy("unit").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {RESP}, m AS (SELECT theta, avg(rate) AS m FROM resp GROUP BY theta), p AS (SELECT a.theta AS a, b.theta AS b, abs(a.m - b.m) AS score, least((b.theta - a.theta) % 180, 180 - (b.theta - a.theta) % 180) AS d FROM m a JOIN m b ON a.theta < b.theta) SELECT CASE WHEN d = 90 THEN 'orthogonal' WHEN d = 45 THEN 'adjacent' WHEN d < 45 THEN 'near' ELSE 'far' END AS family, count(*) AS n, round(avg(score), 6) AS mean, round(stddev_pop(score), 6) AS sd, round(avg(score) FILTER (WHERE a IN (0, 90) AND b IN (0, 90)), 6) AS cardinal FROM p GROUP BY 1")

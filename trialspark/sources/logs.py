@@ -170,7 +170,7 @@ def discover_sessions(spark: SparkSession, names: DataFrame, first: str, last: s
     """(animal, date, session, name) of names (column name) like animal_yymmdd_session in the range; bad names are left out."""
     days = spark.range(1).select(F.explode(date_range(F.lit(first), F.lit(last))).alias("date"))
     wanted = days.withColumn("animal", F.explode(F.array(*[F.lit(a) for a in animals])))
-    return parse_sessions(names).filter("animal IS NOT NULL").join(F.broadcast(wanted), ["animal", "date"]).select("animal", "date", "session", "name")
+    return parse_sessions(names).filter("animal IS NOT NULL").join(wanted, ["animal", "date"]).select("animal", "date", "session", "name")
 
 
 def parse_sessions(names: DataFrame, name: str = "name") -> DataFrame:
