@@ -40,7 +40,17 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """df as a Parquet table in the shared folder: later reads don't depend on the executors that made it."""
     path = scratch(df.sparkSession, label)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes tables that written() gave, once all that is made of them is written itself: nothing may read them any more."""
+    for t in tables:
+        context = t.sparkSession.sparkContext
+        at = context._jvm.org.apache.hadoop.fs.Path(t._scratch)
+        at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def join_counted(big: DataFrame, small: DataFrame, keys: list[str], n: str) -> DataFrame:

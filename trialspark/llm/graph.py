@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trialspark.llm.common import join_counted, written
+from trialspark.llm.common import join_counted, release, written
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -35,7 +35,9 @@ def components(edges: DataFrame) -> DataFrame:
         if mark == seen or not mark[0]:
             break
         seen = mark
-        edges = written(_star(edges, large=True), "large-star")
-        edges = written(_star(edges, large=False), "small-star")
+        large = written(_star(edges, large=True), "large-star")
+        small = written(_star(large, large=False), "small-star")
+        release(edges, large)
+        edges = small
     stars = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return stars.unionByName(stars.select(F.col("root").alias("node"), "root").distinct())

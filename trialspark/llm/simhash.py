@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from trialspark.llm.common import join_counted, least_hashed, written
+from trialspark.llm.common import join_counted, least_hashed, release, written
 from trialspark.llm.graph import components
 
 #: Of a point set, this share is in either half of a node at radius 2; a shard holds about so many points; levels of the
@@ -169,9 +169,12 @@ def linked(prints: DataFrame, radius: int = 2) -> DataFrame:
         return pd.DataFrame({"a": points[mine].view(np.int64), "b": points[label[mine]].view(np.int64)})
 
     leaves = prints.mapInPandas(place, "leaf long, fp long")
-    if n > LARGE_LEAF:
-        leaves = _deeper(written(leaves, "vantage-leaves"), radius)
-    return components(leaves.groupBy("leaf").applyInPandas(pairs, "a long, b long"))
+    if n <= LARGE_LEAF:
+        return components(leaves.groupBy("leaf").applyInPandas(pairs, "a long, b long"))
+    leaves = _deeper(written(leaves, "vantage-leaves"), radius)
+    found = components(leaves.groupBy("leaf").applyInPandas(pairs, "a long, b long"))
+    release(leaves)
+    return found
 
 
 def _deeper(leaves: DataFrame, radius: int) -> DataFrame:
@@ -184,6 +187,7 @@ def _deeper(leaves: DataFrame, radius: int) -> DataFrame:
         sizes = leaves.groupBy("leaf").agg(F.count("*").alias("n")).filter((F.col("n") > LARGE_LEAF) & (F.col("leaf") >= 0))
         sizes = written(sizes.withColumn("slices", F.ceil(F.col("n") / LARGE_LEAF).cast("long")), "large-leaves")
         if not sizes.limit(1).count():
+            release(sizes)
             return leaves
         own = written(join_counted(leaves, sizes, ["leaf"], "n"), "large-leaf-points")
         sample = own.filter(F.pmod(F.xxhash64("fp", "leaf"), F.col("n")) < 4096)
@@ -201,7 +205,9 @@ def _deeper(leaves: DataFrame, radius: int) -> DataFrame:
         # Leaves that stay small are told apart from parts of large ones by their place below the next level's numbers.
         small = leaves.join(F.broadcast(sizes.select("leaf")), "leaf", "left_anti")
         small = small.withColumn("leaf", F.when(F.col("leaf") >= 0, -1 - F.col("leaf")).otherwise(F.col("leaf")))
-        leaves = written(small.unionByName(parts), "vantage-leaves")
+        cut_leaves = written(small.unionByName(parts), "vantage-leaves")
+        release(leaves, own, sizes)
+        leaves = cut_leaves
 
 
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 2) -> DataFrame:
@@ -319,8 +325,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = written(named, "picked-blocks")
     shared = named.groupBy("block").agg(F.sum("n").alias("all")).filter("all > 1").select("block")
     member = join_counted(prints, named.join(shared, "block", "left_semi"), ["fp"], "n").select("block", "id", "size").distinct()
-    member = _with_rivals(written(member, "block-members").withColumn("comp", F.col("id")), similarity).drop("comp")
-    member = written(member, "members-with-rivals")
+    every = written(member, "block-members")
+    member = written(_with_rivals(every.withColumn("comp", F.col("id")), similarity).drop("comp"), "members-with-rivals")
+    release(prints, counts, named, every)
     pairs = written(_spanning_pairs(member, similarity), "near-pairs")
     wanted = member.select("id").distinct()
     sets = written(base.join(wanted, "id", "left_semi").select("id", _shingle_sets(words)("text").alias("s")), "shingle-sets")
@@ -328,8 +335,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     left = weight.join(sets.withColumnsRenamed({"id": "a", "s": "sa"}), "a")
     alike = join_counted(pairs, left, ["a"], "n").join(sets.withColumnsRenamed({"id": "b", "s": "sb"}), "b")
     alike = written(alike.filter(_jaccard("sa", "sb") >= similarity).select("a", "b"), "alike")
+    release(pairs)
     more = _finished(member, sets, components(alike), similarity)
     found = components(alike.unionByName(more)).withColumnsRenamed({"node": "first", "root": "component"})
+    release(alike, sets, member)
     classes = same.join(found, "first", "left").withColumn("component", F.coalesce("component", "first"))
     return join_counted(keyed, written(classes, "near-classes"), ["h1", "h2"], "n").select("id", "component")
 
