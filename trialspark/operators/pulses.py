@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from trialspark.operators import scans
 from trialspark.operators.scans import refractory  # noqa: F401
+from trialspark.operators.windows import moving_average
 
 
 def _by(keys: list[str], *order: str):
@@ -220,6 +221,13 @@ def schmitt_auto(df: DataFrame, keys: list[str], order: list[str], value: str, l
     return schmitt(ranged, keys, order, value, at(low), at(high), name).drop("_min", "_max")
 
 
+def schmitt_edges(df: DataFrame, keys: list[str], order: list[str], value: str, width: int = 5, low: float = 0.25, high: float = 0.9) -> DataFrame:
+    """(keys, order, state): where the state of schmitt_auto() over the moving average of `width` rows turns to 1 or 0."""
+    states = schmitt_auto(moving_average(df, keys, order, value, width), keys, order, "smooth", low, high)
+    turned = F.col("state") != F.coalesce(F.lag("state").over(_by(keys, *order)), F.lit(0))
+    return states.withColumn("_turned", turned).filter("_turned").select(*keys, *order, "state")
+
+
 def attach_segment_metadata(segmented: DataFrame, metadata: DataFrame, keys: list[str]) -> DataFrame:
     """Each segment with the parameters of its number; null where there are none."""
     return segmented.join(metadata, [*keys, "segment"], "left")

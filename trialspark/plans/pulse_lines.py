@@ -188,6 +188,14 @@ def schmitt(spark, d):
     return pulses.schmitt(events(spark, d), ["user_id"], ["us"], "value", F.lit(10.0), F.lit(40.0)).select("user_id", "us", "state")
 
 
+@query(f"""WITH {LEVELS}, a AS (SELECT user_id, us, sum(value) OVER (PARTITION BY user_id ORDER BY us ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) / 5.0 AS v FROM ev),
+r AS (SELECT *, min(v) OVER (PARTITION BY user_id) AS a, max(v) OVER (PARTITION BY user_id) AS b FROM a), t AS (SELECT user_id, us, CASE WHEN v > a + (b - a) * 0.9 THEN 1 WHEN v < a + (b - a) * 0.25 THEN 0 END AS told FROM r),
+st AS (SELECT user_id, us, coalesce(last_value(told IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY us ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS state FROM t),
+e AS (SELECT *, coalesce(lag(state) OVER (PARTITION BY user_id ORDER BY us), 0) AS before FROM st) SELECT user_id, us, state FROM e WHERE state <> before""")
+def schmitt_edges(spark, d):
+    return pulses.schmitt_edges(events(spark, d), ["user_id"], ["us"], "value")
+
+
 @query(f"""WITH {LEVELS}, a AS (SELECT user_id, us, sum(value) OVER (PARTITION BY user_id ORDER BY us ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) / 5.0 AS v FROM ev),
 r AS (SELECT *, min(v) OVER (PARTITION BY user_id) AS a, max(v) OVER (PARTITION BY user_id) AS b FROM a), t AS (SELECT user_id, us, CASE WHEN v > a + (b - a) * 0.9 THEN 1 WHEN v < a + (b - a) * 0.25 THEN 0 END AS told FROM r)
 SELECT user_id, us, coalesce(last_value(told IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY us ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS state FROM t""")
