@@ -66,3 +66,13 @@ def smoothed(df: DataFrame, keys: list[str], freq: str, value: str, method: str
     if method == "savgol":
         return savgol(df, keys, [freq], value, int(width), min(3, int(width) - 1))
     raise ValueError(f"no such smoothing: {method}")
+
+
+def with_places(pairs: DataFrame, channels: DataFrame, a: str, b: str, channel: str = "channel") -> DataFrame:
+    """pairs with the places of both channels (a_x, a_y, b_x, b_y) and their distance; channels: (channel, x, y), a row each.
+
+    A pair with a channel that has no place keeps nulls.
+    """
+    side = lambda name, prefix: channels.select(F.col(channel).alias(name), F.col("x").alias(f"{prefix}_x"), F.col("y").alias(f"{prefix}_y"))
+    out = pairs.join(side(a, "a"), a, "left").join(side(b, "b"), b, "left")
+    return out.withColumn("distance", F.hypot(F.col("a_x") - F.col("b_x"), F.col("a_y") - F.col("b_y")))

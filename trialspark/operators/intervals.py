@@ -129,6 +129,16 @@ def combined_units(recordings: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, [r.withColumn("file_no", F.lit(k)) for k, r in enumerate(recordings)])
 
 
+def with_qualities(combined: DataFrame, qualities: list[DataFrame], unit: str, quality: str = "quality") -> DataFrame:
+    """combined_units() with each row's quality in its own recording, the unit's first known one, and whether all known ones agree.
+
+    qualities: (unit, quality) of each recording, a row for each unit. Units that a recording doesn't rate have null there.
+    """
+    rated = combined_units([q.select(unit, quality) for q in qualities])
+    whole = rated.groupBy(unit).agg(F.min_by(quality, F.when(F.col(quality).isNotNull(), F.col("file_no"))).alias("first_quality"), (F.count_distinct(quality) <= 1).alias("agree"))
+    return combined.join(rated, [unit, "file_no"], "left").join(whole, unit, "left")
+
+
 def snippets(events: DataFrame, samples: DataFrame, keys: list[str], at: str, sample: str, value: str, before: int, after: int, bucket: int) -> DataFrame:
     """(keys, at, snippet): the samples from at - before to at + after, both included, as an array in order."""
     w = events.select(*keys, at).withColumns({"low": F.col(at) - before, "high": F.col(at) + after})

@@ -251,6 +251,13 @@ def coherence(spark, d):
     return _coherence(spark, d)
 
 
+@query(f"WITH {COH} SELECT ca, cb, k, round(coh, 6) AS coh, CAST(ca % 4 AS DOUBLE) AS a_x, CAST(ca // 4 AS DOUBLE) * 20 AS a_y, CAST(cb % 4 AS DOUBLE) AS b_x, CAST(cb // 4 AS DOUBLE) * 20 AS b_y, round(sqrt((ca % 4 - cb % 4) ** 2 + (ca // 4 * 20 - cb // 4 * 20) ** 2), 6) AS distance FROM coh")
+def coherence_places(spark, d):
+    """Coherences with the places of both channels: four columns, rows 20 apart."""
+    channels = samples(spark, d).select("channel").distinct().select("channel", (F.col("channel") % 4).cast("double").alias("x"), (F.floor(F.col("channel") / 4) * 20).cast("double").alias("y"))
+    return coh.with_places(_coherence(spark, d), channels, "ca", "cb").select("ca", "cb", "k", "coh", "a_x", "a_y", "b_x", "b_y", "distance")
+
+
 @query(f"WITH {COH}, per AS (SELECT ca AS session, k, freq, count(*) AS n, avg(coh) AS mean, stddev_pop(coh) AS sd FROM coh GROUP BY ALL) SELECT session, k, freq, n, round(mean, 6) AS mean, round(sd, 6) AS sd, round(sd / sqrt(n), 6) AS sem FROM per")
 def coherence_by_session(spark, d):
     return coh.session_means(_coherence(spark, d).withColumnRenamed("ca", "session"), "session", ["cb"])

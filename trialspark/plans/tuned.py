@@ -210,6 +210,19 @@ def good_units(spark, d):
     return out.select(F.col("s_nationkey").cast("bigint").alias("shank"), F.size("units").alias("n"), F.element_at("units", 1).alias("first_unit"), F.element_at("units", -1).alias("last_unit"))
 
 
+@query("""WITH n AS (SELECT l_suppkey AS unit, CAST(l_linestatus = 'F' AS INTEGER) AS file_no, count(*) AS n FROM lineitem GROUP BY ALL), q AS (SELECT s_suppkey AS unit, 0 AS file_no, CASE s_suppkey % 3 WHEN 1 THEN 'good' WHEN 2 THEN 'mua' END AS quality FROM supplier UNION ALL SELECT s_suppkey, 1, CASE s_suppkey % 2 WHEN 1 THEN 'good' END FROM supplier),
+w AS (SELECT unit, min_by(quality, file_no) FILTER (WHERE quality IS NOT NULL) AS first_quality, count(DISTINCT quality) <= 1 AS agree FROM q GROUP BY unit) SELECT n.unit, n.file_no, n.n, q.quality, w.first_quality, w.agree FROM n LEFT JOIN q USING (unit, file_no) LEFT JOIN w USING (unit)""")
+def combined_qualities(spark, d):
+    """Two recordings of the same units, each with ratings of its own."""
+    from trialspark.operators.intervals import combined_units, with_qualities
+
+    li = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("unit"), "l_linestatus")
+    both = combined_units([li.filter("l_linestatus = 'O'"), li.filter("l_linestatus = 'F'")]).groupBy("unit", "file_no").agg(F.count("*").alias("n"))
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("unit"))
+    first = s.withColumn("quality", F.when(F.col("unit") % 3 == 1, "good").when(F.col("unit") % 3 == 2, "mua"))
+    return with_qualities(both, [first, s.withColumn("quality", F.when(F.col("unit") % 2 == 1, "good"))], "unit")
+
+
 @query("SELECT l_suppkey AS unit, 0 AS file_no, count(*) AS n FROM lineitem WHERE l_linestatus = 'O' GROUP BY 1 UNION ALL SELECT l_suppkey, 1, count(*) FROM lineitem WHERE l_linestatus = 'F' GROUP BY 1")
 def combined_recordings(spark, d):
     from trialspark.operators.intervals import combined_units
