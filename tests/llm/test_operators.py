@@ -353,6 +353,61 @@ def test_decontamination_finds_items_that_share_their_words(spark):
     assert got[1, 0] == got[1, 30] == got[3, 20] == 1.0 and got[2, 10] == pytest.approx(0.75)
 
 
+@pytest.mark.parametrize("broadcast_seeds", [500_000, 0])
+def test_decontamination_meets_edited_copies(spark, broadcast_seeds):
+    rng = np.random.default_rng(11)
+    vocabulary = [f"w{x}" for x in range(4000)]
+    share = 1 / (np.arange(4000) + 3)
+    words = lambda n: list(rng.choice(vocabulary, n, p=share / share.sum()))
+    items, rows, due = [], [], collections.defaultdict(set)
+    for size in (10, 12, 20, 30, 45):
+        for _ in range(40):
+            item = words(size)
+            items.append((len(items), " ".join(item)))
+            for _ in range(3):
+                copy = list(item)
+                for at in sorted(rng.choice(size, rng.integers(0, size // 3 + 1), replace=False), reverse=True):
+                    copy[at : at + 1] = [["other"], [], [copy[at], "more"]][rng.integers(3)]
+                passage = words(150) + copy + words(150)
+                scores = decontam.smith_waterman(decontam.word_numbers(item), decontam.word_numbers(passage))
+                if scores[0] >= 0.5 * size:
+                    due[size].add((len(rows), items[-1][0]))
+                rows.append((len(rows), " ".join(passage)))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.id, r.item) for r in decontam.contaminated(frame(spark, rows), bench, broadcast_seeds=broadcast_seeds).collect()}
+    met = {size: len(got & pairs) / len(pairs) for size, pairs in due.items()}
+    assert min(met.values()) >= 0.95, met
+    assert min(len(pairs) for pairs in due.values()) >= 60
+
+
+def test_decontamination_leaves_common_phrases_out(spark):
+    rng = np.random.default_rng(12)
+    words = lambda n: [f"w{x}" for x in rng.integers(0, 3000, n)]
+    asked = [f"a{x}" for x in range(12)]
+    items = spark.createDataFrame([(k, " ".join(asked + words(18))) for k in range(30)], "item bigint, item_text string")
+    seeds = decontam.seeds_of(items, 3, 5)
+    counts = spark.createDataFrame([(int(g), 1000) for g in decontam.gram_hashes(decontam.word_numbers(asked), 3).view(np.int64)], "gram long, n long")
+    assert seeds.join(counts, "gram").count() == 300
+    kept = decontam.rare_seeds(seeds, counts)
+    assert kept.join(counts, "gram").count() == 0 and kept.count() == 30 * 17
+
+
+def test_decontamination_query_against_brute_force(spark, texts):
+    bench = duckdb.connect().execute(f"SELECT item_id, text FROM '{SF}/benchmark.parquet'").fetchall()
+    numbers = {i: decontam.word_numbers(decontam.tokens(t)) for i, t in texts.items()}
+    want = {}
+    for item, text in bench:
+        w = decontam.word_numbers(decontam.tokens(text))
+        for i, d in numbers.items():
+            if np.isin(w, d).sum() >= 0.5 * len(w) >= 2.5:
+                score = decontam.smith_waterman(w, d)[0] / len(w)
+                if score >= 0.5:
+                    want[i, item] = score
+    got = {tuple(r)[:2]: r[2] for r in queries.op10_decontamination(spark, SF).select("doc_id", "item_id", "score").collect()}
+    assert got.keys() == want.keys() and len(want) > 0
+    assert all(got[k] == pytest.approx(want[k], abs=1e-6) for k in want)
+
+
 # secrets
 
 

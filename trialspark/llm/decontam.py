@@ -1,4 +1,4 @@
-"""Benchmark decontamination: n-gram seeds join training passages to test items, Smith-Waterman scores the alignment."""
+"""Benchmark decontamination: rare n-gram seeds join training passages to test items, Smith-Waterman scores the alignment."""
 
 from __future__ import annotations
 
@@ -8,23 +8,38 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from trialspark.llm.common import bounded_broadcast, join_counted, written
+from trialspark.llm.common import HOT_SHARE, bounded_broadcast, join_counted, release, written
 
 TOKEN = re.compile(r"[^\W_]+")
 #: Bits of the filter that a scan carries: a fixed size, whatever the benchmark holds.
 FILTER_BITS = 1 << 24
+#: Items of fewer words are sought by pairs of words too.
+SHORT = 24
+#: Tasks over which the places of one busy n-gram are dealt.
+SALTS = 64
 
 
 def tokens(text: str | None) -> list[str]:
     return TOKEN.findall((text or "").lower())
 
 
-def word_numbers(words: list[str]) -> np.ndarray:
-    return np.fromiter((xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words), dtype=np.uint64)
+class Numbers(dict):
+    """Numbers of words, kept for the next texts while there are under a million."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= 1_000_000:
+            self.clear()
+        self[word] = number = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+        return number
+
+
+def word_numbers(words: list[str], known: Numbers | None = None) -> np.ndarray:
+    known = Numbers() if known is None else known
+    return np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
 def gram_hashes(w: np.ndarray, n: int) -> np.ndarray:
@@ -38,6 +53,13 @@ def gram_hashes(w: np.ndarray, n: int) -> np.ndarray:
     return (out ^ (out >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
 
 
+def pair_hashes(w: np.ndarray, gap: int) -> np.ndarray:
+    """Hashes of each word with the one `gap` places on."""
+    left, right = w[:-gap], w[gap:]
+    out = (left ^ (left >> np.uint64(33))) * np.uint64(0xC2B2AE3D27D4EB4F) + right + np.uint64(gap)
+    return (out ^ (out >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+
+
 def smith_waterman(a: np.ndarray, b: np.ndarray, match: float = 1.0, mismatch: float = -0.5, gap: float = -0.5) -> tuple[float, int, int]:
     """Best local alignment of two sequences of numbers: (score, first and last place in b, end exclusive).
 
@@ -63,27 +85,70 @@ def smith_waterman(a: np.ndarray, b: np.ndarray, match: float = 1.0, mismatch: f
     return best
 
 
-def seeds_of(items: DataFrame, n: int) -> DataFrame:
-    """(gram, item, item_at): all n-grams of the items, however many items share one."""
+def seeds_of(items: DataFrame, n: int, min_words: int) -> DataFrame:
+    """(gram, item, item_at, width, spare, need): the n-grams that may be seeds of each item, and how many of them must.
+
+    Items of under SHORT words have pairs of words too, next to each other or with one between, since a change at every third
+    word leaves no longer run. An alignment that passes keeps some of an item's grams: all but four pairs for each of a third of
+    the words changed, or in longer items all but n for each of a sixth. So `spare` of them may go, the commonest, and
+    `need` others are still met. width is how far edits may shift a copy's words against the item's.
+    """
 
     def grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for i, text in zip(pdf["item"], pdf["item_text"], strict=True):
-                g = gram_hashes(word_numbers(tokens(text)), n)
-                yield pd.DataFrame({"gram": g.view(np.int64), "item": i, "item_at": np.arange(len(g))})
+                w = word_numbers(tokens(text))
+                m = len(w)
+                if m < min_words:
+                    continue
+                kinds = [gram_hashes(w, n)]
+                left = m - n + 1 - n * (m // 6)
+                if m < SHORT:
+                    kinds += [pair_hashes(w, gap) for gap in (1, 2) if m > gap]
+                    left = 2 * m - 3 - 4 * (m // 3)
+                at = np.concatenate([np.arange(len(k)) for k in kinds])
+                rows = {"gram": np.concatenate(kinds).view(np.int64), "item": i, "item_at": at, "width": 8 + m // 2, "spare": max(0, left - 2), "need": max(1, min(2, left))}
+                yield pd.DataFrame(rows)
 
-    return items.mapInPandas(grams, "gram long, item long, item_at long")
+    return items.mapInPandas(grams, "gram long, item long, item_at long, width long, spare long, need long")
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = 3, min_score: float = 0.5, min_words: int = 5) -> DataFrame:
+def rare_seeds(seeds: DataFrame, counts: DataFrame) -> DataFrame:
+    """Each item's seeds without its `spare` commonest, by the number of places in all documents that hold them (n)."""
+    told = seeds.join(counts, "gram", "left").na.fill(0, ["n"])
+    order = Window.partitionBy("item").orderBy(F.desc("n"), "gram", "item_at")
+    return told.withColumn("common", F.row_number().over(order)).filter("common > spare").drop("common", "spare", "n")
+
+
+def joined_to_seeds(hits: DataFrame, seeds: DataFrame, counts: DataFrame, rows: int = 500_000) -> DataFrame:
+    """hits JOIN seeds USING (gram): by broadcast up to so many seeds, else with the places of busy grams dealt over SALTS tasks.
+
+    Busy grams hold over 1/HOT_SHARE of all places each, so there are under HOT_SHARE of them whatever the input.
+    """
+    if seeds.limit(rows + 1).count() <= rows:
+        return hits.join(F.broadcast(seeds), "gram")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    busy = F.broadcast(counts.filter(F.col("n") * HOT_SHARE > total).select("gram", F.lit(True).alias("busy")))
+    dealt = hits.join(busy, "gram", "left").withColumn("salt", F.when(F.col("busy"), F.pmod(F.xxhash64("id", "at"), F.lit(SALTS)).cast("int")).otherwise(0))
+    salts = F.when(F.col("busy"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    copied = seeds.join(busy, "gram", "left").withColumn("salt", F.explode(salts))
+    return dealt.drop("busy").join(copied.drop("busy"), ["gram", "salt"]).drop("salt")
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = 3, min_score: float = 0.5, min_words: int = 5, broadcast_seeds: int = 500_000) -> DataFrame:
     """(id, item, score, begin, end, n_seeds): a row for each document and test item whose words it repeats, edited or not.
 
-    Words are runs of letters and digits in lower case. Seeds are all n-grams of the items, since an item, or the
-    passage that leaked of it, may have no words of its own; equal item texts are looked for once and returned under each
-    id. A scan of the documents keeps the places whose n-gram is in a filter of fixed size and joins them to the seeds
-    exactly; a pair of document and item with two seed hits, or one where the item has few seeds, is a candidate. Around its hits, whole
-    passages are aligned with the whole item (match 1, mismatch and gap -0.5); score is the best local alignment over the
-    item's words. Pairs of at least min_score are returned; begin and end are word places in the document.
+    Words are runs of letters and digits in lower case. Seeds are an item's rarer n-grams (seeds_of, rare_seeds), counted over
+    all documents: as many of the commonest are left out as a copy can do without, so that a phrase that many items or
+    documents share is a seed only of items that hold little else. Equal item texts are looked for once and returned under
+    each id. A scan of the documents writes the places whose n-gram is in a filter of fixed size; they are counted, and those
+    of seeds joined to the items. Two different seeds at about the same shift between document and item (one where an item is so
+    short that edits may leave one) make a candidate. Around them the passage is aligned with the whole item (match 1, mismatch
+    and gap -0.5); score is the best local alignment over the item's words. Pairs of at least min_score are returned with
+    the seeds' hits there; begin and end are word places in the document.
+
+    A copy is sure to be met with a third of its words replaced in items of under SHORT words, with a sixth in longer ones;
+    with more edits most are (tests/llm plant copies with up to a third edited: at least 0.95 in each length).
 
     Null and empty texts and items match nothing, nor do items of under min_words words. Repeated documents, or ids, are
     scored row by row and returned once. Rows without an id are ignored.
@@ -92,55 +157,65 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     named = written(named, "items")
     items = written(named.select("item_text").distinct().withColumn("item", F.monotonically_increasing_id()), "item-texts")
     ids = written(named.join(items, "item_text").select("item", "named"), "item-ids")
-    seeds = written(seeds_of(items, n), "seeds")
+    seeds = written(seeds_of(items, n, min_words), "grams")
     bits = seeds.select(F.pmod("gram", F.lit(FILTER_BITS)).cast("int").alias("bit")).distinct().toPandas()["bit"].to_numpy(np.int64)
     mask = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
     np.bitwise_or.at(mask, bits >> 3, (1 << (bits & 7)).astype(np.uint8))
     shared = docs.sparkSession.sparkContext.broadcast(mask)
 
     def hits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = Numbers()
         for pdf in batches:
-            ids, grams, places = [], [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+            ids, grams, places = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
             for i, text in zip(pdf["id"], pdf["text"], strict=True):
-                g = gram_hashes(word_numbers(tokens(text)), n).view(np.int64)
-                bit = g & (FILTER_BITS - 1)
-                at = np.flatnonzero(shared.value[bit >> 3] >> (bit & 7) & 1)
-                ids += [i] * len(at)
-                grams.append(g[at])
-                places.append(at)
-            yield pd.DataFrame({"id": np.array(ids, dtype=np.int64), "gram": np.concatenate(grams), "at": np.concatenate(places)})
+                w = word_numbers(tokens(text), known)
+                for g in (gram_hashes(w, n), pair_hashes(w, 1), pair_hashes(w, 2)):
+                    g = g.view(np.int64)
+                    bit = g & (FILTER_BITS - 1)
+                    at = np.flatnonzero(shared.value[bit >> 3] >> (bit & 7) & 1)
+                    ids.append(np.full(len(at), i, dtype=np.int64))
+                    grams.append(g[at])
+                    places.append(at)
+            yield pd.DataFrame({"id": np.concatenate(ids), "gram": np.concatenate(grams), "at": np.concatenate(places)})
 
     base = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")).filter("id IS NOT NULL AND text IS NOT NULL")
-    found = base.mapInPandas(hits, "id long, gram long, at long").join(bounded_broadcast(seeds), "gram")
-    sized = seeds.groupBy("item").agg(F.count_distinct("gram").alias("grams"))
-    begins = F.col("at") - F.col("item_at")
-    seen = found.groupBy("id", "item").agg(F.count_distinct("gram").alias("n_seeds"), F.min(begins).alias("low"), F.max(begins).alias("high"))
-    seen = seen.join(bounded_broadcast(sized), "item").filter((F.col("n_seeds") >= 2) | (F.col("grams") < 8)).drop("grams")
+    met = written(base.mapInPandas(hits, "id long, gram long, at long"), "places")
+    counts = written(met.groupBy("gram").agg(F.count("*").alias("n")), "gram-counts")
+    rare = written(rare_seeds(seeds, counts), "seeds")
+    found = joined_to_seeds(met, rare, counts, broadcast_seeds).withColumn("begin", F.col("at") - F.col("item_at"))
+    band = F.floor(F.col("begin") / F.col("width"))
+    found = found.withColumn("band", F.explode(F.array(band, band - 1)))
+    seen = found.groupBy("id", "item", "band").agg(F.count("*").alias("n_seeds"), F.min("begin").alias("low"), F.max("begin").alias("high"), (F.min("gram") != F.max("gram")).alias("two"), F.max("need").alias("need"))
+    seen = seen.filter("two OR need = 1").groupBy("id", "item").agg(F.collect_set(F.struct("low", "high", "n_seeds")).alias("spans"))
     seen = written(seen, "candidates")
+    release(met)
     often = seen.groupBy("item").agg(F.count("*").alias("n")).join(items, "item")
     passages = join_counted(seen, often, ["item"], "n").join(base, "id")
-    scored = passages.withColumn("m", _aligner(min_words, min_score)("text", "item_text", "low", "high")).select("id", "item", "n_seeds", "m.*").filter(F.col("score") >= min_score)
+    passages = passages.select("id", "item", "text", "item_text", "spans.low", "spans.high", "spans.n_seeds")
+    scored = passages.withColumn("m", _aligner(min_score)("text", "item_text", "low", "high", "n_seeds")).select("id", "item", "m.*").filter(F.col("score") >= min_score)
     scored = scored.join(bounded_broadcast(ids), "item").withColumn("item", F.col("named")).drop("named")
     return scored.groupBy("id", "item").agg(F.max_by(F.struct("score", "begin", "end", "n_seeds"), F.struct("score", "begin")).alias("m")).select("id", "item", "m.*")
 
 
-def _aligner(min_words: int, min_score: float):
-    @pandas_udf("score double, begin long, end long")
-    def align(texts: pd.Series, items: pd.Series, low: pd.Series, high: pd.Series) -> pd.DataFrame:
-        rows = []
-        for text, item, a, b in zip(texts, items, low, high, strict=True):
-            words, wanted = tokens(text), word_numbers(tokens(item))
-            if len(wanted) < min_words:
-                rows.append((0.0, 0, 0))
-                continue
+def _aligner(min_score: float):
+    @pandas_udf("score double, begin long, end long, n_seeds long")
+    def align(texts: pd.Series, items: pd.Series, lows: pd.Series, highs: pd.Series, hits: pd.Series) -> pd.DataFrame:
+        rows, known, last, whole = [], Numbers(), None, np.zeros(0, dtype=np.uint64)
+        for text, item, *spans in zip(texts, items, lows, highs, hits, strict=True):
+            wanted = word_numbers(tokens(item), known)
+            if text != last:
+                last, whole = text, word_numbers(tokens(text), known)
             spare = 8 + len(wanted) // 2
-            first, last = max(0, a - spare), min(len(words), b + len(wanted) + spare)
-            given = word_numbers(words[first:last])
-            if np.isin(wanted, given).sum() < min_score * len(wanted):  # no alignment has more matches than this
-                rows.append((0.0, 0, 0))
-                continue
-            score, begin, end = smith_waterman(wanted, given)
-            rows.append((score / len(wanted), first + begin, first + end))
-        return pd.DataFrame(rows, columns=["score", "begin", "end"])
+            best = (0.0, 0, 0, 0)
+            for a, b, n_seeds in sorted(zip(*spans, strict=True)):
+                first, last_word = max(0, a - spare), min(len(whole), b + len(wanted) + spare)
+                given = whole[first:last_word]
+                if np.isin(wanted, given).sum() < min_score * len(wanted):  # no alignment has more matches than this
+                    continue
+                score, begin, end = smith_waterman(wanted, given)
+                if score / len(wanted) > best[0]:
+                    best = (score / len(wanted), first + begin, first + end, n_seeds)
+            rows.append(best)
+        return pd.DataFrame(rows, columns=["score", "begin", "end", "n_seeds"])
 
     return align
