@@ -21,6 +21,8 @@ FILTER_BITS = 1 << 24
 SHORT = 24
 #: Tasks over which the places of one busy n-gram are dealt.
 SALTS = 64
+#: Words that are hashed at once.
+RUN = 200_000
 
 
 def tokens(text: str | None) -> list[str]:
@@ -145,7 +147,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     of seeds joined to the items. Two different seeds at about the same shift between document and item (one where an item is so
     short that edits may leave one) make a candidate. Around them the passage is aligned with the whole item (match 1, mismatch
     and gap -0.5); score is the best local alignment over the item's words. Pairs of at least min_score are returned with
-    the seeds' hits there; begin and end are word places in the document.
+    the most hits of seeds at one shift there; begin and end are word places in the document.
 
     A copy is sure to be met with a third of its words replaced in items of under SHORT words, with a sixth in longer ones;
     with more edits most are (tests/llm plant copies with up to a third edited: at least 0.95 in each length).
@@ -163,20 +165,34 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     np.bitwise_or.at(mask, bits >> 3, (1 << (bits & 7)).astype(np.uint8))
     shared = docs.sparkSession.sparkContext.broadcast(mask)
 
+    def places(ids: list, numbers: list) -> pd.DataFrame:
+        """The hits of some texts, hashed as one run of words; what reaches over a text's end is none."""
+        w, ends = np.concatenate(numbers), np.cumsum([len(x) for x in numbers])
+        starts = ends - [len(x) for x in numbers]
+        out = []
+        for span, g in ((n, gram_hashes(w, n)), (2, pair_hashes(w, 1)), (3, pair_hashes(w, 2))):
+            g = g.view(np.int64)
+            bit = g & (FILTER_BITS - 1)
+            at = np.flatnonzero(shared.value[bit >> 3] >> (bit & 7) & 1)
+            text = np.searchsorted(ends, at, side="right")
+            inside = at + span <= ends[text]
+            at, text = at[inside], text[inside]
+            out.append((np.array(ids, dtype=np.int64)[text], g[at], at - starts[text]))
+        return pd.DataFrame({c: np.concatenate(x) for c, x in zip(("id", "gram", "at"), zip(*out, strict=True), strict=True)})
+
     def hits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = Numbers()
         for pdf in batches:
-            ids, grams, places = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+            ids, numbers, size = [], [], 0
             for i, text in zip(pdf["id"], pdf["text"], strict=True):
-                w = word_numbers(tokens(text), known)
-                for g in (gram_hashes(w, n), pair_hashes(w, 1), pair_hashes(w, 2)):
-                    g = g.view(np.int64)
-                    bit = g & (FILTER_BITS - 1)
-                    at = np.flatnonzero(shared.value[bit >> 3] >> (bit & 7) & 1)
-                    ids.append(np.full(len(at), i, dtype=np.int64))
-                    grams.append(g[at])
-                    places.append(at)
-            yield pd.DataFrame({"id": np.concatenate(ids), "gram": np.concatenate(grams), "at": np.concatenate(places)})
+                ids.append(i)
+                numbers.append(word_numbers(tokens(text), known))
+                size += len(numbers[-1])
+                if size >= RUN:
+                    yield places(ids, numbers)
+                    ids, numbers, size = [], [], 0
+            if ids:
+                yield places(ids, numbers)
 
     base = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")).filter("id IS NOT NULL AND text IS NOT NULL")
     met = written(base.mapInPandas(hits, "id long, gram long, at long"), "places")
@@ -206,8 +222,13 @@ def _aligner(min_score: float):
             if text != last:
                 last, whole = text, word_numbers(tokens(text), known)
             spare = 8 + len(wanted) // 2
-            best = (0.0, 0, 0, 0)
+            best, merged = (0.0, 0, 0, 0), []
             for a, b, n_seeds in sorted(zip(*spans, strict=True)):
+                if merged and a <= merged[-1][1] + spare:
+                    merged[-1] = (merged[-1][0], max(b, merged[-1][1]), max(n_seeds, merged[-1][2]))
+                else:
+                    merged.append((a, b, n_seeds))
+            for a, b, n_seeds in merged:
                 first, last_word = max(0, a - spare), min(len(whole), b + len(wanted) + spare)
                 given = whole[first:last_word]
                 if np.isin(wanted, given).sum() < min_score * len(wanted):  # no alignment has more matches than this
