@@ -187,3 +187,21 @@ def test_live_refractory_drops_late_rows_and_idle_keys(spark, tmp_path):
     got = sorted((r.k, r.ts) for r in spark.read.parquet(out).collect())
     assert got == [(1, at(0)), (1, at(5)), (1, at(199)), (2, at(100)), (2, at(104)), (2, at(200)), (2, at(300)), (3, at(95))]
     assert set(held()) == {2}
+
+
+def test_fallbacks_of_texts(spark):
+    rows = spark.createDataFrame([("2024-05-01 10:20:30", " TRUE", "1.5s"), ("soon", "off", "long"), (None, "maybe", None)], "t string, f string, d string")
+    got = rows.select(scalars.time_or_text(F.col("t")).alias("t"), scalars.flag(F.col("f")).alias("f"), scalars.duration(F.col("d"), 2.0).alias("d"), scalars.duration(F.col("d"), 2.0, F.lit(3)).alias("o")).collect()
+    assert [r.t.time is None for r in got] == [False, True, True] and [r.t.text for r in got] == [None, "soon", None]
+    assert [(r.f, r.d, r.o) for r in got] == [(True, 1.5, 3.0), (False, 2.0, 3.0), (None, 2.0, 3.0)]
+
+
+def test_sides_of_trains_and_empty_reports(spark):
+    rows = spark.createDataFrame([([1.0, 2.0, 4.0],), ([],), (None,)], "a array<double>")
+    got = rows.select(scalars.before_and_after(F.col("a"), 2.0).alias("s"), scalars.millis(F.col("a")).alias("m")).collect()
+    assert [(r.s.before, r.s.after, r.m) for r in got] == [([-1.0], [0.0, 2.0], [1000.0, 2000.0, 4000.0]), ([], [], []), (None, None, None)]
+    trials = spark.createDataFrame([("a", "x", 1, 2.0), ("a", "y", 5, None), ("b", "x", 9, 4.0)], "rec string, kind string, t long, v double")
+    one = logs.session_report(trials, ["rec"], "kind", "t", "v").first()
+    assert (one.recordings, one.trials, one.stimuli, one.duration, one.n_values, one.mean, one.most_trials) == (2, 3, 2, 8, 2, 3.0, 2)
+    none = logs.session_report(trials.limit(0), ["rec"], "kind", "t", "v").collect()
+    assert len(none) == 1 and none[0].trials == 0 and none[0].duration is None

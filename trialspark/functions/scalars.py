@@ -63,6 +63,24 @@ def seconds_of(text: Column) -> Column:
     return F.regexp_replace(F.trim(text), "s$", "").try_cast("double")
 
 
+def flag(text: Column) -> Column:
+    """boolean of true/yes/on/1 and false/no/off/0 in any case; null for other texts."""
+    t = F.lower(F.trim(text))
+    return F.when(t.isin("true", "yes", "on", "1"), True).when(t.isin("false", "no", "off", "0"), False)
+
+
+def time_or_text(text: Column) -> Column:
+    """struct<time, text>: the time that a text gives, else the text itself."""
+    at = F.try_to_timestamp(F.trim(text))
+    return F.struct(at.alias("time"), F.when(at.isNull(), text).alias("text"))
+
+
+def duration(text: Column, default: float, override: Column | None = None) -> Column:
+    """Seconds: the override where there is one, else what the text says, else the default."""
+    told = F.coalesce(seconds_of(text), F.lit(default))
+    return told if override is None else F.coalesce(override.cast("double"), told)
+
+
 def unit_key(shank: Column, sorting: Column, unit: Column) -> Column:
     return F.concat_ws("_", shank, sorting, F.concat(F.lit("unit"), unit.cast("string")))
 
@@ -109,3 +127,15 @@ def array_var(a: Column) -> Column:
     """Population variance of an array; null if it is empty."""
     m = array_mean(a)
     return array_mean(F.transform(a, lambda x: (x - m) * (x - m)))
+
+
+def millis(times: Column) -> Column:
+    """array: seconds as milliseconds."""
+    return F.transform(times, lambda x: x * 1000)
+
+
+def before_and_after(times: Column, at: Column | float = 0.0) -> Column:
+    """struct<before, after>: times under a moment and those from it on, relative to it."""
+    at = at if isinstance(at, Column) else F.lit(at)
+    moved = F.transform(times, lambda x: x - at)
+    return F.struct(F.filter(moved, lambda x: x < 0).alias("before"), F.filter(moved, lambda x: x >= 0).alias("after"))

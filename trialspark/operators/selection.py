@@ -21,6 +21,21 @@ def good_units(units: DataFrame, shank: str, unit: str, quality: str = "quality"
     return units.filter(F.lower(quality).isin("good", "mua", "unsorted")).groupBy(shank).agg(F.array_sort(F.collect_set(unit)).alias("units"))
 
 
+def events_of(df: DataFrame, units: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """These columns of the rows whose unit is among the given ones."""
+    return df.join(units.select(*keys), keys, "left_semi").select(*columns)
+
+
+def with_label(df: DataFrame, label: str, wanted) -> DataFrame:
+    """Rows of one label, such as the trials of one orientation."""
+    return df.filter(F.col(label) == F.lit(wanted))
+
+
+def class_order(df: DataFrame, keys: list[str], label: str, order: list[str], name: str = "place") -> DataFrame:
+    """df with each row's place, from 0, among its keys' rows sorted by label and then in their own order."""
+    return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(label, *order)) - 1)
+
+
 def zero_rate_report(rates: DataFrame, unit: str, rate: str) -> DataFrame:
     """(unit, n, n_zero): trials without spikes for each unit and, unit null, in all."""
     return rates.rollup(unit).agg(F.count("*").alias("n"), F.count_if(F.col(rate) == 0).alias("n_zero"))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trialspark.functions import scalars
-from trialspark.operators import rates, selection, signals, tuning
-from trialspark.plans.base import EV, HOUR, MEANS, RESP, SAMPLES, events, query, responses, samples, table
+from trialspark.operators import pulses, rates, selection, signals, tuning
+from trialspark.plans.base import DAY, EV, HOUR, MEANS, RESP, SAMPLES, events, query, responses, samples, table
+from trialspark.sources import logs
 
 UNITS = "u AS (SELECT p_partkey, p_brand, CASE p_size % 4 WHEN 1 THEN 'noise' WHEN 2 THEN 'Good' WHEN 3 THEN 'mua' END AS quality FROM part)"
 
@@ -144,3 +145,72 @@ def artifact_summary(spark, d):
     report = signals.artifact_report(raw, cleaned, ["shank", "channel"], "sample", "value", 100)
     lengths = raw.groupBy("shank").agg(F.count_distinct("sample").alias("samples"))
     return signals.artifact_summary(report, bad, lengths, ["shank"], 20, 500.0)
+
+
+@query("""WITH n AS (SELECT count(*) AS n FROM events GROUP BY user_id), m AS (SELECT round(avg(n), 6) AS mean_trials, min(n) AS least_trials, max(n) AS most_trials FROM n)
+SELECT count(DISTINCT user_id) AS recordings, count(*) AS trials, count(DISTINCT event_type) AS stimuli, max(epoch_us(ts)) - min(epoch_us(ts)) AS duration, count(value) AS n_values, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS sd, any_value(mean_trials) AS mean_trials, any_value(least_trials) AS least_trials, any_value(most_trials) AS most_trials FROM events, m""")
+def session_report(spark, d):
+    return logs.session_report(events(spark, d), ["user_id"], "event_type", "us", "value")
+
+
+@query("SELECT event_id, CAST(round_even(value * 500, 0) AS BIGINT) AS sample, CAST(round_even(CAST(event_id AS DOUBLE) / 2, 0) AS BIGINT) AS half FROM events")
+def sample_numbers(spark, d):
+    """Seconds as sample numbers; halves go to the even number."""
+    return events(spark, d).select("event_id", pulses.to_samples(F.col("value"), 500.0).alias("sample"), pulses.to_samples(F.col("event_id"), 0.5).alias("half"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 3 <> 0 THEN strftime(o_orderdate, '%Y%m%d_%H%M') END AS at, CASE WHEN o_orderkey % 3 = 0 THEN 'run ' || o_orderkey END AS other, o_orderpriority IN ('1-URGENT', '2-HIGH') AS urgent,
+CASE WHEN o_orderkey % 4 = 0 THEN CAST(0.5 AS DOUBLE) WHEN o_orderkey % 4 = 1 THEN CAST(o_custkey % 5 AS DOUBLE) + 1.5 ELSE 2.0 END AS seconds FROM orders""")
+def text_fallbacks(spark, d):
+    """Times, flags and durations out of text: a text that is no time stays, an override goes before a text and that before the default."""
+    o, k = table(spark, d, "orders"), F.col("o_orderkey")
+    told = scalars.time_or_text(F.when(k % 3 == 0, F.concat(F.lit("run "), k.cast("string"))).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss")))
+    high = scalars.flag(F.when(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"), " Yes").otherwise("OFF"))
+    length = F.when(k % 4 == 1, F.concat((F.col("o_custkey") % 5 + F.lit(1.5)).cast("string"), F.lit("s"))).when(k % 4 == 2, "unknown")
+    seconds = scalars.duration(length, 2.0, F.when(k % 4 == 0, F.lit(0.5)))
+    return o.select("o_orderkey", scalars.time_key(told["time"]).alias("at"), told["text"].alias("other"), high.alias("urgent"), seconds.alias("seconds"))
+
+
+NAMES = """n AS (SELECT CASE WHEN o_orderkey % 7 = 0 THEN 'notes' ELSE 'm' || o_custkey % 4 || '_' || strftime(o_orderdate, '%y%m%d') || CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE '_s' || o_orderkey END END AS name, o_orderkey AS k, 'm' || o_custkey % 4 AS animal, strftime(o_orderdate, '%y%m%d') AS date FROM orders)"""
+
+
+@query(f"WITH {NAMES} SELECT animal, date, CASE WHEN k % 5 <> 0 THEN 's' || k END AS session, name FROM n WHERE k % 7 <> 0 AND animal IN ('m1', 'm2') AND date BETWEEN '950301' AND '960210'")
+def found_sessions(spark, d):
+    """Recordings of two animals in a range of days, out of folder names of which some are malformed or have no session."""
+    k, animal = F.col("o_orderkey"), F.concat(F.lit("m"), (F.col("o_custkey") % 4).cast("string"))
+    session = F.when(k % 5 == 0, "").otherwise(F.concat(F.lit("_s"), k.cast("string")))
+    name = F.when(k % 7 == 0, "notes").otherwise(F.concat(animal, F.lit("_"), F.date_format("o_orderdate", "yyMMdd"), session))
+    return logs.discover_sessions(spark, table(spark, d, "orders").select(name.alias("name")), "950301", "960210", ["m1", "m2"])
+
+
+@query(f"WITH s AS (SELECT user_id, epoch_us(ts) // {DAY} AS day, max(CASE WHEN event_type = 'error' THEN 2 WHEN event_type = 'purchase' THEN 1 ELSE 0 END) AS worst FROM events GROUP BY ALL) SELECT CASE worst WHEN 2 THEN 'failed' WHEN 1 THEN 'processed' ELSE 'skipped' END AS status, count(*) AS n FROM s GROUP BY 1")
+def run_statuses(spark, d):
+    """Users' days as sessions: failed with an error, else processed with a purchase, else skipped."""
+    worst = F.max(F.when(F.col("event_type") == "error", 2).when(F.col("event_type") == "purchase", 1).otherwise(0))
+    days = events(spark, d).groupBy("user_id", F.floor(F.col("us") / DAY).alias("day")).agg(worst.alias("worst"))
+    status = F.when(F.col("worst") == 2, "failed").when(F.col("worst") == 1, "processed").otherwise("skipped")
+    return logs.run_summary(days.withColumn("status", status))
+
+
+@query(f"WITH {TRAINS} SELECT user_id, CAST(min(hour) * 1000 AS BIGINT) AS first_ms, CAST(max(hour) * 1000 AS BIGINT) AS last_ms, count(*) FILTER (WHERE hour < 300) AS n_before, count(*) FILTER (WHERE hour >= 300) AS n_after, CAST(min(hour - 300) FILTER (WHERE hour >= 300) AS BIGINT) AS latency FROM h GROUP BY user_id")
+def train_sides(spark, d):
+    """Each user's train about the 300th hour: counts before and after, the first time after it, and both ends in milliseconds."""
+    sides = scalars.before_and_after(F.col("times"), F.lit(300))
+    ms = scalars.millis(F.col("times"))
+    ends = [F.element_at(ms, k).cast("bigint").alias(n) for k, n in ((1, "first_ms"), (-1, "last_ms"))]
+    sized = lambda c: F.size(sides[c]).cast("bigint").alias(f"n_{c}")
+    return _trains(spark, d).select("user_id", *ends, sized("before"), sized("after"), F.try_element_at(sides["after"], F.lit(1)).cast("bigint").alias("latency"))
+
+
+@query(f"WITH {RESP} SELECT unit, theta, rate FROM resp SEMI JOIN (SELECT s_suppkey AS unit FROM supplier WHERE s_acctbal > 0) g USING (unit)")
+def good_unit_events(spark, d):
+    """Orientation and rate alone, of suppliers in credit as good units."""
+    good = table(spark, d, "supplier").filter("s_acctbal > 0").select(F.col("s_suppkey").alias("unit"))
+    return selection.events_of(responses(spark, d), good, ["unit"], ["unit", "theta", "rate"])
+
+
+@query(f"WITH {RESP} SELECT unit, l_orderkey, sf, rate, CAST(row_number() OVER (PARTITION BY unit ORDER BY rate, l_orderkey, sf) - 1 AS INTEGER) AS place FROM resp WHERE theta = 45")
+def trials_by_class(spark, d):
+    """Trials of one orientation, in order of their response's class and then as recorded."""
+    one = selection.with_label(responses(spark, d), "theta", 45.0)
+    return selection.class_order(one, ["unit"], "rate", ["l_orderkey", "sf"]).select("unit", "l_orderkey", "sf", "rate", "place")

@@ -224,3 +224,10 @@ def experiment_summary(trials: DataFrame, keys: list[str], stimulus: str, time:
     """(keys, trials, stimuli, duration): duration is from the first to the last start."""
     return trials.groupBy(*keys).agg(F.count("*").alias("trials"), F.count_distinct(stimulus).alias("stimuli"), (F.max(time) - F.min(time)).alias("duration"))
 
+
+def session_report(trials: DataFrame, keys: list[str], stimulus: str, time: str, value: str) -> DataFrame:
+    """One row on a whole table: recordings, trials, stimuli, duration, trials a recording (mean, least, most), values (n, mean, sd)."""
+    v = F.col(value)
+    whole = trials.agg(F.count_distinct(F.struct(*keys)).alias("recordings"), F.count("*").alias("trials"), F.count_distinct(stimulus).alias("stimuli"), (F.max(time) - F.min(time)).alias("duration"), F.count(v).alias("n_values"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("sd"))
+    own = trials.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.avg("n").alias("mean_trials"), F.min("n").alias("least_trials"), F.max("n").alias("most_trials"))
+    return whole.crossJoin(own)
