@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trialspark.operators import intervals, pulses, rates, windows
+from trialspark.plans import QUERIES
 
 
 def rows(df, *columns):
@@ -68,6 +69,16 @@ def test_find_peaks(spark):
     df = spark.createDataFrame([("r", k, float(x)) for k, x in enumerate(v)], "k string, i int, v double")
     assert rows(pulses.find_peaks(df, ["k"], "i", "v"), "i") == [(1,), (4,), (7,), (9,)]
     assert rows(pulses.find_peaks(df, ["k"], "i", "v", height=2.0, distance=3), "i") == [(4,), (9,)]
+    assert rows(pulses.find_peaks(df, ["k"], "i", "v", flat=False), "i") == [(1,), (7,), (9,)]
+    holes = spark.createDataFrame([("r", k, x) for k, x in enumerate((None, 9.0, None, 1.0, 3.0, 2.0, 5.0, None))], "k string, i int, v double")
+    assert rows(pulses.find_peaks(holes, ["k"], "i", "v", flat=False), "i") == [(4,)]
+
+
+def test_peaks_in_range_leave_flat_tops_out(spark, tmp_path):
+    values = (1.0, 30.0, 30.0, 2.0, 40.0, 3.0)
+    df = spark.createDataFrame([(k, 7, "view", v) for k, v in enumerate(values)], "event_id long, user_id long, event_type string, value double")
+    df.withColumn("ts", F.timestamp_seconds("event_id")).write.parquet(f"{tmp_path}/events.parquet")
+    assert [tuple(r) for r in QUERIES["peaks_in_range"](spark, str(tmp_path)).collect()] == [(7, 1)]
 
 
 @pytest.mark.parametrize("closed", ["left", "both", "neither"])

@@ -170,17 +170,21 @@ def pulse_frequency(df: DataFrame, keys: list[str], time: str, per_second: float
     return df.withColumn("khz", F.when(step > 0, 1 / step / 1000))
 
 
-def find_peaks(df: DataFrame, keys: list[str], order: str, value: str, height: float | None = None, distance: int = 1) -> DataFrame:
+def find_peaks(df: DataFrame, keys: list[str], order: str, value: str, height: float | None = None, distance: int = 1, flat: bool = True) -> DataFrame:
     """Local maxima (of a flat top its middle), at least height, and no two within `distance` rows: the higher stays.
 
-    Maxima are found with lag and lead; only those that stand too near to others go to Python (scans.peaks_apart).
+    Without `flat` a maximum is a row over both its neighbours, so a flat top is none. Maxima are found with lag and lead; only
+    those that stand too near to others go to Python (scans.peaks_apart).
     """
     w = _by(keys, order)
     rows = df.select(*keys, F.col(order).alias("_o"), F.col(value).cast("double").alias("_v"), (F.row_number().over(w) - 1).alias("_i"))
     w = _by(keys, "_i")
-    turn = F.coalesce((F.col("_v") != F.lag("_v").over(w)).cast("int"), F.lit(0))
-    flat = rows.withColumn("_new", turn).withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    tops = flat.groupBy(*keys, "_run").agg(F.max("_v").alias("_v"), F.min("_i").alias("_a"), F.max("_i").alias("_b"))
+    if flat:
+        turn = F.coalesce((F.col("_v") != F.lag("_v").over(w)).cast("int"), F.lit(0))
+        runs = rows.withColumn("_new", turn).withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        tops = runs.groupBy(*keys, "_run").agg(F.max("_v").alias("_v"), F.min("_i").alias("_a"), F.max("_i").alias("_b"))
+    else:
+        tops = rows.select(*keys, F.col("_i").alias("_run"), "_v", F.col("_i").alias("_a"), F.col("_i").alias("_b"))
     r = _by(keys, "_run")
     tops = tops.withColumns({"_l": F.lag("_v").over(r), "_r": F.lead("_v").over(r)}).filter("_v > _l AND _v > _r")
     if height is not None:
