@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trialspark.functions.stats import f_tail, incomplete_beta, t_tails
-from trialspark.operators import decode, selection, signals, tuning
+from trialspark.operators import decode, rates, selection, signals, tuning
 
 
 @pytest.fixture(scope="module")
@@ -144,3 +144,23 @@ def test_splits_leave_out_sizes_that_a_class_lacks(spark):
     df = spark.createDataFrame([(k, k % 2 if k < 40 else 1) for k in range(60)], "id int, y int")
     got = decode.repeated_splits(df, [], "y", "id", [5, 15, 16], 5, [0, 1])
     assert {(r.n_train, r.part, r["count"]) for r in got.groupBy("n_train", "part").count().collect()} == {(5, "train", 20), (5, "test", 20), (15, "train", 60), (15, "test", 20)}
+
+
+def test_pairs_of_weighted_rows(spark):
+    """A row that stands for three gives what three rows give."""
+    rng = np.random.default_rng(5)
+    rows = [(i, int(i % 3), int(i // 3 % 5), [float(v) for v in rng.standard_normal(3) + i % 3]) for i in range(90)]
+    once = spark.createDataFrame(rows, "id long, y int, fold int, x array<double>")
+    thrice = once.withColumn("_c", F.explode(F.array(*map(F.lit, range(3))))).drop("_c")
+    score = lambda df, w: sorted(tuple(round(float(v), 9) for v in r) for r in decode.fold_scores(decode.pairwise_predictions(df, [], "y", shrink=0.1, weight=w), ["a", "b"], "class", weight=w).collect())
+    got = score(once.withColumn("n", F.lit(3)), "n")
+    assert got == score(thrice, None) and [r[:3] for r in got] == [(0, 1, 180), (0, 2, 180), (1, 2, 180)]
+
+
+def test_feature_vectors_are_the_design_of_the_sets(spark):
+    hits = spark.createDataFrame([(1, 10), (1, 400), (2, 999)], "trial long, rel long")
+    trials = spark.createDataFrame([(1,), (2,), (3,)], "trial long")
+    features = rates.temporal_features(hits, trials, ["trial"], "rel", 1000, 20, 1000.0)
+    want = decode.design(rates.feature_sets(features, ["trial"]), ["trial", "feature_set"], "feature", "value")
+    told = lambda df: sorted((r.trial, r.feature_set, r.x) for r in df.collect())
+    assert told(rates.feature_vectors(features, ["trial"])) == told(want) and want.count() == 12
