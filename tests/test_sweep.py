@@ -99,3 +99,31 @@ def test_jobs_do_not_grow_with_the_configurations(spark):
         return found
 
     assert jobs(6) <= jobs(1) + 2  # adaptive plans run a stage more or less as a job of its own
+
+
+def test_counts_of_equal_rows_are_those_of_single_predictions(spark):
+    """Rows of which each stands four times: scored once, counted four times."""
+    once = frame(spark, 2, 60)
+    rows = once.withColumn("id", F.explode(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda c: F.col("id") + 1000 * c)))
+    folded = decode.stratified_folds(rows, ["config"], "y", "id", 5).cache()
+    models = classifiers.keyed_fits(folded, ["config"], "y", "id", most=60).cache()
+    by = ["config", "fold", "method", "y", "predicted"]
+    counts = classifiers.keyed_counts(folded, models, ["config"], "y", bucket=10)
+    single = classifiers.keyed_predictions(folded, models, ["config"], "y", "id").groupBy(*by).agg(F.count("*").alias("n"))
+    told = lambda df: sorted(tuple(r) for r in df.groupBy(*by).agg(F.sum("n")).collect())
+    assert told(counts) == told(single)
+    a, b = (sorted(tuple(r) for r in classifiers.sweep_scores(df, ["config"], "y", "n").collect()) for df in (counts, single))
+    assert a == b and sum(r[2] for r in a) == 2 * 240 * len(classifiers.METHODS)
+
+
+def test_draws_by_labels_alone(spark):
+    """What a fit may see follows from ids and folds, before there are features."""
+    rows = frame(spark, 1, 300)
+    folded = decode.stratified_folds(rows, ["config"], "y", "id", 5)
+    narrow = classifiers.drawn_rows(folded.drop("x"), ["config"], "id", 60)
+    got = classifiers.fits_of_drawn(narrow.join(rows.select("id", "x"), "id"), ["config"], "y", "id", methods=("logistic",))
+    want = classifiers.keyed_fits(folded, ["config"], "y", "id", methods=("logistic",), most=60)
+    models = [{r.fold: bytes(r.model) for r in df.collect()} for df in (got, want)]
+    assert narrow.count() == 75 and len(models[0]) == 5
+    x = np.random.default_rng(0).standard_normal((50, 4))
+    assert all((classifiers.packed_predict("logistic", models[0][k], x) == classifiers.packed_predict("logistic", models[1][k], x)).all() for k in range(5))
