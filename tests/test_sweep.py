@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trialspark.operators import classifiers, decode
+from trialspark.plans import QUERIES
 
 
 def blobs(seed, n, p, c, apart):
@@ -127,3 +128,15 @@ def test_draws_by_labels_alone(spark):
     assert narrow.count() == 75 and len(models[0]) == 5
     x = np.random.default_rng(0).standard_normal((50, 4))
     assert all((classifiers.packed_predict("logistic", models[0][k], x) == classifiers.packed_predict("logistic", models[1][k], x)).all() for k in range(5))
+
+
+def test_nearest_means_come_to_the_rows(spark):
+    """No row is shuffled to its fold's means, whatever the planner thinks of their size."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = QUERIES["nearest_mean_train_accuracy"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    joins = [x for x in plan.splitlines() if "Join" in x]
+    assert sum("Sort" in x for x in joins) == 1 and any("BroadcastNestedLoopJoin" in x for x in joins)  # the other is of sums by fold and label
