@@ -140,3 +140,12 @@ def test_nearest_means_come_to_the_rows(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     joins = [x for x in plan.splitlines() if "Join" in x]
     assert sum("Sort" in x for x in joins) == 1 and any("BroadcastNestedLoopJoin" in x for x in joins)  # the other is of sums by fold and label
+
+
+def test_smoothing_makes_each_shift_once(spark):
+    """However many weights speak of a neighbour, the window has it once: 21 shifts, where there were 121."""
+    from trialspark.operators import windows
+
+    df = spark.range(40).selectExpr("0 AS k", "id AS i", "cast(id AS double) AS v")
+    plan = windows.savgol(df, ["k"], ["i"], "v", 11, 3)._jdf.queryExecution().analyzed().toString()
+    assert plan.count("lag(") <= 21

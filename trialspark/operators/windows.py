@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,6 +13,13 @@ def _over(keys: list[str], order: list[str]):
     return Window.partitionBy(*keys).orderBy(*order)
 
 
+def _shifts(value: str, w, reach: int) -> tuple[dict[str, Column], Callable[[int], Column]]:
+    """Columns with the value of each row up to `reach` before and after, and the column of a shift. However often an
+    expression speaks of a shift, the window makes it once."""
+    name = lambda k: f"_x{k}" if k >= 0 else f"_y{-k}"
+    return {name(k): F.lag(value, -k).over(w) for k in range(-reach, reach + 1)}, lambda k: F.col(name(k))
+
+
 def moving_average(df: DataFrame, keys: list[str], order: list[str], value: str, width: int, name: str = "smooth") -> DataFrame:
     """Mean over `width` rows around each, rows beyond the ends counting as 0: 4 is two before to one after."""
     w = _over(keys, order).rowsBetween(-(width // 2), (width + 1) // 2 - 1)
@@ -26,20 +35,23 @@ def gaussian_weights(sigma: float, truncate: float = 4.0) -> np.ndarray:
 def kernel_smooth(df: DataFrame, keys: list[str], at: str, value: str, weights: np.ndarray, name: str = "smooth") -> DataFrame:
     """df with the weighted mean of its neighbours, mirrored at the ends (a b | b a); `at` numbers a group's rows from 0.
 
-    A row's neighbours come as an array from one sorted window, whose size is the kernel's; mirrored ones are among them. A null
-    value counts as 0.
+    A row's neighbours come from one sorted window, each shift once; mirrored ones are among them. Rows that have all their
+    neighbours are a plain sum. A null value counts as 0.
     """
     half, n = len(weights) // 2, F.col("_n")
-    near = F.collect_list(F.struct(F.col(value).cast("double").alias("v"))).over(Window.partitionBy(*keys).orderBy(at).rowsBetween(-half, half))
-    sized = df.withColumns({"_n": F.count("*").over(Window.partitionBy(*keys)), "_near": near, "_low": F.greatest(F.col(at) - half, F.lit(0))})
+    shifts, shifted = _shifts(value, Window.partitionBy(*keys).orderBy(at), half)
+    sized = df.withColumns({"_n": F.count("*").over(Window.partitionBy(*keys)), **shifts})
+    near = F.array(*[shifted(k) for k in range(-half, half + 1)])
     taps = F.array(*[F.struct(F.lit(k - half).alias("k"), F.lit(float(w)).alias("w")) for k, w in enumerate(weights)])
 
     def term(tap: Column) -> Column:
         turned = F.pmod(F.col(at) + tap["k"], 2 * n)
-        place = F.when(turned < n, turned).otherwise(2 * n - 1 - turned) - F.col("_low")
-        return tap["w"] * F.coalesce(F.get("_near", place.cast("int"))["v"], F.lit(0.0))
+        place = F.when(turned < n, turned).otherwise(2 * n - 1 - turned) - F.col(at) + half
+        return tap["w"] * F.coalesce(F.get(near, place.cast("int")).cast("double"), F.lit(0.0))
 
-    return sized.withColumn(name, F.aggregate(F.transform(taps, term), F.lit(0.0), lambda t, x: t + x)).drop("_n", "_near", "_low")
+    inside = sum((F.lit(float(w)) * F.coalesce(shifted(k - half).cast("double"), F.lit(0.0)) for k, w in enumerate(weights)), F.lit(0.0))
+    at_ends = F.aggregate(F.transform(taps, term), F.lit(0.0), lambda t, x: t + x)
+    return sized.withColumn(name, F.when((F.col(at) >= half) & (F.col(at) < n - half), inside).otherwise(at_ends)).drop("_n", *shifts)
 
 
 def gaussian_smooth(df: DataFrame, keys: list[str], at: str, value: str, sigma: float, name: str = "smooth") -> DataFrame:
@@ -57,37 +69,39 @@ def savgol_weights(width: int, order: int, derivative: int = 0, at: int | None =
 def savgol(df: DataFrame, keys: list[str], order: list[str], value: str, width: int = 11, degree: int = 3, derivative: int = 0, step: float = 1.0, name: str = "smooth") -> DataFrame:
     """Savitzky-Golay filter; within half a width of an end, the polynomial of the first or last rows. Shorter groups stay.
 
-    An even width is made odd. Weights are literals, neighbours come from lag and lead: no row leaves its window.
+    An even width is made odd. Weights are literals, neighbours come from lag and lead, each once: no row leaves its window.
     """
     width += (width + 1) % 2
     half, scale = width // 2, step**derivative
     w = _over(keys, order)
-    numbered = df.withColumns({"_i": F.row_number().over(w) - 1, "_n": F.count("*").over(Window.partitionBy(*keys))})
+    shifts, shifted = _shifts(value, w, width - 1)
+    numbered = df.withColumns({"_i": F.row_number().over(w) - 1, "_n": F.count("*").over(Window.partitionBy(*keys)), **shifts})
 
     def fit(weights: np.ndarray, first: int):
-        return sum((F.lit(float(x)) * F.lag(value, -(first + k)).over(w) for k, x in enumerate(weights)), F.lit(0.0)) / F.lit(scale)
+        return sum((F.lit(float(x)) * shifted(first + k) for k, x in enumerate(weights)), F.lit(0.0)) / F.lit(scale)
 
     out = F.when(F.col("_n") < width, F.col(value).cast("double"))
     for k in range(half):
         out = out.when(F.col("_i") == k, fit(savgol_weights(width, degree, derivative, k), -k))
         out = out.when(F.col("_i") == F.col("_n") - 1 - k, fit(savgol_weights(width, degree, derivative, width - 1 - k), -(width - 1 - k)))
-    return numbered.withColumn(name, out.otherwise(fit(savgol_weights(width, degree, derivative), -half))).drop("_i", "_n")
+    return numbered.withColumn(name, out.otherwise(fit(savgol_weights(width, degree, derivative), -half))).drop("_i", "_n", *shifts)
 
 
 def median_filter(df: DataFrame, keys: list[str], order: list[str], value: str, width: int = 5, name: str = "smooth") -> DataFrame:
     """Median over `width` rows around each, mirrored at the ends."""
     half = width // 2
     w = _over(keys, order)
-    numbered = df.withColumns({"_i": F.row_number().over(w) - 1, "_n": F.count("*").over(Window.partitionBy(*keys))})
+    shifts, shifted = _shifts(value, w, half)
+    numbered = df.withColumns({"_i": F.row_number().over(w) - 1, "_n": F.count("*").over(Window.partitionBy(*keys)), **shifts})
     taps = []
     for k in range(-half, half + 1):
         place = F.col("_i") + k
-        mirrored = [F.when(F.col("_i") == i, F.lag(value, -(-(i + k) - 1 - i)).over(w)) for i in range(max(0, -k))] if k < 0 else []
-        tail = [F.when(F.col("_n") - 1 - F.col("_i") == i, F.lag(value, -((i - (k - i) + 1))).over(w)) for i in range(k)] if k > 0 else []
-        straight = F.when((place >= 0) & (place < F.col("_n")), F.lag(value, -k).over(w))
+        mirrored = [F.when(F.col("_i") == i, shifted(-(i + k) - 1 - i)) for i in range(max(0, -k))] if k < 0 else []
+        tail = [F.when(F.col("_n") - 1 - F.col("_i") == i, shifted(i - (k - i) + 1)) for i in range(k)] if k > 0 else []
+        straight = F.when((place >= 0) & (place < F.col("_n")), shifted(k))
         taps.append(F.coalesce(straight, *mirrored, *tail))
     ordered = F.array_sort(F.array(*taps))
-    return numbered.withColumn(name, F.element_at(ordered, half + 1)).drop("_i", "_n")
+    return numbered.withColumn(name, F.element_at(ordered, half + 1)).drop("_i", "_n", *shifts)
 
 
 def block_average(df: DataFrame, keys: list[str], order: list[str], value: str, block: int) -> DataFrame:
