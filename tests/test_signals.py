@@ -208,3 +208,12 @@ def test_ragged_chunks_give_what_even_ones_give(spark, traces, wave, name, monke
     }[name]
     a, b = ([tuple(r) for r in run(df).orderBy(run(df).columns[0]).collect()] for df in (traces, ragged(spark, wave)))
     assert a == b and len(a) > 10
+
+
+def test_kernels_see_a_bounded_number_of_samples(spark, monkeypatch):
+    """A batch of many blocks of one layout goes to the kernel in parts; each block comes back once."""
+    monkeypatch.setattr(signals, "TOGETHER", 256)
+    rows = spark.createDataFrame([(k, 0, 0, [float(k)] * 64) for k in range(40)], "channel int, chunk long, start long, samples array<double>").coalesce(1)
+    out = signals._on_blocks(rows, ["channel"], 64, 0, lambda x, before, n: np.c_[x[:, 0], np.full(len(x), x.size)], "_y").collect()
+    assert sorted(r._y[0] for r in out) == list(range(40))
+    assert max(r._y[1] for r in out) <= 256

@@ -108,6 +108,8 @@ def zero_phase(sos: np.ndarray, x: np.ndarray, pad: int) -> np.ndarray:
 
 #: Samples of a block at least.
 BLOCK = 4096
+#: Samples that a kernel is given at once at most, but for a block that is longer: what its working arrays hold.
+TOGETHER = 1 << 21
 
 
 def even_blocks(traces: DataFrame, keys: list[str], size: int, before: int = 0, after: int = 0) -> DataFrame:
@@ -140,7 +142,8 @@ def response_length(sos: np.ndarray, share: float = 1e-3) -> int:
 
 
 def _on_blocks(traces: DataFrame, keys: list[str], size: int, halo: int, kernel, name: str = "samples") -> DataFrame:
-    """(keys, chunk, start, n, name): each block by kernel(signals, before, own): arrays of one layout are run as one matrix."""
+    """(keys, chunk, start, n, name): each block by kernel(signals, before, own): arrays of one layout are run as one matrix,
+    of TOGETHER samples at most, however many blocks a batch brings."""
 
     @F.pandas_udf("array<double>")
     def run(samples: pd.Series, before: pd.Series, own: pd.Series) -> pd.Series:
@@ -148,9 +151,12 @@ def _on_blocks(traces: DataFrame, keys: list[str], size: int, halo: int, kernel,
         shapes: dict[tuple, list[int]] = {}
         for k, (x, b, n) in enumerate(zip(samples, before, own, strict=True)):
             shapes.setdefault((len(x), b, n), []).append(k)
-        for (_, b, n), rows in shapes.items():
-            for k, y in zip(rows, kernel(np.stack([samples[k] for k in rows]), b, n), strict=True):
-                out[k] = y
+        for (size, b, n), every in shapes.items():
+            some = max(1, TOGETHER // size)
+            for first in range(0, len(every), some):
+                rows = every[first : first + some]
+                for k, y in zip(rows, kernel(np.stack([samples[k] for k in rows]), b, n), strict=True):
+                    out[k] = y.copy()  # a slice would keep the kernel's whole array
         return out
 
     blocks = even_blocks(traces, keys, size, halo, halo)
